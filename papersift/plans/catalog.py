@@ -331,3 +331,306 @@ def q_score_fixed(spark, sf):
     emb = td.table(spark, sf, "embeddings")
     s = scoring.linear_score(emb, "embedding", FIXED_WEIGHTS, FIXED_BIAS)
     return s.select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- cache
+
+CACHE_LANG = "en"
+CACHE_MODELS = ("click", "view*")  # regex alternatives: "view*" is "vie" + any w's
+
+
+def _latest_cached(spark, sf):
+    from papersift.operators import cache as cache_ops
+
+    return cache_ops.latest_cached(td.cache(spark, sf), td.wanted(spark, sf), CACHE_LANG, CACHE_MODELS,
+                                   tie_cols=("event_id",))
+
+
+LATEST_CACHED_SQL = _cte(cache=td.CACHE_SQL, wanted=td.WANTED_SQL) + """
+, ok AS (SELECT * FROM cache WHERE lang = 'en' AND regexp_matches(model, '^(click|view*)')
+         AND id IN (SELECT id FROM wanted)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY summary_time DESC, event_id DESC) AS rn FROM ok),
+latest AS (SELECT id, model, lang, summary_time, event_id, value, one_sentence_summary,
+                  'unknown' AS preference FROM ranked WHERE rn = 1)
+"""
+
+
+@register("cache_latest", LATEST_CACHED_SQL + """
+SELECT id, model, summary_time, event_id, one_sentence_summary, preference FROM latest
+""")
+def q_cache_latest(spark, sf):
+    return _latest_cached(spark, sf).select("id", "model", "summary_time", "event_id", "one_sentence_summary",
+                                            "preference")
+
+
+@register("cache_misses", LATEST_CACHED_SQL + """
+SELECT w.id, w.title FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.id = w.id)
+""")
+def q_cache_misses(spark, sf):
+    from papersift.operators import cache as cache_ops
+
+    return cache_ops.misses(td.wanted(spark, sf), _latest_cached(spark, sf)).select("id", "title")
+
+
+RUN_TIME = "2025-06-01T00:00:00+00:00"
+
+
+def _fresh_and_cached(spark, sf):
+    from papersift.operators import cache as cache_ops
+
+    cached = _latest_cached(spark, sf).select("id", "model", "summary_time", "one_sentence_summary", "preference")
+    todo = cache_ops.misses(td.wanted(spark, sf), cached)
+    fresh = todo.select(
+        "id",
+        F.lit("local-digest").alias("model"),
+        F.lit(RUN_TIME).alias("summary_time"),
+        F.concat(F.lit("digest of "), F.col("title")).alias("one_sentence_summary"),
+        F.lit("unknown").alias("preference"),
+        F.col("title"),
+    )
+    return cache_ops.combine(fresh, cached)
+
+
+FRESH_AND_CACHED_SQL = LATEST_CACHED_SQL + f"""
+, fresh AS (SELECT w.id, 'local-digest' AS model, '{RUN_TIME}' AS summary_time,
+                   'digest of ' || w.title AS one_sentence_summary, 'unknown' AS preference, w.title
+            FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.id = w.id)),
+combined AS (SELECT * FROM fresh
+             UNION ALL
+             SELECT id, model, summary_time, one_sentence_summary, preference, NULL AS title FROM latest)
+"""
+
+
+@register("cache_union", FRESH_AND_CACHED_SQL + """
+SELECT id, model, summary_time, one_sentence_summary, preference, title FROM combined
+""")
+def q_cache_union(spark, sf):
+    return _fresh_and_cached(spark, sf).select("id", "model", "summary_time", "one_sentence_summary",
+                                               "preference", "title")
+
+
+@register("metadata_merge", FRESH_AND_CACHED_SQL + """
+, meta AS (SELECT id, title, score, segment FROM wanted WHERE segment IN ('BUILDING', 'MACHINERY'))
+SELECT c.id, c.model, c.summary_time, c.one_sentence_summary, c.preference,
+       CASE WHEN m.id IS NOT NULL THEN m.title ELSE c.title END AS title,
+       m.score, m.segment
+FROM combined c LEFT JOIN meta m ON c.id = m.id
+""")
+def q_metadata_merge(spark, sf):
+    from papersift.operators import cache as cache_ops
+
+    meta = td.wanted(spark, sf).where(F.col("segment").isin("BUILDING", "MACHINERY"))
+    merged = cache_ops.merge_metadata(_fresh_and_cached(spark, sf), meta)
+    return merged.select("id", "model", "summary_time", "one_sentence_summary", "preference", "title",
+                         "score", "segment")
+
+
+# ---------------------------------------------------------------- keywords
+
+def _part_keywords(spark, sf):
+    part = td.table(spark, sf, "part")
+    words = F.split("p_name", " ")
+    return part.select(F.col("p_partkey").cast("string").alias("id"),
+                       F.array(words[0], words[1], F.col("p_type")).alias("keywords"))
+
+
+def _part_keyword_map(spark, sf):
+    """Map derived from the part table: a noun maps to [NOUN, hardware]; a type maps
+    to its lower-case name, except PROMO and SMALL, which map to [] (kept as is)."""
+    part = td.table(spark, sf, "part")
+    noun = F.split("p_name", " ")[1]
+    nouns = part.select(noun.alias("key"), F.array(F.upper(noun), F.lit("hardware")).alias("values"))
+    types = part.select(
+        F.col("p_type").alias("key"),
+        F.when(F.col("p_type").isin("PROMO", "SMALL"), F.array().cast("array<string>"))
+        .otherwise(F.array(F.lower("p_type"))).alias("values"))
+    return nouns.unionByName(types).distinct()
+
+
+KEYWORDS_SQL = """
+WITH kw AS (SELECT CAST(p_partkey AS VARCHAR) AS id,
+                   unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), p_type]) AS k FROM part),
+m AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS key, [upper(split_part(p_name, ' ', 2)), 'hardware'] AS vals FROM part
+      UNION
+      SELECT DISTINCT p_type, CASE WHEN p_type IN ('PROMO', 'SMALL') THEN []::VARCHAR[] ELSE [lower(p_type)] END FROM part),
+x AS (SELECT kw.id, unnest(CASE WHEN len(m.vals) > 0 THEN m.vals ELSE [kw.k] END) AS v
+      FROM kw LEFT JOIN m ON kw.k = m.key)
+"""
+
+
+@register("keyword_rewrite", KEYWORDS_SQL + """
+SELECT id, string_agg(DISTINCT v, '|' ORDER BY v) AS keywords FROM x GROUP BY id
+""")
+def q_keyword_rewrite(spark, sf):
+    from papersift.operators import keywords as kw
+
+    out = kw.rewrite_with_table(_part_keywords(spark, sf), kw.mapping_table(_part_keyword_map(spark, sf)))
+    return out.select("id", F.array_join("keywords", "|").alias("keywords"))
+
+
+@register("keyword_counts", KEYWORDS_SQL + """
+, per_row AS (SELECT DISTINCT id, v FROM x)
+SELECT v AS keyword, count(*) AS n FROM per_row GROUP BY v
+""")
+def q_keyword_counts(spark, sf):
+    from papersift.operators import keywords as kw
+
+    out = kw.rewrite_with_table(_part_keywords(spark, sf), kw.mapping_table(_part_keyword_map(spark, sf)))
+    return kw.keyword_counts(out)
+
+
+# ---------------------------------------------------------------- archive
+
+def _archive_batch(spark, sf, version: int) -> DataFrame:
+    """Archive rows from orders.  Version 1 covers every order; version 2 re-digests
+    the finished ('F') orders.  Pending ('P') orders carry no content (null or
+    blank fields), so the meaningful-row filter drops them."""
+    o = td.table(spark, sf, "orders")
+    pending = F.col("o_orderstatus") == "P"
+    rows = o.select(
+        td.archive_id().alias("id"),
+        F.when(pending, F.lit(None)).otherwise(F.col("o_orderpriority")).alias("title"),
+        F.when(pending, F.lit("   ")).otherwise(
+            F.concat(F.lit(f"v{version} total "), F.col("o_totalprice").cast("string"))).alias("summary"),
+        F.when(pending, F.lit(None).cast("double")).otherwise(F.col("o_totalprice")).alias("score"),
+        F.when(pending, F.lit(None)).otherwise(F.lit(version)).alias("version"),
+    )
+    if version == 2:
+        rows = rows.join(o.where(F.col("o_orderstatus") == "F").select(td.archive_id().alias("id")), "id", "left_semi")
+    return rows
+
+
+ARCHIVE_BATCH_SQL = f"""
+SELECT {td.ARCHIVE_ID_SQL} AS id,
+       CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS title,
+       CASE WHEN o_orderstatus = 'P' THEN '   ' ELSE 'v' || CAST(__V__ AS VARCHAR) || ' total ' || CAST(o_totalprice AS VARCHAR) END AS summary,
+       CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END AS score,
+       CASE WHEN o_orderstatus = 'P' THEN NULL ELSE __V__ END AS version, o_orderstatus
+FROM orders
+"""
+
+
+@register("archive_rows", _cte(
+    b1=ARCHIVE_BATCH_SQL.replace("__V__", "1"),
+    b2=ARCHIVE_BATCH_SQL.replace("__V__", "2") + " WHERE o_orderstatus = 'F'",
+) + """
+, batch AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2),
+ok AS (SELECT * FROM batch WHERE coalesce(regexp_matches(title, '\\S'), false)
+        OR coalesce(regexp_matches(summary, '\\S'), false) OR score IS NOT NULL OR version IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS rn FROM ok)
+SELECT id, substr(id, 1, 4) AS month, title, summary, version FROM ranked WHERE rn = 1
+""")
+def q_archive_rows(spark, sf):
+    from papersift.operators.archive import archive_rows
+
+    batch = _archive_batch(spark, sf, 1).unionByName(_archive_batch(spark, sf, 2))
+    return archive_rows(batch, order_by=["version"]).select("id", "month", "title", "summary", "version")
+
+
+@register("archive_upsert", _cte(
+    b1=ARCHIVE_BATCH_SQL.replace("__V__", "1"),
+    b2=ARCHIVE_BATCH_SQL.replace("__V__", "2") + " WHERE o_orderstatus = 'F'",
+) + """
+, old AS (SELECT * FROM b1 WHERE o_orderstatus <> 'P'),
+merged AS (SELECT id, title, summary, score, version FROM b2
+           UNION ALL
+           SELECT id, title, summary, score, version FROM old WHERE id NOT IN (SELECT id FROM b2))
+SELECT id, substr(id, 1, 4) AS month, title, summary, round(score, 2) AS score, version FROM merged
+""")
+def q_archive_upsert(spark, sf):
+    """Write version 1, upsert version 2, read the archive back (scratch folder
+    under spark.checkpoint.dir)."""
+    from papersift.session import ensure_checkpoint_dir, scratch_path
+    from papersift.sinks.archive import upsert
+    from papersift.sources.archive import read_archive
+    from pyspark.sql import types as T
+
+    ensure_checkpoint_dir(spark)
+    path = scratch_path(spark, "archive")
+    schema = T.StructType([
+        T.StructField("id", T.StringType()), T.StructField("title", T.StringType()),
+        T.StructField("summary", T.StringType()), T.StructField("score", T.DoubleType()),
+        T.StructField("version", T.IntegerType()),
+    ])
+    upsert(_archive_batch(spark, sf, 1), path, order_by=["version"], schema=schema)
+    upsert(_archive_batch(spark, sf, 2), path, order_by=["version"], schema=schema)
+    back = read_archive(spark, path, schema)
+    return back.select("id", "month", "title", "summary", F.round("score", 2).alias("score"), "version")
+
+
+# ---------------------------------------------------------------- ratings from links
+
+# Rules over the pages table, in priority order: the page query parameter, the
+# number in the URL path, then the tracking call in the page.
+PAGE_ID_RULES = [
+    ("url", r"[?&]page=(\d+)"),
+    ("url", r"example\.[a-z]+/[a-z]{2}/(\d+)"),
+    ("html", r"track\((\d+)\)"),
+]
+
+
+@register("extract_ids", """
+WITH x AS (SELECT coalesce(nullif(regexp_extract(url, '[?&]page=(\\d+)', 1), ''),
+                           nullif(regexp_extract(url, 'example\\.[a-z]+/[a-z]{2}/(\\d+)', 1), ''),
+                           nullif(regexp_extract(html, 'track\\((\\d+)\\)', 1), '')) AS id FROM pages)
+SELECT DISTINCT id, 'like' AS preference FROM x WHERE id IS NOT NULL
+""")
+def q_extract_ids(spark, sf):
+    from papersift.operators import ratings
+
+    ids = ratings.extract_ids(td.table(spark, sf, "pages"), PAGE_ID_RULES)
+    return ratings.ratings_from_ids(ids, "like")
+
+
+# ---------------------------------------------------------------- enrichment
+
+FIRST_SENTENCE = r"^[ \t\r\n]*([^\n]*?[.!?])(?:[ \t\r\n]|$)"
+
+
+def first_sentence_digest(row: dict) -> dict:
+    """The per-paper function of the test: the first sentence, or an error."""
+    import re
+
+    m = re.match(FIRST_SENTENCE, row.get("abstract") or "")
+    if not m:
+        raise ValueError("no complete sentence")
+    return {"one_sentence_summary": m.group(1)}
+
+
+def _documents_as_papers(spark, sf):
+    d = td.table(spark, sf, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("abstract"), "lang")
+
+
+def _document_cache(spark, sf):
+    """Earlier digests: documents rated high quality were digested before."""
+    d = td.table(spark, sf, "documents")
+    lab = td.table(spark, sf, "labels").where(F.col("quality") == 1).select("doc_id")
+    return d.join(lab, "doc_id", "left_semi").select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.concat(F.lit("cached: "), F.substring("text", 1, 30)).alias("one_sentence_summary"),
+        F.lit("cache-model").alias("model"),
+    )
+
+
+@register("enrich_first_sentence", f"""
+WITH cached AS (SELECT CAST(d.doc_id AS VARCHAR) AS id, 'cached: ' || substr(d.text, 1, 30) AS one_sentence_summary,
+                       'cache-model' AS model
+                FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+fresh AS (SELECT CAST(doc_id AS VARCHAR) AS id,
+                 regexp_extract(text, '{FIRST_SENTENCE}', 1) AS one_sentence_summary, 'local-digest' AS model
+          FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT id FROM cached))
+SELECT id, one_sentence_summary, model FROM fresh WHERE one_sentence_summary <> ''
+UNION ALL SELECT id, one_sentence_summary, model FROM cached
+""")
+def q_enrich_first_sentence(spark, sf):
+    from papersift.operators import enrich as en
+    from pyspark.sql import types as T
+
+    fields = T.StructType([T.StructField("one_sentence_summary", T.StringType())])
+    results, _failed = en.enrich(
+        _documents_as_papers(spark, sf), _document_cache(spark, sf), first_sentence_digest, fields,
+        provenance={"model": "local-digest", "temperature": 0.1, "top_p": 0.8, "lang": "en"},
+        run_time=RUN_TIME,
+    )
+    return results.select("id", "one_sentence_summary", "model")
