@@ -31,8 +31,8 @@ NODE_SCHEMA = (
 TEXT_SCHEMA = "struct<content:string,title:string>"
 CELL_SCHEMA = "struct<rowspan:string,colspan:string>"
 
-# Marker characters around titles (never present in rendered text).
-T_OPEN, T_MID, T_CLOSE = "\u0002", "\u0003", "\u0004"
+# Marker characters around titles (private-use code points, not expected in text).
+T_OPEN, T_MID, T_CLOSE = "\ue000", "\ue001", "\ue002"
 
 # Fixed type names of the token format.
 PROCESS_TOKENS_TYPES = ["document", "group", "section", "paragraph", "footnote"]
@@ -395,9 +395,10 @@ def render(docs: DataFrame, ignore_reference: bool = False, clean_equations: boo
     doc = body.join(notes, "doc_id", "left").join(dups, "doc_id", "left")
     text = F.concat(F.col("body"), F.when(F.col("notes").isNotNull(),
                                           F.concat(F.lit("\n\n"), F.col("notes"))).otherwise(F.lit("")))
-    cut = F.aggregate(F.coalesce(F.col("dups"), F.array().cast("array<string>")), text,
-                      lambda acc, p: F.regexp_replace(
-                          acc, F.concat(F.lit(T_OPEN), p, F.lit(T_MID + "[^" + T_CLOSE + "]*" + T_CLOSE)), ""))
+    # One pass per document: every repeated title's marked span is cut at once.
+    dup_pattern = F.concat(F.lit(T_OPEN + "("), F.array_join(F.col("dups"), "|"),
+                           F.lit(")" + T_MID + "[^" + T_CLOSE + "]*" + T_CLOSE))
+    cut = F.when(F.col("dups").isNull(), text).otherwise(F.regexp_replace(text, dup_pattern, F.lit("")))
     clean = F.regexp_replace(F.regexp_replace(cut, T_OPEN + "[^" + T_MID + "]*" + T_MID, ""), T_CLOSE, "")
     out = doc.select("doc_id", clean.alias("markdown"))
     all_docs = docs.select(F.col(doc_col).alias("doc_id")).distinct()

@@ -634,3 +634,39 @@ def q_enrich_first_sentence(spark, sf):
         run_time=RUN_TIME,
     )
     return results.select("id", "one_sentence_summary", "model")
+
+
+# ---------------------------------------------------------------- rendering
+
+def _render(builder, **opts):
+    def q(spark, sf):
+        from papersift.operators.render import render
+        from papersift.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(spark)
+        return render(builder(spark, sf), **opts).select("doc_id", "markdown")
+    return q
+
+
+def _register_renders():
+    from papersift.plans import token_docs as tk
+
+    register("render_blocks", tk.CONVERSATION_BLOCKS_MD_SQL)(_render(tk.conversation_blocks))
+    register("render_footnotes", tk.CONVERSATION_FOOTNOTES_MD_SQL)(_render(tk.conversation_footnotes))
+    register("render_titles", tk.DOCUMENT_TITLES_MD_SQL)(_render(tk.document_titles))
+    register("render_tables", tk.PART_TABLES_MD_SQL)(_render(tk.part_tables))
+    register("clean_equations", tk.DOCUMENT_EQUATIONS_MD_SQL)(_render(tk.document_equations, clean_equations=True))
+    register("render_authors", tk.CUSTOMER_AUTHORS_MD_SQL)(_render(tk.customer_authors))
+
+    @register("flatten_tokens")
+    def q_flatten(spark, sf):
+        """B0 block table (rows only: the paths are this engine's own encoding)."""
+        from papersift.operators.render import flatten
+        from papersift.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(spark)
+        blocks = flatten(tk.conversation_blocks(spark, sf))
+        return blocks.select("doc_id", "path", "depth", "kind", "live")
+
+
+_register_renders()
