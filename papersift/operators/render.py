@@ -24,6 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papersift.session import LevelCache, materialize, spread
+
+LISTS_SCHEMA = "struct<content:array<string>,title:array<string>>"
 NODE_SCHEMA = (
     "struct<type:string,content:array<string>,title:array<string>,level:int,numbering:string,"
     "name:string,depth:int,display:string,styles:array<string>,cite_key:string>"
@@ -39,37 +42,39 @@ PROCESS_TOKENS_TYPES = ["document", "group", "section", "paragraph", "footnote"]
 PROCESS_CONTENT_TYPES = ["title", "abstract", "caption", "bibitem", "math_env"]
 
 
-def _is_complex(tabular: Column) -> Column:
-    """A cell with a truthy rowspan or colspan makes the table complex."""
-    cells = F.flatten(F.transform(tabular, lambda r: F.coalesce(F.from_json(r, "array<string>"),
-                                                                F.array().cast("array<string>"))))
+# A cell dict with a truthy rowspan or colspan.  The raw JSON text here is the
+# compact re-serialisation made by the JSON reader, so the keys appear as
+# "rowspan": directly followed by the value; falsy values are 0, false, null,
+# "", [] and {}.  Text inside strings cannot match: its quotes are escaped.
+COMPLEX_CELL = r'"(rowspan|colspan)":(?!(0|0\.0|false|null|""|\[\]|\{\})[,}\]])'
 
-    def truthy(c):
-        return F.coalesce(~c.isin("", "0", "false"), F.lit(False))
 
-    return F.coalesce(F.exists(cells, lambda c: truthy(F.from_json(c, CELL_SCHEMA)["rowspan"])
-                               | truthy(F.from_json(c, CELL_SCHEMA)["colspan"])), F.lit(False))
+def _is_complex(first_content: Column) -> Column:
+    """The table's first content item has a spanning cell."""
+    return F.coalesce(first_content.rlike(COMPLEX_CELL), F.lit(False))
 
 
-def _type_list(arr: Column) -> Column:
-    return F.transform(arr, lambda x: F.get_json_object(x, "$.type"))
+def _first_caption(node: Column) -> Column:
+    """1-based position of the first caption among the content items (0 if none)."""
+    types = F.from_json(node, "struct<content:array<struct<type:string>>>")["content"]["type"]
+    return F.coalesce(F.array_position(types, "caption"), F.lit(0)).cast("int")
 
 
-def _children(level: DataFrame) -> DataFrame:
-    """Child rows of one level (no shuffle: a projection and an explode)."""
+def _children_exprs() -> dict:
+    """Column expressions of the child expansion, built once and reused per level."""
     k = F.col("kind")
-    a = F.col("a")
+    a = F.col("_l")
     live = F.col("live")
     ir, ce = F.col("ir"), F.col("ce")
-    first_cap = F.array_position(_type_list(a["content"]), "caption")
+    first_cap = F.col("cap_pos")
     table_first = F.from_json(F.element_at(a["content"], 1), "struct<tabular:array<string>>")["tabular"]
-    table_ok = table_first.isNotNull() & (F.size(table_first) > 0) & ~_is_complex(table_first)
+    table_ok = F.col("table_mode") == "pipe"
 
     def spec(slot, arr, pkind, child_live, child_ir, child_ce, pos_live=None):
         return F.struct(
             F.lit(slot).alias("slot"), arr.alias("arr"), F.lit(pkind).cast("string").alias("pkind"),
             child_live.alias("live"), child_ir.alias("ir"), child_ce.alias("ce"),
-            (pos_live if pos_live is not None else F.lit(0)).alias("only_pos"))
+            (pos_live if pos_live is not None else F.lit(-1)).alias("only_pos"))
 
     content_list = a["content"]
     off = F.lit(False)
@@ -77,7 +82,7 @@ def _children(level: DataFrame) -> DataFrame:
         # title lists: section (process_content, ir kept), citation and url (references kept)
         F.when(k == "section", spec("a", a["title"], None, live, ir, off))
         .when(k == "citation", spec("a", a["title"], None, live & ~ir, off, off))
-        .when(k == "aitem", spec("a", a["title"], None, live & (F.col("a.type") == "url"), off, off)),
+        .when(k == "aitem", spec("a", a["title"], None, live & (F.col("typ") == "url"), off, off)),
         # content lists
         F.when(k.isin(*PROCESS_TOKENS_TYPES), spec("c", content_list, None, live, ir, ce))
         .when(k == "item", spec("c", content_list, None, live, ir, ce))
@@ -95,35 +100,86 @@ def _children(level: DataFrame) -> DataFrame:
         F.when(k == "table", spec("r", table_first, "trow", live & table_ok, ir, off))
         .when(k == "trow", spec("r", F.from_json(F.col("node"), "array<string>"), "tcell", live, ir, off)),
     )
-    exploded = level.select(
-        "doc_id", F.col("path").alias("parent_path"), F.col("depth"), F.col("kind").alias("ptype"),
-        F.explode(F.filter(specs, lambda s: s.isNotNull() & s["arr"].isNotNull())).alias("s"))
-    kids = exploded.select(
-        "doc_id", "parent_path", "ptype", (F.col("depth") + 1).alias("depth"), "s.slot", "s.pkind",
-        F.col("s.ir").alias("ir"), F.col("s.ce").alias("ce"), F.col("s.live").alias("plive"),
-        F.col("s.only_pos").alias("only_pos"),
-        F.posexplode("s.arr").alias("pos", "node"))
-    pos_ok = (F.col("only_pos") == 0) | (F.col("pos") + 1 == F.col("only_pos"))
-    return kids.select(
-        "doc_id", "parent_path", "ptype", "depth", "node", "ir", "ce",
-        F.concat(F.col("parent_path"), F.lit("/"), F.col("slot"), F.lpad(F.col("pos").cast("string"), 5, "0")).alias("path"),
-        F.col("slot"), F.col("pkind"),
-        (F.col("plive") & pos_ok).alias("live"),
-        F.lit(False).alias("top"),
-    )
-
-
-def _with_kind(level: DataFrame) -> DataFrame:
-    a = F.from_json(F.col("node"), NODE_SCHEMA)
-    b = F.from_json(F.col("node"), TEXT_SCHEMA)
-    parsed_type = F.coalesce(a["type"], F.lit("None"))
-    return level.withColumn("a", a).withColumn("b", b).withColumn(
-        "kind", F.coalesce(F.col("pkind"), parsed_type))
+    # only_pos: -1 keeps every child; n keeps only the n-th (0: none, e.g. no caption)
+    pos_ok = (F.col("only_pos") == -1) | (F.col("pos") + 1 == F.col("only_pos"))
+    return {
+        "parse": [F.from_json(F.col("node"), LISTS_SCHEMA).alias("_l")],
+        "explode": [
+            "doc_id", F.col("path").alias("parent_path"), F.col("depth"), F.col("kind").alias("ptype"),
+            F.explode(F.filter(specs, lambda s: s.isNotNull() & s["arr"].isNotNull())).alias("s")],
+        "unpack": [
+            "doc_id", "parent_path", "ptype", (F.col("depth") + 1).alias("depth"), "s.slot", "s.pkind",
+            F.col("s.ir").alias("ir"), F.col("s.ce").alias("ce"), F.col("s.live").alias("plive"),
+            F.col("s.only_pos").alias("only_pos"),
+            F.posexplode("s.arr").alias("pos", "node")],
+        "finish": [
+            "doc_id", "parent_path", "ptype", "depth", "node", "ir", "ce",
+            F.concat(F.col("parent_path"), F.lit("/"), F.col("slot"),
+                     F.lpad(F.col("pos").cast("string"), 5, "0")).alias("path"),
+            F.col("slot"), F.col("pkind"),
+            (F.col("plive") & pos_ok).alias("live"),
+            F.lit(False).alias("top")],
+    }
+
+
+def _children(level: DataFrame, ex: dict | None = None) -> DataFrame:
+    """Child rows of one level (no shuffle: a projection and an explode)."""
+    ex = ex or _children_exprs()
+    parsed = level.select("*", *ex["parse"])
+    return parsed.select(*ex["explode"]).select(*ex["unpack"]).select(*ex["finish"])
+
+
+def _attr_exprs() -> tuple[list, list]:
+    """Kind and the compact attributes a block keeps (the subtree JSON is not kept,
+    except where a rule prints it: tables shown as JSON, and plain table cells).
+
+    Two projections: the node is parsed once into ``_a``/``_b``; the optimizer
+    keeps a non-cheap expression used many times in its own projection."""
+    parse = [F.from_json(F.col("node"), NODE_SCHEMA).alias("_a"), F.from_json(F.col("node"), TEXT_SCHEMA).alias("_b")]
+    a, b = F.col("_a"), F.col("_b")
+    kind = F.coalesce(F.col("pkind"), F.coalesce(a["type"], F.lit("None")))
+    content = a["content"]
+    first = F.element_at(content, 1)
+    tabular = F.from_json(first, "struct<tabular:array<string>>")["tabular"]
+    table_mode = F.when(kind != "table", F.lit(None)).when(
+        content.isNull() | (F.size(content) == 0) | F.get_json_object(first, "$.tabular").isNull()
+        | tabular.isNull() | (F.size(tabular) == 0) | _is_complex(first), F.lit("json")).otherwise(F.lit("pipe"))
+    node = F.col("node")
+    cell_kind = F.when(kind != "tcell", F.lit(None)).when(node.isNull(), F.lit("null")) \
+        .when(node.startswith("["), F.lit("list")).when(node.startswith("{"), F.lit("dict")).otherwise(F.lit("str"))
+    attrs = [
+        kind.alias("kind"),
+        a["type"].alias("typ"), a["level"].alias("lvl"), a["numbering"].alias("numbering"),
+        a["name"].alias("lname"), a["depth"].alias("ldepth"), a["display"].alias("display"),
+        a["styles"].alias("styles"), a["cite_key"].alias("cite_key"),
+        content.isNotNull().alias("has_clist"), a["title"].isNotNull().alias("has_tlist"),
+        F.when(content.isNull(), b["content"]).alias("text"),
+        F.when(a["title"].isNull(), b["title"]).alias("title_str"),
+        F.when(kind.isin("citation", "ref"), content).alias("keys"),
+        table_mode.alias("table_mode"),
+        F.when(kind.isin("figure", "table"), _first_caption(node)).alias("cap_pos"),
+        cell_kind.alias("cell_kind"),
+        F.when((table_mode == "json") | (cell_kind == "str"), node).alias("raw"),
+    ]
+    return parse, attrs
+
+
+def _with_attrs(level: DataFrame, ex: tuple | None = None) -> DataFrame:
+    parse, attrs = ex or _attr_exprs()
+    return level.select("*", *parse).select(*level.columns, *attrs)
+
+
+BLOCK_COLUMNS = [
+    "doc_id", "path", "parent_path", "ptype", "depth", "slot", "ir", "ce", "live", "top",
+    "kind", "typ", "lvl", "numbering", "lname", "ldepth", "display", "styles", "cite_key",
+    "has_clist", "has_tlist", "text", "title_str", "keys", "table_mode", "cell_kind", "raw",
+]
 
 
 def flatten(docs: DataFrame, ignore_reference: bool = False, clean_equations: bool = False,
             doc_col: str = "doc_id", json_col: str = "json", max_depth: int = 64) -> DataFrame:
-    """One row per block, all levels."""
+    """One row per block, all levels, with compact attributes (no subtree JSON)."""
+    docs = spread(docs, doc_col)
     tokens = F.from_json(F.col(json_col), "struct<tokens:array<string>>")["tokens"]
     root = docs.select(F.col(doc_col).alias("doc_id"), F.posexplode(F.coalesce(tokens, F.array())).alias("pos", "node"))
     level = root.select(
@@ -132,23 +188,25 @@ def flatten(docs: DataFrame, ignore_reference: bool = False, clean_equations: bo
         F.concat(F.lit("c"), F.lpad(F.col("pos").cast("string"), 5, "0")).alias("path"),
         F.lit("c").alias("slot"), F.lit(None).cast("string").alias("pkind"),
         F.lit(True).alias("live"), F.lit(True).alias("top"))
-    level = _with_kind(level)
+    attr_ex, child_ex = _attr_exprs(), _children_exprs()
+    cache = LevelCache()
     # A top-level text token is skipped; a command token is never rendered.
-    level = level.withColumn("live", F.col("live") & ~(F.col("kind") == "text") & ~(F.col("kind") == "command"))
+    level, _ = cache.add(_with_attrs(level, attr_ex).withColumn(
+        "live", F.col("live") & ~(F.col("kind") == "text") & ~(F.col("kind") == "command")))
     levels = [level]
     for _ in range(max_depth):
-        nxt = _with_kind(_children(level))
-        nxt = nxt.withColumn("live", F.col("live") & ~(F.col("kind") == "command"))
-        # Reliable checkpoint (spark.checkpoint.dir): each level is computed once,
-        # and a lost executor never replays the whole expansion chain.
-        nxt = nxt.checkpoint(eager=True)
-        if nxt.limit(1).count() == 0:
+        nxt = _with_attrs(_children(level, child_ex), attr_ex)
+        nxt, n = cache.add(nxt.withColumn("live", F.col("live") & ~(F.col("kind") == "command")))
+        if n == 0:
             break
         levels.append(nxt)
         level = nxt
-    out = levels[0]
+    out = levels[0].select(*BLOCK_COLUMNS)
     for lv in levels[1:]:
-        out = out.unionByName(lv)
+        out = out.unionByName(lv.select(*BLOCK_COLUMNS))
+    # One reliable checkpoint of the whole block table, then the levels are released.
+    out = materialize(out, "render-blocks")
+    cache.release()
     return out
 
 
@@ -172,10 +230,10 @@ def _ordered_parts(slot_cond: Column) -> Column:
 ITEM_TYPE = "struct<kind:string,text:string,sup:boolean,link:string>"
 
 
-def _child_aggregates(kids: DataFrame) -> DataFrame:
+def _child_agg_exprs() -> list:
     slot = F.col("slot")
     items = F.collect_list(F.when(F.col("kind") == "agroup", F.struct(F.col("path"), F.col("items"))))
-    return kids.groupBy("doc_id", "parent_path").agg(
+    return [
         _ordered_concat(slot == "c").alias("content_md"),
         _ordered_concat(slot == "a").alias("title_md"),
         _ordered_parts(slot == "c").alias("parts"),
@@ -183,7 +241,13 @@ def _child_aggregates(kids: DataFrame) -> DataFrame:
         _ordered_concat(F.col("kind") == "caption").alias("caption_md"),
         F.flatten(F.transform(F.array_sort(items), lambda x: x["items"])).alias("aitems"),
         F.collect_list(F.when(F.col("kind") == "aitem", F.struct(F.col("path"), F.col("item")))).alias("_aitem_list"),
-    ).withColumn("group_items", F.transform(F.array_sort("_aitem_list"), lambda x: x["item"])).drop("_aitem_list")
+    ]
+
+
+def _child_aggregates(kids: DataFrame, ex: list | None = None) -> DataFrame:
+    agg = kids.groupBy("doc_id", "parent_path").agg(*(ex or _child_agg_exprs()))
+    return agg.withColumn("group_items", F.transform(F.array_sort("_aitem_list"), lambda x: x["item"])) \
+        .drop("_aitem_list")
 
 
 def _author_md(items: Column) -> Column:
@@ -229,20 +293,20 @@ def _author_md(items: Column) -> Column:
         .otherwise(F.lit(""))
 
 
-def _node_md(with_kids: DataFrame) -> DataFrame:
+def _node_md_exprs() -> list:
+    """The per-type rendering rules as one projection (built once per render)."""
     k = F.col("kind")
-    a, b = F.col("a"), F.col("b")
     content_md = F.coalesce(F.col("content_md"), F.lit(""))
     title_md = F.coalesce(F.col("title_md"), F.lit(""))
     parts = F.coalesce(F.col("parts"), F.array().cast("array<string>"))
     rows = F.coalesce(F.col("rows"), F.array().cast("array<string>"))
     caption = F.coalesce(F.col("caption_md"), F.lit(""))
     # process_content: a string is taken as it is, a list is rendered
-    content_value = F.when(a["content"].isNull(), F.coalesce(b["content"], F.lit(""))).otherwise(content_md)
-    title_value = F.when(a["title"].isNull(), F.coalesce(b["title"], F.lit(""))).otherwise(title_md)
-    numbering = F.coalesce(a["numbering"], F.lit(""))
-    styles = F.coalesce(a["styles"], F.array().cast("array<string>"))
-    text = F.coalesce(b["content"], F.lit(""))
+    content_value = F.when(~F.col("has_clist"), F.coalesce(F.col("text"), F.lit(""))).otherwise(content_md)
+    title_value = F.when(~F.col("has_tlist"), F.coalesce(F.col("title_str"), F.lit(""))).otherwise(title_md)
+    numbering = F.coalesce(F.col("numbering"), F.lit(""))
+    styles = F.coalesce(F.col("styles"), F.array().cast("array<string>"))
+    text = F.coalesce(F.col("text"), F.lit(""))
 
     styled = (
         F.when(F.array_contains(styles, "bold") & F.array_contains(styles, "italic"),
@@ -254,14 +318,14 @@ def _node_md(with_kids: DataFrame) -> DataFrame:
     eq = _strip(text)
     from papersift.functions.text import clean_equation
     eq = F.when(F.col("ce"), clean_equation(eq)).otherwise(eq)
-    equation = F.when(a["display"] == "block", F.concat(F.lit("$$ "), eq, F.lit(" $$\n"))) \
+    equation = F.when(F.col("display") == "block", F.concat(F.lit("$$ "), eq, F.lit(" $$\n"))) \
         .otherwise(F.concat(F.lit("$"), eq, F.lit("$")))
 
-    keys = F.coalesce(a["content"], F.array().cast("array<string>"))
+    keys = F.coalesce(F.col("keys"), F.array().cast("array<string>"))
     citation = F.concat(F.lit("["), F.array_join(keys, ", "),
                         F.when(title_value != "", F.concat(F.lit(", "), title_value)).otherwise(F.lit("")),
                         F.lit("]"))
-    ref = F.concat(F.lit("["), F.coalesce(F.element_at(a["content"], 1), F.lit("")), F.lit("]"))
+    ref = F.concat(F.lit("["), F.coalesce(F.element_at(F.col("keys"), 1), F.lit("")), F.lit("]"))
 
     menv = _strip(content_value)
     math_env = F.when(menv == "", F.lit("")).when(
@@ -271,11 +335,11 @@ def _node_md(with_kids: DataFrame) -> DataFrame:
     abstract = F.when(content_value != "", F.concat(F.lit("## Abstract\n"), content_value, F.lit("\n"))).otherwise(F.lit(""))
     sec_title = F.when(numbering != "", F.concat(numbering, F.lit(". "), title_value)).otherwise(title_value)
     section = F.when((sec_title != "") | (content_md != ""),
-                     F.concat(F.repeat(F.lit("#"), F.coalesce(a["level"], F.lit(1)) + 1), F.lit(" "), sec_title,
+                     F.concat(F.repeat(F.lit("#"), F.coalesce(F.col("lvl"), F.lit(1)) + 1), F.lit(" "), sec_title,
                               F.lit("\n"), content_md, F.lit("\n"))).otherwise(F.lit(""))
     paragraph = F.when(content_md != "", F.concat(content_md, F.lit("\n\n"))).otherwise(F.lit(""))
-    prefix = F.concat(F.repeat(F.lit("  "), F.coalesce(a["depth"], F.lit(0))),
-                      F.when(a["name"] == "enumerate", F.lit("1. ")).otherwise(F.lit("- ")))
+    prefix = F.concat(F.repeat(F.lit("  "), F.coalesce(F.col("ldepth"), F.lit(0))),
+                      F.when(F.col("lname") == "enumerate", F.lit("1. ")).otherwise(F.lit("- ")))
     lst = F.when(F.size(parts) > 0,
                  F.concat(F.array_join(F.transform(parts, lambda x: F.concat(prefix, x)), "\n"), F.lit("\n"))) \
         .otherwise(F.lit(""))
@@ -283,27 +347,22 @@ def _node_md(with_kids: DataFrame) -> DataFrame:
         .otherwise(F.lit(""))
 
     head = F.concat(F.lit("[Table "), numbering, F.lit("]: "), caption, F.lit("\n"))
-    as_json = F.concat(head, F.lit("Following table is represented in JSON:\n```json\n"), F.col("node"), F.lit("\n```\n"))
-    first = F.element_at(a["content"], 1)
-    tabular = F.from_json(first, "struct<tabular:array<string>>")["tabular"]
-    has_tabular = F.get_json_object(first, "$.tabular").isNotNull()
-    complex_table = _is_complex(tabular)
+    as_json = F.concat(head, F.lit("Following table is represented in JSON:\n```json\n"), F.col("raw"), F.lit("\n```\n"))
     n_cols = F.size(F.split(F.element_at(rows, 1), r"\|")) - 2
     sep = F.concat(F.lit("|"), F.repeat(F.lit("---|"), n_cols))
     pipe = F.concat(head, F.element_at(rows, 1), F.lit("\n"), sep,
                     F.when(F.size(rows) > 1, F.concat(F.lit("\n"), F.array_join(F.slice(rows, 2, 1 << 30), "\n")))
                     .otherwise(F.lit("")), F.lit("\n"))
-    table = (F.when(a["content"].isNull() | (F.size(a["content"]) == 0) | ~has_tabular, as_json)
-             .when(tabular.isNull() | (F.size(tabular) == 0) | complex_table, as_json)
+    table = (F.when(F.col("table_mode") == "json", as_json)
              .when(F.size(rows) > 1, pipe).otherwise(F.lit("")))
     trow = F.concat(F.lit("| "), F.array_join(rows, " | "), F.lit(" |"))
-    node = F.col("node")
-    tcell = (F.when(node.isNull(), F.lit(""))
-             .when(node.startswith("["), content_md)
-             .when(node.startswith("{"), content_value)
-             .otherwise(node))
+    cell = F.col("cell_kind")
+    tcell = (F.when(cell == "null", F.lit(""))
+             .when(cell == "list", content_md)
+             .when(cell == "dict", content_value)
+             .otherwise(F.col("raw")))
     footnote = F.concat(F.lit("[^"), F.col("fn_no").cast("string"), F.lit("]"))
-    bibitem = F.concat(F.lit("["), F.coalesce(a["cite_key"], F.lit("")), F.lit("]: "), content_value)
+    bibitem = F.concat(F.lit("["), F.coalesce(F.col("cite_key"), F.lit("")), F.lit("]: "), content_value)
     bibliography = F.when(F.col("ir"), F.lit("<!-- Unknown token type: bibliography -->")).when(
         F.size(parts) > 0, F.concat(F.lit("## References\n"), F.array_join(parts, "\n"), F.lit("\n"))
     ).otherwise(F.lit(""))
@@ -336,10 +395,10 @@ def _node_md(with_kids: DataFrame) -> DataFrame:
         .otherwise(unknown)
     )
     item = F.when(k == "aitem", F.when(
-        a["type"] == "text",
+        F.col("typ") == "text",
         F.struct(F.lit("text").alias("kind"), _strip(text).alias("text"),
                  F.array_contains(styles, "superscript").alias("sup"), F.lit(None).cast("string").alias("link")))
-        .when(a["type"] == "url",
+        .when(F.col("typ") == "url",
               F.struct(F.lit("url").alias("kind"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("sup"),
                        F.concat(F.lit("["), title_value, F.lit("]("), text, F.lit(")")).alias("link")))
         .otherwise(F.struct(F.lit("skip").alias("kind"), F.lit(None).cast("string").alias("text"),
@@ -350,35 +409,44 @@ def _node_md(with_kids: DataFrame) -> DataFrame:
         F.coalesce(F.col("group_items"), F.array().cast(f"array<{ITEM_TYPE}>")), F.array(end_item)))
     entry = F.when(k == "footnote", F.concat(F.lit("[^"), F.col("fn_no").cast("string"), F.lit("]: "), content_md))
     title_text = F.when(k == "title", content_value)
-    return with_kids.select(
+    return [
         "doc_id", "parent_path", "path", "slot", "kind", "depth",
         md.alias("md"), item.cast(ITEM_TYPE).alias("item"), items.cast(f"array<{ITEM_TYPE}>").alias("items"),
-        entry.alias("fn_entry"), title_text.alias("title_text"))
+        entry.alias("fn_entry"), title_text.alias("title_text")]
+
+
+def _node_md(with_kids: DataFrame, ex: list | None = None) -> DataFrame:
+    return with_kids.select(*(ex or _node_md_exprs()))
 
 
 def render(docs: DataFrame, ignore_reference: bool = False, clean_equations: bool = False,
            doc_col: str = "doc_id", json_col: str = "json") -> DataFrame:
     """Markdown per document: ``(doc_id, markdown)``."""
     blocks = flatten(docs, ignore_reference, clean_equations, doc_col, json_col).where(F.col("live"))
-    fn_w = F.sum(F.when(F.col("kind") == "footnote", 1).otherwise(0)).over(
-        Window.partitionBy("doc_id").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    blocks = blocks.withColumn("fn_no", fn_w).checkpoint(eager=True)
+    # Footnotes are numbered in document order; only footnote rows are shuffled.
+    is_fn = F.col("kind") == "footnote"
+    numbered = blocks.where(is_fn).withColumn(
+        "fn_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("path")))
+    cache = LevelCache()
+    blocks, _ = cache.add(blocks.where(~is_fn).withColumn("fn_no", F.lit(None).cast("int")).unionByName(numbered))
     max_depth = blocks.agg(F.max("depth")).first()[0]
     if max_depth is None:
+        cache.release()
         return docs.select(F.col(doc_col).alias("doc_id"), F.lit("").alias("markdown"))
     rendered_levels = []
     kids = None
+    agg_ex, md_ex = _child_agg_exprs(), _node_md_exprs()
     for d in range(max_depth, -1, -1):
         level = blocks.where(F.col("depth") == d)
         if kids is not None:
-            agg = _child_aggregates(kids).withColumnRenamed("parent_path", "path")
+            agg = _child_aggregates(kids, agg_ex).withColumnRenamed("parent_path", "path")
             level = level.join(agg, ["doc_id", "path"], "left")
         else:
             for c, t in (("content_md", "string"), ("title_md", "string"), ("parts", "array<string>"),
                          ("rows", "array<string>"), ("caption_md", "string"),
                          ("aitems", f"array<{ITEM_TYPE}>"), ("group_items", f"array<{ITEM_TYPE}>")):
                 level = level.withColumn(c, F.lit(None).cast(t))
-        kids = _node_md(level).checkpoint(eager=True)
+        kids, _ = cache.add(_node_md(level, md_ex))
         rendered_levels.append(kids.select("doc_id", "path", "kind", "fn_entry", "title_text"))
     side = rendered_levels[0]
     for lv in rendered_levels[1:]:
@@ -401,6 +469,10 @@ def render(docs: DataFrame, ignore_reference: bool = False, clean_equations: boo
     cut = F.when(F.col("dups").isNull(), text).otherwise(F.regexp_replace(text, dup_pattern, F.lit("")))
     clean = F.regexp_replace(F.regexp_replace(cut, T_OPEN + "[^" + T_MID + "]*" + T_MID, ""), T_CLOSE, "")
     out = doc.select("doc_id", clean.alias("markdown"))
-    all_docs = docs.select(F.col(doc_col).alias("doc_id")).distinct()
-    return all_docs.join(out, "doc_id", "left").select(
+    all_docs = docs.select(F.col(doc_col).alias("doc_id"))  # document ids are unique
+    result = all_docs.join(out, "doc_id", "left").select(
         "doc_id", F.coalesce(F.col("markdown"), F.lit("")).alias("markdown"))
+    # The result is written once; then the cached levels can be released.
+    result = materialize(result, "render-out")
+    cache.release()
+    return result

@@ -55,3 +55,83 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             "spark.checkpoint.dir is not set; point it at shared storage before writing scratch tables"
         )
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str, columnar: bool = False, key: str | None = None):
+    """Compute ``df`` once and cut its lineage (data under spark.checkpoint.dir,
+    shared storage on a cluster); a lost executor re-reads it instead of
+    replaying the plan.  ``name`` labels the job.
+
+    Default: reliable checkpoint of the persisted frame (persisting first avoids
+    computing it twice; partitioning is kept).  ``columnar``: a Parquet table,
+    so later readers load only the columns they use; when the read-back has fewer
+    partitions than cores (a small table), it is spread again by ``key``.
+    """
+    from pyspark import StorageLevel
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    spark.sparkContext.setJobDescription(f"materialize {name}")
+    try:
+        if columnar:
+            path = scratch_path(spark, name)
+            df.write.mode("overwrite").parquet(path)
+            out = spark.read.parquet(path)
+            return spread(out, key) if key else out
+        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = cached.checkpoint(eager=True)
+        cached.unpersist()
+        return out
+    finally:
+        spark.sparkContext.setJobDescription(None)
+
+
+# Below this estimated size an input is spread over all cores before heavy
+# per-row work (64 MiB: well under one file split, so the shuffle is cheap).
+SPREAD_MAX_BYTES = 64 * 1024 * 1024
+
+
+def estimated_bytes(df) -> int:
+    """The optimizer's size estimate of ``df`` (planning only, nothing runs)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df, key: str):
+    """Hash-partition a small ``df`` by ``key`` over all cores.
+
+    Small inputs often arrive as one file split, which would put all later
+    per-row work on one core; large inputs keep their natural splits and are
+    never reshuffled here.  The decision uses the plan's size estimate, so
+    nothing is executed to make it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if estimated_bytes(df) <= SPREAD_MAX_BYTES:
+        return df.repartition(cores, key)
+    return df
+
+
+class LevelCache:
+    """Keeps the frames of a level-by-level job: each level is persisted and
+    counted once (one job), and every ``cut_every``-th level is a reliable
+    checkpoint so a lost cache block never replays more than a few levels.
+    ``release()`` unpersists everything kept."""
+
+    def __init__(self, cut_every: int = 4):
+        self.cut_every = cut_every
+        self.kept = []
+        self.n = 0
+
+    def add(self, df):
+        from pyspark import StorageLevel
+
+        self.n += 1
+        if self.n % self.cut_every == 0:
+            out = materialize(df, "level")
+        else:
+            out = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self.kept.append(out)
+        return out, out.count()
+
+    def release(self):
+        for df in self.kept:
+            df.unpersist()
+        self.kept = []
