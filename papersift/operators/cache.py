@@ -22,7 +22,8 @@ def accepted(cache: DataFrame, wanted_ids: DataFrame, language: str,
              acceptable_models: list[str] | tuple[str, ...], id_col: str = "id") -> DataFrame:
     """Wanted id AND same language AND model matches one accepted pattern."""
     rows = cache.where((F.col("lang") == F.lit(language)) & F.col("model").rlike(model_pattern(acceptable_models)))
-    keys = broadcast_if_small(wanted_ids.select(id_col).where(F.col(id_col).isNotNull()).distinct())
+    # No distinct: a semi join ignores duplicate keys, so no extra shuffle is needed.
+    keys = broadcast_if_small(wanted_ids.select(id_col).where(F.col(id_col).isNotNull()))
     return rows.join(keys, id_col, "left_semi")
 
 

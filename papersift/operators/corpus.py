@@ -99,7 +99,7 @@ def last_n_days_cutoff(today: Column, n: int) -> Column:
 def id_list_filter(df: DataFrame, ids: list[str] | DataFrame, id_col: str = "id") -> DataFrame:
     """Keep the listed ids (literal list for short lists, semi join for tables)."""
     if isinstance(ids, DataFrame):
-        return df.join(broadcast_if_small(ids.select(id_col).distinct()), id_col, "left_semi")
+        return df.join(broadcast_if_small(ids.select(id_col)), id_col, "left_semi")
     return df.where(F.col(id_col).isin(list(ids)))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papersift.operators import corpus, sampling, scoring, training
+from papersift.session import materialize
 from papersift.settings import Settings
 
 
@@ -50,7 +51,9 @@ def recommend(
     target = unrated
     if apply_window:
         target = corpus.date_window(target, settings.start_date, settings.end_date, settings.last_n_days, today)
-    scored = scoring.score(model, target, cols)
+    # The draw reads the scored window several times (counts, cutoffs, result):
+    # score it once and keep it under spark.checkpoint.dir.
+    scored = materialize(scoring.score(model, target, cols), "scored")
     shown = sampling.adaptive_sample(
         scored, settings.sample_rate, settings.high_threshold, settings.boundary_threshold, settings.seed
     )
