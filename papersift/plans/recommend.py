@@ -10,7 +10,6 @@ from __future__ import annotations
 import datetime as _dt
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from papersift.operators import corpus, sampling, scoring, training
 from papersift.session import materialize
@@ -68,4 +67,4 @@ def digest_named(papers: DataFrame, preferences: DataFrame, ids: list[str], sett
     model = training.fit_logistic(train, cols, settings.C, settings.max_iter)
     target = corpus.with_all_embeddings(corpus.id_list_filter(papers, ids), cols)
     scored = scoring.score(model, target, cols)
-    return scoring.drop_embeddings(sampling.force_include(scored), cols).withColumn("score", F.col("score"))
+    return scoring.drop_embeddings(sampling.force_include(scored), cols)
