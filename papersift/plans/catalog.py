@@ -670,3 +670,26 @@ def _register_renders():
 
 
 _register_renders()
+
+
+# ---------------------------------------------------------------- composed runs (§3.1, §3.2)
+
+@register("recommend")
+def q_recommend(spark, sf):
+    """§3.1 daily recommendation (fit inside, so rows only; pytest checks the parts)."""
+    from papersift.plans import flagship
+
+    return flagship.recommend_on_testdata(spark, sf)
+
+
+@register("digest_named")
+def q_digest_named(spark, sf):
+    """§3.2: the named papers (here: every German document, as a table of ids)
+    are scored and all shown; rows only (the scores come from the fit)."""
+    from papersift.plans import flagship
+    from papersift.plans.recommend import digest_named
+
+    named = td.table(spark, sf, "documents").where(F.col("lang") == "de").select(
+        F.col("doc_id").cast("string").alias("id"))
+    out = digest_named(td.papers(spark, sf), td.preferences(spark, sf), named, flagship.FLAGSHIP_SETTINGS)
+    return out.select("id", "updated", F.round("score", 6).alias("score"), "show")

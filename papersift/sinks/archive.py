@@ -47,7 +47,8 @@ def upsert(
         merged = rows.unionByName(keep, allowMissingColumns=True)
     else:
         merged = rows
-    if staging:
+    # Staging matters only when the job reads the folders it overwrites.
+    if staging and old is not None:
         stage = scratch_path(spark, "archive-stage")
         merged.write.mode("overwrite").parquet(stage)
         merged = spark.read.parquet(stage)
