@@ -14,11 +14,11 @@ never re-reads half-replaced month folders.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papersift.operators.archive import archive_rows
+from papersift.operators.archive import archive_rows, dropped_rows
 from papersift.session import scratch_path
 from papersift.sources.archive import read_months
 
@@ -30,15 +30,21 @@ def upsert(
     schema: T.StructType | None = None,
     id_col: str = "id",
     staging: bool = True,
+    stats: dict | None = None,
 ) -> list[str]:
-    """Merge ``df`` into the archive at ``path``; returns the months rewritten."""
+    """Merge ``df`` into the archive at ``path``; returns the months rewritten.
+
+    ``stats`` (if given) receives ``dropped``: rows without content (A10)."""
     if not df.columns:
         return []  # empty frame without columns: nothing to do
     if id_col not in df.columns:
         raise ValueError("DataFrame missing 'id' column.")
     spark = df.sparkSession
-    rows = archive_rows(df, order_by, id_col)
+    obs = (Observation("archive_in"), Observation("archive_kept"))
+    rows = archive_rows(df, order_by, id_col, observations=obs if len(df.columns) > 1 else None)
     months = sorted(r["month"] for r in rows.select("month").distinct().collect())  # a short list
+    if stats is not None:
+        stats["dropped"] = dropped_rows(obs) if len(df.columns) > 1 else 0
     if not months:
         return []
     old = read_months(spark, path, months, schema)

@@ -116,3 +116,10 @@ def test_read_archive_several_files(spark, tmp_dir):
     df = read_archive(spark, os.path.join(tmp_dir, "arch"))
     assert sorted(r.id for r in df.collect()) == ["1", "2", "3", "4"]
     assert F  # keep import
+
+
+def test_dropped_rows_are_counted(spark, tmp_dir):
+    rows = [("2505.00001", "T", "S"), ("2505.00002", None, None), ("2505.00003", " ", "")]
+    stats = {}
+    upsert(spark.createDataFrame(rows, S3), tmp_dir, order_by=["title"], stats=stats)
+    assert stats["dropped"] == 2

@@ -84,3 +84,30 @@ def test_mapping_last_key_wins_and_missing_column(spark):
     assert keywords.rewrite_with_dict(df, MAPPING).columns == ["id"]
     counts = {r.keyword: r.n for r in keywords.keyword_counts(_kw_frame(spark)).collect()}
     assert counts["LLM"] == 2
+
+
+def test_cache_scan_reads_only_wanted_months(spark, tmp_path):
+    import json
+    import os
+
+    from pyspark.sql import types as T
+
+    from papersift.sources.cache import read_cache
+
+    root = str(tmp_path / "cache")
+    for month, ids in {"2310": ["2310.03903"], "2410": ["2410.12735"], "2501": ["2501.00001"]}.items():
+        os.makedirs(os.path.join(root, f"month={month}"))
+        with open(os.path.join(root, f"month={month}", "part-0.json"), "w") as f:
+            for i in ids:
+                f.write(json.dumps({"id": i, "model": "grok-3", "lang": "zh", "summary_time": "t"}) + "\n")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "model", "lang", "summary_time")])
+    wanted = spark.createDataFrame([("2310.03903",), ("2410.12735",), ("9999.00000",)], "id string")
+    df = read_cache(spark, root, wanted, schema)
+    assert sorted(r.id for r in df.collect()) == ["2310.03903", "2410.12735"]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    pf = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "month" in pf and "2310" in pf and "2501" not in pf
+    none = read_cache(spark, root, spark.createDataFrame([("bad",)], "id string"), schema)
+    assert none.count() == 0
+    missing = read_cache(spark, str(tmp_path / "nope"), wanted, schema)
+    assert missing.count() == 0

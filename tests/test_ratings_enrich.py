@@ -61,3 +61,11 @@ def test_parse_digest_strips_fence_and_flags_missing(spark):
     assert out["1"].error is None and out["1"].slug == "s"
     assert out["2"].error.startswith("missing fields: ")
     assert F  # keep import
+
+
+def test_code_fence_only_when_both_ends(spark):
+    from papersift.functions.text import strip_code_fence
+
+    df = spark.createDataFrame([("```json\n{\"a\": 1}\n```",), ("```json\n{\"a\": 1}",), ("{}",)], "t string")
+    got = [r.x for r in df.select(strip_code_fence("t").alias("x")).collect()]
+    assert got == ['{"a": 1}', "```json\n{\"a\": 1}", "{}"]

@@ -102,3 +102,19 @@ def test_hash_unit_matches_duckdb():
     v = con.sql(f"SELECT {sql_hash_unit(repr('1'), 42, 'show')}").fetchall()[0][0]
     assert 0 < v < 1
     assert math.isfinite(v)
+
+
+def test_empty_target_and_force_include(spark):
+    empty = spark.createDataFrame([], "id string, score double")
+    out = sampling.adaptive_sample(empty, 0.1)
+    assert out.count() == 0 and "show" in out.columns
+    one = spark.createDataFrame([("a", 0.2)], "id string, score double")
+    assert [r.show for r in sampling.force_include(one).collect()] == [1]
+    assert [r.show for r in sampling.adaptive_sample(one, 0.001).collect()] == [1]  # quota is at least 1
+
+
+def test_last_n_days_expression(spark):
+    from papersift.operators.corpus import last_n_days_cutoff
+
+    got = spark.range(1).select(last_n_days_cutoff(F.lit("2025-03-01").cast("date"), 7).alias("d")).first().d
+    assert got == "2025-02-22"
