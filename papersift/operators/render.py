@@ -60,154 +60,165 @@ def _first_caption(node: Column) -> Column:
     return F.coalesce(F.array_position(types, "caption"), F.lit(0)).cast("int")
 
 
-def _children_exprs() -> dict:
-    """Column expressions of the child expansion, built once and reused per level."""
-    k = F.col("kind")
-    a = F.col("_l")
-    live = F.col("live")
-    ir, ce = F.col("ir"), F.col("ce")
-    first_cap = F.col("cap_pos")
-    table_first = F.from_json(F.element_at(a["content"], 1), "struct<tabular:array<string>>")["tabular"]
-    table_ok = F.col("table_mode") == "pipe"
-
-    def spec(slot, arr, pkind, child_live, child_ir, child_ce, pos_live=None):
-        return F.struct(
-            F.lit(slot).alias("slot"), arr.alias("arr"), F.lit(pkind).cast("string").alias("pkind"),
-            child_live.alias("live"), child_ir.alias("ir"), child_ce.alias("ce"),
-            (pos_live if pos_live is not None else F.lit(-1)).alias("only_pos"))
-
-    content_list = a["content"]
-    off = F.lit(False)
-    specs = F.array(
-        # title lists: section (process_content, ir kept), citation and url (references kept)
-        F.when(k == "section", spec("a", a["title"], None, live, ir, off))
-        .when(k == "citation", spec("a", a["title"], None, live & ~ir, off, off))
-        .when(k == "aitem", spec("a", a["title"], None, live & (F.col("typ") == "url"), off, off)),
-        # content lists
-        F.when(k.isin(*PROCESS_TOKENS_TYPES), spec("c", content_list, None, live, ir, ce))
-        .when(k == "item", spec("c", content_list, None, live, ir, ce))
-        .when(k.isin(*PROCESS_CONTENT_TYPES), spec("c", content_list, None, live, ir, off))
-        .when(k == "list", spec("c", content_list, "item", live, ir, ce))
-        .when(k == "bibliography", spec("c", content_list, "bibitem", live & ~ir, ir, off))
-        .when(k == "author", spec("c", content_list, "agroup", live, off, off))
-        .when(k == "agroup", spec("c", F.coalesce(F.from_json(F.col("node"), "array<string>"),
-                                                   F.array(F.col("node"))), "aitem", live, off, off))
-        .when(k == "figure", spec("c", content_list, None, live, off, off, first_cap))
-        .when(k == "table", spec("c", content_list, None, live, ir, off, first_cap))
-        .when(k == "tcell", spec("c", F.coalesce(content_list, F.from_json(F.col("node"), "array<string>")),
-                                 None, live, ir, off)),
-        # table rows and cells
-        F.when(k == "table", spec("r", table_first, "trow", live & table_ok, ir, off))
-        .when(k == "trow", spec("r", F.from_json(F.col("node"), "array<string>"), "tcell", live, ir, off)),
-    )
-    # only_pos: -1 keeps every child; n keeps only the n-th (0: none, e.g. no caption)
-    pos_ok = (F.col("only_pos") == -1) | (F.col("pos") + 1 == F.col("only_pos"))
-    return {
-        "parse": [F.from_json(F.col("node"), LISTS_SCHEMA).alias("_l")],
-        "explode": [
-            "doc_id", F.col("path").alias("parent_path"), F.col("depth"), F.col("kind").alias("ptype"),
-            F.explode(F.filter(specs, lambda s: s.isNotNull() & s["arr"].isNotNull())).alias("s")],
-        "unpack": [
-            "doc_id", "parent_path", "ptype", (F.col("depth") + 1).alias("depth"), "s.slot", "s.pkind",
-            F.col("s.ir").alias("ir"), F.col("s.ce").alias("ce"), F.col("s.live").alias("plive"),
-            F.col("s.only_pos").alias("only_pos"),
-            F.posexplode("s.arr").alias("pos", "node")],
-        "finish": [
-            "doc_id", "parent_path", "ptype", "depth", "node", "ir", "ce",
-            F.concat(F.col("parent_path"), F.lit("/"), F.col("slot"),
-                     F.lpad(F.col("pos").cast("string"), 5, "0")).alias("path"),
-            F.col("slot"), F.col("pkind"),
-            (F.col("plive") & pos_ok).alias("live"),
-            F.lit(False).alias("top")],
-    }
-
-
-def _children(level: DataFrame, ex: dict | None = None) -> DataFrame:
-    """Child rows of one level (no shuffle: a projection and an explode)."""
-    ex = ex or _children_exprs()
-    parsed = level.select("*", *ex["parse"])
-    return parsed.select(*ex["explode"]).select(*ex["unpack"]).select(*ex["finish"])
-
+# Attributes a block keeps after expansion (name, type).
+ATTRS = [
+    ("kind", "string"), ("typ", "string"), ("lvl", "int"), ("numbering", "string"), ("lname", "string"),
+    ("ldepth", "int"), ("display", "string"), ("styles", "array<string>"), ("cite_key", "string"),
+    ("has_clist", "boolean"), ("has_tlist", "boolean"), ("text", "string"), ("title_str", "string"),
+    ("keys", "array<string>"), ("table_mode", "string"), ("cap_pos", "int"), ("cell_kind", "string"),
+    ("raw", "string"),
+]
+POSITION = ["doc_id", "path", "parent_path", "ptype", "depth", "slot", "pkind", "ir", "ce", "live", "top"]
+BLOCK_COLUMNS = POSITION + [n for n, _ in ATTRS]
 
-def _attr_exprs() -> tuple[list, list]:
-    """Kind and the compact attributes a block keeps (the subtree JSON is not kept,
-    except where a rule prints it: tables shown as JSON, and plain table cells).
 
-    Two projections: the node is parsed once into ``_a``/``_b``; the optimizer
-    keeps a non-cheap expression used many times in its own projection."""
-    parse = [F.from_json(F.col("node"), NODE_SCHEMA).alias("_a"), F.from_json(F.col("node"), TEXT_SCHEMA).alias("_b")]
-    a, b = F.col("_a"), F.col("_b")
-    kind = F.coalesce(F.col("pkind"), F.coalesce(a["type"], F.lit("None")))
+def _attr_columns(kind: Column, a: Column, b: Column, node: Column) -> dict:
+    """Attributes of an expanded node (``a``/``b``: the node parsed as a token and
+    as text).  The subtree JSON is not kept, except where a rule prints it:
+    tables shown as JSON, and plain-text table cells."""
     content = a["content"]
     first = F.element_at(content, 1)
     tabular = F.from_json(first, "struct<tabular:array<string>>")["tabular"]
     table_mode = F.when(kind != "table", F.lit(None)).when(
         content.isNull() | (F.size(content) == 0) | F.get_json_object(first, "$.tabular").isNull()
         | tabular.isNull() | (F.size(tabular) == 0) | _is_complex(first), F.lit("json")).otherwise(F.lit("pipe"))
-    node = F.col("node")
     cell_kind = F.when(kind != "tcell", F.lit(None)).when(node.isNull(), F.lit("null")) \
         .when(node.startswith("["), F.lit("list")).when(node.startswith("{"), F.lit("dict")).otherwise(F.lit("str"))
-    attrs = [
-        kind.alias("kind"),
-        a["type"].alias("typ"), a["level"].alias("lvl"), a["numbering"].alias("numbering"),
-        a["name"].alias("lname"), a["depth"].alias("ldepth"), a["display"].alias("display"),
-        a["styles"].alias("styles"), a["cite_key"].alias("cite_key"),
-        content.isNotNull().alias("has_clist"), a["title"].isNotNull().alias("has_tlist"),
-        F.when(content.isNull(), b["content"]).alias("text"),
-        F.when(a["title"].isNull(), b["title"]).alias("title_str"),
-        F.when(kind.isin("citation", "ref"), content).alias("keys"),
-        table_mode.alias("table_mode"),
-        F.when(kind.isin("figure", "table"), _first_caption(node)).alias("cap_pos"),
-        cell_kind.alias("cell_kind"),
-        F.when((table_mode == "json") | (cell_kind == "str"), node).alias("raw"),
-    ]
-    return parse, attrs
+    return {
+        "kind": kind, "typ": a["type"], "lvl": a["level"], "numbering": a["numbering"], "lname": a["name"],
+        "ldepth": a["depth"], "display": a["display"], "styles": a["styles"], "cite_key": a["cite_key"],
+        "has_clist": content.isNotNull(), "has_tlist": a["title"].isNotNull(),
+        "text": F.when(content.isNull(), b["content"]), "title_str": F.when(a["title"].isNull(), b["title"]),
+        "keys": F.when(kind.isin("citation", "ref"), content),
+        "table_mode": table_mode,
+        "cap_pos": F.when(kind.isin("figure", "table"), _first_caption(node)),
+        "cell_kind": cell_kind,
+        "raw": F.when((table_mode == "json") | (cell_kind == "str"), node),
+    }
+
 
+def _child_lists(kind: Column, a: Column, node: Column, live: Column, ir: Column, ce: Column,
+                 cap_pos: Column, table_mode: Column, typ: Column) -> Column:
+    """Which child lists a node's renderer visits, with the options it passes on:
+    an array of (slot, list, kind given by the parent, live, ir, ce, only_pos)."""
+    def spec(slot, arr, pkind, child_live, child_ir, child_ce, only_pos=None):
+        return F.struct(
+            F.lit(slot).alias("slot"), arr.alias("arr"), F.lit(pkind).cast("string").alias("pkind"),
+            child_live.alias("live"), child_ir.alias("ir"), child_ce.alias("ce"),
+            (only_pos if only_pos is not None else F.lit(-1)).alias("only_pos"))
 
-def _with_attrs(level: DataFrame, ex: tuple | None = None) -> DataFrame:
-    parse, attrs = ex or _attr_exprs()
-    return level.select("*", *parse).select(*level.columns, *attrs)
+    k = kind
+    content, title = a["content"], a["title"]
+    as_list = F.from_json(node, "array<string>")
+    tabular = F.from_json(F.element_at(content, 1), "struct<tabular:array<string>>")["tabular"]
+    off = F.lit(False)
+    return F.array(
+        # title lists: section (content rules, ir kept), citation and url (references always kept)
+        F.when(k == "section", spec("a", title, None, live, ir, off))
+        .when(k == "citation", spec("a", title, None, live & ~ir, off, off))
+        .when(k == "aitem", spec("a", title, None, live & (typ == "url"), off, off)),
+        # content lists: token lists pass the options on; content values stop equation cleaning
+        F.when(k.isin(*PROCESS_TOKENS_TYPES, "item"), spec("c", content, None, live, ir, ce))
+        .when(k.isin(*PROCESS_CONTENT_TYPES), spec("c", content, None, live, ir, off))
+        .when(k == "list", spec("c", content, "item", live, ir, ce))
+        .when(k == "bibliography", spec("c", content, "bibitem", live & ~ir, ir, off))
+        .when(k == "author", spec("c", content, "agroup", live, off, off))
+        .when(k == "agroup", spec("c", F.coalesce(as_list, F.array(node)), "aitem", live, off, off))
+        # figure and table: only the first caption is visited (only_pos 0: none)
+        .when(k == "figure", spec("c", content, None, live, off, off, cap_pos))
+        .when(k == "table", spec("c", content, None, live, ir, off, cap_pos))
+        .when(k == "tcell", spec("c", F.coalesce(content, as_list), None, live, ir, off)),
+        # table rows, then cells
+        F.when(k == "table", spec("r", tabular, "trow", live & (table_mode == "pipe"), ir, off))
+        .when(k == "trow", spec("r", as_list, "tcell", live, ir, off)),
+    )
 
 
-BLOCK_COLUMNS = [
-    "doc_id", "path", "parent_path", "ptype", "depth", "slot", "ir", "ce", "live", "top",
-    "kind", "typ", "lvl", "numbering", "lname", "ldepth", "display", "styles", "cite_key",
-    "has_clist", "has_tlist", "text", "title_str", "keys", "table_mode", "cell_kind", "raw",
-]
+def _step_exprs() -> list:
+    """The projections of one expansion step, built once and applied per step.
+
+    Every open node becomes a closed block (attributes computed, JSON dropped)
+    followed by its children as open nodes; closed blocks pass through.  Narrow
+    projections and an explode: no shuffle."""
+    a, b = F.col("_a"), F.col("_b")
+    is_open = F.col("open")
+    parse = ["*",
+             F.when(is_open, F.from_json(F.col("node"), NODE_SCHEMA)).alias("_a"),
+             F.when(is_open, F.from_json(F.col("node"), TEXT_SCHEMA)).alias("_b")]
+    kind = F.coalesce(F.col("pkind"), a["type"], F.lit("None"))
+    key = ["*", F.when(is_open, kind).otherwise(F.col("kind")).alias("_k")]
+    k = F.col("_k")
+    fresh = _attr_columns(k, a, b, F.col("node"))
+    # A top-level text token is skipped; a command token is never rendered.
+    live = F.col("live") & (k != "command") & ~(F.col("top") & (k == "text"))
+    close = [*[c for c in POSITION if c != "live"],
+             F.when(is_open, live).otherwise(F.col("live")).alias("live"),
+             "open", "node", "_a",
+             *[F.when(is_open, fresh[n]).otherwise(F.col(n)).cast(t).alias(n) for n, t in ATTRS]]
+
+    def block(**over):
+        cols = [(over[c] if c in over else F.col(c)).alias(c) for c in POSITION + ["open", "node"]]
+        cols += [(over[n] if n in over else F.col(n)).cast(t).alias(n) for n, t in ATTRS]
+        return F.struct(*cols)
+
+    self_block = block(open=F.lit(False), node=F.lit(None).cast("string"))
+    specs = _child_lists(F.col("kind"), F.col("_a"), F.col("node"), F.col("live"), F.col("ir"), F.col("ce"),
+                         F.col("cap_pos"), F.col("table_mode"), F.col("typ"))
+    nulls = {n: F.lit(None).cast(t) for n, t in ATTRS}
+
+    def children_of(s):
+        def child(e, i):
+            keep = (s["only_pos"] == -1) | (i + 1 == s["only_pos"])
+            return block(
+                path=F.concat(F.col("path"), F.lit("/"), s["slot"], F.lpad(i.cast("string"), 5, "0")),
+                parent_path=F.col("path"), ptype=F.col("kind"), depth=F.col("depth") + 1, slot=s["slot"],
+                pkind=s["pkind"], ir=s["ir"], ce=s["ce"], live=s["live"] & keep, top=F.lit(False),
+                open=F.lit(True), node=e, **nulls)
+        return F.transform(s["arr"], child)
+
+    kids = F.flatten(F.transform(F.filter(specs, lambda s: s.isNotNull() & s["arr"].isNotNull()), children_of))
+    out = F.when(is_open, F.concat(F.array(self_block), kids)).otherwise(F.array(self_block))
+    return [parse, key, close, [F.explode(out).alias("r")], ["r.*"]]
+
+
+def _step(rows: DataFrame, ex: list | None = None) -> DataFrame:
+    for cols in ex or _step_exprs():
+        rows = rows.select(*cols)
+    return rows
 
 
 def flatten(docs: DataFrame, ignore_reference: bool = False, clean_equations: bool = False,
-            doc_col: str = "doc_id", json_col: str = "json", max_depth: int = 64) -> DataFrame:
-    """One row per block, all levels, with compact attributes (no subtree JSON)."""
+            doc_col: str = "doc_id", json_col: str = "json", steps_per_pass: int = 5,
+            max_passes: int = 8) -> DataFrame:
+    """One row per block of every document, with compact attributes.
+
+    The tree is expanded in one narrow pass of ``steps_per_pass`` chained steps
+    (no shuffle, nothing stored per level, each node parsed once); the result is
+    checkpointed once.  Nodes deeper than one pass stay open and get another pass.
+    """
     docs = spread(docs, doc_col)
     tokens = F.from_json(F.col(json_col), "struct<tokens:array<string>>")["tokens"]
-    root = docs.select(F.col(doc_col).alias("doc_id"), F.posexplode(F.coalesce(tokens, F.array())).alias("pos", "node"))
-    level = root.select(
-        "doc_id", F.lit("").alias("parent_path"), F.lit("root").alias("ptype"), F.lit(0).alias("depth"), "node",
-        F.lit(ignore_reference).alias("ir"), F.lit(clean_equations).alias("ce"),
-        F.concat(F.lit("c"), F.lpad(F.col("pos").cast("string"), 5, "0")).alias("path"),
+    root = docs.select(F.col(doc_col).alias("doc_id"),
+                       F.posexplode(F.coalesce(tokens, F.array().cast("array<string>"))).alias("pos", "node"))
+    rows = root.select(
+        "doc_id", F.concat(F.lit("c"), F.lpad(F.col("pos").cast("string"), 5, "0")).alias("path"),
+        F.lit("").alias("parent_path"), F.lit("root").alias("ptype"), F.lit(0).alias("depth"),
         F.lit("c").alias("slot"), F.lit(None).cast("string").alias("pkind"),
-        F.lit(True).alias("live"), F.lit(True).alias("top"))
-    attr_ex, child_ex = _attr_exprs(), _children_exprs()
-    cache = LevelCache()
-    # A top-level text token is skipped; a command token is never rendered.
-    level, _ = cache.add(_with_attrs(level, attr_ex).withColumn(
-        "live", F.col("live") & ~(F.col("kind") == "text") & ~(F.col("kind") == "command")))
-    levels = [level]
-    for _ in range(max_depth):
-        nxt = _with_attrs(_children(level, child_ex), attr_ex)
-        nxt, n = cache.add(nxt.withColumn("live", F.col("live") & ~(F.col("kind") == "command")))
-        if n == 0:
-            break
-        levels.append(nxt)
-        level = nxt
-    out = levels[0].select(*BLOCK_COLUMNS)
-    for lv in levels[1:]:
-        out = out.unionByName(lv.select(*BLOCK_COLUMNS))
-    # One reliable checkpoint of the whole block table, then the levels are released.
-    out = materialize(out, "render-blocks")
-    cache.release()
-    return out
+        F.lit(ignore_reference).alias("ir"), F.lit(clean_equations).alias("ce"),
+        F.lit(True).alias("live"), F.lit(True).alias("top"), F.lit(True).alias("open"), "node",
+        *[F.lit(None).cast(t).alias(n) for n, t in ATTRS])
+    done = None
+    ex = _step_exprs()
+    for _ in range(max_passes):
+        for _ in range(steps_per_pass):
+            rows = _step(rows, ex)
+        rows = materialize(rows, "render-blocks")
+        closed = rows.where(~F.col("open")).select(*BLOCK_COLUMNS)
+        done = closed if done is None else done.unionByName(closed)
+        rows = rows.where(F.col("open"))
+        if rows.limit(1).count() == 0:
+            return done
+    raise ValueError(f"token trees deeper than {steps_per_pass * max_passes} levels")
 
 
 # ---------------------------------------------------------------- render

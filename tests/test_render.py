@@ -89,3 +89,13 @@ def test_flatten_marks_unvisited_blocks(spark):
         {"type": "paragraph", "content": []}]}]}
     rows = {r.path: r.live for r in flatten(_docs(spark, doc)).collect()}
     assert rows == {"c00000": True, "c00000/c00000": True, "c00000/c00001": False, "c00000/c00002": False}
+
+
+def test_tree_deeper_than_one_expansion_pass(spark):
+    node = {"type": "text", "content": "deep", "styles": ["bold"]}
+    for _ in range(12):
+        node = {"type": "group", "content": [node]}
+    md = render(_docs(spark, {"tokens": [node]})).first().markdown
+    assert md == "<b>deep</b>"
+    blocks = flatten(_docs(spark, {"tokens": [node]}), steps_per_pass=3)
+    assert blocks.count() == 13 and blocks.agg({"depth": "max"}).first()[0] == 12
