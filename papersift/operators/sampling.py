@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papersift.functions.hashing import hash_unit, weighted_key
-from papersift.operators.topk import before_or_at, kth_cutoff
+from papersift.operators.topk import before_or_at, cutoff_and_count, kth_cutoff
 
 HIGH, BOUNDARY, LOW = "high", "boundary", "low"
 PURPOSE_NEGATIVES = "negatives"
@@ -138,12 +138,10 @@ def uniform_draw(
         return df.limit(0)
     u = hash_unit(F.col(id_col), seed, purpose)
     idc = F.col(id_col).cast("string")
-    available = df.count()
-    if n > available:
+    # One pass gives the cutoff and whether n rows exist at all.
+    cutoff, got = cutoff_and_count(df, u, idc, n)
+    if got < n:
         if not clip:
-            raise ValueError(f"asked for {n} rows but only {available} are available")
+            raise ValueError(f"asked for {n} rows but only {got} are available")
         return df
-    if n == available:
-        return df
-    cutoff = kth_cutoff(df, u, idc, n)
     return df.where(before_or_at(u, idc, cutoff))

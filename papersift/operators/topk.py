@@ -45,26 +45,51 @@ def kth_cutoff(
     exact_limit: int = EXACT_LIMIT,
     buckets: int = BUCKETS,
 ):
-    """(key, tie) of the k-th smallest row; None when k <= 0 or df is empty."""
+    """(key, tie) of the k-th smallest row (the largest row when fewer than k
+    exist); None when k <= 0 or df is empty."""
+    return cutoff_and_count(df, key, tie, k, exact_limit, buckets)[0]
+
+
+def cutoff_and_count(
+    df: DataFrame,
+    key: Column,
+    tie: Column,
+    k: int,
+    exact_limit: int = EXACT_LIMIT,
+    buckets: int = BUCKETS,
+):
+    """``(cutoff, m)``: the cutoff of ``kth_cutoff`` and ``m = min(k, rows)``, from
+    the same pass when k is small (a short result tells that fewer rows exist)."""
     if k <= 0:
-        return None
+        return None, 0
     base = df.select(key.alias("_k"), tie.alias("_t"))
     if k <= exact_limit:
-        return _max_pair(base.orderBy("_k", "_t").limit(k), "_k", "_t")
+        row = base.orderBy("_k", "_t").limit(k).agg(
+            F.max(F.struct("_k", "_t")).alias("m"), F.count(F.lit(1)).alias("n")).first()
+        m = row["m"]
+        return (None if m is None else (m["_k"], m["_t"])), row["n"]
+    return _narrow(base, k, exact_limit, buckets)
+
+
+def _narrow(base: DataFrame, k: int, exact_limit: int, buckets: int):
 
     cond = F.lit(True)
     need = k
+    first = True
+    total = 0
     while True:
         part = base.where(cond)
         stats = part.agg(F.min("_k").alias("lo"), F.max("_k").alias("hi"), F.count(F.lit(1)).alias("n")).first()
         n, lo, hi = stats["n"], stats["lo"], stats["hi"]
+        if first:
+            total, first = n, False
         if n == 0:
-            return None
+            return None, 0
         if need >= n:
-            return _max_pair(part, "_k", "_t")
+            return _max_pair(part, "_k", "_t"), min(k, total)
         if n <= exact_limit or lo == hi or not math.isfinite(hi - lo):
             # lo == hi: every open row has the same key, the tie column decides.
-            return _max_pair(part.orderBy("_k", "_t").limit(need), "_k", "_t")
+            return _max_pair(part.orderBy("_k", "_t").limit(need), "_k", "_t"), k
         width = (hi - lo) / buckets
         bucket = F.least(F.floor((F.col("_k") - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
         counts = sorted(

@@ -118,3 +118,14 @@ def test_last_n_days_expression(spark):
 
     got = spark.range(1).select(last_n_days_cutoff(F.lit("2025-03-01").cast("date"), 7).alias("d")).first().d
     assert got == "2025-02-22"
+
+
+def test_cutoff_and_count_both_paths(spark):
+    df = _scores(spark, 3000)
+    key = hash_unit(F.col("id"), 42, "c")
+    idc = F.col("id")
+    assert topk.cutoff_and_count(df, key, idc, 500)[1] == 500
+    assert topk.cutoff_and_count(df, key, idc, 500, exact_limit=40, buckets=8)[1] == 500
+    assert topk.cutoff_and_count(df, key, idc, 5000)[1] == 3000
+    assert topk.cutoff_and_count(df, key, idc, 5000, exact_limit=40, buckets=8)[1] == 3000
+    assert topk.cutoff_and_count(df, key, idc, 500)[0] == topk.cutoff_and_count(df, key, idc, 500, 40, 8)[0]
