@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,36 +21,34 @@ def meaningful(df: DataFrame, id_col: str = "id") -> Column:
     return any_of(conds)
 
 
-def dropped_rows(observations: tuple[Observation, Observation]) -> int:
-    """A10: rows removed by the meaningful-row filter (after the job has run)."""
-    before, after = (o.get.get("rows", 0) if o.get else 0 for o in observations)
-    return before - after
-
-
 def month_of(id_col: str = "id") -> Column:
     """The month key is the first four characters of the id."""
     return F.substring(F.col(id_col), 1, 4)
 
 
-def archive_rows(df: DataFrame, order_by: list[str] | None = None, id_col: str = "id",
-                 observations: tuple[Observation, Observation] | None = None) -> DataFrame:
+def month_summary(df: DataFrame, id_col: str = "id") -> list:
+    """Per month of the batch: rows with an id and rows with content (A10: the
+    difference is what the meaningful-row filter drops).  One grouped pass whose
+    result is as long as the number of months touched."""
+    rows = df.where(F.col(id_col).isNotNull())
+    others = [c for c in df.columns if c != id_col]
+    keep = meaningful(rows, id_col) if others else F.lit(True)
+    return rows.groupBy(month_of(id_col).alias("month")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(keep).alias("kept")).collect()
+
+
+def archive_rows(df: DataFrame, order_by: list[str] | None = None, id_col: str = "id") -> DataFrame:
     """Rows ready for the archive: meaningful, one per id (last by ``order_by``), with ``month``.
 
     No ``id`` column raises; a null id is rejected by dropping the row.  Without
     ``order_by`` the batch is deduplicated by ``summary_time`` when present.
-    ``observations`` (before, after) count the rows around the meaningful-row
-    filter (A10) while the job runs, without an extra pass.
     """
     if id_col not in df.columns:
         raise ValueError("DataFrame missing 'id' column.")
     df = df.where(F.col(id_col).isNotNull())
     others = [c for c in df.columns if c != id_col]
     if others:
-        if observations:
-            df = df.observe(observations[0], F.count(F.lit(1)).alias("rows"))
         df = df.where(meaningful(df, id_col))
-        if observations:
-            df = df.observe(observations[1], F.count(F.lit(1)).alias("rows"))
         order = order_by or (["summary_time"] if "summary_time" in df.columns else None)
         if order is None:
             raise ValueError("pass order_by to say which row of a duplicated id is the last one")

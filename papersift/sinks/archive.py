@@ -14,11 +14,11 @@ never re-reads half-replaced month folders.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papersift.operators.archive import archive_rows, dropped_rows
+from papersift.operators.archive import archive_rows, month_summary
 from papersift.session import scratch_path
 from papersift.sources.archive import read_months
 
@@ -40,11 +40,11 @@ def upsert(
     if id_col not in df.columns:
         raise ValueError("DataFrame missing 'id' column.")
     spark = df.sparkSession
-    obs = (Observation("archive_in"), Observation("archive_kept"))
-    rows = archive_rows(df, order_by, id_col, observations=obs if len(df.columns) > 1 else None)
-    months = sorted(r["month"] for r in rows.select("month").distinct().collect())  # a short list
+    summary = month_summary(df, id_col)  # one row per touched month
+    months = sorted(r["month"] for r in summary if r["kept"] > 0)
     if stats is not None:
-        stats["dropped"] = dropped_rows(obs) if len(df.columns) > 1 else 0
+        stats["dropped"] = sum(r["rows"] - r["kept"] for r in summary)
+    rows = archive_rows(df, order_by, id_col)
     if not months:
         return []
     old = read_months(spark, path, months, schema)
