@@ -1,10 +1,12 @@
 """Token trees to Markdown as a Spark job: B0-B16.
 
-*Flatten* (B0): each document's JSON is expanded level by level into a block
-table.  A block's ``path`` is its position from the root: segments of one slot
-letter (``a`` title list, ``c`` content list, ``r`` table rows) and a 5-digit
-position, joined by ``/``, so sorting paths gives document order.  While
-expanding, every block learns whether the renderer actually visits it
+*Flatten* (B0): each document's JSON is expanded into a block table in one
+narrow pass of chained steps (an open node becomes a closed block with compact
+attributes, its children become open nodes; no shuffle, nothing stored per
+level).  A block's ``path`` is its position from the root: segments of one
+slot letter (``a`` title list, ``c`` content list, ``r`` table rows) and a
+5-digit position, joined by ``/``, so sorting paths gives document order.
+While expanding, every block learns whether the renderer actually visits it
 (``live``) and under which options (``ir`` ignore references, ``ce`` clean
 equations; some edges turn them off, see B16).
 
@@ -26,13 +28,11 @@ from pyspark.sql import functions as F
 
 from papersift.session import LevelCache, materialize, spread
 
-LISTS_SCHEMA = "struct<content:array<string>,title:array<string>>"
 NODE_SCHEMA = (
     "struct<type:string,content:array<string>,title:array<string>,level:int,numbering:string,"
     "name:string,depth:int,display:string,styles:array<string>,cite_key:string>"
 )
 TEXT_SCHEMA = "struct<content:string,title:string>"
-CELL_SCHEMA = "struct<rowspan:string,colspan:string>"
 
 # Marker characters around titles (private-use code points, not expected in text).
 T_OPEN, T_MID, T_CLOSE = "\ue000", "\ue001", "\ue002"

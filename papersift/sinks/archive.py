@@ -15,7 +15,6 @@ never re-reads half-replaced month folders.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papersift.operators.archive import archive_rows, month_summary
