@@ -608,13 +608,15 @@ def _document_cache(spark, sf):
     lab = td.table(spark, sf, "labels").where(F.col("quality") == 1).select("doc_id")
     return d.join(lab, "doc_id", "left_semi").select(
         F.col("doc_id").cast("string").alias("id"),
-        F.concat(F.lit("cached: "), F.substring("text", 1, 30)).alias("one_sentence_summary"),
+        F.concat(F.lit("cached digest of "), F.col("doc_id").cast("string"), F.lit(" ("),
+                 F.col("n_chars").cast("string"), F.lit(" chars)")).alias("one_sentence_summary"),
         F.lit("cache-model").alias("model"),
     )
 
 
 @register("enrich_first_sentence", f"""
-WITH cached AS (SELECT CAST(d.doc_id AS VARCHAR) AS id, 'cached: ' || substr(d.text, 1, 30) AS one_sentence_summary,
+WITH cached AS (SELECT CAST(d.doc_id AS VARCHAR) AS id,
+                       'cached digest of ' || CAST(d.doc_id AS VARCHAR) || ' (' || CAST(d.n_chars AS VARCHAR) || ' chars)' AS one_sentence_summary,
                        'cache-model' AS model
                 FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
 fresh AS (SELECT CAST(doc_id AS VARCHAR) AS id,

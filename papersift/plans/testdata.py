@@ -34,7 +34,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     first_line = F.substring_index(F.col("text"), "\n", 1)
     return j.select(
         F.col("doc_id").cast("string").alias("id"),
-        F.substring(first_line, 1, 80).alias("title"),
+        first_line.alias("title"),
         F.col("text").alias("abstract"),
         F.array(F.col("lang"), F.col("source")).alias("categories"),
         F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")), "yyyy-MM-dd").alias("updated"),
@@ -45,7 +45,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAPERS_SQL = """
 SELECT CAST(d.doc_id AS VARCHAR) AS id,
-       substr(split_part(d.text, chr(10), 1), 1, 80) AS title,
+       split_part(d.text, chr(10), 1) AS title,
        d.text AS abstract,
        [d.lang, d.source] AS categories,
        strftime(DATE '2024-01-01' + CAST(d.doc_id % 365 AS INTEGER), '%Y-%m-%d') AS updated,
