@@ -17,6 +17,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _has_files(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    it = fs.listFiles(p, True)
+    while it.hasNext():
+        name = it.next().getPath().getName()
+        if not name.startswith((".", "_")):
+            return True
+    return False
+
+
 def read_archive(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """All archived rows.  A missing folder is an empty table (``id, summary``
     or ``schema``); unreadable data is an error, not an empty table."""
@@ -28,6 +40,8 @@ def read_archive(spark: SparkSession, path: str, schema: T.StructType | None = N
             list(schema.fields) + [T.StructField("month", T.StringType())])
         reader = reader.schema(full)
     else:
+        if not _has_files(spark, path):  # an existing folder without data files
+            return spark.createDataFrame([], EMPTY_ARCHIVE)
         data = spark.read.option("recursiveFileLookup", True).json(path).schema
         if not data.fields:
             return spark.createDataFrame([], EMPTY_ARCHIVE)

@@ -104,6 +104,8 @@ def test_read_archive_missing_and_empty(spark, tmp_dir):
     os.makedirs(os.path.join(tmp_dir, "empty"))
     empty = read_archive(spark, os.path.join(tmp_dir, "empty"), S3)
     assert empty.count() == 0
+    no_schema = read_archive(spark, os.path.join(tmp_dir, "empty"))
+    assert no_schema.columns == ["id", "summary"] and no_schema.count() == 0
 
 
 def test_read_archive_several_files(spark, tmp_dir):
