@@ -85,3 +85,11 @@ def score_summary(df: DataFrame, score_col: str = "score") -> DataFrame:
     """A4: min, max and mean score."""
     s = F.col(score_col)
     return df.agg(F.min(s).alias("min_score"), F.max(s).alias("max_score"), F.avg(s).alias("mean_score"))
+
+
+def table_stats(df: DataFrame) -> DataFrame:
+    """Row count and size of a table in one pass; the size is the length of
+    each row written as JSON, summed (an engine-independent measure)."""
+    row_json = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    return df.agg(F.count(F.lit(1)).alias("rows"),
+                  F.coalesce(F.sum(F.length(row_json)), F.lit(0)).cast("bigint").alias("json_chars"))

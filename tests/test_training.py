@@ -70,3 +70,10 @@ def test_linear_score_in_codegen(spark):
     got = {r.band: (r.shown, r.total) for r in bands.collect()}
     assert got == {"0.0-0.3": (1, 1), "0.9-1.0": (0, 1)}  # 1.0 is in no band
     assert F  # keep import
+
+
+def test_table_stats(spark):
+    df = spark.createDataFrame([("a", 1), ("bb", None)], "s string, n int")
+    r = scoring.table_stats(df).first()
+    assert r.rows == 2 and r.json_chars == len('{"s":"a","n":1}') + len('{"s":"bb"}')
+    assert scoring.table_stats(df.limit(0)).first().json_chars == 0
