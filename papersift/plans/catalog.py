@@ -695,3 +695,45 @@ def q_digest_named(spark, sf):
         F.col("doc_id").cast("string").alias("id"))
     out = digest_named(td.papers(spark, sf), td.preferences(spark, sf), named, flagship.FLAGSHIP_SETTINGS)
     return out.select("id", "updated", F.round("score", 6).alias("score"), "show")
+
+
+# ---------------------------------------------------------------- more aggregates and rewrites (A5, W1 literal map)
+
+@register("stratum_counts", "WITH base AS (" + EVENTS_SCORED_SQL + """)
+SELECT count(*) AS n,
+       count(*) FILTER (WHERE score >= 0.85) AS n_high,
+       count(*) FILTER (WHERE score >= 0.6 AND score < 0.85) AS n_boundary,
+       count(*) FILTER (WHERE NOT (score >= 0.6)) AS n_low
+FROM base
+""")
+def q_stratum_counts(spark, sf):
+    """A5 as one aggregate (the same one the draw runs before its cutoffs)."""
+    s = F.col("score")
+    return _events_scored(spark, sf).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(s >= 0.85).alias("n_high"),
+        F.count_if((s >= 0.6) & (s < 0.85)).alias("n_boundary"),
+        F.count_if(~(s >= 0.6)).alias("n_low"))
+
+
+# Fixed mapping of part types (a caller-held map, applied as a literal map):
+# ECONOMY -> economy, STANDARD -> standard, MEDIUM -> medium, LARGE -> large,
+# PROMO -> [] and SMALL -> [] (empty: the keyword is kept).
+TYPE_MAP = {"ECONOMY": ["economy"], "STANDARD": ["standard"], "MEDIUM": ["medium"], "LARGE": ["large"],
+            "PROMO": [], "SMALL": []}
+
+
+@register("keyword_rewrite_map", """
+WITH kw AS (SELECT CAST(p_partkey AS VARCHAR) AS id,
+                   unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), p_type]) AS k FROM part),
+m AS (SELECT * FROM (VALUES ('ECONOMY', ['economy']), ('STANDARD', ['standard']), ('MEDIUM', ['medium']),
+                            ('LARGE', ['large']), ('PROMO', []::VARCHAR[]), ('SMALL', []::VARCHAR[])) AS t(key, vals)),
+x AS (SELECT kw.id, unnest(CASE WHEN len(m.vals) > 0 THEN m.vals ELSE [kw.k] END) AS v
+      FROM kw LEFT JOIN m ON kw.k = m.key)
+SELECT id, string_agg(DISTINCT v, '|' ORDER BY v) AS keywords FROM x GROUP BY id
+""")
+def q_keyword_rewrite_map(spark, sf):
+    from papersift.operators import keywords as kw
+
+    out = kw.rewrite_with_dict(_part_keywords(spark, sf), TYPE_MAP)
+    return out.select("id", F.array_join("keywords", "|").alias("keywords"))
