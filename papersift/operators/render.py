@@ -188,7 +188,7 @@ def _step(rows: DataFrame, ex: list | None = None) -> DataFrame:
 
 
 def flatten(docs: DataFrame, ignore_reference: bool = False, clean_equations: bool = False,
-            doc_col: str = "doc_id", json_col: str = "json", steps_per_pass: int = 5,
+            doc_col: str = "doc_id", json_col: str = "json", steps_per_pass: int = 3,
             max_passes: int = 8) -> DataFrame:
     """One row per block of every document, with compact attributes.
 
