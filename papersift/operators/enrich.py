@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papersift.operators import cache as cache_ops
+from papersift.session import materialize
 
 
 def _result_schema(fields: T.StructType, id_col: str) -> T.StructType:
@@ -70,9 +71,13 @@ def enrich(
 
     Returns ``(results, failures)``: results are fresh successes plus cached
     rows (cached wins per id); failures are ``{id, error, summary_time}``.
+    Acts once: the function's output is checkpointed before the split.
     """
     todo = cache_ops.misses(wanted, cached, id_col)
-    raw = apply_per_row(todo, fn, fields, id_col, num_partitions)
+    # The per-paper function is the expensive, external step: run it exactly once.
+    # Results and failures are both read from this checkpoint (spark.checkpoint.dir),
+    # so neither consumer re-runs the function, nor does a later lost executor.
+    raw = materialize(apply_per_row(todo, fn, fields, id_col, num_partitions), "enriched")
     stamped = raw
     for k, v in provenance.items():  # E3
         stamped = stamped.withColumn(k, F.lit(v))

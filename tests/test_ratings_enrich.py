@@ -69,3 +69,25 @@ def test_code_fence_only_when_both_ends(spark):
     df = spark.createDataFrame([("```json\n{\"a\": 1}\n```",), ("```json\n{\"a\": 1}",), ("{}",)], "t string")
     got = [r.x for r in df.select(strip_code_fence("t").alias("x")).collect()]
     assert got == ['{"a": 1}', "```json\n{\"a\": 1}", "{}"]
+
+
+def test_enrich_calls_the_function_once_per_row(spark, tmp_dir):
+    import os
+    import uuid
+
+    log = os.path.join(tmp_dir, "calls")
+    os.makedirs(log)
+    wanted = spark.createDataFrame([(str(i), "x.") for i in range(20)], "id string, abstract string")
+    cached = spark.createDataFrame([], "id string, summary string")
+
+    def fn(row):
+        open(os.path.join(log, f"{row['id']}-{uuid.uuid4().hex}"), "w").close()
+        if row["id"] == "3":
+            raise ValueError("boom")
+        return {"summary": "s"}
+
+    fields = T.StructType([T.StructField("summary", T.StringType())])
+    res, failed = enrich.enrich(wanted, cached, fn, fields, {}, "t")
+    assert res.count() == 19 and failed.count() == 1
+    res.collect(), failed.collect()
+    assert len(os.listdir(log)) == 20
