@@ -1,8 +1,8 @@
 """Daily recommendation (§3.1) and digest of named papers (§3.2), composed lazily.
 
-Actions: the positive count and the model fit (training), the one-row stratum
-count and cutoffs (quota draw).  Everything else stays one lazy plan that the
-caller writes with a sink.
+Actions: the thin corpus index, the positive count, the draw cutoff and the
+model fit (training), the scored window and the stratum counts and cutoffs
+(quota draw).  The result stays a lazy plan that the caller writes with a sink.
 """
 
 from __future__ import annotations
@@ -10,18 +10,28 @@ from __future__ import annotations
 import datetime as _dt
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from papersift.operators import corpus, sampling, scoring, training
+from papersift.operators.joins import broadcast_if_small
 from papersift.session import materialize
 from papersift.settings import Settings
 
 
-def prepare(papers: DataFrame, preferences: DataFrame, settings: Settings,
-            digested_ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Scan-side filters and the split: (rated, unrated)."""
+def corpus_index(papers: DataFrame, settings: Settings) -> DataFrame:
+    """One scan of the corpus: ``(id, updated)`` of the papers that pass the
+    category and embedding filters, written once as a thin table.  The split, the
+    negative draw and the date window then run on ids, not on embeddings."""
     cols = list(settings.embedding_columns)
     base = corpus.with_all_embeddings(corpus.category_any(papers, settings.categories), cols)
-    rated, unrated = corpus.split_rated(base, preferences)
+    thin = base.where(F.col("id").isNotNull()).select("id", "updated")
+    return materialize(thin, "corpus-index", columnar=True, key="id")
+
+
+def prepare(index: DataFrame, preferences: DataFrame, settings: Settings,
+            digested_ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The split on the thin index: (rated ids with preference, unrated ids with updated)."""
+    rated, unrated = corpus.split_rated(index, preferences)
     if corpus.needs_year_cutoff(settings.background_start_year, settings.preference_start_year):
         unrated = corpus.year_cutoff(unrated, settings.background_start_year)
     if digested_ids is not None:
@@ -29,6 +39,18 @@ def prepare(papers: DataFrame, preferences: DataFrame, settings: Settings,
     return rated, unrated
 
 
+def fit(papers: DataFrame, preferences: DataFrame, settings: Settings,
+        digested_ids: DataFrame | None = None):
+    """Training: (model, unrated ids).  Embeddings are read once, for the chosen rows."""
+    cols = list(settings.embedding_columns)
+    index = corpus_index(papers, settings)
+    rated, unrated = prepare(index, preferences, settings, digested_ids)
+    keys = training.training_keys(rated, unrated, settings.bg_sample_rate, settings.seed)
+    rows = papers.join(broadcast_if_small(keys), "id", "inner").select("id", "label", "origin", *cols)
+    model = training.fit_logistic(rows, cols, settings.C, settings.max_iter)
+    return model, unrated
+
+
 def recommend(
     papers: DataFrame,
     preferences: DataFrame,
@@ -39,17 +61,18 @@ def recommend(
 ) -> DataFrame:
     """Rated + pseudo-negatives -> balanced logistic regression -> score -> quota draw.
 
-    Returns the shown rows without embedding columns (``show = 1``).
+    Returns the shown rows without embedding columns (``show = 1``).  The corpus
+    is read three times: the thin index, the training rows, and the target window
+    (whose date predicate reaches the scan).
     """
     cols = list(settings.embedding_columns)
-    rated, unrated = prepare(papers, preferences, settings, digested_ids)
-    # No cache: the draw reads a thin projection and scoring reads the window,
-    # so two scans are cheaper than pinning the whole unrated corpus.
-    train = training.training_set(rated, unrated, cols, settings.bg_sample_rate, settings.seed)
-    model = training.fit_logistic(train, cols, settings.C, settings.max_iter)
-    target = unrated
+    model, unrated = fit(papers, preferences, settings, digested_ids)
+    target_ids = unrated
+    target = papers
     if apply_window:
-        target = corpus.date_window(target, settings.start_date, settings.end_date, settings.last_n_days, today)
+        target_ids = corpus.date_window(unrated, settings.start_date, settings.end_date, settings.last_n_days, today)
+        target = corpus.date_window(papers, settings.start_date, settings.end_date, settings.last_n_days, today)
+    target = target.join(target_ids.select("id"), "id", "left_semi")
     # The draw reads the scored window several times (counts, cutoffs, result):
     # score it once and keep it under spark.checkpoint.dir.
     scored = materialize(scoring.score(model, target, cols), "scored")
@@ -59,12 +82,11 @@ def recommend(
     return scoring.recommended(scoring.drop_embeddings(shown, cols))
 
 
-def digest_named(papers: DataFrame, preferences: DataFrame, ids: list[str], settings: Settings) -> DataFrame:
+def digest_named(papers: DataFrame, preferences: DataFrame, ids: list[str] | DataFrame,
+                 settings: Settings) -> DataFrame:
     """§3.2: named papers are scored and all shown (no window, no draw)."""
     cols = list(settings.embedding_columns)
-    rated, unrated = prepare(papers, preferences, settings)
-    train = training.training_set(rated, unrated, cols, settings.bg_sample_rate, settings.seed)
-    model = training.fit_logistic(train, cols, settings.C, settings.max_iter)
+    model, _ = fit(papers, preferences, settings)
     target = corpus.with_all_embeddings(corpus.id_list_filter(papers, ids), cols)
     scored = scoring.score(model, target, cols)
     return scoring.drop_embeddings(sampling.force_include(scored), cols)
