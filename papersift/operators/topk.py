@@ -72,7 +72,7 @@ def cutoff_and_count(
 
 
 def _narrow(base: DataFrame, k: int, exact_limit: int, buckets: int):
-
+    """Histogram narrowing for large k (see the module docstring)."""
     cond = F.lit(True)
     need = k
     first = True
@@ -88,7 +88,8 @@ def _narrow(base: DataFrame, k: int, exact_limit: int, buckets: int):
         if need >= n:
             return _max_pair(part, "_k", "_t"), min(k, total)
         if n <= exact_limit or lo == hi or not math.isfinite(hi - lo):
-            # lo == hi: every open row has the same key, the tie column decides.
+            # lo == hi: every open row has the same key (only repeated ids share
+            # a content-hash key), so the tie column decides among them.
             return _max_pair(part.orderBy("_k", "_t").limit(need), "_k", "_t"), k
         width = (hi - lo) / buckets
         bucket = F.least(F.floor((F.col("_k") - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
