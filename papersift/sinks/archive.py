@@ -33,7 +33,8 @@ def upsert(
 ) -> list[str]:
     """Merge ``df`` into the archive at ``path``; returns the months rewritten.
 
-    ``stats`` (if given) receives ``dropped``: rows without content (A10)."""
+    ``stats`` (if given) receives ``dropped``, the rows without content (A10),
+    and ``staged``, the scratch table of the merged months when staging ran."""
     if not df.columns:
         return []  # empty frame without columns: nothing to do
     if id_col not in df.columns:
@@ -57,6 +58,19 @@ def upsert(
         stage = scratch_path(spark, "archive-stage")
         merged.write.mode("overwrite").parquet(stage)
         merged = spark.read.parquet(stage)
+        if stats is not None:
+            stats["staged"] = stage
+    write_months(merged, path, id_col)
+    return months
+
+
+def write_months(merged: DataFrame, path: str, id_col: str = "id") -> None:
+    """The final write of an upsert: the merged rows of the touched months replace
+    those month folders (dynamic partition overwrite), rows in id order.
+
+    Rerunning it on a staged table (``stats["staged"]``) completes an upsert
+    whose commit was interrupted."""
+    spark = merged.sparkSession
     n_parts = max(1, spark.sparkContext.defaultParallelism)
     (
         merged.repartitionByRange(n_parts, "month", id_col)
@@ -67,4 +81,3 @@ def upsert(
         .partitionBy("month")
         .json(path)
     )
-    return months

@@ -125,3 +125,14 @@ def test_dropped_rows_are_counted(spark, tmp_dir):
     stats = {}
     upsert(spark.createDataFrame(rows, S3), tmp_dir, order_by=["title"], stats=stats)
     assert stats["dropped"] == 2
+
+
+def test_interrupted_commit_can_be_redone_from_stage(spark, tmp_dir):
+    from papersift.sinks.archive import write_months
+
+    upsert(spark.createDataFrame([("2505.00001", "a", "x")], S3), tmp_dir, order_by=["title"], schema=S3)
+    stats = {}
+    upsert(spark.createDataFrame([("2505.00002", "b", "y")], S3), tmp_dir, order_by=["title"], schema=S3, stats=stats)
+    assert "staged" in stats
+    write_months(spark.read.parquet(stats["staged"]), tmp_dir)  # a rerun gives the same archive
+    assert sorted(r.id for r in read_archive(spark, tmp_dir, S3).collect()) == ["2505.00001", "2505.00002"]
