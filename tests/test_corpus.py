@@ -64,3 +64,19 @@ def test_id_list_helpers(spark):
 
     got = spark.range(1).select(parse_id_list(F.lit(" a, ,b ,")).alias("x")).first().x
     assert got == ["a", "b"]
+
+
+def test_broadcast_only_below_checked_bound(spark):
+    from papersift.operators.joins import broadcast_if_small
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        big = spark.range(1000).withColumnRenamed("id", "k")
+        small = spark.range(10).withColumnRenamed("id", "k")
+        hinted = big.join(broadcast_if_small(small, max_rows=100), "k")
+        plain = big.join(broadcast_if_small(big.select("k"), max_rows=100), "k")
+        assert "BroadcastHashJoin" in hinted._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plain._jdf.queryExecution().executedPlan().toString()
+        assert hinted.count() == 10 and plain.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
