@@ -255,10 +255,21 @@ def _child_agg_exprs() -> list:
     ]
 
 
-def _child_aggregates(kids: DataFrame, ex: list | None = None) -> DataFrame:
-    agg = kids.groupBy("doc_id", "parent_path").agg(*(ex or _child_agg_exprs()))
-    return agg.withColumn("group_items", F.transform(F.array_sort("_aitem_list"), lambda x: x["item"])) \
-        .drop("_aitem_list")
+CHILD_COLUMNS = ["path", "slot", "kind", "md", "item", "items"]
+
+
+def _with_children(level: DataFrame, kids: DataFrame, agg_ex: list) -> DataFrame:
+    """A level's blocks with their children's aggregates, in one shuffle: parents
+    (keyed by their path) and children (keyed by their parent's path) are unioned
+    and grouped once by (doc_id, key), instead of an aggregate plus a join."""
+    parents = level.select("doc_id", F.col("path").alias("_key"), F.struct(*level.columns).alias("_p"))
+    children = kids.select("doc_id", F.col("parent_path").alias("_key"), *CHILD_COLUMNS)
+    grouped = parents.unionByName(children, allowMissingColumns=True).groupBy("doc_id", "_key").agg(
+        F.first("_p", ignorenulls=True).alias("_p"), *agg_ex)
+    out = grouped.where(F.col("_p").isNotNull()).select(
+        "_p.*", *[c for c in ("content_md", "title_md", "parts", "rows", "caption_md", "aitems")],
+        F.transform(F.array_sort("_aitem_list"), lambda x: x["item"]).alias("group_items"))
+    return out
 
 
 def _author_md(items: Column) -> Column:
@@ -450,8 +461,7 @@ def render(docs: DataFrame, ignore_reference: bool = False, clean_equations: boo
     for d in range(max_depth, -1, -1):
         level = blocks.where(F.col("depth") == d)
         if kids is not None:
-            agg = _child_aggregates(kids, agg_ex).withColumnRenamed("parent_path", "path")
-            level = level.join(agg, ["doc_id", "path"], "left")
+            level = _with_children(level, kids, agg_ex)
         else:
             for c, t in (("content_md", "string"), ("title_md", "string"), ("parts", "array<string>"),
                          ("rows", "array<string>"), ("caption_md", "string"),
