@@ -10,7 +10,7 @@ accepted cache models grok*, deepseek*, gemini*; language zh.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,6 @@ class Settings:
     sample_rate: float = 0.004
     acceptable_cache_models: tuple[str, ...] = ("grok*", "deepseek*", "gemini*")
     language: str = "zh"
-    extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "Settings":
         return replace(self, **kw)
