@@ -7,7 +7,7 @@ from papersift.operators import enrich, ratings
 from papersift.sinks.files import write_ratings_csv
 from papersift.sources.bibliography import read_export
 
-# A bibliography export in the shape of the reference fixture: byte-order mark,
+# A bibliography export: byte-order mark,
 # quoted fields with doubled quotes and line breaks; the id comes from Extra,
 # then Url, then Publication Title.
 EXPORT = (
