@@ -10,9 +10,20 @@ from pyspark.sql import functions as F
 from papersift.schemas import PREFERENCES
 
 
-def read_preferences(spark: SparkSession, folder: str) -> DataFrame:
+def normalized_id(col: str = "id"):
+    """A four-digit month, a dot and fewer than five digits is padded with zeros to
+    five (``2410.1285`` -> ``2410.12850``); other ids are kept as they are."""
+    c = F.col(col)
+    short = c.rlike(r"^\d{4}\.\d{1,4}$")
+    padded = F.concat(F.substring_index(c, ".", 1), F.lit("."), F.rpad(F.substring_index(c, ".", -1), 5, "0"))
+    return F.when(short, padded).otherwise(c)
+
+
+def read_preferences(spark: SparkSession, folder: str, normalize_ids: bool = False) -> DataFrame:
     """Every ``*.csv`` below ``folder`` (recursive).  Ids stay text, so ``2406.1``
-    and ``2406.10`` are different ids.  ``source_file`` feeds the dedupe (D1)."""
+    and ``2406.10`` are different ids (exact matching, the default); with
+    ``normalize_ids`` short fractions are padded to five digits first, repairing
+    ids that lost trailing zeros.  ``source_file`` feeds the dedupe (D1)."""
     if not os.path.exists(folder):
         raise FileNotFoundError(f"preference folder not found: {folder}")
     df = (
@@ -23,4 +34,5 @@ def read_preferences(spark: SparkSession, folder: str) -> DataFrame:
         .option("pathGlobFilter", "*.csv")
         .csv(folder)
     )
-    return df.select("id", "preference", F.col("_metadata.file_path").alias("source_file"))
+    ident = normalized_id("id") if normalize_ids else F.col("id")
+    return df.select(ident.alias("id"), "preference", F.col("_metadata.file_path").alias("source_file"))

@@ -48,6 +48,8 @@ def test_read_preferences_keeps_text_ids(spark, tmp_dir):
     rows = sorted((r.id, r.preference) for r in df.collect())
     assert ("2406.1", "like") in rows and ("2406.10", "dislike") in rows
     assert len(rows) == 4
+    fixed = sorted(r.id for r in read_preferences(spark, os.path.join(tmp_dir, "pref"), normalize_ids=True).collect())
+    assert fixed == ["2406.10000", "2406.10000", "2406.17808", "2406.17808"]
 
 
 def test_vocabulary(spark, tmp_dir):
