@@ -315,7 +315,7 @@ def _author_md(items: Column) -> Column:
         .otherwise(F.lit(""))
 
 
-def _node_md_exprs() -> list:
+def _node_md_exprs(drop_bibliography: bool = False) -> list:
     """The per-type rendering rules as one projection (built once per render)."""
     k = F.col("kind")
     content_md = F.coalesce(F.col("content_md"), F.lit(""))
@@ -385,7 +385,10 @@ def _node_md_exprs() -> list:
              .otherwise(F.col("raw")))
     footnote = F.concat(F.lit("[^"), F.col("fn_no").cast("string"), F.lit("]"))
     bibitem = F.concat(F.lit("["), F.coalesce(F.col("cite_key"), F.lit("")), F.lit("]: "), content_value)
-    bibliography = F.when(F.col("ir"), F.lit("<!-- Unknown token type: bibliography -->")).when(
+    # With references ignored, the bibliography falls through to the unknown-type
+    # comment (kept by default so results agree); drop_bibliography removes it.
+    ignored_bib = F.lit("") if drop_bibliography else F.lit("<!-- Unknown token type: bibliography -->")
+    bibliography = F.when(F.col("ir"), ignored_bib).when(
         F.size(parts) > 0, F.concat(F.lit("## References\n"), F.array_join(parts, "\n"), F.lit("\n"))
     ).otherwise(F.lit(""))
     unknown = F.concat(F.lit("<!-- Unknown token type: "), k, F.lit(" -->"))
@@ -442,8 +445,12 @@ def _node_md(with_kids: DataFrame, ex: list | None = None) -> DataFrame:
 
 
 def render(docs: DataFrame, ignore_reference: bool = False, clean_equations: bool = False,
-           doc_col: str = "doc_id", json_col: str = "json") -> DataFrame:
-    """Markdown per document: ``(doc_id, markdown)``."""
+           doc_col: str = "doc_id", json_col: str = "json", drop_bibliography: bool = False) -> DataFrame:
+    """Markdown per document: ``(doc_id, markdown)``.
+
+    Options (B16): ``ignore_reference`` drops citations and the bibliography
+    (which then prints as an unknown-type comment unless ``drop_bibliography``);
+    ``clean_equations`` strips commands and dollar signs from equations."""
     blocks = flatten(docs, ignore_reference, clean_equations, doc_col, json_col).where(F.col("live"))
     # Footnotes are numbered in document order; only footnote rows are shuffled.
     is_fn = F.col("kind") == "footnote"
@@ -457,7 +464,7 @@ def render(docs: DataFrame, ignore_reference: bool = False, clean_equations: boo
         return docs.select(F.col(doc_col).alias("doc_id"), F.lit("").alias("markdown"))
     rendered_levels = []
     kids = None
-    agg_ex, md_ex = _child_agg_exprs(), _node_md_exprs()
+    agg_ex, md_ex = _child_agg_exprs(), _node_md_exprs(drop_bibliography)
     for d in range(max_depth, -1, -1):
         level = blocks.where(F.col("depth") == d)
         if kids is not None:

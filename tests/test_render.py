@@ -56,6 +56,8 @@ def test_ignore_reference(spark):
     out = render(_docs(spark, DOC), ignore_reference=True).first().markdown
     assert "[k1, k2]" not in out
     assert "<!-- Unknown token type: bibliography --><!-- Unknown token type: weird -->" in out
+    dropped = render(_docs(spark, DOC), ignore_reference=True, drop_bibliography=True).first().markdown
+    assert "bibliography" not in dropped and "<!-- Unknown token type: weird -->" in dropped
 
 
 def test_complex_table_kept_as_json_and_equation_cleaning(spark):
