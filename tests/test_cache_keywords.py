@@ -111,3 +111,18 @@ def test_cache_scan_reads_only_wanted_months(spark, tmp_path):
     assert none.count() == 0
     missing = read_cache(spark, str(tmp_path / "nope"), wanted, schema)
     assert missing.count() == 0
+
+
+def test_hot_key_is_combined_before_the_shuffle(spark):
+    """One id holds a third of all rows: the newest-per-id aggregate is combined
+    map-side, so the shuffle carries at most one row per task for it."""
+    n = 30000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("id"),
+        F.col("id").alias("t"), (F.col("id") * 2).alias("v"))
+    out = dedup.latest_per_key(df, "id", ["t"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan
+    rows = {r.id: (r.t, r.v) for r in out.collect()}
+    assert len(rows) == n - n // 3 + 1
+    assert rows["hot"] == (n - 3, 2 * (n - 3))
