@@ -14,8 +14,8 @@ from papersift.operators.joins import broadcast_if_small
 
 
 def mapping_table(records: DataFrame, order_col: str | None = None) -> DataFrame:
-    """``{key, values}`` records to a map table; the last record of a key wins
-    (``order_col`` says which is last)."""
+    """``{key, values}`` records to a map table with one record per key: the
+    last one by ``order_col``, or any one of them when no order is given."""
     if order_col is None:
         return records.select("key", "values").dropDuplicates(["key"])
     return latest_per_key(records.select("key", "values", order_col), "key", [order_col]).select("key", "values")
@@ -31,7 +31,8 @@ def _rewrite_expr(col: Column, lookup) -> Column:
 
 
 def rewrite_with_dict(df: DataFrame, mapping: dict[str, list[str]], col: str = "keywords") -> DataFrame:
-    """W1 for a mapping held by the caller: a literal map, applied in whole-stage code."""
+    """W1 for a mapping held by the caller: a literal map looked up per row (a
+    projection: no join, no shuffle)."""
     if col not in df.columns:  # W3
         return df
     if not mapping:
@@ -47,11 +48,13 @@ def rewrite_with_table(df: DataFrame, mapping: DataFrame, col: str = "keywords",
     if col not in df.columns:  # W3
         return df
     m = broadcast_if_small(mapping.select(F.col("key").alias("__kw"), F.col("values").alias("__vals")))
+    # posexplode_outer: a null or empty list gives one row with a null position;
+    # a null keyword inside a list keeps its position and is kept as it is.
     exploded = df.select(
-        F.col(id_col), F.col(col).isNull().alias("__null"), F.explode_outer(col).alias("__kw"))
+        F.col(id_col), F.col(col).isNull().alias("__null"), F.posexplode_outer(col).alias("__pos", "__kw"))
     mapped = exploded.join(m, "__kw", "left").select(
         id_col, "__null",
-        F.when(F.col("__kw").isNull(), F.array().cast("array<string>"))
+        F.when(F.col("__pos").isNull(), F.array().cast("array<string>"))
         .when(F.size("__vals") > 0, F.col("__vals"))
         .otherwise(F.array(F.col("__kw"))).alias("__out"))
     regrouped = mapped.groupBy(id_col).agg(

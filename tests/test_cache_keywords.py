@@ -57,7 +57,8 @@ def test_key_prefixes(spark):
 
 def _kw_frame(spark):
     return spark.createDataFrame(
-        [("1", ["LLM", "Vision"]), ("2", None), ("3", []), ("4", ["Efficient Adaptive System", "LLM", "LLMs"])],
+        [("1", ["LLM", "Vision"]), ("2", None), ("3", []), ("4", ["Efficient Adaptive System", "LLM", "LLMs"]),
+         ("5", ["LLM", None])],
         "id string, keywords array<string>")
 
 
@@ -67,7 +68,7 @@ MAPPING = {"LLM": ["LLMs"], "Efficient Adaptive System": ["Efficient", "Adaptive
 def test_rewrite_with_dict(spark):
     got = {r.id: r.keywords for r in keywords.rewrite_with_dict(_kw_frame(spark), MAPPING).collect()}
     assert got == {"1": ["LLMs", "Vision"], "2": None, "3": [],
-                   "4": ["Adaptive System", "Efficient", "LLMs"]}
+                   "4": ["Adaptive System", "Efficient", "LLMs"], "5": ["LLMs", None]}
 
 
 def test_rewrite_with_table_equals_dict(spark):
@@ -83,7 +84,7 @@ def test_mapping_last_key_wins_and_missing_column(spark):
     df = spark.createDataFrame([("1",)], "id string")
     assert keywords.rewrite_with_dict(df, MAPPING).columns == ["id"]
     counts = {r.keyword: r.n for r in keywords.keyword_counts(_kw_frame(spark)).collect()}
-    assert counts["LLM"] == 2
+    assert counts["LLM"] == 3
 
 
 def test_cache_scan_reads_only_wanted_months(spark, tmp_path):
