@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papersift.llm import chat, decontaminate, licenses, near_dup, packing, quality, quality_rules, token_files, toxicity
+from papersift.llm import chat, decontaminate, html_text, licenses, near_dup, packing, quality, quality_rules, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(own.union(spark.createDataFrame(FORGERY, own.schema))))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -95,5 +99,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_token_files, op4_near_dup, op5_chat, op7_toxicity, op8_licenses, op9_quality_rules, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_token_files, op4_near_dup, op5_chat, op6_html_text, op7_toxicity, op8_licenses, op9_quality_rules, op10_decontaminate)}
 ORACLES = {"op9_quality_rules": OP9_SQL}
