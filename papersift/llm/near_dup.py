@@ -267,3 +267,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = table.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows, with all their columns, of one document of each group: the smallest id.  Rows without id stay."""
+    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))

@@ -14,6 +14,7 @@ row; with no labelled rows every score is 0.5; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -61,6 +62,12 @@ class Words(dict):
         return value
 
 
+@functools.cache
+def _words() -> Words:
+    """One table for each Python worker."""
+    return Words()
+
+
 _KINDS = [np.uint64(0x9E3779B97F4A7C15 * k % 2**64) for k in range(1, 8)]
 
 
@@ -110,7 +117,7 @@ def train(rows: DataFrame, rounds: int = ROUNDS, trainers: int = TRAINERS) -> np
         state = spark.sparkContext.broadcast((z, n))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            leader, words, seen = Leader(*state.value), Words(), 0
+            leader, words, seen = Leader(*state.value), _words(), 0
             for batch in batches:
                 for text, y in zip(utf8_values(column(batch, "text")), column(batch, "y").to_pylist()):
                     leader.learn(*features(text, words), float(y))
@@ -133,19 +140,34 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
     shared = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, words = shared.value, Words()
-        intercept = float(w[BUCKETS])
         for batch in batches:
-            scores = np.empty(batch.num_rows)
-            for i, text in enumerate(utf8_values(column(batch, "text"))):
-                at, x = features(text, words)
-                scores[i] = float(w[at] @ x) + intercept
-            yield pa.RecordBatch.from_pydict({"doc_id": column(batch, "doc_id"), "score": 1 / (1 + np.exp(-np.clip(scores, -35, 35)))})
+            yield pa.RecordBatch.from_pydict({"doc_id": column(batch, "doc_id"), "score": scores(column(batch, "text"), shared.value)})
 
     made = texts_of(docs).mapInArrow(run, "doc_id long, score double")
     return made.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def scores(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """The probability of label 1 of each text (null: empty)."""
+    words, intercept, out = _words(), float(weights[BUCKETS]), np.empty(len(texts))
+    for i, text in enumerate(utf8_values(texts.fill_null(""))):
+        at, x = features(text, words)
+        out[i] = float(weights[at] @ x) + intercept
+    return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
+
+
+def keep(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score at least ``threshold``, with all their columns; nothing is shuffled."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(column(batch, "text"), shared.value) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> np.ndarray:
     bounded_batches(docs.sparkSession)
     return train(training_rows(docs, labels, "quality", most_rows))

@@ -105,14 +105,15 @@ def _only(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, "")).cast("long")
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the measurements, from the whole text."""
+def measure(docs: DataFrame, carried: dict[str, Column] | None = None) -> DataFrame:
+    """``doc_id`` or the ``carried`` columns, and the measurements, from the whole text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    own = carried or {"doc_id": F.col("doc_id").cast("long")}
+    rows = docs.select(*[c.alias(n) for n, c in own.items()], text.alias("text"))
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.translate(x, SPACES, "") != "")
     chars = F.length("text")
     rows = rows.select(
-        "doc_id",
+        *own,
         _let(_words(F.col("text")), _word_measures).alias("w"),
         _let(lines, _line_measures).alias("l"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
@@ -120,13 +121,13 @@ def measure(docs: DataFrame) -> DataFrame:
         _only(F.col("text"), "[^\\p{Lu}]+").alias("n_upper"),
         _only(F.col("text"), "[^\\p{L}]+").alias("n_letters"),
     )
-    return rows.select("doc_id", "w.*", "l.*", "word_chars", "n_symbols", "n_upper", "n_letters").select("doc_id", *MEASURES)
+    return rows.select(*own, "w.*", "l.*", "word_chars", "n_symbols", "n_upper", "n_letters").select(*own, *MEASURES)
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the measurements and ``failed``, the bits of all rules that the document fails."""
+def ledger(docs: DataFrame, carried: dict[str, Column] | None = None) -> DataFrame:
+    """``doc_id`` or the ``carried`` columns, the measurements and ``failed``, the bits of all rules that the document fails."""
     bits = sum((F.when(F.expr(test), F.lit(BIT[name])).otherwise(F.lit(0)) for name, test in RULES), F.lit(0))
-    return measure(docs).withColumn("failed", bits.cast("long"))
+    return measure(docs, carried).withColumn("failed", bits.cast("long"))
 
 
 def apply_policy(rows: DataFrame, version: int = CURRENT) -> DataFrame:
@@ -147,3 +148,8 @@ def ablation(rows: DataFrame, version: int = CURRENT) -> DataFrame:
         F.sum(F.when(F.col("bits").bitwiseAND(F.col("r.bit")) != 0, F.col("n")).otherwise(0)).alias("failing"),
         F.sum(F.when(F.col("bits") == F.col("r.bit"), F.col("n")).otherwise(0)).alias("failing_alone"),
     )
+
+
+def keep(docs: DataFrame, version: int = CURRENT) -> DataFrame:
+    """The rows that a policy keeps, with all their columns."""
+    return apply_policy(ledger(docs, {"row": F.struct("*")}), version).where("kept").select("row.*")
