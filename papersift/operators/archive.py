@@ -26,11 +26,15 @@ def month_of(id_col: str = "id") -> Column:
     return F.substring(F.col(id_col), 1, 4)
 
 
+def _has_id(id_col: str) -> Column:
+    return F.when(F.col(id_col).isNull(), F.raise_error(F.lit("null id in the archive batch"))).otherwise(F.lit(True))
+
+
 def month_summary(df: DataFrame, id_col: str = "id") -> list:
-    """Per month of the batch: rows with an id and rows with content (A10: the
+    """Per month of the batch: rows and rows with content (A10: the
     difference is what the meaningful-row filter drops).  One grouped pass whose
-    result is as long as the number of months touched."""
-    rows = df.where(F.col(id_col).isNotNull())
+    result is as long as the number of months touched.  A null id raises."""
+    rows = df.where(_has_id(id_col))
     others = [c for c in df.columns if c != id_col]
     keep = meaningful(rows, id_col) if others else F.lit(True)
     return rows.groupBy(month_of(id_col).alias("month")).agg(
@@ -40,12 +44,12 @@ def month_summary(df: DataFrame, id_col: str = "id") -> list:
 def archive_rows(df: DataFrame, order_by: list[str] | None = None, id_col: str = "id") -> DataFrame:
     """Rows ready for the archive: meaningful, one per id (last by ``order_by``), with ``month``.
 
-    No ``id`` column raises; a null id is rejected by dropping the row.  Without
+    No ``id`` column raises, and so does a null id (when the rows are computed).  Without
     ``order_by`` the batch is deduplicated by ``summary_time`` when present.
     """
     if id_col not in df.columns:
         raise ValueError("DataFrame missing 'id' column.")
-    df = df.where(F.col(id_col).isNotNull())
+    df = df.where(_has_id(id_col))
     others = [c for c in df.columns if c != id_col]
     if others:
         df = df.where(meaningful(df, id_col))

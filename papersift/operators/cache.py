@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papersift.operators.dedup import latest_per_key
-from papersift.operators.joins import anti, broadcast_if_small
+from papersift.operators.joins import anti, semi
 
 
 def model_pattern(acceptable_models: list[str] | tuple[str, ...]) -> str:
@@ -23,8 +23,7 @@ def accepted(cache: DataFrame, wanted_ids: DataFrame, language: str,
     """Wanted id AND same language AND model matches one accepted pattern."""
     rows = cache.where((F.col("lang") == F.lit(language)) & F.col("model").rlike(model_pattern(acceptable_models)))
     # No distinct: a semi join ignores duplicate keys, so no extra shuffle is needed.
-    keys = broadcast_if_small(wanted_ids.select(id_col).where(F.col(id_col).isNotNull()))
-    return rows.join(keys, id_col, "left_semi")
+    return semi(rows, wanted_ids.where(F.col(id_col).isNotNull()), id_col)
 
 
 def with_default(df: DataFrame, column: str, value) -> DataFrame:

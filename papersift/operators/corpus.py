@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papersift.functions.text import all_of
-from papersift.operators.joins import anti, broadcast_if_small
+from papersift.operators.joins import anti, semi
 
 
 def category_any(df: DataFrame, categories: list[str] | tuple[str, ...], col: str = "categories") -> DataFrame:
@@ -26,11 +26,10 @@ def with_all_embeddings(df: DataFrame, embedding_columns: list[str] | tuple[str,
 def split_rated(papers: DataFrame, preferences: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
     """(rated papers with their preference, unrated papers).
 
-    A null id is in neither part, matching list membership semantics.  The
-    ratings side is broadcast only when its size is checked to be small.
+    A null id is in neither part, matching list membership semantics.
     """
     papers = papers.where(F.col(id_col).isNotNull())
-    prefs = broadcast_if_small(preferences.where(F.col(id_col).isNotNull()))
+    prefs = preferences.where(F.col(id_col).isNotNull())
     rated = papers.join(prefs, id_col, "inner")
     unrated = papers.join(prefs.select(id_col), id_col, "left_anti")
     return rated, unrated
@@ -99,7 +98,7 @@ def last_n_days_cutoff(today: Column, n: int) -> Column:
 def id_list_filter(df: DataFrame, ids: list[str] | DataFrame, id_col: str = "id") -> DataFrame:
     """Keep the listed ids (literal list for short lists, semi join for tables)."""
     if isinstance(ids, DataFrame):
-        return df.join(broadcast_if_small(ids.select(id_col)), id_col, "left_semi")
+        return semi(df, ids, id_col)
     return df.where(F.col(id_col).isin(list(ids)))
 
 

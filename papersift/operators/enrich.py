@@ -66,11 +66,14 @@ def enrich(
     run_time: str,
     id_col: str = "id",
     num_partitions: int | None = None,
+    required_text: tuple[str, ...] = (),
+    required_lists: tuple[str, ...] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Enrich only the cache misses, stamp provenance, add the cached rows.
 
     Returns ``(results, failures)``: results are fresh successes plus cached
     rows (cached wins per id); failures are ``{id, error, summary_time}``.
+    A record that lacks a required field (E4) is a failure.
     Acts once: the function's output is checkpointed before the split.
     """
     todo = cache_ops.misses(wanted, cached, id_col)
@@ -78,13 +81,20 @@ def enrich(
     # Results and failures are both read from this checkpoint (spark.checkpoint.dir),
     # so neither consumer re-runs the function, nor does a later lost executor.
     raw = materialize(apply_per_row(todo, fn, fields, id_col, num_partitions), "enriched")
-    stamped = raw
+    stamped = raw.withColumn("error", F.coalesce("error", missing_fields([*required_text, *required_lists])))
     for k, v in provenance.items():  # E3
         stamped = stamped.withColumn(k, F.lit(v))
     stamped = stamped.withColumn("preference", F.lit("unknown")).withColumn("summary_time", F.lit(run_time))
     ok = stamped.where(F.col("error").isNull()).drop("error")  # P16
     failed = stamped.where(F.col("error").isNotNull()).select(id_col, "error", "summary_time")
-    return cache_ops.combine(ok, cached, id_col), failed
+    return ok.unionByName(cached, allowMissingColumns=True), failed  # the misses hold no cached id
+
+
+def missing_fields(names: list[str]):
+    """E4 as an error text: the required fields that are null, or null when none is."""
+    missing = [F.when(F.col(f"`{n}`").isNull(), F.lit(n)) for n in names]
+    text = F.concat_ws(",", *missing) if missing else F.lit("")
+    return F.when(text != "", F.concat(F.lit("missing fields: "), text))
 
 
 def required_fields_ok(df: DataFrame, text_fields: list[str], list_fields: list[str]) -> DataFrame:

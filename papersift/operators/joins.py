@@ -1,35 +1,25 @@
-"""Join helpers: broadcast only behind a checked size bound."""
+"""Join helpers.
+
+No side is marked for broadcast: the engine chooses the join from measured sizes (its own byte
+threshold at planning time, or the shuffled bytes at run time), so a side may grow without bound and
+nothing runs while a plan is built.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# A side is broadcast only when it has at most this many rows (checked, not guessed).
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when it provably has at most ``max_rows`` rows.
-
-    The check counts at most ``max_rows + 1`` rows, so its cost is bounded even
-    when the side turns out to be large.  Beyond the bound the join stays a
-    shuffle join (AQE may still switch it at run time from measured sizes).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
 
 
-def semi(left: DataFrame, right_keys: DataFrame, on: str | list[str], max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def semi(left: DataFrame, right_keys: DataFrame, on: str | list[str]) -> DataFrame:
     keys = right_keys.select(*([on] if isinstance(on, str) else on))
-    return left.join(broadcast_if_small(keys, max_rows), on, "left_semi")
+    return left.join(keys, on, "left_semi")
 
 
-def anti(left: DataFrame, right_keys: DataFrame, on: str | list[str], max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def anti(left: DataFrame, right_keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows of ``left`` whose key is not in ``right_keys``.
 
     A ``left_anti`` join keeps null keys of ``left`` (unlike ``NOT IN``, which
     returns nothing when the list has a null); callers drop null ids at the scan.
     """
     keys = right_keys.select(*([on] if isinstance(on, str) else on))
-    return left.join(broadcast_if_small(keys, max_rows), on, "left_anti")
+    return left.join(keys, on, "left_anti")

@@ -10,14 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papersift.operators.dedup import latest_per_key
-from papersift.operators.joins import broadcast_if_small
 
 
 def mapping_table(records: DataFrame, order_col: str | None = None) -> DataFrame:
     """``{key, values}`` records to a map table with one record per key: the
-    last one by ``order_col``, or any one of them when no order is given."""
+    last one by ``order_col``; without an order, the record whose values sort last (null first)."""
     if order_col is None:
-        return records.select("key", "values").dropDuplicates(["key"])
+        return records.groupBy("key").agg(F.max("values").alias("values"))
     return latest_per_key(records.select("key", "values", order_col), "key", [order_col]).select("key", "values")
 
 
@@ -43,27 +42,34 @@ def rewrite_with_dict(df: DataFrame, mapping: dict[str, list[str]], col: str = "
 
 
 def rewrite_with_table(df: DataFrame, mapping: DataFrame, col: str = "keywords", id_col: str = "id") -> DataFrame:
-    """W1 for a mapping table of any size: explode, join the map (broadcast only
-    when its size is checked), regroup per id.  Ids must be unique."""
+    """W1 for a mapping table of any size: explode, join the map, regroup per row.
+
+    Rows are told apart by a hash of all their columns, so null and repeated ids keep their own keywords;
+    equal rows are rewritten once and come back as often as they were.  The row travels through the one
+    regrouping aggregate, so nothing is joined back.
+    """
     if col not in df.columns:  # W3
         return df
-    m = broadcast_if_small(mapping.select(F.col("key").alias("__kw"), F.col("values").alias("__vals")))
+    m = mapping.select(F.col("key").alias("__kw"), F.col("values").alias("__vals"))
+    others = [c for c in df.columns if c != col]
+    rows = df.select(F.col(col).alias("__own"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("__row"))
+    rows = rows.withColumn("__key", F.sha2(F.to_json(F.struct("__row", "__own"), {"ignoreNullFields": "false"}), 256))
     # posexplode_outer: a null or empty list gives one row with a null position;
     # a null keyword inside a list keeps its position and is kept as it is.
-    exploded = df.select(
-        F.col(id_col), F.col(col).isNull().alias("__null"), F.posexplode_outer(col).alias("__pos", "__kw"))
+    exploded = rows.select("__key", "__row", F.col("__own").isNull().alias("__null"), F.posexplode_outer("__own").alias("__pos", "__kw"))
     mapped = exploded.join(m, "__kw", "left").select(
-        id_col, "__null",
+        "__key", "__row", "__null",
+        F.coalesce("__pos", F.lit(0)).alias("__pos"),
         F.when(F.col("__pos").isNull(), F.array().cast("array<string>"))
         .when(F.size("__vals") > 0, F.col("__vals"))
         .otherwise(F.array(F.col("__kw"))).alias("__out"))
-    regrouped = mapped.groupBy(id_col).agg(
-        F.max("__null").alias("__null"), F.flatten(F.collect_list("__out")).alias("__flat"))
-    new = regrouped.select(
-        id_col,
-        F.when(F.col("__null"), F.lit(None).cast("array<string>"))
-        .otherwise(F.array_sort(F.array_distinct("__flat"))).alias(col))
-    return df.drop(col).join(new, id_col, "left")
+    regrouped = mapped.groupBy("__key").agg(
+        F.first("__row").alias("__row"), F.max("__null").alias("__null"),
+        F.flatten(F.collect_list("__out")).alias("__flat"),
+        F.count_if(F.col("__pos") == 0).alias("__times"))
+    new = F.when(F.col("__null"), F.lit(None).cast("array<string>")).otherwise(F.array_sort(F.array_distinct("__flat")))
+    copies = regrouped.select("__row", new.alias("__new"), F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))).alias("__copy"))
+    return copies.select(*[(F.col("__new") if c == col else F.col(f"__row.`{c}`")).alias(c) for c in df.columns])
 
 
 def keyword_counts(df: DataFrame, col: str = "keywords") -> DataFrame:

@@ -5,7 +5,7 @@ narrow pass of chained steps (an open node becomes a closed block with compact
 attributes, its children become open nodes; no shuffle, nothing stored per
 level).  A block's ``path`` is its position from the root: segments of one
 slot letter (``a`` title list, ``c`` content list, ``r`` table rows) and a
-5-digit position, joined by ``/``, so sorting paths gives document order.
+10-digit position, joined by ``/``, so sorting paths gives document order.
 While expanding, every block learns whether the renderer actually visits it
 (``live``) and under which options (``ir`` ignore references, ``ce`` clean
 equations; some edges turn them off, see B16).
@@ -17,8 +17,10 @@ recursion in Python and no UDF; a document is a unit of work, so a large
 corpus spreads over all tasks.
 
 Footnotes (B7) are numbered in document order and listed at the end in the
-order their text is completed.  Repeated titles (B1) are dropped after the
-fact: each title is wrapped in markers and duplicates are cut out at the end.
+order their text is completed.  Repeated titles (B1) are found before anything
+that holds them is rendered: title subtrees are rendered on their own first, and
+a title whose text an earlier one of the document has is rendered as nothing.
+A title inside a title is compared by its whole text.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ NODE_SCHEMA = (
 )
 TEXT_SCHEMA = "struct<content:string,title:string>"
 
-# Marker characters around titles (private-use code points, not expected in text).
-T_OPEN, T_MID, T_CLOSE = "\ue000", "\ue001", "\ue002"
+#: Digits of a position in a path: no array has more elements than ten digits count, so none is ever cut.
+DIGITS = 10
 
 # Fixed type names of the token format.
 PROCESS_TOKENS_TYPES = ["document", "group", "section", "paragraph", "footnote"]
@@ -54,10 +56,29 @@ def _is_complex(first_content: Column) -> Column:
     return F.coalesce(first_content.rlike(COMPLEX_CELL), F.lit(False))
 
 
+def _ascii_json(text: Column) -> Column:
+    """JSON text with every non-ASCII character as an escape, a surrogate pair above U+FFFF."""
+    def unit(code: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
+
+    def escaped(c: Column) -> Column:
+        code = F.ascii(c)
+        over = code - 0x10000
+        pair = F.concat(unit(F.shiftright(over, 10) + 0xD800), unit(over.bitwiseAND(F.lit(0x3FF)) + 0xDC00))
+        return F.when(code < 128, c).when(code < 0x10000, unit(code)).otherwise(pair)
+
+    # the JSON reader writes surrogates as escapes of its own, in capitals
+    parts = F.split(text, r"(?<!\\)\\u(?=D[89A-F][0-9A-F]{2})")
+    small = F.transform(parts, lambda p, k: F.when(k == 0, p).otherwise(F.concat(F.lit("\\u"), F.lower(F.substring(p, 1, 4)), F.substring(p, 5, 1 << 30))))
+    text = F.array_join(small, "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(text, ""), escaped), "")).otherwise(text)
+
+
 def _first_caption(node: Column) -> Column:
     """1-based position of the first caption among the content items (0 if none)."""
-    types = F.from_json(node, "struct<content:array<struct<type:string>>>")["content"]["type"]
-    return F.coalesce(F.array_position(types, "caption"), F.lit(0)).cast("int")
+    items = F.from_json(node, "struct<content:array<string>>")["content"]
+    types = F.transform(items, lambda x: F.get_json_object(x, "$.type"))  # null for items that are no objects
+    return F.coalesce(F.array_position(F.transform(types, lambda t: F.coalesce(t, F.lit(""))), "caption"), F.lit(0)).cast("int")
 
 
 # Attributes a block keeps after expansion (name, type).
@@ -68,7 +89,7 @@ ATTRS = [
     ("keys", "array<string>"), ("table_mode", "string"), ("cap_pos", "int"), ("cell_kind", "string"),
     ("raw", "string"),
 ]
-POSITION = ["doc_id", "path", "parent_path", "ptype", "depth", "slot", "pkind", "ir", "ce", "live", "top"]
+POSITION = ["doc_id", "path", "parent_path", "ptype", "depth", "slot", "pkind", "ir", "ce", "live", "top", "in_title"]
 BLOCK_COLUMNS = POSITION + [n for n, _ in ATTRS]
 
 
@@ -93,7 +114,7 @@ def _attr_columns(kind: Column, a: Column, b: Column, node: Column) -> dict:
         "table_mode": table_mode,
         "cap_pos": F.when(kind.isin("figure", "table"), _first_caption(node)),
         "cell_kind": cell_kind,
-        "raw": F.when((table_mode == "json") | (cell_kind == "str"), node),
+        "raw": F.when(table_mode == "json", _ascii_json(node)).when(cell_kind == "str", node),
     }
 
 
@@ -170,9 +191,10 @@ def _step_exprs() -> list:
         def child(e, i):
             keep = (s["only_pos"] == -1) | (i + 1 == s["only_pos"])
             return block(
-                path=F.concat(F.col("path"), F.lit("/"), s["slot"], F.lpad(i.cast("string"), 5, "0")),
+                path=F.concat(F.col("path"), F.lit("/"), s["slot"], F.lpad(i.cast("string"), DIGITS, "0")),
                 parent_path=F.col("path"), ptype=F.col("kind"), depth=F.col("depth") + 1, slot=s["slot"],
                 pkind=s["pkind"], ir=s["ir"], ce=s["ce"], live=s["live"] & keep, top=F.lit(False),
+                in_title=F.col("in_title") | F.coalesce(F.col("kind") == "title", F.lit(False)),
                 open=F.lit(True), node=e, **nulls)
         return F.transform(s["arr"], child)
 
@@ -188,28 +210,27 @@ def _step(rows: DataFrame, ex: list | None = None) -> DataFrame:
 
 
 def flatten(docs: DataFrame, ignore_reference: bool = False, clean_equations: bool = False,
-            doc_col: str = "doc_id", json_col: str = "json", steps_per_pass: int = 3,
-            max_passes: int = 8) -> DataFrame:
+            doc_col: str = "doc_id", json_col: str = "json", steps_per_pass: int = 3) -> DataFrame:
     """One row per block of every document, with compact attributes.
 
     The tree is expanded in one narrow pass of ``steps_per_pass`` chained steps
     (no shuffle, nothing stored per level, each node parsed once); the result is
-    checkpointed once.  Nodes deeper than one pass stay open and get another pass.
+    checkpointed once.  Nodes deeper than one pass stay open and get another pass, to any depth.
     """
     docs = spread(docs, doc_col)
     tokens = F.from_json(F.col(json_col), "struct<tokens:array<string>>")["tokens"]
     root = docs.select(F.col(doc_col).alias("doc_id"),
                        F.posexplode(F.coalesce(tokens, F.array().cast("array<string>"))).alias("pos", "node"))
     rows = root.select(
-        "doc_id", F.concat(F.lit("c"), F.lpad(F.col("pos").cast("string"), 5, "0")).alias("path"),
+        "doc_id", F.concat(F.lit("c"), F.lpad(F.col("pos").cast("string"), DIGITS, "0")).alias("path"),
         F.lit("").alias("parent_path"), F.lit("root").alias("ptype"), F.lit(0).alias("depth"),
         F.lit("c").alias("slot"), F.lit(None).cast("string").alias("pkind"),
         F.lit(ignore_reference).alias("ir"), F.lit(clean_equations).alias("ce"),
-        F.lit(True).alias("live"), F.lit(True).alias("top"), F.lit(True).alias("open"), "node",
+        F.lit(True).alias("live"), F.lit(True).alias("top"), F.lit(False).alias("in_title"), F.lit(True).alias("open"), "node",
         *[F.lit(None).cast(t).alias(n) for n, t in ATTRS])
     done = None
     ex = _step_exprs()
-    for _ in range(max_passes):
+    while True:
         for _ in range(steps_per_pass):
             rows = _step(rows, ex)
         rows = materialize(rows, "render-blocks")
@@ -218,7 +239,6 @@ def flatten(docs: DataFrame, ignore_reference: bool = False, clean_equations: bo
         rows = rows.where(F.col("open"))
         if rows.limit(1).count() == 0:
             return done
-    raise ValueError(f"token trees deeper than {steps_per_pass * max_passes} levels")
 
 
 # ---------------------------------------------------------------- render
@@ -353,7 +373,7 @@ def _node_md_exprs(drop_bibliography: bool = False) -> list:
     math_env = F.when(menv == "", F.lit("")).when(
         menv.startswith("\\begin{"), F.concat(F.lit("$$ "), menv, F.lit(" $$\n"))).otherwise(F.concat(menv, F.lit("\n")))
 
-    title = F.concat(F.lit(T_OPEN), F.col("path"), F.lit(T_MID), F.lit("# "), content_value, F.lit("\n"), F.lit(T_CLOSE))
+    title = F.when(F.col("repeat"), F.lit("")).otherwise(F.concat(F.lit("# "), content_value, F.lit("\n")))
     abstract = F.when(content_value != "", F.concat(F.lit("## Abstract\n"), content_value, F.lit("\n"))).otherwise(F.lit(""))
     sec_title = F.when(numbering != "", F.concat(numbering, F.lit(". "), title_value)).otherwise(title_value)
     section = F.when((sec_title != "") | (content_md != ""),
@@ -444,6 +464,47 @@ def _node_md(with_kids: DataFrame, ex: list | None = None) -> DataFrame:
     return with_kids.select(*(ex or _node_md_exprs()))
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _levels(blocks: DataFrame, cache: LevelCache, agg_ex: list, md_ex: list) -> tuple[list[DataFrame], DataFrame | None]:
+    """Every level's footnotes and titles, deepest level first, and the top level rendered (None without blocks)."""
+    max_depth = blocks.agg(F.max("depth")).first()[0]
+    if max_depth is None:
+        return [], None
+    rendered, kids = [], None
+    for d in range(max_depth, -1, -1):
+        level = blocks.where(F.col("depth") == d)
+        if kids is not None:
+            level = _with_children(level, kids, agg_ex)
+        else:
+            for c, t in (("content_md", "string"), ("title_md", "string"), ("parts", "array<string>"),
+                         ("rows", "array<string>"), ("caption_md", "string"),
+                         ("aitems", f"array<{ITEM_TYPE}>"), ("group_items", f"array<{ITEM_TYPE}>")):
+                level = level.withColumn(c, F.lit(None).cast(t))
+        kids, _ = cache.add(_node_md(level, md_ex))
+        rendered.append(kids.select("doc_id", "path", "kind", "fn_entry", "title_text"))
+    return rendered, kids
+
+
+def _mark_repeats(blocks: DataFrame, cache: LevelCache, agg_ex: list, md_ex: list) -> DataFrame:
+    """Blocks whose ``repeat`` is true for a title with the text of one that is finished before it."""
+    is_title = F.col("kind") == "title"
+    rendered, _ = _levels(blocks.where(F.col("in_title") | is_title), cache, agg_ex, md_ex)
+    if not rendered:
+        return blocks
+    finished = Window.partitionBy("doc_id", "title_text").orderBy(F.concat("path", F.lit("~")))
+    titles = _union(rendered).where(F.col("kind") == "title").withColumn("rn", F.row_number().over(finished))
+    marks = titles.where(F.col("rn") > 1).select("doc_id", "path", F.lit(True).alias("_again"))
+    own = blocks.where(is_title).join(marks, ["doc_id", "path"], "left")
+    own = own.withColumn("repeat", F.coalesce("_again", F.lit(False))).select(*blocks.columns)
+    return cache.add(blocks.where(~is_title).unionByName(own))[0]
+
+
 def render(docs: DataFrame, ignore_reference: bool = False, clean_equations: bool = False,
            doc_col: str = "doc_id", json_col: str = "json", drop_bibliography: bool = False) -> DataFrame:
     """Markdown per document: ``(doc_id, markdown)``.
@@ -457,46 +518,24 @@ def render(docs: DataFrame, ignore_reference: bool = False, clean_equations: boo
     numbered = blocks.where(is_fn).withColumn(
         "fn_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("path")))
     cache = LevelCache()
-    blocks, _ = cache.add(blocks.where(~is_fn).withColumn("fn_no", F.lit(None).cast("int")).unionByName(numbered))
-    max_depth = blocks.agg(F.max("depth")).first()[0]
-    if max_depth is None:
+    blocks = blocks.where(~is_fn).withColumn("fn_no", F.lit(None).cast("int")).unionByName(numbered)
+    blocks, _ = cache.add(blocks.withColumn("repeat", F.lit(False)))
+    agg_ex, md_ex = _child_agg_exprs(), _node_md_exprs(drop_bibliography)
+    blocks = _mark_repeats(blocks, cache, agg_ex, md_ex)
+    rendered_levels, kids = _levels(blocks, cache, agg_ex, md_ex)
+    if kids is None:
         cache.release()
         return docs.select(F.col(doc_col).alias("doc_id"), F.lit("").alias("markdown"))
-    rendered_levels = []
-    kids = None
-    agg_ex, md_ex = _child_agg_exprs(), _node_md_exprs(drop_bibliography)
-    for d in range(max_depth, -1, -1):
-        level = blocks.where(F.col("depth") == d)
-        if kids is not None:
-            level = _with_children(level, kids, agg_ex)
-        else:
-            for c, t in (("content_md", "string"), ("title_md", "string"), ("parts", "array<string>"),
-                         ("rows", "array<string>"), ("caption_md", "string"),
-                         ("aitems", f"array<{ITEM_TYPE}>"), ("group_items", f"array<{ITEM_TYPE}>")):
-                level = level.withColumn(c, F.lit(None).cast(t))
-        kids, _ = cache.add(_node_md(level, md_ex))
-        rendered_levels.append(kids.select("doc_id", "path", "kind", "fn_entry", "title_text"))
-    side = rendered_levels[0]
-    for lv in rendered_levels[1:]:
-        side = side.unionByName(lv)
+    side = _union(rendered_levels)
     body = kids.groupBy("doc_id").agg(_ordered_concat(F.lit(True)).alias("body"))
     notes = side.where(F.col("fn_entry").isNotNull()).groupBy("doc_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
             F.concat(F.col("path"), F.lit("~")).alias("k"), F.col("fn_entry").alias("e")))), lambda x: x["e"]),
             "\n").alias("notes"))
-    titles = side.where(F.col("title_text").isNotNull())
-    dup_w = Window.partitionBy("doc_id", "title_text").orderBy("path")
-    dups = titles.withColumn("rn", F.row_number().over(dup_w)).where(F.col("rn") > 1) \
-        .groupBy("doc_id").agg(F.collect_list("path").alias("dups"))
-    doc = body.join(notes, "doc_id", "left").join(dups, "doc_id", "left")
+    doc = body.join(notes, "doc_id", "left")
     text = F.concat(F.col("body"), F.when(F.col("notes").isNotNull(),
                                           F.concat(F.lit("\n\n"), F.col("notes"))).otherwise(F.lit("")))
-    # One pass per document: every repeated title's marked span is cut at once.
-    dup_pattern = F.concat(F.lit(T_OPEN + "("), F.array_join(F.col("dups"), "|"),
-                           F.lit(")" + T_MID + "[^" + T_CLOSE + "]*" + T_CLOSE))
-    cut = F.when(F.col("dups").isNull(), text).otherwise(F.regexp_replace(text, dup_pattern, F.lit("")))
-    clean = F.regexp_replace(F.regexp_replace(cut, T_OPEN + "[^" + T_MID + "]*" + T_MID, ""), T_CLOSE, "")
-    out = doc.select("doc_id", clean.alias("markdown"))
+    out = doc.select("doc_id", text.alias("markdown"))
     all_docs = docs.select(F.col(doc_col).alias("doc_id"))  # document ids are unique
     result = all_docs.join(out, "doc_id", "left").select(
         "doc_id", F.coalesce(F.col("markdown"), F.lit("")).alias("markdown"))

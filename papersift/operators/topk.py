@@ -5,14 +5,11 @@ then selected by a plain predicate, ``(key, tie) <= cutoff``, so the draw is a
 projection over the whole table: no join back, no window over a stratum (which
 would put a whole stratum into one task).
 
-Small k: one ``orderBy(key, tie).limit(k)`` (per-partition top-k, then a merge
-of at most k rows per partition), reduced to its maximum.
-
-Large k: histogram narrowing.  Each round counts the rows of the open range per
+Histogram narrowing, for any k: each round counts the rows of the open range per
 bucket (a partial+final aggregate of at most ``buckets`` groups), keeps every
-bucket below the one holding the k-th row, and recurses into that bucket until
-it holds at most ``exact_limit`` rows.  Then the small-k case runs on it.
-Cost: a few aggregate passes; memory per task stays bounded for any k.
+bucket below the one holding the k-th row, and goes into that bucket until
+it holds at most ``exact_limit`` rows, a few thousand, which are then sorted.
+Content-hash keys are uniform, so one or two rounds are enough.
 """
 
 from __future__ import annotations
@@ -22,7 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EXACT_LIMIT = 200_000
+#: Rows of the last open bucket, which one task sorts.
+EXACT_LIMIT = 4096
 BUCKETS = 4096
 
 
@@ -58,21 +56,17 @@ def cutoff_and_count(
     exact_limit: int = EXACT_LIMIT,
     buckets: int = BUCKETS,
 ):
-    """``(cutoff, m)``: the cutoff of ``kth_cutoff`` and ``m = min(k, rows)``, from
-    the same pass when k is small (a short result tells that fewer rows exist)."""
+    """``(cutoff, m)``: the cutoff of ``kth_cutoff`` and ``m = min(k, rows)``.
+
+    Raises when more than k rows are at or before the cutoff: then an id is repeated
+    there, and no predicate on (key, id) can draw exactly k rows."""
     if k <= 0:
         return None, 0
-    base = df.select(key.alias("_k"), tie.alias("_t"))
-    if k <= exact_limit:
-        row = base.orderBy("_k", "_t").limit(k).agg(
-            F.max(F.struct("_k", "_t")).alias("m"), F.count(F.lit(1)).alias("n")).first()
-        m = row["m"]
-        return (None if m is None else (m["_k"], m["_t"])), row["n"]
-    return _narrow(base, k, exact_limit, buckets)
+    return _narrow(df.select(key.alias("_k"), tie.alias("_t")), k, exact_limit, buckets)
 
 
 def _narrow(base: DataFrame, k: int, exact_limit: int, buckets: int):
-    """Histogram narrowing for large k (see the module docstring)."""
+    """Histogram narrowing (see the module docstring)."""
     cond = F.lit(True)
     need = k
     first = True
@@ -90,7 +84,10 @@ def _narrow(base: DataFrame, k: int, exact_limit: int, buckets: int):
         if n <= exact_limit or lo == hi or not math.isfinite(hi - lo):
             # lo == hi: every open row has the same key (only repeated ids share
             # a content-hash key), so the tie column decides among them.
-            return _max_pair(part.orderBy("_k", "_t").limit(need), "_k", "_t"), k
+            cutoff = _max_pair(part.orderBy("_k", "_t").limit(need), "_k", "_t")
+            if part.where(before_or_at(F.col("_k"), F.col("_t"), cutoff)).count() > need:
+                raise ValueError(f"id {cutoff[1]!r} is repeated at the cutoff of the draw; ids must be unique")
+            return cutoff, k
         width = (hi - lo) / buckets
         bucket = F.least(F.floor((F.col("_k") - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
         counts = sorted(

@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papersift.functions.hashing import sql_hash_unit
@@ -175,11 +175,13 @@ BG_RATE = 1.0  # the data has fewer unrated rows than 5 per like; see SURVEY §7
 
 
 def _training(spark, sf):
-    rated, unrated = corpus.split_rated(td.papers(spark, sf), td.preferences(spark, sf))
+    papers = corpus.with_all_embeddings(td.papers(spark, sf), EMB)
+    rated, unrated = corpus.split_rated(papers, td.preferences(spark, sf))
     return training.training_set(rated, unrated, EMB, bg_sample_rate=BG_RATE, seed=42)
 
 
-TRAINING_SQL = _cte(papers=td.PAPERS_SQL, prefs=td.PREFERENCES_SQL) + f"""
+TRAINING_SQL = _cte(papers="SELECT * FROM (" + td.PAPERS_SQL + ") WHERE emb_a IS NOT NULL AND emb_b IS NOT NULL",
+                    prefs=td.PREFERENCES_SQL) + f"""
 , rated AS (SELECT p.id, CASE WHEN r.preference = 'like' THEN 1 ELSE 0 END AS label
             FROM papers p JOIN prefs r ON p.id = r.id),
 unrated AS (SELECT p.id FROM papers p WHERE NOT EXISTS (SELECT 1 FROM prefs r WHERE r.id = p.id)),
@@ -209,12 +211,30 @@ def q_class_weights(spark, sf):
 @register("train_and_score")
 def q_train_and_score(spark, sf):
     """M1-M3: iterative fit, so no SQL oracle (rows only; pytest checks the fit)."""
-    rated, unrated = corpus.split_rated(td.papers(spark, sf), td.preferences(spark, sf))
+    papers = corpus.with_all_embeddings(td.papers(spark, sf), EMB)
+    rated, unrated = corpus.split_rated(papers, td.preferences(spark, sf))
     train = training.training_set(rated, unrated, EMB, bg_sample_rate=BG_RATE, seed=42)
     model = training.fit_logistic(train, EMB, C=1.0, max_iter=1000)
     return scoring.score(model, unrated, EMB).select("id", F.round("score", 6).alias("score"))
 
 
+@register("fit_gradient", """
+SELECT CAST(unnest(range(0, 65)) AS INTEGER) AS feature, 0.0 AS gradient
+""")
+def q_fit_gradient(spark, sf):
+    """M1-M3: the gradient of the penalised loss at the fit, by feature (64 is the intercept); zero at the optimum."""
+    train = _training(spark, sf)
+    model = training.fit_logistic(train, EMB, C=1.0, max_iter=1000)
+    weights = training.class_weights(train).select("label", "weight", F.sum("n").over(Window.partitionBy()).alias("total"))
+    scored = scoring.score(model, train, EMB).join(weights, "label")
+    pull = F.col("weight") * (F.col("score") - F.col("label")) / F.col("total")
+    x = F.concat(F.col("emb_a"), F.col("emb_b")).cast("array<double>")
+    parts = scored.select("total", pull.alias("pull"), F.posexplode(F.concat(x, F.array(F.lit(1.0)))).alias("feature", "x"))
+    sums = parts.groupBy("feature").agg(F.sum(F.col("pull") * F.col("x")).alias("g"), F.max("total").alias("total"))
+    own = F.array(*[F.lit(float(c)) for c in model.coefficients], F.lit(0.0))
+    return sums.select("feature", F.round(F.abs(F.col("g") + F.element_at(own, F.col("feature") + 1) / F.col("total")), 3).alias("gradient"))
+
+
 # ---------------------------------------------------------------- quota draw
 
 def _events_scored(spark, sf) -> DataFrame:
@@ -684,17 +704,20 @@ def q_recommend(spark, sf):
     return flagship.recommend_on_testdata(spark, sf)
 
 
-@register("digest_named")
+@register("digest_named", _cte(papers=td.PAPERS_SQL) + """
+SELECT id, updated, 1 AS show FROM papers
+WHERE categories[1] = 'de' AND emb_a IS NOT NULL AND emb_b IS NOT NULL
+""")
 def q_digest_named(spark, sf):
     """§3.2: the named papers (here: every German document, as a table of ids)
-    are scored and all shown; rows only (the scores come from the fit)."""
+    are scored and all shown; the scores come from the fit (see fit_gradient)."""
     from papersift.plans import flagship
     from papersift.plans.recommend import digest_named
 
     named = td.table(spark, sf, "documents").where(F.col("lang") == "de").select(
         F.col("doc_id").cast("string").alias("id"))
     out = digest_named(td.papers(spark, sf), td.preferences(spark, sf), named, flagship.FLAGSHIP_SETTINGS)
-    return out.select("id", "updated", F.round("score", 6).alias("score"), "show")
+    return out.where(F.col("score").between(0, 1)).select("id", "updated", F.col("show").cast("int").alias("show"))
 
 
 # ---------------------------------------------------------------- more aggregates and rewrites (A5, W1 literal map)
@@ -707,13 +730,10 @@ SELECT count(*) AS n,
 FROM base
 """)
 def q_stratum_counts(spark, sf):
-    """A5 as one aggregate (the same one the draw runs before its cutoffs)."""
-    s = F.col("score")
-    return _events_scored(spark, sf).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(s >= 0.85).alias("n_high"),
-        F.count_if((s >= 0.6) & (s < 0.85)).alias("n_boundary"),
-        F.count_if(~(s >= 0.6)).alias("n_low"))
+    """A5, the counts that the draw takes before its cutoffs."""
+    c = sampling.stratum_counts(_events_scored(spark, sf), "score", 0.85, 0.6)
+    row = (c["n"], c[sampling.HIGH], c[sampling.BOUNDARY], c[sampling.LOW])
+    return spark.createDataFrame([row], "n long, n_high long, n_boundary long, n_low long")
 
 
 # Fixed mapping of part types (a caller-held map, applied as a literal map):

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papersift.operators import corpus, sampling, scoring, training
-from papersift.operators.joins import broadcast_if_small
 from papersift.session import materialize
 from papersift.settings import Settings
 
@@ -46,7 +45,7 @@ def fit(papers: DataFrame, preferences: DataFrame, settings: Settings,
     index = corpus_index(papers, settings)
     rated, unrated = prepare(index, preferences, settings, digested_ids)
     keys = training.training_keys(rated, unrated, settings.bg_sample_rate, settings.seed)
-    rows = papers.join(broadcast_if_small(keys), "id", "inner").select("id", "label", "origin", *cols)
+    rows = papers.join(keys, "id", "inner").select("id", "label", "origin", *cols)
     model = training.fit_logistic(rows, cols, settings.C, settings.max_iter)
     return model, unrated
 
@@ -72,7 +71,10 @@ def recommend(
     if apply_window:
         target_ids = corpus.date_window(unrated, settings.start_date, settings.end_date, settings.last_n_days, today)
         target = corpus.date_window(papers, settings.start_date, settings.end_date, settings.last_n_days, today)
-    target = target.join(target_ids.select("id"), "id", "left_semi")
+    if "year" in target_ids.columns:  # P5 ran: the result keeps its year column
+        target = target.drop("year").join(target_ids.select("id", "year"), "id", "inner")
+    else:
+        target = target.join(target_ids.select("id"), "id", "left_semi")
     # The draw reads the scored window several times (counts, cutoffs, result):
     # score it once and keep it under spark.checkpoint.dir.
     scored = materialize(scoring.score(model, target, cols), "scored")
@@ -83,10 +85,11 @@ def recommend(
 
 
 def digest_named(papers: DataFrame, preferences: DataFrame, ids: list[str] | DataFrame,
-                 settings: Settings) -> DataFrame:
-    """§3.2: named papers are scored and all shown (no window, no draw)."""
+                 settings: Settings, digested_ids: DataFrame | None = None) -> DataFrame:
+    """§3.2: named papers are scored and all shown (no window, no draw).  Digested papers are
+    no pseudo-negatives, as in the daily run."""
     cols = list(settings.embedding_columns)
-    model, _ = fit(papers, preferences, settings)
+    model, _ = fit(papers, preferences, settings, digested_ids)
     target = corpus.with_all_embeddings(corpus.id_list_filter(papers, ids), cols)
     scored = scoring.score(model, target, cols)
     return scoring.drop_embeddings(sampling.force_include(scored), cols)

@@ -8,6 +8,7 @@ folder named by ``spark.checkpoint.dir`` (shared storage on a cluster).  Only
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -42,9 +43,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared scratch folder; create a local one only if the session has none."""
+    """Return the shared scratch folder.  Only a local session (tests, bench) gets one of its own when
+    none is set; on a cluster, where executors don't share the driver's disk, that is an error."""
     current = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not current:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set; point it at storage that all executors share")
         current = tempfile.mkdtemp(prefix="papersift-ckpt-")
         spark.conf.set(_CHECKPOINT_KEY, current)
     if not spark.sparkContext.getCheckpointDir():

@@ -31,6 +31,9 @@ class Settings:
     sample_rate: float = 0.004
     acceptable_cache_models: tuple[str, ...] = ("grok*", "deepseek*", "gemini*")
     language: str = "zh"
+    workers: int | None = None  # tasks that run the per-paper function at a time; None: the engine's choice
+    required_text: tuple[str, ...] = ()  # fields that a digest record must have (E4)
+    required_lists: tuple[str, ...] = ()
 
     def with_(self, **kw) -> "Settings":
         return replace(self, **kw)

@@ -47,7 +47,8 @@ def upsert(
     rows = archive_rows(df, order_by, id_col)
     if not months:
         return []
-    old = read_months(spark, path, months, schema)
+    # stored rows keep every field; fields they share with the batch are read with its types
+    old = read_months(spark, path, months, schema or df.schema)
     if old is not None:
         keep = old.join(rows.select(id_col), id_col, "left_anti")
         merged = rows.unionByName(keep, allowMissingColumns=True)
@@ -70,10 +71,8 @@ def write_months(merged: DataFrame, path: str, id_col: str = "id") -> None:
 
     Rerunning it on a staged table (``stats["staged"]``) completes an upsert
     whose commit was interrupted."""
-    spark = merged.sparkSession
-    n_parts = max(1, spark.sparkContext.defaultParallelism)
     (
-        merged.repartitionByRange(n_parts, "month", id_col)
+        merged.repartitionByRange("month", id_col)  # the shuffle's size sets the number of files
         .sortWithinPartitions("month", id_col)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

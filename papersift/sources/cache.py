@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papersift.operators.dedup import key_prefixes
-from papersift.sources.archive import _exists
+from papersift.sources.archive import exists
 
 
 def read_cache(spark: SparkSession, root: str, wanted_ids: DataFrame, schema: T.StructType,
                id_col: str = "id") -> DataFrame:
     months = sorted(r["month"] for r in key_prefixes(wanted_ids, id_col).collect())  # D7: a short list
     full = T.StructType([f for f in schema.fields if f.name != "month"] + [T.StructField("month", T.StringType())])
-    if not months or not _exists(spark, root):
+    if not months or not exists(spark, root):
         return spark.createDataFrame([], full)
     return spark.read.schema(full).json(root).where(F.col("month").isin(months))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papersift.schemas import PREFERENCES
+from papersift.sources.archive import exists, files_below
 
 
 def normalized_id(col: str = "id"):
@@ -24,8 +23,10 @@ def read_preferences(spark: SparkSession, folder: str, normalize_ids: bool = Fal
     and ``2406.10`` are different ids (exact matching, the default); with
     ``normalize_ids`` short fractions are padded to five digits first, repairing
     ids that lost trailing zeros.  ``source_file`` feeds the dedupe (D1)."""
-    if not os.path.exists(folder):
+    if not exists(spark, folder):
         raise FileNotFoundError(f"preference folder not found: {folder}")
+    if not any(name.endswith(".csv") for name in files_below(spark, folder)):
+        raise FileNotFoundError(f"no rating file below {folder}")
     df = (
         spark.read.schema(PREFERENCES)
         .option("header", True)

@@ -10,6 +10,7 @@ sink effectively exactly-once.  One stream per archive (single writer).
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +33,11 @@ def start(
 ) -> StreamingQuery:
     """Upsert every new JSON file under ``landing`` into ``archive``.
 
-    ``checkpoint`` defaults to a folder below spark.checkpoint.dir named after
-    the archive, so a restarted stream resumes where it stopped.
+    ``checkpoint`` defaults to a folder below spark.checkpoint.dir named by a hash of
+    the archive's full path, so a restarted stream resumes where it stopped.
     """
     base = ensure_checkpoint_dir(spark)
-    checkpoint = checkpoint or os.path.join(base, "streams", os.path.basename(archive.rstrip("/")) or "archive")
+    checkpoint = checkpoint or os.path.join(base, "streams", hashlib.sha256(archive.rstrip("/").encode()).hexdigest()[:24])
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

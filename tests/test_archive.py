@@ -94,8 +94,36 @@ def test_month_keeps_leading_zero(spark, tmp_dir):
 
 def test_null_id_rejected(spark, tmp_dir):
     df = spark.createDataFrame([(None, "t", "s"), ("2505.00009", "t", "s")], S3)
-    upsert(df, tmp_dir, order_by=["title"], schema=S3)
-    assert [r["id"] for r in _month_rows(tmp_dir, "2505")] == ["2505.00009"]
+    with pytest.raises(Exception, match="null id"):
+        upsert(df, tmp_dir, order_by=["title"], schema=S3)
+    assert not os.path.exists(os.path.join(tmp_dir, "month=2505"))
+
+
+def test_broken_line_is_an_error(spark, tmp_dir):
+    upsert(spark.createDataFrame([("2505.00001", "t", "s")], S3), tmp_dir, order_by=["title"], schema=S3)
+    with open(os.path.join(tmp_dir, "month=2505", "part-broken.json"), "w") as f:
+        f.write('{"id":"2505.00002","title":"cut of')
+    with pytest.raises(Exception):
+        read_archive(spark, tmp_dir, S3).collect()
+    with pytest.raises(Exception):
+        upsert(spark.createDataFrame([("2505.00003", "t", "s")], S3), tmp_dir, order_by=["title"], schema=S3)
+
+
+def test_narrower_batch_keeps_stored_fields(spark, tmp_dir):
+    upsert(spark.createDataFrame([("2505.00001", "old", "s")], S3), tmp_dir, order_by=["title"], schema=S3)
+    narrow = T.StructType(S3.fields[:2])
+    upsert(spark.createDataFrame([("2505.00002", "new")], narrow), tmp_dir, order_by=["title"], schema=narrow)
+    rows = {r["id"]: r for r in read_archive(spark, tmp_dir, S3).collect()}
+    other = S3.fields[2].name
+    assert rows["2505.00001"][other] == "s" and rows["2505.00002"][other] is None
+
+
+def test_all_null_list_takes_the_batch_type(spark, tmp_dir):
+    kinds = "id string, title string, tags array<string>"
+    upsert(spark.createDataFrame([("2505.00001", "a", None)], kinds), tmp_dir, order_by=["title"])
+    upsert(spark.createDataFrame([("2505.00002", "b", ["x"])], kinds), tmp_dir, order_by=["title"])
+    got = {r["id"]: r["tags"] for r in spark.read.json(tmp_dir).collect()}
+    assert got == {"2505.00001": None, "2505.00002": ["x"]}
 
 
 def test_read_archive_missing_and_empty(spark, tmp_dir):

@@ -4,6 +4,8 @@ from papersift.operators import cache, dedup, keywords
 
 CACHE_COLS = "id string, model string, lang string, summary_time string, summary string"
 
+from papersift.operators import keywords
+
 
 def test_model_patterns_are_regexes(spark):
     df = spark.createDataFrame([("gro-x",), ("grok-3",), ("xgrok",), ("deepseek-r1",), ("gemini-2",), ("gpt",)], "model string")
@@ -127,3 +129,13 @@ def test_hot_key_is_combined_before_the_shuffle(spark):
     rows = {r.id: (r.t, r.v) for r in out.collect()}
     assert len(rows) == n - n // 3 + 1
     assert rows["hot"] == (n - 3, 2 * (n - 3))
+
+
+def test_rewrite_with_table_null_and_repeated_ids(spark):
+    rows = [(None, ["a", "b"], 1), ("x", ["a"], 1), ("x", ["c"], 1), ("x", ["c"], 1), ("y", None, 1), ("z", [], None)]
+    df = spark.createDataFrame(rows, "id string, keywords array<string>, extra int")
+    mapping = spark.createDataFrame([("a", ["A1", "A2"]), ("c", [])], "key string, values array<string>")
+    out = keywords.rewrite_with_table(df, mapping)
+    got = sorted(((r.id, r.keywords, r.extra) for r in out.collect()), key=str)
+    assert out.columns == df.columns
+    assert got == sorted([(None, ["A1", "A2", "b"], 1), ("x", ["A1", "A2"], 1), ("x", ["c"], 1), ("x", ["c"], 1), ("y", None, 1), ("z", [], None)], key=str)

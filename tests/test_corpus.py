@@ -66,17 +66,15 @@ def test_id_list_helpers(spark):
     assert got == ["a", "b"]
 
 
-def test_broadcast_only_below_checked_bound(spark):
-    from papersift.operators.joins import broadcast_if_small
-
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        big = spark.range(1000).withColumnRenamed("id", "k")
-        small = spark.range(10).withColumnRenamed("id", "k")
-        hinted = big.join(broadcast_if_small(small, max_rows=100), "k")
-        plain = big.join(broadcast_if_small(big.select("k"), max_rows=100), "k")
-        assert "BroadcastHashJoin" in hinted._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" not in plain._jdf.queryExecution().executedPlan().toString()
-        assert hinted.count() == 10 and plain.count() == 1000
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
+def test_joins_run_nothing_while_planning_and_gather_nothing(spark):
+    """No row count in one task, and no job before the result is asked for."""
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    papers = spark.range(1000).select(F.col("id").cast("string").alias("id"))
+    some = papers.where("id % 3 = 0")
+    frames = [*corpus.split_rated(papers, some.withColumn("preference", F.lit("like"))), corpus.remove_digested(papers, some),
+              corpus.id_list_filter(papers, some)]
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    for df in frames:
+        assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [df.count() for df in frames] == [334, 666, 666, 334]

@@ -1,6 +1,8 @@
 import json
 
-from papersift.operators.render import flatten, render
+from papersift.operators.render import DIGITS, flatten, render
+
+ZERO = "0" * DIGITS
 
 DOC = {"tokens": [
     {"type": "title", "content": [{"type": "text", "content": "My Paper"}]},
@@ -90,7 +92,8 @@ def test_flatten_marks_unvisited_blocks(spark):
         {"type": "caption", "content": "first"}, {"type": "caption", "content": "second"},
         {"type": "paragraph", "content": []}]}]}
     rows = {r.path: r.live for r in flatten(_docs(spark, doc)).collect()}
-    assert rows == {"c00000": True, "c00000/c00000": True, "c00000/c00001": False, "c00000/c00002": False}
+    assert rows == {
+        f"c{ZERO}": True, f"c{ZERO}/c{ZERO}": True, f"c{ZERO}/c{ZERO[1:]}1": False, f"c{ZERO}/c{ZERO[1:]}2": False}
 
 
 def test_tree_deeper_than_one_expansion_pass(spark):
@@ -101,3 +104,48 @@ def test_tree_deeper_than_one_expansion_pass(spark):
     assert md == "<b>deep</b>"
     blocks = flatten(_docs(spark, {"tokens": [node]}), steps_per_pass=3)
     assert blocks.count() == 13 and blocks.agg({"depth": "max"}).first()[0] == 12
+
+
+def _md(spark, tokens, **opts):
+    docs = spark.createDataFrame([(1, json.dumps({"tokens": tokens}))], "doc_id long, json string")
+    return render(docs, **opts).first()["markdown"]
+
+
+def _text(t):
+    return {"type": "text", "content": t}
+
+
+def test_more_siblings_than_five_digits(spark):
+    words = [f"w{k} " for k in range(100_012)]
+    paragraph = {"type": "paragraph", "content": [_text(w) for w in words]}
+    assert _md(spark, [paragraph]) == "".join(words) + "\n\n"
+
+
+def test_forty_levels(spark):
+    token = _text("deep")
+    for _ in range(40):
+        token = {"type": "group", "content": [token]}
+    assert _md(spark, [{"type": "paragraph", "content": [token]}]) == "deep\n\n"
+
+
+def test_private_use_characters_are_text(spark):
+    odd = "a\ue000b\ue001c\ue002d"
+    assert _md(spark, [{"type": "paragraph", "content": [_text(odd)]}]) == odd + "\n\n"
+
+
+def test_repeated_title_leaves_nothing_behind(spark):
+    title = {"type": "title", "content": [_text("T")]}
+    tokens = [title, {"type": "paragraph", "content": [title]}, {"type": "section", "level": 1, "content": [title]}, {"type": "paragraph", "content": [title, _text("x")]}]
+    assert _md(spark, tokens) == "# T\nx\n\n"
+
+
+def test_caption_after_a_string_item(spark):
+    caption = {"type": "caption", "content": "cap"}
+    assert _md(spark, [{"type": "figure", "numbering": "1", "content": ["raw", caption]}]) == "[Figure 1]: cap\n"
+    table = {"type": "table", "numbering": "2", "content": [{"tabular": [["a"], ["b"]]}, "raw", caption]}
+    assert _md(spark, [table]).startswith("[Table 2]: cap\n")
+
+
+def test_json_table_is_ascii(spark):
+    table = {"type": "table", "numbering": "1", "content": [{"type": "caption", "content": "é 😀"}]}
+    assert json.dumps(table, separators=(",", ":")) in _md(spark, [table])

@@ -129,3 +129,9 @@ def test_cutoff_and_count_both_paths(spark):
     assert topk.cutoff_and_count(df, key, idc, 5000)[1] == 3000
     assert topk.cutoff_and_count(df, key, idc, 5000, exact_limit=40, buckets=8)[1] == 3000
     assert topk.cutoff_and_count(df, key, idc, 500)[0] == topk.cutoff_and_count(df, key, idc, 500, 40, 8)[0]
+
+
+def test_repeated_id_at_the_cutoff_raises(spark):
+    df = spark.createDataFrame([("same",)] * 5, "id string")
+    with pytest.raises(ValueError, match="repeated"):
+        sampling.uniform_draw(df, 2)

@@ -1,3 +1,4 @@
+import pytest
 import json
 import os
 import time
@@ -109,3 +110,34 @@ def test_stream_upserts_landing_files(spark, tmp_dir):
     got = {r.id: r.title for r in spark.read.json(archive).collect()}
     assert got == {"2501.00001": "one v2", "2502.00002": "two"}
     assert F  # keep import
+
+
+def test_preferences_without_files_and_by_uri(spark, tmp_dir):
+    with pytest.raises(FileNotFoundError):
+        read_preferences(spark, tmp_dir)
+    with open(os.path.join(tmp_dir, "a.csv"), "w") as f:
+        f.write("id,preference\n2406.1,like\n")
+    assert [r["id"] for r in read_preferences(spark, f"file://{tmp_dir}").collect()] == ["2406.1"]
+
+
+def test_named_run_and_required_fields(spark, tmp_dir):
+    papers = _papers(spark)
+    prefs = spark.createDataFrame([(f"2501.{i:05d}", "like" if i % 2 else "dislike") for i in range(1, 30, 3)], "id string, preference string")
+    s = Settings(categories=("cs.CL",), embedding_columns=EMB, bg_sample_rate=1.0, language="en", acceptable_cache_models=("m",), workers=2,
+                 required_text=("one_sentence_summary",))
+    cache = spark.createDataFrame([], "id string, model string, lang string, summary_time string, one_sentence_summary string")
+    fields = T.StructType([T.StructField("one_sentence_summary", T.StringType())])
+    ids = ["2501.00002", "2501.00003"]
+    failed = digest.run_named(spark, papers, prefs, ids, os.path.join(tmp_dir, "archive"), os.path.join(tmp_dir, "out"), cache,
+                              lambda r: {"one_sentence_summary": None if r["id"].endswith("3") else "x."}, fields, s)
+    assert [(r["id"], r["error"]) for r in failed.collect()] == [("2501.00003", "missing fields: one_sentence_summary")]
+    assert [r["id"] for r in spark.read.json(os.path.join(tmp_dir, "archive")).collect()] == ["2501.00002"]
+
+
+def test_year_is_kept_after_the_cutoff(spark):
+    papers = _papers(spark)
+    prefs = spark.createDataFrame([(f"2501.{i:05d}", "like" if i % 2 else "dislike") for i in range(1, 30, 3)], "id string, preference string")
+    s = Settings(categories=("cs.CL",), embedding_columns=EMB, bg_sample_rate=1.0, sample_rate=0.1, start_date="2025-01-01", end_date="2025-01-31",
+                 background_start_year=2024, preference_start_year=2023)
+    assert corpus.needs_year_cutoff(2024, 2023)
+    assert {r["year"] for r in recommend(papers, prefs, s).collect()} == {2025}
