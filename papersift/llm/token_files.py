@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papersift.llm.common import bounded_batches, column, scratch, texts_of, utf8_values
-from papersift.llm.tokens import END_ID, TextEncoder, default_tokenizer
+from papersift.llm.tokens import END_ID, default_tokenizer, text_encoder
 
 SEQUENCE, BATCH_SEQUENCES = 2048, 256
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -124,7 +124,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, length: in
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder = TextEncoder(path, end_id)
+                encoder = text_encoder(path, end_id)
                 small = encoder.tokenizer.get_vocab_size() <= 1 << 16
                 out = _Writer(folder, context.partitionId(), context.taskAttemptId(), length, pa.uint16() if small else pa.uint32())
             for doc_id, text in zip(column(batch, "doc_id").to_pylist(), utf8_values(column(batch, "text"))):

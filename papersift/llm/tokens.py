@@ -7,8 +7,10 @@ and its ids are remembered, so frequent runs cost one dictionary look-up.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -39,7 +41,7 @@ def _byte_characters() -> dict[int, str]:
 class TextEncoder:
     """Ids as little-endian unsigned 32-bit bytes.  The two tables are emptied when full, so memory stays bounded."""
 
-    def __init__(self, path: str, end_id: int | None = END_ID, most_runs: int = 400_000, most_pieces: int = 400_000):
+    def __init__(self, path: str, end_id: int | None = END_ID, most_runs: int = 800_000, most_pieces: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,8 +59,8 @@ class TextEncoder:
         if ids is None:
             if len(self.pieces) >= self.most_pieces:
                 self.pieces.clear()
-            said = piece.encode().decode("latin-1").translate(self.characters)
-            ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(said)], dtype="<u4").tobytes()
+            said = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.characters)
+            ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(said)]).tobytes()
         return ids
 
     def _run(self, run: bytes) -> bytes:
@@ -78,3 +80,9 @@ class TextEncoder:
             for w in new:
                 self.runs[w] = self._run(w)
         return b"".join(map(self.runs.__getitem__, words)) + self.end
+
+
+@functools.lru_cache(maxsize=2)
+def text_encoder(path: str, end_id: int | None = END_ID) -> TextEncoder:
+    """One encoder for each Python worker, so that the ids it remembers serve all tasks of the worker."""
+    return TextEncoder(path, end_id)
