@@ -3,9 +3,9 @@
 1. A document's set: the distinct 5-word shingles (64-bit hashes) of its text, A-Z lower-cased; fewer words make one
    shingle.  Equal sets are one class, by a pre-aggregated group; only the smallest id of a class goes on.
 2. Forest: TREES signature orders of DEPTH minhash values.  All (tree, signature) rows are sorted by range, so a region
-   of any size is spread evenly, and each row is compared with the next NEIGHBOURS rows whose common prefix has at least
-   LEAST_DEPTH values.  The prefix that counts so grows with the density of its region.  256 one-bit minhash values
-   travel along and drop pairs far below the threshold (4.5 standard errors).
+   of any size is spread evenly, and each row is compared with the NEIGHBOURS rows before it whose common prefix has at
+   least LEAST_DEPTH values.  The prefix that counts so grows with the density of its region.  256 one-bit minhash values
+   travel along, drop pairs far below the threshold (4.5 standard errors) and rank the others.
 3. Full sets are made anew for the documents of some candidate pair only.  They are sorted in a few tree orders and
    adjacent sets are compared exactly; the candidate pairs that are not yet connected are then compared one by one.
 4. Components of the confirmed links.
@@ -30,8 +30,8 @@ from papersift.llm.common import WordHashes, bounded_batches, column, mixed, ngr
 from papersift.llm.components import Union, components
 
 SHINGLE, PERCENT = 5, 85
-TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 16, 10, 3, 4
-CONFIRM_TREES, CONFIRM_NEIGHBOURS = 3, 6
+TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS, NEAREST = 16, 10, 3, 64, 4
+CONFIRM_TREES, CONFIRM_NEIGHBOURS = 3, 12
 SKETCH_BITS = 256
 FILTER_BITS = 1 << 24  # of the fixed-size filter for documents that some candidate pair needs
 _LABEL = 2 * DEPTH
@@ -96,16 +96,28 @@ def _prefix(a: bytes, b: bytes) -> int:
     return n
 
 
-def _neighbours(rows: list[tuple], least: int) -> Iterator[tuple[int, int]]:
-    """Pairs among rows (tree, label, doc_id, sketch as int) that are in forest order."""
-    last: deque = deque(maxlen=NEIGHBOURS)
-    for row in rows:
-        for other in reversed(last):
-            if other[0] != row[0] or _prefix(other[1], row[1]) < LEAST_DEPTH:
-                break
-            if SKETCH_BITS - (other[3] ^ row[3]).bit_count() >= least and other[2] != row[2]:
-                yield min(other[2], row[2]), max(other[2], row[2])
-        last.append(row)
+def _neighbours(rows: list[tuple], least: int, new: int = 0) -> Iterator[tuple[int, int]]:
+    """Pairs among rows (tree, label, doc_id, sketch as int) in forest order whose later row is at place ``new`` or after.
+
+    Of the NEIGHBOURS rows before a row that share LEAST_DEPTH values with it and agree enough, the NEAREST that
+    agree most are taken, and those 1, 2, 4, ... rows away, so that dense regions are also linked across.
+    """
+    common = [0]  # equal values of each row and the one before
+    for x, y in zip(rows, rows[1:]):
+        common.append(_prefix(x[1], y[1]) if x[0] == y[0] else 0)
+    for k in range(max(new, 1), len(rows)):
+        own, found, j = rows[k], [], k
+        sketch = own[3]
+        while j > 0 and k - j < NEIGHBOURS and common[j] >= LEAST_DEPTH:  # prefixes only shrink on the way back
+            j -= 1
+            agree = SKETCH_BITS - (rows[j][3] ^ sketch).bit_count()
+            if agree >= least and rows[j][2] != own[2]:
+                found.append((agree, k - j, rows[j][2]))
+        if len(found) > NEAREST:
+            found.sort(reverse=True)
+            found = found[:NEAREST] + [x for x in found[NEAREST:] if x[1] & (x[1] - 1) == 0]
+        for _, _, other in found:
+            yield min(other, own[2]), max(other, own[2])
 
 
 def candidates(reps: DataFrame) -> DataFrame:
@@ -118,8 +130,8 @@ def candidates(reps: DataFrame) -> DataFrame:
         part, carried, first, seen = TaskContext.get().partitionId(), [], [], set()
         for batch in batches:
             rows = list(zip(column(batch, "tree").to_pylist(), column(batch, "label").to_pylist(), column(batch, "doc_id").to_pylist(), (int.from_bytes(x, "big") for x in column(batch, "sketch").to_pylist())))
-            first = first or rows[:NEIGHBOURS]
-            pairs = set(_neighbours(carried + rows, least)) - seen
+            first += rows[: NEIGHBOURS - len(first)]
+            pairs = set(_neighbours(carried + rows, least, len(carried))) - seen
             seen = pairs if len(seen) > 200_000 else seen | pairs
             carried = (carried + rows)[-NEIGHBOURS:]
             yield _pairs(pairs)
