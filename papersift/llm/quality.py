@@ -111,7 +111,8 @@ class Leader:
 def train(rows: DataFrame, rounds: int = ROUNDS, trainers: int = TRAINERS) -> np.ndarray:
     """Weights from a bounded table of ``text`` and ``y``: BUCKETS values and the intercept."""
     spark = rows.sparkSession
-    dealt = rows.select("text", "y", F.xxhash64("text", "doc_id").alias("h")).repartition(trainers, "h").sortWithinPartitions("h", "text")
+    mixed_up = rows.select("text", "y", F.xxhash64("text", "doc_id").alias("h"))
+    dealt = mixed_up.repartition(trainers).sortWithinPartitions("h", "text")  # in turn, so every trainer gets an equal share
     z, n = np.zeros(BUCKETS + 1, dtype=np.float32), np.zeros(BUCKETS + 1, dtype=np.float32)
     for _ in range(rounds):
         state = spark.sparkContext.broadcast((z, n))
