@@ -80,6 +80,18 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make):
+    """The table that ``make`` gives, kept for all later tasks of this Python worker until another operator asks for
+    its own; so a worker that runs several operators in turn holds one such table at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every bit of a 64-bit value (splitmix)."""
     x = x ^ (x >> np.uint64(30))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papersift.llm.common import bounded_batches, column, stored, texts_of, utf8_values
-from papersift.llm.tokens import END_ID, TextEncoder, default_tokenizer
+from papersift.llm.tokens import END_ID, default_tokenizer, text_encoder
 
 CAPACITY, SHARD_TOKENS = 4096, 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
@@ -107,7 +107,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     path = tokenizer or default_tokenizer()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = TextEncoder(path, end_id), _Shard(capacity, TaskContext.get().partitionId() << 32, with_ids)
+        encoder, shard = text_encoder(path, end_id), _Shard(capacity, TaskContext.get().partitionId() << 32, with_ids)
         for batch in batches:
             for doc_id, text in zip(column(batch, "doc_id").to_pylist(), utf8_values(column(batch, "text"))):
                 ids = encoder.encode(text)

@@ -14,7 +14,6 @@ row; with no labelled rows every score is 0.5; an empty table gives no rows.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papersift.llm.common import bounded_batches, column, held_out, mixed, texts_of, utf8_values
+from papersift.llm.common import bounded_batches, column, held_out, kept, mixed, texts_of, utf8_values
 from papersift.llm.labelled import MOST_ROWS, training_rows
 
 BUCKETS = 1 << 18
@@ -62,10 +61,9 @@ class Words(dict):
         return value
 
 
-@functools.cache
 def _words() -> Words:
     """One table for each Python worker."""
-    return Words()
+    return kept(("quality words",), Words)
 
 
 _KINDS = [np.uint64(0x9E3779B97F4A7C15 * k % 2**64) for k in range(1, 8)]

@@ -7,13 +7,14 @@ and its ids are remembered, so frequent runs cost one dictionary look-up.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 from array import array
 
 import numpy as np
 
+from papersift.llm.common import kept
+
 #: End-of-document id that the token queries append.
 END_ID = 2
 
@@ -41,7 +42,7 @@ def _byte_characters() -> dict[int, str]:
 class TextEncoder:
     """Ids as little-endian unsigned 32-bit bytes.  The two tables are emptied when full, so memory stays bounded."""
 
-    def __init__(self, path: str, end_id: int | None = END_ID, most_runs: int = 800_000, most_pieces: int = 500_000):
+    def __init__(self, path: str, end_id: int | None = END_ID, most_runs: int = 200_000, most_pieces: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -82,7 +83,6 @@ class TextEncoder:
         return b"".join(map(self.runs.__getitem__, words)) + self.end
 
 
-@functools.lru_cache(maxsize=2)
 def text_encoder(path: str, end_id: int | None = END_ID) -> TextEncoder:
     """One encoder for each Python worker, so that the ids it remembers serve all tasks of the worker."""
-    return TextEncoder(path, end_id)
+    return kept(("encoder", path, end_id), lambda: TextEncoder(path, end_id))
