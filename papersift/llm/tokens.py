@@ -42,7 +42,7 @@ def _byte_characters() -> dict[int, str]:
 class TextEncoder:
     """Ids as little-endian unsigned 32-bit bytes.  The two tables are emptied when full, so memory stays bounded."""
 
-    def __init__(self, path: str, end_id: int | None = END_ID, most_runs: int = 200_000, most_pieces: int = 350_000):
+    def __init__(self, path: str, end_id: int | None = END_ID, most_runs: int = 500_000, most_pieces: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
