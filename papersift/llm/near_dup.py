@@ -9,6 +9,9 @@
 3. Full sets are made anew for the documents of some candidate pair only.  They are sorted in a few tree orders and
    adjacent sets are compared exactly; the candidate pairs that are not yet connected are then compared one by one.
 4. Components of the confirmed links.
+5. A pair can be left out only between rows that share LEAST_DEPTH values in some tree, in a region of more than
+   NEAREST + 1 rows.  Every such region that still holds two components is compared whole and exactly, in blocks of
+   bounded size; block pairs inside one component are left out.
 
 Defined results: null or empty text has an empty set and is linked with nothing; a repeated row with the same id is
 the same document; rows with a null id take no part, have a null component and are kept; an empty table gives no rows.
@@ -33,6 +36,8 @@ SHINGLE, PERCENT = 5, 85
 TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS, NEAREST = 16, 10, 3, 64, 4
 CONFIRM_TREES, CONFIRM_NEIGHBOURS = 3, 12
 SKETCH_BITS = 256
+BLOCK = 500_000  # shingles, and ROW for each row, of one block of a region that is compared whole
+ROW = 64
 FILTER_BITS = 1 << 24  # of the fixed-size filter for documents that some candidate pair needs
 _LABEL = 2 * DEPTH
 _SEED = np.random.default_rng(20240)
@@ -192,12 +197,11 @@ def _filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def sets_of(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``doc_id``, ``labels`` and the full set (8 bytes a shingle) of the documents that some pair needs.
+def sets_of(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id``, ``labels`` and the full set (8 bytes a shingle) of the documents ``ids``.
 
     The filter drops most other documents before their sets are made; a join on the ids drops the rest.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     bits = docs.sparkSession.sparkContext.broadcast(_filter(ids))
     hashed = texts_of(docs).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("x"))
 
@@ -261,6 +265,113 @@ def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return known.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def _compare_all(rows: list[tuple], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links among rows (doc_id, component, set) that join two components; all pairs are compared, exactly.
+
+    Sets are held as what differs from a common core, so the pairs of a dense region cost little: with D a set's
+    difference to the core, the difference of two sets has |D| + |E| - 2 |D and E| members, whatever the core.
+    """
+    n = len(rows)
+    sizes = np.array([len(x) for _, _, x in rows])
+    parts = np.array([c for _, c, _ in rows])
+    values, token = np.unique(np.concatenate([x for _, _, x in rows]), return_inverse=True)
+    row = np.repeat(np.arange(n), sizes)
+    counts = np.bincount(token, minlength=len(values))
+    core = np.flatnonzero(2 * counts > n)
+    place = np.full(len(values), -1)
+    place[core] = np.arange(len(core))
+    inside = place[token] >= 0
+    lacks = np.ones((n, len(core)), dtype=bool)  # at most twice as many cells as there are shingles
+    lacks[row[inside], place[token[inside]]] = False
+    lack_row, lack = np.nonzero(lacks)
+    row, token = np.concatenate([row[~inside], lack_row]), np.concatenate([token[~inside], core[lack]])
+    differs = np.bincount(row, minlength=n)
+    shared = np.bincount(token, minlength=len(values))[token] > 1
+    row, token = row[shared], token[shared]
+    by_token, by_row = np.lexsort((row, token)), np.lexsort((token, row))
+    holders = row[by_token]
+    start = np.searchsorted(token[by_token], np.arange(len(values) + 1))
+    own, first = token[by_row], np.searchsorted(row[by_row], np.arange(n + 1))
+    # 100 * intersection >= percent * union, solved for the members that both differences hold
+    need, unit = (100 + percent) * differs - (100 - percent) * sizes, 2 * (100 + percent)
+    least, union, found = need.min(), Union(), []
+    for k in range(n):
+        mine = own[first[k] : first[k + 1]]
+        if need[k] + least > unit * len(mine):
+            continue
+        both = np.concatenate([holders[start[t] : start[t + 1]] for t in mine.tolist()]) if len(mine) else np.empty(0, dtype=np.int64)
+        near = unit * np.bincount(both, minlength=n) >= need[k] + need
+        for j in np.flatnonzero(near & (parts != parts[k])).tolist():
+            if union.join(int(parts[k]), int(parts[j])):
+                found.append((rows[k][0], rows[j][0]))
+    return found
+
+
+def _block_pairs(reps: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """``key, doc_id, component``: the rows of each pair of blocks in which the forest may have left out a link.
+
+    Components of at most a block are dealt whole into a region's blocks, larger ones have blocks of their own, which
+    are not compared with each other.  Regions with the same rows in several trees count once.
+    """
+    rows = reps.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "labels", F.coalesce("component", "doc_id").alias("component"), (F.col("n_shingles") + ROW).alias("weight"))
+    region = ["tree", "value"]
+    trees = rows.select("doc_id", "component", "weight", F.posexplode(F.array(*[F.substring("labels", k * _LABEL + 1, 2 * LEAST_DEPTH) for k in range(TREES)])).alias(*region))
+    sized = trees.groupBy(*region).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.min("doc_id").alias("least"), F.min("component").alias("a"), F.max("component").alias("b"))
+    opened = sized.where((F.col("n") > NEAREST + 1) & (F.col("a") != F.col("b"))).groupBy("n", "x", "least").agg(F.min(F.struct(*region)).alias("r")).select("r.*")
+    opened = stored(opened, "regions")
+    if opened.isEmpty():
+        return None
+    members = stored(trees.join(opened, region), "members")
+    by_part = members.groupBy(*region, "component").agg(F.sum("weight").alias("weight")).withColumn("large", F.col("weight") > BLOCK)
+    blocks_of = (1 + F.floor(F.col("weight") / BLOCK)).cast("long")
+    large = by_part.where("large").select(*region, "component", blocks_of.alias("parts"))
+    small = by_part.where("NOT large").groupBy(*region).agg(F.sum("weight").alias("weight")).select(*region, blocks_of.alias("blocks"))
+    dealt = members.join(large, [*region, "component"], "left").join(small, region, "left")
+    owner = F.when(F.col("parts").isNotNull(), F.col("component")).otherwise(F.lit(-1))
+    number = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(F.pmod(F.xxhash64("component"), "blocks"))
+    # stored, so that a join that one region skews can be split
+    dealt = stored(dealt.select(*region, F.col("parts").isNotNull().alias("large"), owner.alias("owner"), number.alias("number"), "doc_id", "component"), "dealt")
+    block = ["large", "owner", "number"]
+    all_blocks = dealt.select(*region, F.struct(*block).alias("block")).distinct()
+    x, y = all_blocks.withColumnRenamed("block", "p"), all_blocks.withColumnRenamed("block", "q")
+    apart = ~F.col("p.large") | ~F.col("q.large") | (F.col("p.owner") != F.col("q.owner"))
+    pairs = x.join(y, region).where((F.col("p") <= F.col("q")) & apart)
+    sides = pairs.select(*region, F.xxhash64(*region, "p", "q").alias("key"), F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
+    return sides.select(*region, "key", "block.*").join(dealt, [*region, *block]).select("key", "doc_id", "component")
+
+
+def _with_left_out(docs: DataFrame, reps: DataFrame, classes: DataFrame) -> DataFrame:
+    """The components with the links that the forest's neighbourhoods left out."""
+    wanted = _block_pairs(reps, classes)
+    if wanted is None:
+        return classes
+    wanted = stored(wanted, "block-pairs")
+    sets = stored(sets_of(docs, reps, wanted.select("doc_id").distinct()).select("doc_id", "hashes"), "region-sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            found = []
+            for key, doc_id, component, own in zip(*(column(batch, c).to_pylist() for c in ("key", "doc_id", "component", "hashes"))):
+                if key != now and held:
+                    found += _compare_all(held)
+                    held = []
+                now = key
+                held.append((doc_id, component, np.frombuffer(own, dtype="<u8")))
+            yield _links(found)
+        yield _links(_compare_all(held) if held else [])
+
+    rows = wanted.join(sets, "doc_id").select("key", "doc_id", "component", "hashes")
+    more = stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long"), "left-out")
+    if more.isEmpty():
+        return classes
+    return components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id reachable), kept."""
     bounded_batches(docs.sparkSession)
@@ -268,10 +379,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = table.where("doc_id IS NOT NULL AND n_shingles > 0")
     reps = stored(own.groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("doc_id"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch")), "classes")
     pairs = stored(candidates(reps), "candidates")
-    sets = stored(sets_of(docs, reps, pairs), "sets")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = stored(sets_of(docs, reps, ids), "sets")
     near = stored(_confirm_near(sets), "near-links")
     rest = _confirm_pairs(_apart(pairs, components(near)), sets)
-    classes = components(near.union(rest))
+    classes = _with_left_out(docs, reps, components(near.union(rest)))
     # an id may have several rows with different texts; its classes are then one
     same = own.select("doc_id", "n_shingles", "digest").join(reps.select("n_shingles", "digest", F.col("doc_id").alias("rep")), ["n_shingles", "digest"])
     found = same.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))

@@ -123,3 +123,31 @@ def test_filter_holds_every_id(spark):
     bits = near_dup._filter(ids)
     x = np.array([r[0] for r in ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(near_dup.FILTER_BITS))).collect()])
     assert ((bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1).all()
+
+
+def test_region_just_below_the_threshold(spark):
+    """5,000 texts of one template, every pair at 84 %, that hold 40 pairs at 86.5 %; and random edits of a template."""
+    base, rows = prose(60, 256), []
+    for k in range(5000):  # 252 common shingles and 24 of each text's own
+        rows.append((k, base + " " + " ".join(f"t{k}x{i}" for i in range(24))))
+    for k in range(40):
+        head = rows[k * 61][1].split()[:260]
+        rows[4999 - k * 61] = (4999 - k * 61, " ".join(head + [f"s{k}x{i}" for i in range(20)]))
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(documents(spark, rows).repartition(5)).collect()}
+    assert got == {i: i for i, _ in rows} | {4999 - k * 61: k * 61 for k in range(40)}
+
+
+def test_whole_regions_are_compared_exactly(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 20_000)  # several blocks
+    base = prose(61, 220)
+    check(spark, [(k, edited(base, 100 + k, 1 + k % 5)) for k in range(700)])
+    words = WordHashes()
+    sets = [near_dup.shingles(edited(base, 900 + k, 1 + k % 6).encode(), words) for k in range(120)]
+    links = [(i, j) for i in range(120) for j in range(i) if near_dup.linked(sets[i], sets[j])]
+    want, got = near_dup.Union(), near_dup.Union()
+    for a, b in links:
+        want.join(a, b)
+    for a, b in near_dup._compare_all([(k, k, x) for k, x in enumerate(sets)]):
+        assert near_dup.linked(sets[a], sets[b])
+        got.join(a, b)
+    assert [want.root(k) for k in range(120)] == [got.root(k) for k in range(120)] and len({want.root(k) for k in range(120)}) > 1
