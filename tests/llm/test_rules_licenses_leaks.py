@@ -142,3 +142,30 @@ def test_several_blocks_of_items(spark, monkeypatch):
     got = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, spark.createDataFrame(items, ITEMS)).collect()}
     assert got == {(k, k % 40) for k in range(80)}
     assert docs.where(F.col("doc_id") < 0).count() == decontaminate.without_leaks(docs, spark.createDataFrame(items, ITEMS)).count()
+
+
+def test_short_items_in_text_dense_in_benchmark_words(spark):
+    """Lists of short items, and short items among words of other items: every item whose words stand in a row is found."""
+    pool, r = prose(800, 400).split(), random.Random(8)
+    pool = sorted(set(pool))
+    items = [(k, " ".join(r.sample(pool, r.randint(4, 8)))) for k in range(200)]
+    texts = [" ".join(t for _, t in r.sample(items, 40)) for _ in range(20)]  # lists
+    for k in range(60):  # one item inside other benchmark words
+        words = [r.choice(pool) for _ in range(200)]
+        at = r.randrange(180)
+        texts.append(" ".join(words[:at] + [items[k][1]] + words[at:]))
+    for k in range(60, 100):  # one word of it changed
+        words, own = [r.choice(pool) for _ in range(120)], items[k][1].split()
+        own[len(own) // 2] = "changed"
+        texts.append(" ".join(words[:50] + own + words[50:]))
+    rows = [(k, t) for k, t in enumerate(texts)]
+    want = {(i, k) for i, t in rows for k, item in items if f" {item} " in f" {t} "}
+    docs, benchmark = documents(spark, rows + [(1000 + k, prose(900 + k, 100)) for k in range(20)]), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.matches(docs, benchmark).collect()}
+    assert want <= got
+    for i, k in got - want:  # only what the longest common subsequence of some window confirms
+        own, words, half = items[k][1].split(), texts[i].split(), -(-len(items[k][1].split()) // 2)
+        wide = any(lcs(own, words[a : a + 96]) >= 0.6 * len(own) for a in range(0, len(words), 32))
+        assert wide
+    assert len([1 for i, k in got if 80 <= i < 120 and k == i - 20 and len(items[k][1].split()) >= 5]) >= 30  # the edited copies
+    assert {x.doc_id for x in decontaminate.without_leaks(docs, benchmark).collect()} >= set(range(1000, 1020))
