@@ -14,6 +14,10 @@ from papersift.llm import decontaminate, near_dup, packing, quality, quality_rul
 from papersift.llm.common import stored
 
 
+#: Pairs that share this part (percent) of their 5-word shingles, or more, are duplicates.
+NEAR_PERCENT = 80
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,7 +31,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dup.one_of_each(docs)
+    return near_dup.one_of_each(docs, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,9 +125,9 @@ def _neighbours(rows: list[tuple], least: int, new: int = 0) -> Iterator[tuple[i
             yield min(other, own[2]), max(other, own[2])
 
 
-def candidates(reps: DataFrame) -> DataFrame:
+def candidates(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Distinct pairs (a, b), a < b, of ``doc_id, labels, sketch`` rows that are neighbours in some tree."""
-    least = least_agreement()
+    least = least_agreement(percent)
     trees = reps.select("doc_id", "sketch", F.posexplode(F.array(*[F.substring("labels", k * _LABEL + 1, _LABEL) for k in range(TREES)])).alias("tree", "label"))
     order = ["tree", "label", "doc_id"]
 
@@ -219,7 +219,7 @@ def sets_of(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
     return made.join(wanted, "doc_id").dropDuplicates(["doc_id"])
 
 
-def _confirm_near(sets: DataFrame) -> DataFrame:
+def _confirm_near(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (u, v) between sets that are close in one of a few tree orders, compared exactly."""
     rows = sets.select("doc_id", "hashes", F.posexplode(F.array(*[F.substring("labels", k * _LABEL + 1, _LABEL) for k in range(CONFIRM_TREES)])).alias("tree", "label"))
     order = ["tree", "label", "doc_id"]
@@ -233,7 +233,7 @@ def _confirm_near(sets: DataFrame) -> DataFrame:
                 for other in reversed(last):
                     if other[0] != tree or _prefix(other[1], label) < LEAST_DEPTH:
                         break
-                    if union.root(other[2]) != union.root(doc_id) and linked(other[3], own):
+                    if union.root(other[2]) != union.root(doc_id) and linked(other[3], own, percent):
                         union.join(other[2], doc_id)
                         found.append((doc_id, other[2]))
                 last.append((tree, label, doc_id, own))
@@ -244,13 +244,13 @@ def _confirm_near(sets: DataFrame) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "u long, v long")
 
 
-def _confirm_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a")
     both = x.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [linked(np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")) for x, y in zip(column(batch, "x").to_pylist(), column(batch, "y").to_pylist())]
+            keep = [linked(np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8"), percent) for x, y in zip(column(batch, "x").to_pylist(), column(batch, "y").to_pylist())]
             batch = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([column(batch, "b"), column(batch, "a")], names=["u", "v"])
 
@@ -340,7 +340,7 @@ def _block_pairs(reps: DataFrame, classes: DataFrame) -> DataFrame | None:
     return sides.select(*region, "key", "block.*").join(dealt, [*region, *block]).select("key", "doc_id", "component")
 
 
-def _with_left_out(docs: DataFrame, reps: DataFrame, classes: DataFrame) -> DataFrame:
+def _with_left_out(docs: DataFrame, reps: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The components with the links that the forest's neighbourhoods left out."""
     wanted = _block_pairs(reps, classes)
     if wanted is None:
@@ -354,12 +354,12 @@ def _with_left_out(docs: DataFrame, reps: DataFrame, classes: DataFrame) -> Data
             found = []
             for key, doc_id, component, own in zip(*(column(batch, c).to_pylist() for c in ("key", "doc_id", "component", "hashes"))):
                 if key != now and held:
-                    found += _compare_all(held)
+                    found += _compare_all(held, percent)
                     held = []
                 now = key
                 held.append((doc_id, component, np.frombuffer(own, dtype="<u8")))
             yield _links(found)
-        yield _links(_compare_all(held) if held else [])
+        yield _links(_compare_all(held, percent) if held else [])
 
     rows = wanted.join(sets, "doc_id").select("key", "doc_id", "component", "hashes")
     more = stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long"), "left-out")
@@ -372,18 +372,19 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable), kept."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable), kept.  Sets that share
+    ``percent`` of their union are linked."""
     bounded_batches(docs.sparkSession)
     table = stored(signed(docs), "signed")
     own = table.where("doc_id IS NOT NULL AND n_shingles > 0")
     reps = stored(own.groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("doc_id"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch")), "classes")
-    pairs = stored(candidates(reps), "candidates")
+    pairs = stored(candidates(reps, percent), "candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = stored(sets_of(docs, reps, ids), "sets")
-    near = stored(_confirm_near(sets), "near-links")
-    rest = _confirm_pairs(_apart(pairs, components(near)), sets)
-    classes = _with_left_out(docs, reps, components(near.union(rest)))
+    near = stored(_confirm_near(sets, percent), "near-links")
+    rest = _confirm_pairs(_apart(pairs, components(near)), sets, percent)
+    classes = _with_left_out(docs, reps, components(near.union(rest)), percent)
     # an id may have several rows with different texts; its classes are then one
     same = own.select("doc_id", "n_shingles", "digest").join(reps.select("n_shingles", "digest", F.col("doc_id").alias("rep")), ["n_shingles", "digest"])
     found = same.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
@@ -393,8 +394,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows, with all their columns, of one document of each group: the smallest id.  Rows without id stay."""
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
     return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))

@@ -151,3 +151,33 @@ def test_whole_regions_are_compared_exactly(spark, monkeypatch):
         assert near_dup.linked(sets[a], sets[b])
         got.join(a, b)
     assert [want.root(k) for k in range(120)] == [got.root(k) for k in range(120)] and len({want.root(k) for k in range(120)}) > 1
+
+
+def test_pipeline_stage_links_from_80_percent(spark):
+    import corpus_pipeline
+
+    rows = []
+    for k, own in enumerate((0, 0, 26, 34)):  # 252 common shingles: 252 / (252 + 2 * own) is 83 % and 79 %
+        rows += [(2 * k + j, f"{k} " * 5 + prose(70 + k, 251) + " " + " ".join(f"t{k}x{j}x{i}" for i in range(own))) for j in (0, 1)]
+    docs = documents(spark, rows)
+    sets = {i: shingles(t) for i, t in rows}
+    share = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in (4, 6)]
+    assert 0.80 <= share[0] < 0.85 and share[1] < 0.80
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {0, 2, 4, 6, 7}
+    assert {r.doc_id for r in near_dup.one_of_each(docs).collect()} == {0, 2, 4, 5, 6, 7}
+
+
+def test_recall_at_80_percent():
+    """Pairs from 80 to 85 %: the forest's and the sketch's miss rates."""
+    words, missed, tried = WordHashes(), 0, 0
+    for k in range(300):
+        a = prose(k, 300)
+        x, y = (near_dup.shingles(f"{a} {prose(10_000 * j + k, 30 + k % 7)}".encode(), words) for j in (1, 2))
+        if not near_dup.linked(x, y, 80) or near_dup.linked(x, y, 85):
+            continue
+        (la, sa), (lb, sb) = near_dup.signature(x), near_dup.signature(y)
+        depth = max(near_dup._prefix(la[t : t + 20], lb[t : t + 20]) for t in range(0, len(la), 20))
+        agree = 256 - (int.from_bytes(sa, "big") ^ int.from_bytes(sb, "big")).bit_count()
+        tried += 1
+        missed += depth < near_dup.LEAST_DEPTH or agree < near_dup.least_agreement(80)
+    assert tried > 200 and missed / tried < 0.01
