@@ -4,12 +4,13 @@
    element, whose own words are the page's content), ``chrome`` (menus, headers, footers, sidebars, notices, adverts,
    forms, comments, never content) or ``open`` (neither; markup does not tell).
 2. The token streams of the open blocks of a host's pages are concatenated, a separator after each block, and a suffix
-   array with its common prefixes shows every run of at least RUN tokens, or whole block, that occurs on two distinct
-   pages or more.  Covered words are boilerplate; the unique runs between them are kept.
-3. A page's text is its article blocks and the unique runs of its open blocks, in page order.
+   array with its common prefixes shows every run of at least RUN tokens, or whole shorter block, that occurs on
+   PAGES_SHARE of the host's distinct pages, and on two at least.  Covered words are boilerplate; the runs between them
+   are kept.
+3. A page's text is its article blocks and the uncovered runs of its open blocks, in page order.
 
-Scale: a host's pages are dealt into shards of bounded size, so a host may hold any share of all pages; what shards see
-only once each is compared across shards by the hash of its run, so the result doesn't depend on the dealing.
+Scale: a host's pages are dealt into shards of bounded size, so a host may hold any share of all pages; the pages that
+shards count for a run are added up across shards by the hash of the run, so the result doesn't depend on the dealing.
 
 Defined results: null or empty html gives an empty text; a null or odd url belongs to the host ''; repeated rows are
 parsed row by row, and rows with the same page_id and url count as one page when runs are compared; an empty table gives no
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 from papersift.llm.common import bounded_batches, column, stored
 
-RUN = 6
+RUN = 20  # phrases of a few words recur on any large host
+PAGES_SHARE = 0.05
 SHARD_TOKENS = 400_000
 
 # Element names and words of class or id attributes, by what they hold.
@@ -206,16 +208,16 @@ def _stream(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _repeated(tokens: np.ndarray, pages: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every place, whether the run it needs occurs on another page too, and a hash of that run."""
+    """For every place, the number of distinct pages that hold the run it needs, and a hash of that run."""
     order, common = suffix_array(tokens)
-    found = np.zeros(len(tokens), dtype=bool)
+    found = np.zeros(len(tokens), dtype=np.int64)
+    names, page = np.unique(pages, return_inverse=True)
+    back = np.argsort(order)
     for length in np.unique(need[need > 0]).tolist():
-        group = np.cumsum(common < length)[np.argsort(order)]  # places whose next ``length`` tokens are equal
-        wanted = need == length
-        least, most = np.full(group.max() + 1, np.iinfo(np.int64).max), np.full(group.max() + 1, np.iinfo(np.int64).min)
-        np.minimum.at(least, group[wanted], pages[wanted])
-        np.maximum.at(most, group[wanted], pages[wanted])
-        found |= wanted & (least[group] < most[group])
+        group = np.cumsum(common < length)[back]  # places whose next ``length`` tokens are equal
+        wanted = np.flatnonzero(need == length)
+        held = np.unique(group[wanted] * len(names) + page[wanted]) // len(names)
+        found[wanted] = np.bincount(held, minlength=group.max() + 1)[group[wanted]]
     hashes = np.zeros(len(tokens), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(RUN + 1):
@@ -224,27 +226,28 @@ def _repeated(tokens: np.ndarray, pages: np.ndarray, need: np.ndarray) -> tuple[
     return found, hashes
 
 
-RUNS = "row long, host string, shard long, place int, run long, repeated boolean"
+RUNS = "row long, host string, shard long, place int, run long, pages long, needed long, repeated boolean"
 
 
 def host_runs(open_blocks: DataFrame) -> DataFrame:
-    """Places where a run starts that occurs on two pages of the host: row, place (in the page's own open tokens)."""
+    """Places where a run starts: row, place (in the page's own open tokens), the shard's pages that hold the run, and
+    whether these are enough.  A host of one shard has rows for runs on enough pages only."""
     tokens = F.aggregate("texts", F.lit(0), lambda n, t: n + F.size(F.split(t, " ")) + 1)
-    sized = open_blocks.withColumn("tokens", tokens)
-    shards = sized.groupBy("host").agg((1 + F.floor(F.sum("tokens") / SHARD_TOKENS)).cast("long").alias("shards"))
-    page = F.xxhash64("page_id", "url")
+    sized = open_blocks.withColumn("tokens", tokens).withColumn("page", F.xxhash64("page_id", "url"))
+    needed = F.greatest(F.lit(2), F.ceil(PAGES_SHARE * F.count_distinct("page"))).cast("long")
+    shards = sized.groupBy("host").agg((1 + F.floor(F.sum("tokens") / SHARD_TOKENS)).cast("long").alias("shards"), needed.alias("needed"))
     # one row per host; AQE splits the join where a host holds a large share of the pages
-    dealt = sized.join(shards, "host").select("row", "host", "shards", "texts", page.alias("page"), F.pmod(page, F.col("shards")).alias("shard"))
+    dealt = sized.join(shards, "host").select("row", "host", "shards", "needed", "texts", "page", F.pmod("page", F.col("shards")).alias("shard"))
     rows = dealt.repartition("host", "shard").sortWithinPartitions("host", "shard", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for row, host, shards, shard, page, texts in zip(*(column(batch, c).to_pylist() for c in ("row", "host", "shards", "shard", "page", "texts"))):
+            for row, host, shards, needed, shard, page, texts in zip(*(column(batch, c).to_pylist() for c in ("row", "host", "shards", "needed", "shard", "page", "texts"))):
                 if now is not None and now[:2] != (host, shard):
                     yield _runs_of(now, held)
                     held = []
-                now = (host, shard, shards)
+                now = (host, shard, shards, needed)
                 held.append((row, page, texts))
         if now is not None:
             yield _runs_of(now, held)
@@ -253,15 +256,19 @@ def host_runs(open_blocks: DataFrame) -> DataFrame:
 
 
 def _runs_of(shard: tuple, held: list[tuple]) -> pa.RecordBatch:
-    host, number, shards = shard
+    host, number, shards, needed = shard
     tokens, pages, need = _stream([(page, texts) for _, page, texts in held])
     found, hashes = _repeated(tokens, pages, need)
     sizes = [sum(len(t.split(" ")) + 1 for t in texts) for _, _, texts in held]
     row = np.repeat(np.array([r for r, _, _ in held], dtype=np.int64), sizes)
     place = np.arange(len(tokens)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
-    # with several shards, what is seen once here may be seen in another; a host of one shard only reports repeats
-    use = np.flatnonzero(found if shards == 1 else need > 0)
-    return pa.RecordBatch.from_arrays([pa.array(row[use]), pa.array([host] * len(use), pa.string()), pa.array(np.full(len(use), number, dtype=np.int64)), pa.array(place[use].astype(np.int32)), pa.array(hashes[use].view(np.int64)), pa.array(found[use])], names=["row", "host", "shard", "place", "run", "repeated"])
+    # with several shards, what is on too few pages here may be on enough with those of another
+    use = np.flatnonzero(found >= needed if shards == 1 else need > 0)
+    n = len(use)
+    return pa.RecordBatch.from_arrays([
+        pa.array(row[use]), pa.array([host] * n, pa.string()), pa.array(np.full(n, number, dtype=np.int64)), pa.array(place[use].astype(np.int32)),
+        pa.array(hashes[use].view(np.int64)), pa.array(found[use]), pa.array(np.full(n, needed, dtype=np.int64)), pa.array(found[use] >= needed),
+    ], names=["row", "host", "shard", "place", "run", "pages", "needed", "repeated"])
 
 
 def _kept(places: list[int], texts: list[str], starts: list[int] | None) -> str:
@@ -291,9 +298,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     own = F.transform(F.filter(F.arrays_zip("places", "texts"), lambda b: b["places"] == OPEN), lambda b: b["texts"])
     open_blocks = table.select("row", "page_id", "url", "host", own.alias("texts")).where(F.size("texts") > 0)
     runs = stored(host_runs(open_blocks), "host-runs")
-    across = runs.where("NOT repeated").groupBy("host", "run").agg(F.min("shard").alias("a"), F.max("shard").alias("b")).where("a <> b").select("host", "run")
-    seen = runs.where("repeated").select("host", "run").distinct()  # repeated in one shard, single in another
-    more = runs.where("NOT repeated").join(across.union(seen).distinct(), ["host", "run"]).select("row", "place")
+    # a page lies in one shard, so the pages of a run's shards add up; hosts of one shard have repeated runs only
+    counted = runs.groupBy("host", "run", "shard").agg(F.max("pages").alias("pages"), F.max("needed").alias("needed"))
+    across = counted.groupBy("host", "run").agg(F.sum("pages").alias("pages"), F.max("needed").alias("needed")).where("pages >= needed").select("host", "run")
+    more = runs.where("NOT repeated").join(across, ["host", "run"]).select("row", "place")
     starts = runs.where("repeated").select("row", "place").union(more).groupBy("row").agg(F.collect_list("place").alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,3 +127,17 @@ def test_suffix_array_against_all_windows(spark, monkeypatch):
 
 def test_no_pages(spark):
     assert html_text.main_text(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_prose_on_a_large_host_stays_whole(spark, monkeypatch):
+    """2,000 pages without article: common phrases, and a passage that three pages quote, are no boilerplate."""
+    import random
+
+    r = random.Random(12)
+    phrases, quote, menu = [prose(2000 + k, 8) for k in range(150)], prose(3000, 40), prose(3001, 25)
+    bodies = {k: [" ".join(r.sample(phrases, 4) + [prose(4000 + k, 6)]) for _ in range(3)] + ([quote] if k in (3, 700, 1900) else []) for k in range(2000)}
+    rows = [(k, f"http://big.example/{k}", f"<div>Home and search</div><div>{menu}</div>" + "".join(f"<p>{b}</p>" for b in body)) for k, body in bodies.items()]
+    for shard in (400_000, 20_000):
+        monkeypatch.setattr(html_text, "SHARD_TOKENS", shard)
+        got = run(spark, rows)
+        assert {k: got[k, f"http://big.example/{k}"][0] for k in bodies} == {k: "\n\n".join(body) for k, body in bodies.items()}
