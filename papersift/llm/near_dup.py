@@ -140,8 +140,9 @@ def candidates(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
             seen = pairs if len(seen) > 200_000 else seen | pairs
             carried = (carried + rows)[-NEIGHBOURS:]
             yield _pairs(pairs)
-        # rows at both ends of the partition, for the pairs across its borders
-        yield _ends(part, first, carried)
+        # rows at both ends of the partition that share enough with its outermost row, for the pairs across its borders
+        region = lambda r: (r[0], r[1][: 2 * LEAST_DEPTH])
+        yield _ends(part, [r for r in first if region(r) == region(first[0])], [r for r in carried if region(r) == region(carried[-1])])
 
     made = trees.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long, border int, tree int, label binary, doc_id long, sketch binary")
     made = stored(made, "forest")
