@@ -181,3 +181,16 @@ def test_recall_at_80_percent():
         tried += 1
         missed += depth < near_dup.LEAST_DEPTH or agree < near_dup.least_agreement(80)
     assert tried > 200 and missed / tried < 0.01
+
+
+def test_given_table_against_brute_force_at_80_percent(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    ids, union = sorted(sets), near_dup.Union()
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            a, b = sets[i], sets[j]
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                union.join(i, j)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, 80).collect()}
+    assert got == {i: union.root(i) for i in ids}
