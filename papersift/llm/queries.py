@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papersift.llm import chat, decontaminate, html_text, licenses, near_dup, packing, quality, quality_rules, token_files, toxicity
+from papersift.llm import chat, decontaminate, exact_dup, html_text, licenses, near_dup, packing, quality, quality_rules, spelling, token_files, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 OP9_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d),
@@ -99,5 +111,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_token_files, op4_near_dup, op5_chat, op6_html_text, op7_toxicity, op8_licenses, op9_quality_rules, op10_decontaminate)}
-ORACLES = {"op9_quality_rules": OP9_SQL}
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_token_files, op4_near_dup, op5_chat, op6_html_text, op7_toxicity, op8_licenses, op9_quality_rules, op10_decontaminate, op11_spelling, op12_exact_dup, op13_whitening)}
+ORACLES = {"op9_quality_rules": OP9_SQL, "op12_exact_dup": OP12_SQL}
