@@ -1,26 +1,22 @@
 """Token trees to Markdown as a Spark job: B0-B16.
 
-*Flatten* (B0): each document's JSON is expanded into a block table in one
-narrow pass of chained steps (an open node becomes a closed block with compact
-attributes, its children become open nodes; no shuffle, nothing stored per
-level).  A block's ``path`` is its position from the root: segments of one
-slot letter (``a`` title list, ``c`` content list, ``r`` table rows) and a
-10-digit position, joined by ``/``, so sorting paths gives document order.
-While expanding, every block learns whether the renderer actually visits it
-(``live``) and under which options (``ir`` ignore references, ``ce`` clean
-equations; some edges turn them off, see B16).
-
-*Render*: bottom-up, deepest level first.  A level's blocks are joined with
-the ordered concatenation of their children's Markdown (one aggregate per
-parent), and each block type's rule is a column expression.  There is no
-recursion in Python and no UDF; a document is a unit of work, so a large
-corpus spreads over all tasks.
-
-Footnotes (B7) are numbered in document order and listed at the end in the
-order their text is completed.  Repeated titles (B1) are found before anything
-that holds them is rendered: title subtrees are rendered on their own first, and
-a title whose text an earlier one of the document has is rendered as nothing.
-A title inside a title is compared by its whole text.
+A document is a unit of work.  The only exchange deals the documents out; all that follows stays in its partition.
+
+*Flatten* (B0): a fold expands a document's JSON one tree level after the other (open nodes become blocks with compact
+attributes, their children are the next open nodes) until none is open, to any depth.  The result is one row per block.
+A block's ``path`` is its position from the root: segments of one slot letter (``a`` title list, ``c`` content list,
+``r`` table rows) and a 10-digit position, joined by ``/``, so sorting paths gives document order.  Every block knows
+whether the renderer visits it (``live``) and under which options (``ir`` ignore references, ``ce`` clean equations;
+some edges turn them off, see B16).
+
+*Render*: prefix counts number the footnotes (B7) and titles in document order and tell each block where its children
+stand in the next level.  Then one grouped aggregate collects a document's levels, and a fold renders them, deepest
+first: a block gets the slice of its rendered children, and each block type's rule is a column expression.  The work is
+in proportion to the blocks.  Footnote texts are listed at the end in the order they are completed.  Repeated titles
+(B1): a first fold renders the title subtrees alone, and a title whose text an earlier one of the document has is
+rendered as nothing in the second.  A title inside a title is compared by its whole text.
+
+Rows with the same or no document id are documents of their own.
 """
 
 from __future__ import annotations
@@ -28,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papersift.session import LevelCache, materialize, spread
+from papersift.functions.text import clean_equation
+from papersift.session import spread
 
 NODE_SCHEMA = (
     "struct<type:string,content:array<string>,title:array<string>,level:int,numbering:string,"
@@ -98,7 +95,7 @@ def _attr_columns(kind: Column, a: Column, b: Column, node: Column) -> dict:
     as text).  The subtree JSON is not kept, except where a rule prints it:
     tables shown as JSON, and plain-text table cells."""
     content = a["content"]
-    first = F.element_at(content, 1)
+    first = F.get(content, F.lit(0))
     tabular = F.from_json(first, "struct<tabular:array<string>>")["tabular"]
     table_mode = F.when(kind != "table", F.lit(None)).when(
         content.isNull() | (F.size(content) == 0) | F.get_json_object(first, "$.tabular").isNull()
@@ -131,7 +128,7 @@ def _child_lists(kind: Column, a: Column, node: Column, live: Column, ir: Column
     k = kind
     content, title = a["content"], a["title"]
     as_list = F.from_json(node, "array<string>")
-    tabular = F.from_json(F.element_at(content, 1), "struct<tabular:array<string>>")["tabular"]
+    tabular = F.from_json(F.get(content, F.lit(0)), "struct<tabular:array<string>>")["tabular"]
     off = F.lit(False)
     return F.array(
         # title lists: section (content rules, ir kept), citation and url (references always kept)
@@ -155,141 +152,121 @@ def _child_lists(kind: Column, a: Column, node: Column, live: Column, ir: Column
     )
 
 
-def _step_exprs() -> list:
-    """The projections of one expansion step, built once and applied per step.
-
-    Every open node becomes a closed block (attributes computed, JSON dropped)
-    followed by its children as open nodes; closed blocks pass through.  Narrow
-    projections and an explode: no shuffle."""
-    a, b = F.col("_a"), F.col("_b")
-    is_open = F.col("open")
-    parse = ["*",
-             F.when(is_open, F.from_json(F.col("node"), NODE_SCHEMA)).alias("_a"),
-             F.when(is_open, F.from_json(F.col("node"), TEXT_SCHEMA)).alias("_b")]
-    kind = F.coalesce(F.col("pkind"), a["type"], F.lit("None"))
-    key = ["*", F.when(is_open, kind).otherwise(F.col("kind")).alias("_k")]
-    k = F.col("_k")
-    fresh = _attr_columns(k, a, b, F.col("node"))
-    # A top-level text token is skipped; a command token is never rendered.
-    live = F.col("live") & (k != "command") & ~(F.col("top") & (k == "text"))
-    close = [*[c for c in POSITION if c != "live"],
-             F.when(is_open, live).otherwise(F.col("live")).alias("live"),
-             "open", "node", "_a",
-             *[F.when(is_open, fresh[n]).otherwise(F.col(n)).cast(t).alias(n) for n, t in ATTRS]]
-
-    def block(**over):
-        cols = [(over[c] if c in over else F.col(c)).alias(c) for c in POSITION + ["open", "node"]]
-        cols += [(over[n] if n in over else F.col(n)).cast(t).alias(n) for n, t in ATTRS]
-        return F.struct(*cols)
-
-    self_block = block(open=F.lit(False), node=F.lit(None).cast("string"))
-    specs = _child_lists(F.col("kind"), F.col("_a"), F.col("node"), F.col("live"), F.col("ir"), F.col("ce"),
-                         F.col("cap_pos"), F.col("table_mode"), F.col("typ"))
-    nulls = {n: F.lit(None).cast(t) for n, t in ATTRS}
-
-    def children_of(s):
-        def child(e, i):
-            keep = (s["only_pos"] == -1) | (i + 1 == s["only_pos"])
-            return block(
-                path=F.concat(F.col("path"), F.lit("/"), s["slot"], F.lpad(i.cast("string"), DIGITS, "0")),
-                parent_path=F.col("path"), ptype=F.col("kind"), depth=F.col("depth") + 1, slot=s["slot"],
-                pkind=s["pkind"], ir=s["ir"], ce=s["ce"], live=s["live"] & keep, top=F.lit(False),
-                in_title=F.col("in_title") | F.coalesce(F.col("kind") == "title", F.lit(False)),
-                open=F.lit(True), node=e, **nulls)
-        return F.transform(s["arr"], child)
-
-    kids = F.flatten(F.transform(F.filter(specs, lambda s: s.isNotNull() & s["arr"].isNotNull()), children_of))
-    out = F.when(is_open, F.concat(F.array(self_block), kids)).otherwise(F.array(self_block))
-    return [parse, key, close, [F.explode(out).alias("r")], ["r.*"]]
-
-
-def _step(rows: DataFrame, ex: list | None = None) -> DataFrame:
-    for cols in ex or _step_exprs():
-        rows = rows.select(*cols)
-    return rows
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def flatten(docs: DataFrame, ignore_reference: bool = False, clean_equations: bool = False,
-            doc_col: str = "doc_id", json_col: str = "json", steps_per_pass: int = 3) -> DataFrame:
-    """One row per block of every document, with compact attributes.
+OPEN = ("struct<path:string,parent_path:string,ptype:string,depth:int,slot:string,pkind:string,ir:boolean,ce:boolean,"
+        "live:boolean,top:boolean,in_title:boolean,node:string>")
+BLOCK = OPEN.removesuffix(",node:string>") + "," + ",".join(f"{n}:{t}" for n, t in ATTRS) + ",n_kids:int>"
+LEVELS = f"struct<levels:array<array<{BLOCK}>>,open:array<{OPEN}>>"
 
-    The tree is expanded in one narrow pass of ``steps_per_pass`` chained steps
-    (no shuffle, nothing stored per level, each node parsed once); the result is
-    checkpointed once.  Nodes deeper than one pass stay open and get another pass, to any depth.
-    """
-    docs = spread(docs, doc_col)
-    tokens = F.from_json(F.col(json_col), "struct<tokens:array<string>>")["tokens"]
-    root = docs.select(F.col(doc_col).alias("doc_id"),
-                       F.posexplode(F.coalesce(tokens, F.array().cast("array<string>"))).alias("pos", "node"))
-    rows = root.select(
-        "doc_id", F.concat(F.lit("c"), F.lpad(F.col("pos").cast("string"), DIGITS, "0")).alias("path"),
-        F.lit("").alias("parent_path"), F.lit("root").alias("ptype"), F.lit(0).alias("depth"),
-        F.lit("c").alias("slot"), F.lit(None).cast("string").alias("pkind"),
-        F.lit(ignore_reference).alias("ir"), F.lit(clean_equations).alias("ce"),
-        F.lit(True).alias("live"), F.lit(True).alias("top"), F.lit(False).alias("in_title"), F.lit(True).alias("open"), "node",
-        *[F.lit(None).cast(t).alias(n) for n, t in ATTRS])
-    done = None
-    ex = _step_exprs()
-    while True:
-        for _ in range(steps_per_pass):
-            rows = _step(rows, ex)
-        rows = materialize(rows, "render-blocks")
-        closed = rows.where(~F.col("open")).select(*BLOCK_COLUMNS)
-        done = closed if done is None else done.unionByName(closed)
-        rows = rows.where(F.col("open"))
-        if rows.limit(1).count() == 0:
-            return done
 
+def _closed(open_nodes: Column, unvisited: bool) -> Column:
+    """Each open node as its block and its children, which are open."""
+    def parsed(o):
+        a, b = F.from_json(o["node"], NODE_SCHEMA), F.from_json(o["node"], TEXT_SCHEMA)
+        return F.struct(o.alias("o"), a.alias("a"), b.alias("b"), F.coalesce(o["pkind"], a["type"], F.lit("None")).alias("k"))
 
-# ---------------------------------------------------------------- render
+    def described(x):
+        o, k = x["o"], x["k"]
+        # A top-level text token is skipped; a command token is never rendered.
+        live = o["live"] & (k != "command") & ~(o["top"] & (k == "text"))
+        attrs = _attr_columns(k, x["a"], x["b"], o["node"])
+        return F.struct(o.alias("o"), x["a"].alias("a"), live.alias("live"), F.struct(*[attrs[n].cast(t).alias(n) for n, t in ATTRS]).alias("attrs"))
 
+    def with_children(y):
+        o, at, live = y["o"], y["attrs"], y["live"]
+        specs = _child_lists(at["kind"], y["a"], o["node"], live, o["ir"], o["ce"], at["cap_pos"], at["table_mode"], at["typ"])
+        in_title = o["in_title"] | F.coalesce(at["kind"] == "title", F.lit(False))
 
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+        def children_of(s):
+            def child(e, i):
+                keep = (s["only_pos"] == -1) | (i + 1 == s["only_pos"])
+                path = F.concat(o["path"], F.lit("/"), s["slot"], F.lpad(i.cast("string"), DIGITS, "0"))
+                return F.struct(
+                    path.alias("path"), o["path"].alias("parent_path"), at["kind"].alias("ptype"), (o["depth"] + 1).alias("depth"),
+                    s["slot"].alias("slot"), s["pkind"].alias("pkind"), s["ir"].alias("ir"), s["ce"].alias("ce"), (s["live"] & keep).alias("live"),
+                    F.lit(False).alias("top"), in_title.alias("in_title"), e.alias("node"))
+            return F.transform(s["arr"], child)
 
+        kids = F.flatten(F.transform(F.filter(specs, lambda s: s.isNotNull() & s["arr"].isNotNull()), children_of))
+        if not unvisited:
+            kids = F.when(live, kids).otherwise(F.array().cast(f"array<{OPEN}>"))
+        return F.struct(o.alias("o"), live.alias("live"), at.alias("attrs"), kids.alias("kids"))
 
-def _ordered_concat(slot_cond: Column, sep: str = "") -> Column:
-    picked = F.collect_list(F.when(slot_cond, F.struct(F.col("path"), F.col("md"))))
-    return F.array_join(F.transform(F.array_sort(picked), lambda x: x["md"]), sep)
+    def block(z):
+        own = [(z["live"] if c == "live" else z["o"][c]).alias(c) for c in POSITION if c != "doc_id"]
+        own += [z["attrs"][n].alias(n) for n, _ in ATTRS] + [F.size(z["kids"]).alias("n_kids")]
+        return F.struct(F.struct(*own).cast(BLOCK).alias("block"), z["kids"].cast(f"array<{OPEN}>").alias("kids"))
 
+    steps = F.transform(F.transform(open_nodes, parsed), described)
+    return F.transform(F.transform(steps, with_children), block)
 
-def _ordered_parts(slot_cond: Column) -> Column:
-    picked = F.collect_list(F.when(slot_cond, F.struct(F.col("path"), F.col("md"))))
-    return F.transform(F.array_sort(picked), lambda x: x["md"])
 
+def _levels(json: Column, ignore_reference: bool, clean_equations: bool, unvisited: bool) -> Column:
+    """The blocks of one document, an array for each tree level, each in document order."""
+    tokens = F.from_json(json, "struct<tokens:array<string>>")["tokens"]
 
-ITEM_TYPE = "struct<kind:string,text:string,sup:boolean,link:string>"
+    def root(node, i):
+        return F.struct(
+            F.concat(F.lit("c"), F.lpad(i.cast("string"), DIGITS, "0")).alias("path"), F.lit("").alias("parent_path"), F.lit("root").alias("ptype"),
+            F.lit(0).alias("depth"), F.lit("c").alias("slot"), F.lit(None).cast("string").alias("pkind"), F.lit(ignore_reference).alias("ir"),
+            F.lit(clean_equations).alias("ce"), F.lit(True).alias("live"), F.lit(True).alias("top"), F.lit(False).alias("in_title"), node.alias("node"))
 
+    start = F.struct(F.array().cast(f"array<array<{BLOCK}>>").alias("levels"),
+                     F.transform(F.coalesce(tokens, F.array().cast("array<string>")), root).cast(f"array<{OPEN}>").alias("open"))
 
-def _child_agg_exprs() -> list:
-    slot = F.col("slot")
-    items = F.collect_list(F.when(F.col("kind") == "agroup", F.struct(F.col("path"), F.col("items"))))
-    return [
-        _ordered_concat(slot == "c").alias("content_md"),
-        _ordered_concat(slot == "a").alias("title_md"),
-        _ordered_parts(slot == "c").alias("parts"),
-        _ordered_parts(slot == "r").alias("rows"),
-        _ordered_concat(F.col("kind") == "caption").alias("caption_md"),
-        F.flatten(F.transform(F.array_sort(items), lambda x: x["items"])).alias("aitems"),
-        F.collect_list(F.when(F.col("kind") == "aitem", F.struct(F.col("path"), F.col("item")))).alias("_aitem_list"),
-    ]
+    def deeper(state, _):
+        def added(closed):
+            return F.struct(
+                F.concat(state["levels"], F.array(F.transform(closed, lambda z: z["block"]))).alias("levels"),
+                F.flatten(F.transform(closed, lambda z: z["kids"])).alias("open"))
+        return F.when(F.size(state["open"]) == 0, state).otherwise(_let(_closed(state["open"], unvisited), added).cast(LEVELS))
 
+    # every level but those of author items has a list of its own in the text, so a document has no more levels than this
+    lists = F.coalesce(F.length(json) - F.length(F.replace(json, F.lit("["), F.lit(""))), F.lit(0))
+    return F.aggregate(F.sequence(F.lit(0), 2 * lists), start.cast(LEVELS), deeper)["levels"]
 
-CHILD_COLUMNS = ["path", "slot", "kind", "md", "item", "items"]
 
+def flatten(docs: DataFrame, ignore_reference: bool = False, clean_equations: bool = False,
+            doc_col: str = "doc_id", json_col: str = "json") -> DataFrame:
+    """One row per block of every document, with compact attributes.  Narrow: nothing is stored or shuffled
+    (small inputs are spread over all cores first)."""
+    docs = spread(docs, doc_col)
+    levels = _levels(F.col(json_col), ignore_reference, clean_equations, unvisited=True)
+    return docs.select(F.col(doc_col).alias("doc_id"), F.explode(F.flatten(levels)).alias("b")).select("doc_id", "b.*").select(*BLOCK_COLUMNS)
 
-def _with_children(level: DataFrame, kids: DataFrame, agg_ex: list) -> DataFrame:
-    """A level's blocks with their children's aggregates, in one shuffle: parents
-    (keyed by their path) and children (keyed by their parent's path) are unioned
-    and grouped once by (doc_id, key), instead of an aggregate plus a join."""
-    parents = level.select("doc_id", F.col("path").alias("_key"), F.struct(*level.columns).alias("_p"))
-    children = kids.select("doc_id", F.col("parent_path").alias("_key"), *CHILD_COLUMNS)
-    grouped = parents.unionByName(children, allowMissingColumns=True).groupBy("doc_id", "_key").agg(
-        F.first("_p", ignorenulls=True).alias("_p"), *agg_ex)
-    out = grouped.where(F.col("_p").isNotNull()).select(
-        "_p.*", *[c for c in ("content_md", "title_md", "parts", "rows", "caption_md", "aitems")],
-        F.transform(F.array_sort("_aitem_list"), lambda x: x["item"]).alias("group_items"))
-    return out
+
+# ---------------------------------------------------------------- render
+
+
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+ITEM_TYPE = "struct<kind:string,text:string,sup:boolean,link:string>"
+TITLE_TYPE = "struct<text:string,key:string,number:int>"
+RENDERED = (f"struct<slot:string,kind:string,live:boolean,md:string,item:{ITEM_TYPE},items:array<{ITEM_TYPE}>,"
+            f"notes:array<string>,title:{TITLE_TYPE}>")
+
+
+def _of_children(kids: Column) -> Column:
+    """What a block's rule takes from its rendered children, which are in document order."""
+    def md(cond):
+        return F.transform(F.filter(kids, cond), lambda k: k["md"])
+
+    return F.struct(
+        F.array_join(md(lambda k: k["slot"] == "c"), "").alias("content_md"),
+        F.array_join(md(lambda k: k["slot"] == "a"), "").alias("title_md"),
+        md(lambda k: k["slot"] == "c").alias("parts"),
+        md(lambda k: k["slot"] == "r").alias("rows"),
+        F.array_join(md(lambda k: k["kind"] == "caption"), "").alias("caption_md"),
+        F.flatten(F.transform(F.filter(kids, lambda k: k["kind"] == "agroup"), lambda k: k["items"])).alias("aitems"),
+        F.transform(F.filter(kids, lambda k: k["kind"] == "aitem"), lambda k: k["item"]).alias("group_items"),
+        F.flatten(F.transform(kids, lambda k: k["notes"])).alias("notes"),
+    )
 
 
 def _author_md(items: Column) -> Column:
@@ -335,20 +312,21 @@ def _author_md(items: Column) -> Column:
         .otherwise(F.lit(""))
 
 
-def _node_md_exprs(drop_bibliography: bool = False) -> list:
-    """The per-type rendering rules as one projection (built once per render)."""
-    k = F.col("kind")
-    content_md = F.coalesce(F.col("content_md"), F.lit(""))
-    title_md = F.coalesce(F.col("title_md"), F.lit(""))
-    parts = F.coalesce(F.col("parts"), F.array().cast("array<string>"))
-    rows = F.coalesce(F.col("rows"), F.array().cast("array<string>"))
-    caption = F.coalesce(F.col("caption_md"), F.lit(""))
+def _rendered(b: Column, kids: Column, again: Column, drop_bibliography: bool) -> Column:
+    """A block's RENDERED from its live rendered children; ``again``: a title whose text came before."""
+    return _let(_of_children(kids), lambda c: _by_rule(b, c, again, drop_bibliography))
+
+
+def _by_rule(b: Column, c: Column, again: Column, drop_bibliography: bool) -> Column:
+    """The per-type rendering rules."""
+    k = b["kind"]
+    content_md, title_md, caption, parts, rows = c["content_md"], c["title_md"], c["caption_md"], c["parts"], c["rows"]
     # process_content: a string is taken as it is, a list is rendered
-    content_value = F.when(~F.col("has_clist"), F.coalesce(F.col("text"), F.lit(""))).otherwise(content_md)
-    title_value = F.when(~F.col("has_tlist"), F.coalesce(F.col("title_str"), F.lit(""))).otherwise(title_md)
-    numbering = F.coalesce(F.col("numbering"), F.lit(""))
-    styles = F.coalesce(F.col("styles"), F.array().cast("array<string>"))
-    text = F.coalesce(F.col("text"), F.lit(""))
+    content_value = F.when(~b["has_clist"], F.coalesce(b["text"], F.lit(""))).otherwise(content_md)
+    title_value = F.when(~b["has_tlist"], F.coalesce(b["title_str"], F.lit(""))).otherwise(title_md)
+    numbering = F.coalesce(b["numbering"], F.lit(""))
+    styles = F.coalesce(b["styles"], F.array().cast("array<string>"))
+    text = F.coalesce(b["text"], F.lit(""))
 
     styled = (
         F.when(F.array_contains(styles, "bold") & F.array_contains(styles, "italic"),
@@ -358,30 +336,29 @@ def _node_md_exprs(drop_bibliography: bool = False) -> list:
         .otherwise(text))
 
     eq = _strip(text)
-    from papersift.functions.text import clean_equation
-    eq = F.when(F.col("ce"), clean_equation(eq)).otherwise(eq)
-    equation = F.when(F.col("display") == "block", F.concat(F.lit("$$ "), eq, F.lit(" $$\n"))) \
+    eq = F.when(b["ce"], clean_equation(eq)).otherwise(eq)
+    equation = F.when(b["display"] == "block", F.concat(F.lit("$$ "), eq, F.lit(" $$\n"))) \
         .otherwise(F.concat(F.lit("$"), eq, F.lit("$")))
 
-    keys = F.coalesce(F.col("keys"), F.array().cast("array<string>"))
+    keys = F.coalesce(b["keys"], F.array().cast("array<string>"))
     citation = F.concat(F.lit("["), F.array_join(keys, ", "),
                         F.when(title_value != "", F.concat(F.lit(", "), title_value)).otherwise(F.lit("")),
                         F.lit("]"))
-    ref = F.concat(F.lit("["), F.coalesce(F.element_at(F.col("keys"), 1), F.lit("")), F.lit("]"))
+    ref = F.concat(F.lit("["), F.coalesce(F.get(b["keys"], F.lit(0)), F.lit("")), F.lit("]"))
 
     menv = _strip(content_value)
     math_env = F.when(menv == "", F.lit("")).when(
         menv.startswith("\\begin{"), F.concat(F.lit("$$ "), menv, F.lit(" $$\n"))).otherwise(F.concat(menv, F.lit("\n")))
 
-    title = F.when(F.col("repeat"), F.lit("")).otherwise(F.concat(F.lit("# "), content_value, F.lit("\n")))
+    title = F.when(again, F.lit("")).otherwise(F.concat(F.lit("# "), content_value, F.lit("\n")))
     abstract = F.when(content_value != "", F.concat(F.lit("## Abstract\n"), content_value, F.lit("\n"))).otherwise(F.lit(""))
     sec_title = F.when(numbering != "", F.concat(numbering, F.lit(". "), title_value)).otherwise(title_value)
     section = F.when((sec_title != "") | (content_md != ""),
-                     F.concat(F.repeat(F.lit("#"), F.coalesce(F.col("lvl"), F.lit(1)) + 1), F.lit(" "), sec_title,
+                     F.concat(F.repeat(F.lit("#"), F.coalesce(b["lvl"], F.lit(1)) + 1), F.lit(" "), sec_title,
                               F.lit("\n"), content_md, F.lit("\n"))).otherwise(F.lit(""))
     paragraph = F.when(content_md != "", F.concat(content_md, F.lit("\n\n"))).otherwise(F.lit(""))
-    prefix = F.concat(F.repeat(F.lit("  "), F.coalesce(F.col("ldepth"), F.lit(0))),
-                      F.when(F.col("lname") == "enumerate", F.lit("1. ")).otherwise(F.lit("- ")))
+    prefix = F.concat(F.repeat(F.lit("  "), F.coalesce(b["ldepth"], F.lit(0))),
+                      F.when(b["lname"] == "enumerate", F.lit("1. ")).otherwise(F.lit("- ")))
     lst = F.when(F.size(parts) > 0,
                  F.concat(F.array_join(F.transform(parts, lambda x: F.concat(prefix, x)), "\n"), F.lit("\n"))) \
         .otherwise(F.lit(""))
@@ -389,38 +366,38 @@ def _node_md_exprs(drop_bibliography: bool = False) -> list:
         .otherwise(F.lit(""))
 
     head = F.concat(F.lit("[Table "), numbering, F.lit("]: "), caption, F.lit("\n"))
-    as_json = F.concat(head, F.lit("Following table is represented in JSON:\n```json\n"), F.col("raw"), F.lit("\n```\n"))
-    n_cols = F.size(F.split(F.element_at(rows, 1), r"\|")) - 2
+    as_json = F.concat(head, F.lit("Following table is represented in JSON:\n```json\n"), b["raw"], F.lit("\n```\n"))
+    n_cols = F.size(F.split(F.get(rows, F.lit(0)), r"\|")) - 2
     sep = F.concat(F.lit("|"), F.repeat(F.lit("---|"), n_cols))
-    pipe = F.concat(head, F.element_at(rows, 1), F.lit("\n"), sep,
+    pipe = F.concat(head, F.get(rows, F.lit(0)), F.lit("\n"), sep,
                     F.when(F.size(rows) > 1, F.concat(F.lit("\n"), F.array_join(F.slice(rows, 2, 1 << 30), "\n")))
                     .otherwise(F.lit("")), F.lit("\n"))
-    table = (F.when(F.col("table_mode") == "json", as_json)
+    table = (F.when(b["table_mode"] == "json", as_json)
              .when(F.size(rows) > 1, pipe).otherwise(F.lit("")))
     trow = F.concat(F.lit("| "), F.array_join(rows, " | "), F.lit(" |"))
-    cell = F.col("cell_kind")
+    cell = b["cell_kind"]
     tcell = (F.when(cell == "null", F.lit(""))
              .when(cell == "list", content_md)
              .when(cell == "dict", content_value)
-             .otherwise(F.col("raw")))
-    footnote = F.concat(F.lit("[^"), F.col("fn_no").cast("string"), F.lit("]"))
-    bibitem = F.concat(F.lit("["), F.coalesce(F.col("cite_key"), F.lit("")), F.lit("]: "), content_value)
+             .otherwise(b["raw"]))
+    footnote = F.concat(F.lit("[^"), b["fn_no"].cast("string"), F.lit("]"))
+    bibitem = F.concat(F.lit("["), F.coalesce(b["cite_key"], F.lit("")), F.lit("]: "), content_value)
     # With references ignored, the bibliography falls through to the unknown-type
     # comment (kept by default so results agree); drop_bibliography removes it.
     ignored_bib = F.lit("") if drop_bibliography else F.lit("<!-- Unknown token type: bibliography -->")
-    bibliography = F.when(F.col("ir"), ignored_bib).when(
+    bibliography = F.when(b["ir"], ignored_bib).when(
         F.size(parts) > 0, F.concat(F.lit("## References\n"), F.array_join(parts, "\n"), F.lit("\n"))
     ).otherwise(F.lit(""))
     unknown = F.concat(F.lit("<!-- Unknown token type: "), k, F.lit(" -->"))
 
     md = (
-        F.when(k == "text", F.when(F.col("top"), F.lit("")).otherwise(styled))
+        F.when(k == "text", F.when(b["top"], F.lit("")).otherwise(styled))
         .when(k == "equation", equation)
-        .when(k == "citation", F.when(F.col("ir"), F.lit("")).otherwise(citation))
+        .when(k == "citation", F.when(b["ir"], F.lit("")).otherwise(citation))
         .when(k == "ref", ref)
         .when(k == "math_env", math_env)
         .when(k == "title", title)
-        .when(k == "author", _author_md(F.coalesce(F.col("aitems"), F.array().cast(f"array<{ITEM_TYPE}>"))))
+        .when(k == "author", _author_md(c["aitems"]))
         .when(k == "abstract", abstract)
         .when(k == "section", section)
         .when(k == "paragraph", paragraph)
@@ -440,10 +417,10 @@ def _node_md_exprs(drop_bibliography: bool = False) -> list:
         .otherwise(unknown)
     )
     item = F.when(k == "aitem", F.when(
-        F.col("typ") == "text",
+        b["typ"] == "text",
         F.struct(F.lit("text").alias("kind"), _strip(text).alias("text"),
                  F.array_contains(styles, "superscript").alias("sup"), F.lit(None).cast("string").alias("link")))
-        .when(F.col("typ") == "url",
+        .when(b["typ"] == "url",
               F.struct(F.lit("url").alias("kind"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("sup"),
                        F.concat(F.lit("["), title_value, F.lit("]("), text, F.lit(")")).alias("link")))
         .otherwise(F.struct(F.lit("skip").alias("kind"), F.lit(None).cast("string").alias("text"),
@@ -451,58 +428,44 @@ def _node_md_exprs(drop_bibliography: bool = False) -> list:
     end_item = F.struct(F.lit("end").alias("kind"), F.lit(None).cast("string").alias("text"),
                         F.lit(False).alias("sup"), F.lit(None).cast("string").alias("link"))
     items = F.when(k == "agroup", F.concat(
-        F.coalesce(F.col("group_items"), F.array().cast(f"array<{ITEM_TYPE}>")), F.array(end_item)))
-    entry = F.when(k == "footnote", F.concat(F.lit("[^"), F.col("fn_no").cast("string"), F.lit("]: "), content_md))
-    title_text = F.when(k == "title", content_value)
-    return [
-        "doc_id", "parent_path", "path", "slot", "kind", "depth",
-        md.alias("md"), item.cast(ITEM_TYPE).alias("item"), items.cast(f"array<{ITEM_TYPE}>").alias("items"),
-        entry.alias("fn_entry"), title_text.alias("title_text")]
-
-
-def _node_md(with_kids: DataFrame, ex: list | None = None) -> DataFrame:
-    return with_kids.select(*(ex or _node_md_exprs()))
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
-def _levels(blocks: DataFrame, cache: LevelCache, agg_ex: list, md_ex: list) -> tuple[list[DataFrame], DataFrame | None]:
-    """Every level's footnotes and titles, deepest level first, and the top level rendered (None without blocks)."""
-    max_depth = blocks.agg(F.max("depth")).first()[0]
-    if max_depth is None:
-        return [], None
-    rendered, kids = [], None
-    for d in range(max_depth, -1, -1):
-        level = blocks.where(F.col("depth") == d)
-        if kids is not None:
-            level = _with_children(level, kids, agg_ex)
-        else:
-            for c, t in (("content_md", "string"), ("title_md", "string"), ("parts", "array<string>"),
-                         ("rows", "array<string>"), ("caption_md", "string"),
-                         ("aitems", f"array<{ITEM_TYPE}>"), ("group_items", f"array<{ITEM_TYPE}>")):
-                level = level.withColumn(c, F.lit(None).cast(t))
-        kids, _ = cache.add(_node_md(level, md_ex))
-        rendered.append(kids.select("doc_id", "path", "kind", "fn_entry", "title_text"))
-    return rendered, kids
-
-
-def _mark_repeats(blocks: DataFrame, cache: LevelCache, agg_ex: list, md_ex: list) -> DataFrame:
-    """Blocks whose ``repeat`` is true for a title with the text of one that is finished before it."""
-    is_title = F.col("kind") == "title"
-    rendered, _ = _levels(blocks.where(F.col("in_title") | is_title), cache, agg_ex, md_ex)
-    if not rendered:
-        return blocks
-    finished = Window.partitionBy("doc_id", "title_text").orderBy(F.concat("path", F.lit("~")))
-    titles = _union(rendered).where(F.col("kind") == "title").withColumn("rn", F.row_number().over(finished))
-    marks = titles.where(F.col("rn") > 1).select("doc_id", "path", F.lit(True).alias("_again"))
-    own = blocks.where(is_title).join(marks, ["doc_id", "path"], "left")
-    own = own.withColumn("repeat", F.coalesce("_again", F.lit(False))).select(*blocks.columns)
-    return cache.add(blocks.where(~is_title).unionByName(own))[0]
+        c["group_items"], F.array(end_item)))
+    entry = F.concat(F.lit("[^"), b["fn_no"].cast("string"), F.lit("]: "), content_md)
+    notes = F.when(k == "footnote", F.concat(c["notes"], F.array(entry))).otherwise(c["notes"])
+    as_title = F.when(k == "title", F.struct(content_value.alias("text"), F.concat(b["path"], F.lit("~")).alias("key"), b["title_no"].alias("number")))
+    return F.struct(b["slot"].alias("slot"), k.alias("kind"), b["live"].alias("live"), md.alias("md"), item.cast(ITEM_TYPE).alias("item"),
+                    items.cast(f"array<{ITEM_TYPE}>").alias("items"), notes.alias("notes"), as_title.cast(TITLE_TYPE).alias("title")).cast(RENDERED)
+
+
+def _live_children(kids: Column, first: Column, n: Column) -> Column:
+    return F.filter(F.slice(kids, first, n), lambda k: k["live"])
+
+
+def _repeats(levels: Column) -> Column:
+    """For each title, by its number, whether a title that is finished before it has the same text (B1)."""
+    start = F.struct(F.array().cast(f"array<{RENDERED}>").alias("kids"), F.array().cast(f"array<{TITLE_TYPE}>").alias("found"))
+
+    def higher(state, level):
+        own = F.filter(level["blocks"], lambda b: b["in_title"] | (b["kind"] == "title"))
+        rendered = F.transform(own, lambda b: _rendered(b, _live_children(state["kids"], b["title_first"], b["n_kids"]), F.lit(False), False))
+        return _let(rendered, lambda r: F.struct(r.alias("kids"), F.concat(
+            state["found"], F.transform(F.filter(r, lambda x: x["live"] & x["title"].isNotNull()), lambda x: x["title"])).alias("found")))
+
+    def marked(found):
+        numbered = F.transform(found, lambda x, i: F.struct(
+            x["number"].alias("number"), F.coalesce(x["text"] == F.get(found, i - 1)["text"], F.lit(False)).alias("again")))
+        return F.transform(F.array_sort(numbered), lambda x: x["again"])
+
+    found = F.aggregate(levels, start, higher)["found"]
+    return _let(F.array_sort(found), marked)
+
+
+def _document(levels: Column, again: Column, drop_bibliography: bool) -> Column:
+    """The top level's rendered blocks."""
+    def higher(kids, level):
+        return F.transform(level["blocks"], lambda b: _rendered(
+            b, _live_children(kids, b["first"], b["n_kids"]), F.coalesce(F.get(again, b["title_no"] - 1), F.lit(False)), drop_bibliography))
+
+    return F.aggregate(levels, F.array().cast(f"array<{RENDERED}>"), higher)
 
 
 def render(docs: DataFrame, ignore_reference: bool = False, clean_equations: bool = False,
@@ -512,34 +475,29 @@ def render(docs: DataFrame, ignore_reference: bool = False, clean_equations: boo
     Options (B16): ``ignore_reference`` drops citations and the bibliography
     (which then prints as an unknown-type comment unless ``drop_bibliography``);
     ``clean_equations`` strips commands and dollar signs from equations."""
-    blocks = flatten(docs, ignore_reference, clean_equations, doc_col, json_col).where(F.col("live"))
-    # Footnotes are numbered in document order; only footnote rows are shuffled.
-    is_fn = F.col("kind") == "footnote"
-    numbered = blocks.where(is_fn).withColumn(
-        "fn_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("path")))
-    cache = LevelCache()
-    blocks = blocks.where(~is_fn).withColumn("fn_no", F.lit(None).cast("int")).unionByName(numbered)
-    blocks, _ = cache.add(blocks.withColumn("repeat", F.lit(False)))
-    agg_ex, md_ex = _child_agg_exprs(), _node_md_exprs(drop_bibliography)
-    blocks = _mark_repeats(blocks, cache, agg_ex, md_ex)
-    rendered_levels, kids = _levels(blocks, cache, agg_ex, md_ex)
-    if kids is None:
-        cache.release()
-        return docs.select(F.col(doc_col).alias("doc_id"), F.lit("").alias("markdown"))
-    side = _union(rendered_levels)
-    body = kids.groupBy("doc_id").agg(_ordered_concat(F.lit(True)).alias("body"))
-    notes = side.where(F.col("fn_entry").isNotNull()).groupBy("doc_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
-            F.concat(F.col("path"), F.lit("~")).alias("k"), F.col("fn_entry").alias("e")))), lambda x: x["e"]),
-            "\n").alias("notes"))
-    doc = body.join(notes, "doc_id", "left")
-    text = F.concat(F.col("body"), F.when(F.col("notes").isNotNull(),
-                                          F.concat(F.lit("\n\n"), F.col("notes"))).otherwise(F.lit("")))
-    out = doc.select("doc_id", text.alias("markdown"))
-    all_docs = docs.select(F.col(doc_col).alias("doc_id"))  # document ids are unique
-    result = all_docs.join(out, "doc_id", "left").select(
-        "doc_id", F.coalesce(F.col("markdown"), F.lit("")).alias("markdown"))
-    # The result is written once; then the cached levels can be released.
-    result = materialize(result, "render-out")
-    cache.release()
-    return result
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
+    dealt = docs.select(F.col(doc_col).alias("doc_id"), F.col(json_col).alias("json")).repartition(parts, "doc_id")
+    dealt = dealt.withColumn("doc", F.monotonically_increasing_id())
+    levels = _levels(F.col("json"), ignore_reference, clean_equations, unvisited=False)
+    blocks = dealt.select("doc_id", "doc", F.explode_outer(F.flatten(levels)).alias("b")).select("doc_id", "doc", "b.*")
+
+    one = lambda cond: F.sum(F.when(cond & F.col("live"), 1).otherwise(0))
+    before = Window.partitionBy("doc_id", "doc").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    level = Window.partitionBy("doc_id", "doc", "depth").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    is_title = F.col("kind") == "title"
+    place = lambda n: (1 + F.coalesce(F.sum(n).over(level), F.lit(0))).cast("int")
+    blocks = blocks.withColumns({
+        "fn_no": one(F.col("kind") == "footnote").over(before).cast("int"),
+        "title_no": F.when(is_title, one(is_title).over(before)).cast("int"),
+    }).withColumns({"first": place(F.col("n_kids")), "title_first": place(F.when(F.col("in_title") | is_title, F.col("n_kids")).otherwise(0))})
+
+    fields = ["path", "slot", "live", "in_title", "top", "ir", "ce", *[n for n, _ in ATTRS], "n_kids", "fn_no", "title_no", "first", "title_first"]
+    own = F.collect_list(F.when(F.col("path").isNotNull(), F.struct(*fields)))
+    by_level = blocks.groupBy("doc_id", "doc", "depth").agg(F.array_sort(own).alias("blocks"))
+    by_doc = by_level.groupBy("doc_id", "doc").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("up"), "blocks"))).alias("levels"))
+    text = _let(_repeats(F.col("levels")), lambda again: _let(
+        _document(F.col("levels"), again, drop_bibliography), lambda top: F.concat(
+            F.array_join(F.transform(F.filter(top, lambda k: k["live"]), lambda k: k["md"]), ""),
+            _let(F.flatten(F.transform(top, lambda k: k["notes"])), lambda notes: F.when(
+                F.size(notes) > 0, F.concat(F.lit("\n\n"), F.array_join(notes, "\n"))).otherwise(F.lit(""))))))
+    return by_doc.select("doc_id", F.coalesce(text, F.lit("")).alias("markdown"))

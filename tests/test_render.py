@@ -102,7 +102,7 @@ def test_tree_deeper_than_one_expansion_pass(spark):
         node = {"type": "group", "content": [node]}
     md = render(_docs(spark, {"tokens": [node]})).first().markdown
     assert md == "<b>deep</b>"
-    blocks = flatten(_docs(spark, {"tokens": [node]}), steps_per_pass=3)
+    blocks = flatten(_docs(spark, {"tokens": [node]}))
     assert blocks.count() == 13 and blocks.agg({"depth": "max"}).first()[0] == 12
 
 
