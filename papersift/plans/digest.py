@@ -42,8 +42,10 @@ def summarize(
     wanted_ids = shown.select("id")
     cached = cache_ops.latest_cached(cache, wanted_ids, settings.language, settings.acceptable_cache_models)
     prov = {"lang": settings.language, **(provenance or {})}
+    tasks, in_flight = (None, 1) if settings.workers is None else enrich_ops.shares(
+        settings.workers, shown.sparkSession.sparkContext.defaultParallelism)
     results, failed = enrich_ops.enrich(
-        shown, cached, fn, fields, prov, run_time, num_partitions=settings.workers,
+        shown, cached, fn, fields, prov, run_time, num_partitions=tasks, in_flight=in_flight,
         required_text=settings.required_text, required_lists=settings.required_lists)
     merged = cache_ops.merge_metadata(results, shown)
     if keyword_map is not None and "keywords" in merged.columns:

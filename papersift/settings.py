@@ -31,7 +31,7 @@ class Settings:
     sample_rate: float = 0.004
     acceptable_cache_models: tuple[str, ...] = ("grok*", "deepseek*", "gemini*")
     language: str = "zh"
-    workers: int | None = None  # tasks that run the per-paper function at a time; None: the engine's choice
+    workers: int | None = None  # calls of the per-paper function in flight at a time, over all tasks; None: one a core
     required_text: tuple[str, ...] = ()  # fields that a digest record must have (E4)
     required_lists: tuple[str, ...] = ()
 
