@@ -6,10 +6,12 @@ the new rows (no field merge); other months are not rewritten.  Layout:
 month (range partitioning: a month with a third of all rows is still split
 over many tasks).
 
-Single writer per archive.  With ``staging`` (the default) the merged months
-are first written to a scratch table under ``spark.checkpoint.dir``; the final
-overwrite then reads only that table, so a lost executor during the overwrite
-never re-reads half-replaced month folders.
+The batch is computed once, into a scratch table under ``spark.checkpoint.dir``.
+This plain layout has a single writer.  With ``staging`` (the default) the merged
+months are first written to a scratch table; the final overwrite then reads only
+that table, so a lost executor during the overwrite never re-reads half-replaced
+month folders.  An archive made by ``versioned.create`` takes several writers at
+a time, and readers never see a part of an upsert; ``upsert`` finds its manifest.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from papersift.operators.archive import archive_rows, month_summary
-from papersift.session import scratch_path
+from papersift.session import materialize, scratch_path
+from papersift.sinks import versioned
 from papersift.sources.archive import read_months
 
 
@@ -40,6 +43,8 @@ def upsert(
     if id_col not in df.columns:
         raise ValueError("DataFrame missing 'id' column.")
     spark = df.sparkSession
+    schema = schema or df.schema
+    df = materialize(df, "archive-batch", columnar=True)  # computed once; read for the summary and the merge
     summary = month_summary(df, id_col)  # one row per touched month
     months = sorted(r["month"] for r in summary if r["kept"] > 0)
     if stats is not None:
@@ -47,8 +52,12 @@ def upsert(
     rows = archive_rows(df, order_by, id_col)
     if not months:
         return []
+    if versioned.is_versioned(spark, path):
+        rows = materialize(rows, "archive-rows", columnar=True)  # read again when another writer was first
+        versioned.upsert_versioned(rows, months, path, schema, id_col)
+        return months
     # stored rows keep every field; fields they share with the batch are read with its types
-    old = read_months(spark, path, months, schema or df.schema)
+    old = read_months(spark, path, months, schema)
     if old is not None:
         keep = old.join(rows.select(id_col), id_col, "left_anti")
         merged = rows.unionByName(keep, allowMissingColumns=True)

@@ -36,9 +36,14 @@ def _reader(spark: SparkSession):
 
 def read_archive(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """All archived rows.  A missing folder is an empty table (``id, summary``
-    or ``schema``); unreadable data is an error, not an empty table."""
+    or ``schema``); unreadable data is an error, not an empty table.  A versioned
+    archive is read as of its newest version."""
+    from papersift.sinks import versioned
+
     if not exists(spark, path):
         return spark.createDataFrame([], schema or EMPTY_ARCHIVE)
+    if versioned.is_versioned(spark, path):
+        return versioned.read(spark, path, schema)
     reader = _reader(spark)
     if schema is not None:
         full = schema if "month" in schema.fieldNames() else T.StructType(

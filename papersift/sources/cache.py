@@ -1,8 +1,10 @@
 """Cache scan pruned by key prefix.
 
 The cache is laid out as ``<root>/month=YYMM/*.json``.  Only the months of the
-wanted ids are read (a ``PartitionFilters`` entry of the scan); a missing root
-or no usable prefix gives an empty table of ``schema``.
+wanted ids are read: their prefixes (D7) are joined with the partition column, so
+the scan is pruned while it runs (``dynamicpruning`` among its ``PartitionFilters``)
+and nothing is collected to plan it.  A missing root gives an empty table of
+``schema``, and ids without a usable prefix have no rows.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from papersift.sources.archive import exists
 
 def read_cache(spark: SparkSession, root: str, wanted_ids: DataFrame, schema: T.StructType,
                id_col: str = "id") -> DataFrame:
-    months = sorted(r["month"] for r in key_prefixes(wanted_ids, id_col).collect())  # D7: a short list
     full = T.StructType([f for f in schema.fields if f.name != "month"] + [T.StructField("month", T.StringType())])
-    if not months or not exists(spark, root):
+    if not exists(spark, root):
         return spark.createDataFrame([], full)
-    return spark.read.schema(full).json(root).where(F.col("month").isin(months))
+    months = key_prefixes(wanted_ids, id_col)  # distinct texts of four digits: 10,000 rows at most, so broadcast
+    return spark.read.schema(full).json(root).join(F.broadcast(months), "month", "left_semi").select(full.fieldNames())
