@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from papersift.operators.dedup import latest_per_key
 
+#: A keyword of more than one in HOT_SHARE occurrences is hot; the sketch that finds them tracks TRACKED keywords.
+HOT_SHARE, TRACKED = 200, 10_000
+
 
 def mapping_table(records: DataFrame, order_col: str | None = None) -> DataFrame:
     """``{key, values}`` records to a map table with one record per key: the
@@ -41,10 +44,20 @@ def rewrite_with_dict(df: DataFrame, mapping: dict[str, list[str]], col: str = "
     return df.withColumn(col, _rewrite_expr(F.col(col), lambda k: F.element_at(m, k)))
 
 
+def hot_keywords(df: DataFrame, col: str = "keywords") -> list[str]:
+    """The keywords that may make up more than one in HOT_SHARE of all occurrences: at most about HOT_SHARE, by one
+    aggregate over a frequent-items sketch (a sketch may name some that are a little rarer, and misses none)."""
+    row = df.select(F.explode(col).alias("k")).where("k IS NOT NULL").agg(
+        F.expr(f"approx_top_k(k, {2 * HOT_SHARE}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    # the sketch's count is never too low
+    return [t["item"] for t in row["top"] or [] if t["count"] * HOT_SHARE > row["n"]]
+
+
 def rewrite_with_table(df: DataFrame, mapping: DataFrame, col: str = "keywords", id_col: str = "id") -> DataFrame:
     """W1 for a mapping table of any size: explode, join the map, regroup per row.
 
-    Rows are told apart by a hash of all their columns, so null and repeated ids keep their own keywords;
+    Hot keywords, a bounded number, are looked up in a literal map made of their mapping records, so the join only has
+    keywords that are a small share of the rows.  Rows are told apart by a hash of all their columns, so null and repeated ids keep their own keywords;
     equal rows are rewritten once and come back as often as they were.  The row travels through the one
     regrouping aggregate, so nothing is joined back.
     """
@@ -57,7 +70,16 @@ def rewrite_with_table(df: DataFrame, mapping: DataFrame, col: str = "keywords",
     # posexplode_outer: a null or empty list gives one row with a null position;
     # a null keyword inside a list keeps its position and is kept as it is.
     exploded = rows.select("__key", "__row", F.col("__own").isNull().alias("__null"), F.posexplode_outer("__own").alias("__pos", "__kw"))
-    mapped = exploded.join(m, "__kw", "left").select(
+    hot = hot_keywords(df, col)
+    known = {r["__kw"]: r["__vals"] for r in m.where(F.col("__kw").isin(hot)).collect()} if hot else {}
+    # neither hot keywords nor the rows without one (null) take part in the join
+    by_join = F.col("__kw").isNotNull() & ~F.col("__kw").isin(hot)
+    literal = F.lit(None).cast("array<string>")
+    if any(known.values()):
+        literal = F.element_at(F.create_map(*[x for k, v in known.items() if v for x in (F.lit(k), F.array(*[F.lit(s) for s in v]).cast("array<string>"))]), F.col("__kw"))
+    rest = exploded.where(~by_join).select("*", literal.alias("__vals"))
+    joined = exploded.where(by_join).join(m, "__kw", "left").select(*rest.columns)
+    mapped = joined.union(rest).select(
         "__key", "__row", "__null",
         F.coalesce("__pos", F.lit(0)).alias("__pos"),
         F.when(F.col("__pos").isNull(), F.array().cast("array<string>"))

@@ -14,8 +14,9 @@ boundary: boundary <= score < high; low: everything else):
                  weight exp(2 * (score - boundary) / (high - boundary))
     q_low      = min(target - q_high - q_boundary, n_low)  uniform draw
 
-One aggregate gives the three stratum sizes; then each stratum with a partial
-quota gets its exact (key, id) cutoff, and ``show`` is a projection.
+One aggregate gives the three stratum sizes and the bucket of each stratum's cutoff,
+a second scan the exact (key, id) cutoffs of the strata with a partial quota, and
+``show`` is a projection.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papersift.functions.hashing import hash_unit, weighted_key
-from papersift.operators.topk import before_or_at, cutoff_and_count, kth_cutoff
+from papersift.operators.topk import before_or_at, stratified_cutoffs
 
 HIGH, BOUNDARY, LOW = "high", "boundary", "low"
+BAD = "bad"
 PURPOSE_NEGATIVES = "negatives"
 PURPOSE_SHOW = "show"
 
@@ -91,28 +93,31 @@ def adaptive_sample(
     NaN and null scores are rejected: Spark orders NaN above every number, so
     they would silently land in the high stratum.  Ids must be unique.
     """
-    counts = stratum_counts(df, score_col, high, boundary)
-    if counts["bad"]:
-        raise ValueError(f"{counts['bad']} rows have a null or NaN {score_col}; score them first")
-    quotas = stratum_quotas(counts, rate)
-
     score = F.col(score_col)
     u = hash_unit(F.col(id_col), seed, purpose)
     key = draw_key(score, u, high, boundary)
     strat = stratum(score, high, boundary)
-    idc = F.col(id_col).cast("string")
-
+    idc = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    # exponential keys fall in [0, 1) by their own distribution at weight 1; a missing id has no key
+    position = F.coalesce(F.when(strat == F.lit(BOUNDARY), F.lit(1.0) - F.exp(-key)).otherwise(u), F.lit(0.0))
+
+    def quotas_of(sizes: dict[str, int]) -> dict[str, int]:
+        if sizes.get(BAD):
+            raise ValueError(f"{sizes[BAD]} rows have a null or NaN {score_col}; score them first")
+        counts = {s: sizes.get(s, 0) for s in (HIGH, BOUNDARY, LOW)}
+        quotas.update(stratum_quotas({"n": sum(counts.values()), **counts}, rate))
+        return {s: quotas[s] for s in counts}
+
+    quotas: dict[str, int] = {}
+    usable = F.when(score.isNull() | F.isnan(score), F.lit(BAD)).otherwise(strat)
+    sizes, cutoffs = stratified_cutoffs(df, usable, key, position, idc, quotas_of)
     show = F.lit(False)
     for name in (HIGH, BOUNDARY, LOW):
-        q = quotas[name]
-        if q <= 0:
-            continue
         in_stratum = strat == F.lit(name)
-        if q >= counts[name]:
+        if name in cutoffs:
+            show = show | (in_stratum & before_or_at(key, idc, cutoffs[name]))
+        elif 0 < sizes.get(name, 0) <= quotas[name]:
             show = show | in_stratum
-            continue
-        cutoff = kth_cutoff(df.where(in_stratum), key, idc, q)
-        show = show | (in_stratum & before_or_at(key, idc, cutoff))
     return df.withColumn("show", show.cast("tinyint"))
 
 
@@ -137,11 +142,10 @@ def uniform_draw(
     if n <= 0:
         return df.limit(0)
     u = hash_unit(F.col(id_col), seed, purpose)
-    idc = F.col(id_col).cast("string")
-    # One pass gives the cutoff and whether n rows exist at all.
-    cutoff, got = cutoff_and_count(df, u, idc, n)
-    if got < n:
-        if not clip:
-            raise ValueError(f"asked for {n} rows but only {got} are available")
-        return df
-    return df.where(before_or_at(u, idc, cutoff))
+    idc = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    # The first scan also says whether n rows exist at all.
+    sizes, cutoffs = stratified_cutoffs(df, F.lit("all"), u, F.coalesce(u, F.lit(0.0)), idc, lambda _: {"all": n})
+    got = sizes.get("all", 0)
+    if got < n and not clip:
+        raise ValueError(f"asked for {n} rows but only {got} are available")
+    return df if got <= n else df.where(before_or_at(u, idc, cutoffs["all"]))

@@ -117,3 +117,13 @@ def fit_logistic(
         tol=1e-7,
     )
     return lr.fit(data)
+
+
+def given_model(spark, weights: list[float], bias: float = 0.0) -> LogisticRegressionModel:
+    """A model with known coefficients, as if fitted, for ``scoring.score``."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    values = gateway.new_array(jvm.double, len(weights))
+    for k, w in enumerate(weights):
+        values[k] = float(w)
+    own = jvm.org.apache.spark.ml.classification.LogisticRegressionModel("given", jvm.org.apache.spark.ml.linalg.Vectors.dense(values), float(bias))
+    return LogisticRegressionModel(own)
