@@ -680,9 +680,9 @@ def _register_renders():
     register("clean_equations", tk.DOCUMENT_EQUATIONS_MD_SQL)(_render(tk.document_equations, clean_equations=True))
     register("render_authors", tk.CUSTOMER_AUTHORS_MD_SQL)(_render(tk.customer_authors))
 
-    @register("flatten_tokens")
+    @register("flatten_tokens", tk.CONVERSATION_FLAT_SQL)
     def q_flatten(spark, sf):
-        """B0 block table (rows only: the paths are this engine's own encoding)."""
+        """B0 block table, with this engine's paths."""
         from papersift.operators.render import flatten
         from papersift.session import ensure_checkpoint_dir
 

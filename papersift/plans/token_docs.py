@@ -203,3 +203,63 @@ SELECT c_custkey AS doc_id,
   || trim(c_mktsegment) || '</b><sup>' || format('{:,.2f}', c_acctbal) || '</sup>' || chr(10) AS markdown
 FROM customer
 """
+
+
+def part_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Per part: an abstract in italics, a math environment in three forms, a citation with and without a title, a
+    reference, a command, a numbered list at three depths, a bibliography and a token of no known type."""
+    p = td.table(spark, sf, "part")
+    third = F.col("p_size") % 3
+    math = F.when(third == 0, F.concat(F.lit("\\begin{x} "), F.col("p_type"))).when(third == 1, F.concat(F.lit(" "), F.col("p_type"), F.lit(" "))).otherwise(F.lit("  "))
+    keys = F.array("p_brand", F.concat(F.lit("size "), F.col("p_size").cast("string")))
+    text = lambda c: F.struct(F.array(_text_token(c)).alias("content"))
+    cited = F.when(F.col("p_size") % 2 == 1, F.to_json(F.struct(
+        F.lit("citation").alias("type"), keys.alias("content"), F.array(_text_token(F.col("p_type"))).alias("title")))).otherwise(
+        F.to_json(F.struct(F.lit("citation").alias("type"), keys.alias("content"))))
+    tokens = [
+        F.to_json(F.struct(F.lit("abstract").alias("type"), F.array(_text_token(F.col("p_name"), ["italic"])).alias("content"))),
+        F.to_json(F.struct(F.lit("math_env").alias("type"), math.alias("content"))),
+        cited,
+        F.to_json(F.struct(F.lit("ref").alias("type"), F.array(F.concat(F.lit("sec:"), F.col("p_size").cast("string"))).alias("content"))),
+        F.lit('{"type":"command","content":"skipped"}'),
+        F.to_json(F.struct(F.lit("list").alias("type"), F.lit("enumerate").alias("name"), third.alias("depth"),
+                           F.array(text(F.col("p_brand")), text(F.col("p_type"))).alias("content"))),
+        F.to_json(F.struct(F.lit("bibliography").alias("type"), F.array(
+            F.struct(F.col("p_brand").alias("cite_key"), F.col("p_name").alias("content")),
+            F.struct(F.col("p_type").alias("cite_key"), F.lit("second").alias("content"))).alias("content"))),
+        F.lit('{"type":"mystery"}'),
+    ]
+    return p.select(F.col("p_partkey").alias("doc_id"), _doc(F.concat_ws(",", *tokens)).alias("json"))
+
+
+def part_rules_sql(ignore_reference: bool = False, drop_bibliography: bool = False) -> str:
+    cited = "''" if ignore_reference else "'[' || p_brand || ', size ' || p_size || CASE WHEN p_size % 2 = 1 THEN ', ' || p_type ELSE '' END || ']'"
+    listed = "'## References' || chr(10) || '[' || p_brand || ']: ' || p_name || chr(10) || '[' || p_type || ']: second' || chr(10)"
+    if ignore_reference:
+        listed = "''" if drop_bibliography else "'<!-- Unknown token type: bibliography -->'"
+    return f"""
+SELECT p_partkey AS doc_id,
+  '## Abstract' || chr(10) || '<i>' || p_name || '</i>' || chr(10)
+  || CASE p_size % 3 WHEN 0 THEN '$$ \\begin{{x}} ' || p_type || ' $$' || chr(10) WHEN 1 THEN p_type || chr(10) ELSE '' END
+  || {cited} || '[sec:' || p_size || ']'
+  || repeat('  ', p_size % 3) || '1. ' || p_brand || chr(10) || repeat('  ', p_size % 3) || '1. ' || p_type || chr(10)
+  || {listed} || '<!-- Unknown token type: mystery -->' AS markdown
+FROM part
+"""
+
+
+#: The block table of ``conversation_blocks`` (B0), as this engine's paths.
+CONVERSATION_FLAT_SQL = r"""
+WITH t AS (SELECT conv_id AS doc_id, role, coalesce(text, '') AS text,
+                  'c' || lpad(CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS VARCHAR), 10, '0') AS p FROM conversations),
+z AS (SELECT '0000000000' AS z),
+l AS (SELECT doc_id, p, unnest(range(len(string_split(text, chr(10))))) AS i FROM t WHERE role NOT IN ('system', 'user')),
+li AS (SELECT doc_id, p || '/c' || lpad(CAST(i AS VARCHAR), 10, '0') AS p FROM l)
+SELECT doc_id, p AS path, 0 AS depth, CASE role WHEN 'system' THEN 'section' WHEN 'user' THEN 'paragraph' ELSE 'list' END AS kind, true AS live FROM t
+UNION ALL SELECT doc_id, p || '/a' || z, 1, 'text', true FROM t, z WHERE role = 'system'
+UNION ALL SELECT doc_id, p || '/c' || z, 1, 'paragraph', true FROM t, z WHERE role = 'system'
+UNION ALL SELECT doc_id, p || '/c' || z || '/c' || z, 2, 'text', true FROM t, z WHERE role = 'system'
+UNION ALL SELECT doc_id, p || '/c' || z, 1, 'text', true FROM t, z WHERE role = 'user'
+UNION ALL SELECT doc_id, p, 1, 'item', true FROM li
+UNION ALL SELECT doc_id, p || '/c' || z, 2, 'text', true FROM li, z
+"""
