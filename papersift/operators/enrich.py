@@ -170,7 +170,7 @@ def route_digests(df: DataFrame, text_col: str, id_col: str = "id", schema: T.St
     Each text is parsed once, into a table that both results read.  ``records`` has ``id`` and the fields of ``schema``;
     ``errors`` has ``id, kind, fields, text``: there was no text, it is no such record (``text`` holds it), or the
     ``required`` fields (all of ``schema`` by default) named in ``fields`` are null."""
-    from papersift.functions.text import strip_code_fence
+    from papersift.functions.text import has_text, strip_code_fence
 
     corrupt = "_corrupt"
     required = schema.fieldNames() if required is None else required
@@ -178,7 +178,7 @@ def route_digests(df: DataFrame, text_col: str, id_col: str = "id", schema: T.St
     parsed = F.from_json(strip_code_fence(text_col), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
     rows = df.select(F.col(id_col), F.col(text_col).alias("text"), parsed.alias("rec"))
     lacking = F.array_compact(F.array(*[F.when(F.col(f"rec.`{n}`").isNull(), F.lit(n)) for n in required]).cast("array<string>"))
-    blank = F.coalesce(F.trim(F.col("text")) == "", F.lit(True))
+    blank = ~F.coalesce(has_text(F.col("text")), F.lit(False))
     bad = F.col("rec").isNull() | F.col(f"rec.{corrupt}").isNotNull()
     kind = F.when(blank, F.lit(NO_TEXT)).when(bad, F.lit(NOT_JSON)).when(F.size(lacking) > 0, F.lit(MISSING))
     routed = materialize(rows.select(id_col, "rec", kind.alias("kind"), lacking.alias("fields"), "text"), "digests", columnar=True)

@@ -22,5 +22,6 @@ def read_cache(spark: SparkSession, root: str, wanted_ids: DataFrame, schema: T.
     full = T.StructType([f for f in schema.fields if f.name != "month"] + [T.StructField("month", T.StringType())])
     if not exists(spark, root):
         return spark.createDataFrame([], full)
-    months = key_prefixes(wanted_ids, id_col)  # distinct texts of four digits: 10,000 rows at most, so broadcast
+    # distinct texts of four digits: 10,000 rows at most, so broadcast; only a filter like this one lets the engine prune
+    months = key_prefixes(wanted_ids, id_col).where(F.col("month").rlike(r"^[0-9]{4}$"))
     return spark.read.schema(full).json(root).join(F.broadcast(months), "month", "left_semi").select(full.fieldNames())

@@ -104,12 +104,15 @@ def test_cache_scan_reads_only_wanted_months(spark, tmp_path):
             for i in ids:
                 f.write(json.dumps({"id": i, "model": "grok-3", "lang": "zh", "summary_time": "t"}) + "\n")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "model", "lang", "summary_time")])
-    wanted = spark.createDataFrame([("2310.03903",), ("2410.12735",), ("9999.00000",)], "id string")
+    spark.createDataFrame([("2310.03903",), ("2410.12735",), ("9999.00000",)], "id string").write.parquet(str(tmp_path / "wanted"))
+    wanted = spark.read.parquet(str(tmp_path / "wanted"))
     df = read_cache(spark, root, wanted, schema)
     assert sorted(r.id for r in df.collect()) == ["2310.03903", "2410.12735"]
     plan = df._jdf.queryExecution().executedPlan().toString()
-    pf = plan.split("PartitionFilters: [")[1].split("]")[0]
-    assert "month" in pf and "2310" in pf and "2501" not in pf
+    assert "dynamicpruning" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "BroadcastExchange" in plan
+    same = read_cache(spark, root, wanted.union(wanted), schema)
+    assert sorted(r.month for r in same.collect()) == ["2310", "2410"]  # repeated ids, one row each
     none = read_cache(spark, root, spark.createDataFrame([("bad",)], "id string"), schema)
     assert none.count() == 0
     missing = read_cache(spark, str(tmp_path / "nope"), wanted, schema)
@@ -139,3 +142,28 @@ def test_rewrite_with_table_null_and_repeated_ids(spark):
     got = sorted(((r.id, r.keywords, r.extra) for r in out.collect()), key=str)
     assert out.columns == df.columns
     assert got == sorted([(None, ["A1", "A2", "b"], 1), ("x", ["A1", "A2"], 1), ("x", ["c"], 1), ("x", ["c"], 1), ("y", None, 1), ("z", [], None)], key=str)
+
+
+def test_a_keyword_in_half_of_all_rows(spark):
+    """The hot keyword is mapped without the join: no task of the join gets it."""
+    n = 40_000
+    rows = spark.range(n).select(
+        F.col("id").cast("string").alias("id"),
+        F.when(F.col("id") % 2 == 0, F.array(F.lit("hot"), F.concat(F.lit("k"), F.col("id") % 5000))).otherwise(
+            F.array(F.concat(F.lit("k"), F.col("id") % 5000), F.lit(None).cast("string"))).alias("keywords"))
+    records = [("hot", ["warm", "cold"])] + [(f"k{k}", [f"m{k}"]) for k in range(0, 5000, 2)] + [("k4", None)]
+    mapping = keywords.mapping_table(spark.createDataFrame(records, "key string, values array<string>"))
+    assert keywords.hot_keywords(rows) == ["hot"]
+    out = keywords.rewrite_with_table(rows, mapping)
+    got = {r.id: r.keywords for r in out.collect()}
+    assert len(got) == n
+
+    def want(k):
+        own = f"k{k % 5000}"
+        mapped = [own] if k % 5000 % 2 else [f"m{k % 5000}"]
+        return sorted(["warm", "cold"] + mapped) if k % 2 == 0 else sorted(mapped)
+
+    assert all([x for x in got[str(k)] if x is not None] == want(k) for k in range(n))
+    assert all((None in got[str(k)]) == (k % 2 == 1) for k in range(0, n, 97))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "NOT" in plan and "hot" in plan  # the join's side is without the hot keyword

@@ -91,3 +91,94 @@ def test_enrich_calls_the_function_once_per_row(spark, tmp_dir):
     assert res.count() == 19 and failed.count() == 1
     res.collect(), failed.collect()
     assert len(os.listdir(log)) == 20
+
+
+def overlap(log):
+    """The most calls that were running at one time."""
+    import os
+
+    marks = []
+    for name in os.listdir(log):
+        began, ended = map(float, name.split("_")[:2])
+        marks += [(began, 1), (ended, -1)]
+    most = now = 0
+    for _, step in sorted(marks):
+        now += step
+        most = max(most, now)
+    return most, len(marks) // 2
+
+
+def sleeper(log):
+    def fn(row):
+        import os
+        import time
+        import uuid
+
+        began = time.time()
+        time.sleep(0.02)
+        if int(row["id"]) % 10 == 3:
+            raise ValueError("boom")
+        open(os.path.join(log, f"{began}_{time.time()}_{uuid.uuid4().hex}"), "w").close()
+        return {"summary": "s" + row["id"]}
+
+    return fn
+
+
+def test_calls_in_flight_are_bounded(spark, tmp_dir):
+    wanted = spark.range(200).selectExpr("CAST(id AS STRING) AS id")
+    fields = T.StructType([T.StructField("summary", T.StringType())])
+    tasks, in_flight = enrich.shares(8, 2)
+    assert (tasks, in_flight) == (2, 4) and enrich.shares(3, 8) == (3, 1) and enrich.shares(20, 8) == (8, 2)
+    out = enrich.apply_per_row(wanted, sleeper(tmp_dir), fields, num_partitions=tasks, in_flight=in_flight).collect()
+    assert sorted((int(r.id), r.summary) for r in out if r.error is None) == [(k, f"s{k}") for k in range(200) if k % 10 != 3]
+    assert sorted(int(r.id) for r in out if r.error == "ValueError: boom") == list(range(3, 200, 10))
+    most, calls = overlap(tmp_dir)
+    assert calls == 180 and 4 < most <= 8
+
+
+def test_window_keeps_order_and_reads_no_further():
+    import time
+
+    taken = []
+
+    def items():
+        for k in range(40):
+            taken.append(k)
+            yield k
+
+    def call(k):
+        time.sleep(0.01 * (5 - k % 5))
+        return k
+
+    results = enrich.in_window(items(), call, 5)
+    for k in range(10):
+        assert next(results) == k
+        assert len(taken) <= k + 6  # back-pressure: the window and the item that waits for a place
+    results.close()
+    assert len(taken) <= 15
+    assert list(enrich.in_window(range(30), call, 4)) == list(range(30)) and list(enrich.in_window([], call, 4)) == []
+
+
+def test_repeated_wanted_ids_are_called_once(spark, tmp_dir):
+    wanted = spark.createDataFrame([("1",), ("1",), ("2",)], "id string")
+    cached = spark.createDataFrame([("2", "cached")], "id string, summary string")
+    fields = T.StructType([T.StructField("summary", T.StringType())])
+    res, failed = enrich.enrich(wanted, cached, sleeper(tmp_dir), fields, {}, "t")
+    assert sorted((r.id, r.summary) for r in res.collect()) == [("1", "s1"), ("2", "cached")]
+    assert failed.count() == 0 and overlap(tmp_dir)[1] == 1
+
+
+def test_route_digests(spark):
+    fields = T.StructType([T.StructField("slug", T.StringType()), T.StructField("keywords", T.ArrayType(T.StringType()))])
+    texts = [("1", '{"slug":"a","keywords":["k"]}'), ("2", '```json\n{"slug":"b","keywords":[]}\n```'), ("3", '{"slug":"c"}'),
+             ("4", '{"slug":"d","keywords":'), ("5", None), ("6", " \n"), ("7", "no json"), ("8", '{"slug":null,"keywords":null}'), ("9", "null")]
+    df = spark.createDataFrame(texts, "id string, raw string")
+    records, errors = enrich.route_digests(df, "raw", schema=fields)
+    assert sorted((r.id, r.slug, r.keywords) for r in records.collect()) == [("1", "a", ["k"]), ("2", "b", [])]
+    got = {r.id: (r.kind, r.fields, r.text) for r in errors.collect()}
+    assert got == {
+        "3": (enrich.MISSING, ["keywords"], None), "4": (enrich.NOT_JSON, None, texts[3][1]), "5": (enrich.NO_TEXT, None, None),
+        "6": (enrich.NO_TEXT, None, None), "7": (enrich.NOT_JSON, None, "no json"), "8": (enrich.MISSING, ["slug", "keywords"], None),
+        "9": (enrich.NOT_JSON, None, "null")}
+    some, _ = enrich.route_digests(df, "raw", schema=fields, required=["slug"])
+    assert sorted(r.id for r in some.collect()) == ["1", "2", "3"]

@@ -149,3 +149,28 @@ def test_caption_after_a_string_item(spark):
 def test_json_table_is_ascii(spark):
     table = {"type": "table", "numbering": "1", "content": [{"type": "caption", "content": "é 😀"}]}
     assert json.dumps(table, separators=(",", ":")) in _md(spark, [table])
+
+
+def test_one_exchange(spark):
+    plan = render(_docs(spark, DOC))._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[-1]
+    assert final.count("Exchange") == 1 and "hashpartitioning(doc_id" in final
+
+
+def test_same_and_missing_ids(spark):
+    docs = spark.createDataFrame([(1, json.dumps({"tokens": [{"type": "paragraph", "content": [_text(t)]}]})) for t in "ab"]
+                                 + [(None, json.dumps({"tokens": [{"type": "title", "content": [_text(t)]}]})) for t in "cc"]
+                                 + [(2, None), (3, "broken"), (4, "{}")], "doc_id long, json string")
+    got = sorted((str(r.doc_id), r.markdown) for r in render(docs).collect())
+    assert got == [("1", "a\n\n"), ("1", "b\n\n"), ("2", ""), ("3", ""), ("4", ""), ("None", "# c\n"), ("None", "# c\n")]
+
+
+def test_titles_in_titles(spark):
+    inner = {"type": "title", "content": [_text("in")]}
+    outer = {"type": "title", "content": [_text("out "), inner]}
+    # the outer title is compared by its whole text, the inner one is finished first
+    assert _md(spark, [outer, inner, outer, {"type": "title", "content": [_text("out # in\n")]}]) == "# out # in\n\n"
+
+
+def test_empty_table_content(spark):
+    assert _md(spark, [{"type": "table", "numbering": "1", "content": []}, {"type": "ref", "content": []}]).endswith("[]")

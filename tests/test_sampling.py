@@ -135,3 +135,56 @@ def test_repeated_id_at_the_cutoff_raises(spark):
     df = spark.createDataFrame([("same",)] * 5, "id string")
     with pytest.raises(ValueError, match="repeated"):
         sampling.uniform_draw(df, 2)
+
+
+def _plain_draw(rows, n, salt):
+    import hashlib
+
+    u = lambda i: (int(hashlib.md5(f"{i}#42#{salt}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    return set(sorted(rows, key=lambda i: (u(i), i))[:n])
+
+
+def test_cutoffs_of_all_strata_at_once(spark):
+    """Few buckets and a small exact limit, so that every bucket is narrowed again, against plain sorting."""
+    df = _scores(spark, 3000)
+    key, idc = hash_unit(F.col("id"), 42, "c"), F.col("id")
+    group = (F.col("id").cast("int") % 3).cast("string")
+    want = {"0": 1, "1": 499, "2": 1000}
+    for limit, buckets in ((4096, 16384), (7, 2), (20, 16)):
+        sizes, cutoffs = topk.stratified_cutoffs(df, group, key, key, idc, lambda s: want, limit, buckets)
+        assert sizes == {"0": 1000, "1": 1000, "2": 1000} and set(cutoffs) == {"0", "1"}
+        for g in cutoffs:
+            drawn = {r.id for r in df.where((group == g) & topk.before_or_at(key, idc, cutoffs[g])).collect()}
+            assert drawn == _plain_draw([str(k) for k in range(3000) if k % 3 == int(g)], want[g], "c")
+    with pytest.raises(ValueError, match="power of two"):
+        topk.stratified_cutoffs(df, group, key, key, idc, lambda s: want, 7, 12)
+
+
+def test_a_draw_takes_two_scans(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        calls.add(1)
+        return x
+
+    counted = counted.asNondeterministic()
+    n = 5000
+    df = spark.range(n).select(F.col("id").cast("string").alias("id"), counted((F.col("id") * 7919 % 1000) / 1000.0).alias("score"))
+    sampling.adaptive_sample(df, 0.3)  # two strata have a partial quota or none; the cutoffs are known when it returns
+    assert calls.value == 2 * n
+
+
+def test_many_equal_keys_raise_without_sorting_them(spark):
+    df = spark.range(10_000).select(F.lit("same").alias("id"))
+    with pytest.raises(ValueError, match="unique"):
+        sampling.uniform_draw(df, 5000)
+    with pytest.raises(ValueError, match="unique"):
+        topk.kth_cutoff(df, F.lit(0.5), F.col("id"), 100)
+
+
+def test_missing_ids_are_drawn_like_others(spark):
+    df = spark.createDataFrame([(None, 0.5), ("a", 0.5), ("b", 0.5)], "id string, score double")
+    out = sampling.adaptive_sample(df, 0.7).collect()
+    assert sorted(r.show for r in out) == [0, 0, 1] or sorted(r.show for r in out) == [0, 1, 1]
+    assert all(r.show is not None for r in out)

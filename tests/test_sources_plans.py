@@ -141,3 +141,47 @@ def test_year_is_kept_after_the_cutoff(spark):
                  background_start_year=2024, preference_start_year=2023)
     assert corpus.needs_year_cutoff(2024, 2023)
     assert {r["year"] for r in recommend(papers, prefs, s).collect()} == {2025}
+
+
+def test_years_have_one_schema_each(spark, tmp_dir):
+    """Columns in another order, missing or of a wider type; years that are not wanted are not opened."""
+    for layout, name in (("files", "{y}.parquet"), ("partitions", "year={y}")):
+        root = os.path.join(tmp_dir, layout)
+        spark.createDataFrame([("a", 1)], "id string, n int").write.parquet(os.path.join(root, name.format(y=2021)))
+        spark.createDataFrame([(2.5, "b", [1.0])], "x double, id string, e array<double>").write.parquet(os.path.join(root, name.format(y=2022)))
+        spark.createDataFrame([(3, "c")], "n long, id string").write.parquet(os.path.join(root, name.format(y=2023)))
+        os.makedirs(os.path.join(root, name.format(y=2020)))
+        with open(os.path.join(root, name.format(y=2020), "part-0.parquet"), "w") as f:
+            f.write("broken")
+        rows = scan_papers(spark, root, [2021, 2022, 2023], layout).collect()
+        assert sorted((r.id, r.n, r.x, r.e) for r in rows) == [("a", 1, None, None), ("b", None, 2.5, [1.0]), ("c", 3, None, None)]
+        if layout == "partitions":
+            assert sorted((r.id, r.year) for r in rows) == [("a", 2021), ("b", 2022), ("c", 2023)]
+            assert scan_papers(spark, root, [1999], layout) is None
+            assert scan_papers(spark, root, [1999, 2021], layout).count() == 1
+
+
+def test_global_rank(spark):
+    from pyspark.sql import functions as F
+
+    from papersift.operators.rank import global_rank
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"), F.lit("x").alias("__n"))
+    got = global_rank(df.repartition(7), ["v"]).collect()
+    assert all(r["rank"] == r.v + 1 for r in got) and len(got) == 5000
+    down = global_rank(df, [F.col("v").desc()], "place").collect()
+    assert all(r.place == 5000 - r.v for r in down)
+    ties = global_rank(spark.createDataFrame([(1,), (1,), (None,)], "v int"), ["v"])
+    assert sorted(r["rank"] for r in ties.collect()) == [1, 2, 3] and ties.where("v IS NULL").first()["rank"] == 1
+    assert global_rank(df.limit(0), ["v"]).count() == 0
+
+
+def test_model_of_given_coefficients(spark):
+    import math
+
+    from papersift.operators.scoring import score
+    from papersift.operators.training import given_model
+
+    df = spark.createDataFrame([("a", [1.0, 2.0], [0.5]), ("b", [0.0, 0.0], [0.0])], "id string, e array<double>, f array<double>")
+    got = {r.id: r.score for r in score(given_model(spark, [0.5, -1.0, 2.0], 0.25), df, ("e", "f")).collect()}
+    assert abs(got["a"] - 1 / (1 + math.exp(-(0.5 - 2.0 + 1.0 + 0.25)))) < 1e-12 and abs(got["b"] - 1 / (1 + math.exp(-0.25))) < 1e-12
