@@ -38,5 +38,5 @@ def dedupe_ratings(df: DataFrame, source_col: str = "source_file", id_col: str =
 
 def key_prefixes(df: DataFrame, id_col: str = "id") -> DataFrame:
     """Distinct four-digit prefixes ``^(\\d{4})\\.`` of the ids (empty ones dropped)."""
-    p = F.regexp_extract(F.col(id_col), r"^(\d{4})\.", 1)
-    return df.select(p.alias("month")).where(F.col("month") != "").distinct()
+    # the filter is on the id: one on the prefix would also be a static filter of a scan that is joined with it
+    return df.where(F.col(id_col).rlike(r"^\d{4}\.")).select(F.substring(id_col, 1, 4).alias("month")).distinct()
