@@ -40,9 +40,12 @@ def _byte_characters() -> dict[int, str]:
 
 
 class TextEncoder:
-    """Ids as little-endian unsigned 32-bit bytes.  The two tables are emptied when full, so memory stays bounded."""
+    """Ids as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str, end_id: int | None = END_ID, most_runs: int = 500_000, most_pieces: int = 350_000):
+    What is remembered has two generations of bounded size: a full one becomes the old one, and what is met again moves
+    to the new one, so frequent runs are never encoded twice."""
+
+    def __init__(self, path: str, end_id: int | None = END_ID, most_runs: int = 250_000, most_pieces: int = 175_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,7 +53,9 @@ class TextEncoder:
         self.model = self.tokenizer.model
         self.characters = str.maketrans(_byte_characters())
         self.runs: dict[bytes, bytes] = {}
+        self.old_runs: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         self.most_runs, self.most_pieces = most_runs, most_pieces
         self.end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -58,10 +63,13 @@ class TextEncoder:
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
+            ids = self.old_pieces.get(piece)
+            if ids is None:
+                said = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.characters)
+                ids = array("I", [t.id for t in self.model.tokenize(said)]).tobytes()
             if len(self.pieces) >= self.most_pieces:
-                self.pieces.clear()
-            said = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.characters)
-            ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(said)]).tobytes()
+                self.old_pieces, self.pieces = self.pieces, {}
+            self.pieces[piece] = ids
         return ids
 
     def _run(self, run: bytes) -> bytes:
@@ -75,11 +83,12 @@ class TextEncoder:
         words = text.split()
         new = set(words).difference(self.runs)
         if new:
-            if len(self.runs) + len(new) > self.most_runs:
-                self.runs = {}
+            if self.runs and len(self.runs) + len(new) > self.most_runs:
+                self.old_runs, self.runs = self.runs, {}
                 new = set(words)
+            old = self.old_runs
             for w in new:
-                self.runs[w] = self._run(w)
+                self.runs[w] = old.get(w) or self._run(w)
         return b"".join(map(self.runs.__getitem__, words)) + self.end
 
 
