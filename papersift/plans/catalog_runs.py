@@ -13,7 +13,10 @@ from pyspark.sql import types as T
 
 from papersift.plans import testdata as td
 from papersift.plans import token_docs as tk
-from papersift.plans.catalog import ARCHIVE_BATCH_SQL, FIRST_SENTENCE, _archive_batch, _cte, _documents_as_papers, first_sentence_digest, register
+from papersift.plans.catalog import (
+    _MAIN_DRAW_SQL, ARCHIVE_BATCH_SQL, BG_RATE, FIRST_SENTENCE, TRAINING_SQL, _archive_batch, _cte, _documents_as_papers, _main_draw, first_sentence_digest,
+    register,
+)
 from papersift.session import ensure_checkpoint_dir, scratch_path
 
 
@@ -264,6 +267,72 @@ def q_result_files(spark, sf):
     return back.select("id", "title", "updated", F.col("categories")[0].alias("lang"))
 
 
+@register("training_rows_late", TRAINING_SQL + """
+SELECT t.id, t.label, t.origin, round(CAST(p.emb_a[1] AS DOUBLE), 6) AS first, round(CAST(p.emb_b[32] AS DOUBLE), 6) AS last
+FROM training t JOIN papers p ON t.id = p.id
+""")
+def q_training_rows_late(spark, sf):
+    """The training rows are chosen on ids; their embeddings are read afterwards, by file and row position."""
+    from papersift.operators import corpus, training
+    from papersift.sources import positions
+
+    path = _scratch(spark, "papers")
+    papers = corpus.with_all_embeddings(td.papers(spark, sf), list(td.EMBEDDING_COLUMNS))
+    papers.drop("abstract").repartition(16, "id").write.parquet(path)
+    scan = positions.with_positions(spark.read.parquet(path))
+    index = scan.select("id", positions.FILE, positions.ROW)
+    rated, unrated = corpus.split_rated(index, td.preferences(spark, sf))
+    keys = training.training_keys(rated, unrated, BG_RATE, 42)
+    rows = positions.fetch(keys.join(index, "id"), T.StructType([scan.schema[c] for c in td.EMBEDDING_COLUMNS]))
+    return rows.select("id", "label", "origin", F.round(F.col("emb_a")[0].cast("double"), 6).alias("first"), F.round(F.col("emb_b")[31].cast("double"), 6).alias("last"))
+
+
+# ---------------------------------------------------------------- display, table size, keyword map, vocabulary
+
+@register("shown_papers", _MAIN_DRAW_SQL + """
+SELECT id, 'event ' || id AS title, 'score ' || CAST(round(score, 1) AS VARCHAR) AS abstract, round(score, 6) AS score FROM drawn WHERE "show" = 1
+""")
+def q_shown_papers(spark, sf):
+    """P10: the shown rows with the columns of the display."""
+    from papersift.operators.scoring import display_projection
+
+    drawn = _main_draw(spark, sf).withColumns({"title": F.concat(F.lit("event "), "id"), "abstract": F.concat(F.lit("score "), F.round("score", 1).cast("string"))})
+    return display_projection(drawn).withColumn("score", F.round("score", 6))
+
+
+@register("table_size", """
+SELECT count(*) AS rows, CAST(sum(length('{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus
+  || '","o_orderpriority":"' || o_orderpriority || '"}')) AS BIGINT) AS json_chars FROM orders
+""")
+def q_table_size(spark, sf):
+    """Rows and size of a table in one pass."""
+    from papersift.operators.scoring import table_stats
+
+    return table_stats(td.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+
+
+@register("keyword_map", "SELECT p_brand AS key, lower(arg_max(p_type, p_partkey)) || '|' || CAST(max(p_partkey) AS VARCHAR) AS mapped FROM part GROUP BY p_brand")
+def q_keyword_map(spark, sf):
+    """Of the records of a key the last one counts."""
+    from papersift.operators import keywords as kw
+
+    records = td.table(spark, sf, "part").select(
+        F.col("p_brand").alias("key"), F.array(F.lower("p_type"), F.col("p_partkey").cast("string")).alias("values"), "p_partkey")
+    return kw.mapping_table(records, "p_partkey").select("key", F.array_join("values", "|").alias("mapped"))
+
+
+@register("vocabulary", "SELECT DISTINCT p_brand AS category, p_name AS keyword FROM part")
+def q_vocabulary(spark, sf):
+    """A vocabulary file (category -> keywords), written from the parts and read back."""
+    from papersift.sources.vocabulary import read_vocabulary
+
+    path = _scratch(spark, "vocabulary")
+    lists = td.table(spark, sf, "part").groupBy("p_brand").agg(F.collect_set("p_name").alias("names"))
+    one = lists.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("p_brand", "names")))).alias("value"))
+    one.write.text(path)
+    return read_vocabulary(spark, path)
+
+
 # ---------------------------------------------------------------- scores of a given model (M3)
 
 WEIGHTS = [((7 * k) % 11 - 5) / 4 for k in range(64)]

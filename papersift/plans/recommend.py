@@ -11,19 +11,23 @@ import datetime as _dt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papersift.operators import corpus, sampling, scoring, training
 from papersift.session import materialize
 from papersift.settings import Settings
+from papersift.sources import positions
 
 
 def corpus_index(papers: DataFrame, settings: Settings) -> DataFrame:
     """One scan of the corpus: ``(id, updated)`` of the papers that pass the
     category and embedding filters, written once as a thin table.  The split, the
-    negative draw and the date window then run on ids, not on embeddings."""
+    negative draw and the date window then run on ids, not on embeddings.  Row positions, if
+    ``papers`` has them (``positions.with_positions``), are kept."""
     cols = list(settings.embedding_columns)
     base = corpus.with_all_embeddings(corpus.category_any(papers, settings.categories), cols)
-    thin = base.where(F.col("id").isNotNull()).select("id", "updated")
+    places = [positions.FILE, positions.ROW] if positions.has_positions(papers) else []
+    thin = base.where(F.col("id").isNotNull()).select("id", "updated", *places)
     return materialize(thin, "corpus-index", columnar=True, key="id")
 
 
@@ -40,12 +44,17 @@ def prepare(index: DataFrame, preferences: DataFrame, settings: Settings,
 
 def fit(papers: DataFrame, preferences: DataFrame, settings: Settings,
         digested_ids: DataFrame | None = None):
-    """Training: (model, unrated ids).  Embeddings are read once, for the chosen rows."""
+    """Training: (model, unrated ids).  Embeddings are read once, for the chosen rows: by position, only
+    from the files that hold one, where ``papers`` has positions, else by a keyed join."""
     cols = list(settings.embedding_columns)
     index = corpus_index(papers, settings)
     rated, unrated = prepare(index, preferences, settings, digested_ids)
     keys = training.training_keys(rated, unrated, settings.bg_sample_rate, settings.seed)
-    rows = papers.join(keys, "id", "inner").select("id", "label", "origin", *cols)
+    if positions.has_positions(papers):
+        chosen = keys.join(index.select("id", positions.FILE, positions.ROW), "id")
+        rows = positions.fetch(chosen, T.StructType([papers.schema[c] for c in cols]))
+    else:
+        rows = papers.join(keys, "id", "inner").select("id", "label", "origin", *cols)
     model = training.fit_logistic(rows, cols, settings.C, settings.max_iter)
     return model, unrated
 
@@ -81,7 +90,7 @@ def recommend(
     shown = sampling.adaptive_sample(
         scored, settings.sample_rate, settings.high_threshold, settings.boundary_threshold, settings.seed
     )
-    return scoring.recommended(scoring.drop_embeddings(shown, cols))
+    return scoring.recommended(scoring.drop_embeddings(shown, [*cols, positions.FILE, positions.ROW]))
 
 
 def digest_named(papers: DataFrame, preferences: DataFrame, ids: list[str] | DataFrame,
@@ -92,4 +101,4 @@ def digest_named(papers: DataFrame, preferences: DataFrame, ids: list[str] | Dat
     model, _ = fit(papers, preferences, settings, digested_ids)
     target = corpus.with_all_embeddings(corpus.id_list_filter(papers, ids), cols)
     scored = scoring.score(model, target, cols)
-    return scoring.drop_embeddings(sampling.force_include(scored), cols)
+    return scoring.drop_embeddings(sampling.force_include(scored), [*cols, positions.FILE, positions.ROW])

@@ -116,31 +116,3 @@ def spread(df, key: str):
     if estimated_bytes(df) <= SPREAD_MAX_BYTES:
         return df.repartition(cores, key)
     return df
-
-
-class LevelCache:
-    """Keeps the frames of a level-by-level job: each level is persisted and
-    counted once (one job), and every ``cut_every``-th level is a reliable
-    checkpoint so a lost cache block never replays more than a few levels.
-    ``release()`` unpersists everything kept."""
-
-    def __init__(self, cut_every: int = 4):
-        self.cut_every = cut_every
-        self.kept = []
-        self.n = 0
-
-    def add(self, df):
-        from pyspark import StorageLevel
-
-        self.n += 1
-        if self.n % self.cut_every == 0:
-            out = materialize(df, "level")
-        else:
-            out = df.persist(StorageLevel.MEMORY_AND_DISK)
-            self.kept.append(out)
-        return out, out.count()
-
-    def release(self):
-        for df in self.kept:
-            df.unpersist()
-        self.kept = []

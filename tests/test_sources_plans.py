@@ -185,3 +185,40 @@ def test_model_of_given_coefficients(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0], [0.5]), ("b", [0.0, 0.0], [0.0])], "id string, e array<double>, f array<double>")
     got = {r.id: r.score for r in score(given_model(spark, [0.5, -1.0, 2.0], 0.25), df, ("e", "f")).collect()}
     assert abs(got["a"] - 1 / (1 + math.exp(-(0.5 - 2.0 + 1.0 + 0.25)))) < 1e-12 and abs(got["b"] - 1 / (1 + math.exp(-0.25))) < 1e-12
+
+
+def test_late_columns_are_read_from_the_files_of_chosen_rows(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from papersift.sources import positions
+
+    path = os.path.join(tmp_dir, "p")
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("id"), F.array(F.col("id") * 1.0, F.col("id") * 2.0).alias("e"), F.lit("x").alias("other"))
+    rows.repartitionByRange(20, F.col("id").cast("int")).write.parquet(path)
+    scan = positions.with_positions(spark.read.parquet(path))
+    wide = scan.select("e").schema
+    chosen = scan.select("id", positions.FILE, positions.ROW).where(F.col("id").cast("int").between(150, 260)).withColumn("label", F.lit(1))
+    got = positions.fetch(chosen.union(chosen.where("id = '200'")), wide)
+    assert got.columns == ["id", "label", "e"]
+    assert sorted((int(r.id), r.e) for r in got.collect()) == sorted([(k, [k * 1.0, k * 2.0]) for k in [*range(150, 261), 200]])
+    files = {r[0] for r in chosen.select(positions.FILE).distinct().collect()}
+    assert len(files) <= 4
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert f"InMemoryFileIndex({len(files)} paths)" in plan and "ReadSchema: struct<e:array<double>>" in plan
+    assert positions.fetch(chosen.limit(0), wide).count() == 0
+
+
+def test_recommend_with_positions_equals_the_keyed_join(spark, tmp_dir):
+    from papersift.plans import flagship
+    from papersift.plans import testdata as td
+    from papersift.plans.recommend import recommend
+    from papersift.sources import positions
+
+    sf = "/root/testdata/sf0.001"
+    path = os.path.join(tmp_dir, "papers")
+    td.papers(spark, sf).repartition(4).write.parquet(path)
+    papers, prefs = spark.read.parquet(path), td.preferences(spark, sf)
+    a = recommend(papers, prefs, flagship.FLAGSHIP_SETTINGS)
+    b = recommend(positions.with_positions(papers), prefs, flagship.FLAGSHIP_SETTINGS)
+    assert a.columns == b.columns
+    assert sorted((r.id, round(r.score, 6)) for r in a.collect()) == sorted((r.id, round(r.score, 6)) for r in b.collect())
