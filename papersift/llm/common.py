@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 
 from papersift.session import ensure_checkpoint_dir
 
-#: Rows of one Arrow batch between the JVM and Python; whole texts travel in them.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch between the JVM and Python; whole texts travel in them.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -23,6 +25,7 @@ def bounded_batches(spark: SparkSession) -> None:
     now = int(spark.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -63,6 +66,20 @@ def utf8_values(values: pa.Array) -> Iterator[bytes]:
         yield bytes(data[a:b])
 
 
+_WORD_CHAR = re.compile(r"\w")
+
+
+def word_parts(run: str) -> tuple[str, str, str]:
+    """What stands before the first word character, from it to the last one, and after."""
+    first = _WORD_CHAR.search(run)
+    if not first:
+        return run, "", ""
+    end = len(run)
+    while not _WORD_CHAR.match(run, end - 1):
+        end -= 1
+    return run[: first.start()], run[first.start() : end], run[end:]
+
+
 class WordHashes(dict):
     """64-bit hash of each word seen; emptied when it holds ``most`` words, so memory stays bounded."""
 
@@ -92,6 +109,19 @@ def kept(key: tuple, make):
     return _KEPT[key]
 
 
+def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` whose worker gives its memory back to the system when a task ends, as it may idle through a later stage."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _KEPT.clear()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every bit of a 64-bit value (splitmix)."""
     x = x ^ (x >> np.uint64(30))

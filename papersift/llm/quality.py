@@ -14,7 +14,6 @@ row; with no labelled rows every score is 0.5; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papersift.llm.common import bounded_batches, column, held_out, kept, mixed, texts_of, utf8_values
+from papersift.llm.common import bounded_batches, column, freed, held_out, mixed, texts_of, utf8_values, word_parts
 from papersift.llm.labelled import MOST_ROWS, training_rows
 
 BUCKETS = 1 << 18
@@ -31,9 +30,6 @@ THRESHOLD = 0.7
 ROUNDS, TRAINERS = 4, 6
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.5
 
-_PARTS = re.compile(r"(\W*)(.*?)(\W*)", re.S)
-
-
 def _shape(core: str) -> str:
     if not core:
         return ""
@@ -47,25 +43,20 @@ def _shape(core: str) -> str:
 class Words(dict):
     """A run between white space -> 16 bytes: the hash of its lower-cased letters, the hash of its shape and punctuation."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 
     def __missing__(self, run: bytes) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        before, core, after = _PARTS.fullmatch(run.decode("utf-8", "replace")).groups()
+        before, core, after = word_parts(run.decode("utf-8", "replace"))
         word = xxhash.xxh3_64_intdigest(core.lower().encode("utf-8", "replace") or run)
-        shape = xxhash.xxh3_64_intdigest(f"{before[:4]} {_shape(core)} {after[:4]}".encode("utf-8", "replace"))
+        shape = xxhash.xxh3_64_intdigest(f"{before} {_shape(core)} {after}".encode("utf-8", "replace"))
         value = self[run] = np.array([word, shape], dtype=np.uint64).tobytes()
         return value
 
 
-def _words() -> Words:
-    """One table for each Python worker."""
-    return kept(("quality words",), Words)
-
-
 _KINDS = [np.uint64(0x9E3779B97F4A7C15 * k % 2**64) for k in range(1, 8)]
 
 
@@ -116,7 +107,7 @@ def train(rows: DataFrame, rounds: int = ROUNDS, trainers: int = TRAINERS) -> np
         state = spark.sparkContext.broadcast((z, n))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            leader, words, seen = Leader(*state.value), _words(), 0
+            leader, words, seen = Leader(*state.value), Words(), 0
             for batch in batches:
                 for text, y in zip(utf8_values(column(batch, "text")), column(batch, "y").to_pylist()):
                     leader.learn(*features(text, words), float(y))
@@ -124,7 +115,7 @@ def train(rows: DataFrame, rounds: int = ROUNDS, trainers: int = TRAINERS) -> np
             if seen:
                 yield pa.RecordBatch.from_pydict({"z": [leader.z.astype("<f4").tobytes()], "n": [leader.n.astype("<f4").tobytes()]})
 
-        made = dealt.mapInArrow(run, "z binary, n binary").collect()  # one state of fixed size from each trainer
+        made = dealt.mapInArrow(freed(run), "z binary, n binary").collect()  # one state of fixed size from each trainer
         if made:
             z = np.mean([np.frombuffer(r.z, "<f4") for r in made], axis=0)
             n = np.mean([np.frombuffer(r.n, "<f4") for r in made], axis=0)
@@ -139,16 +130,17 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
     shared = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": column(batch, "doc_id"), "score": scores(column(batch, "text"), shared.value)})
+            yield pa.RecordBatch.from_pydict({"doc_id": column(batch, "doc_id"), "score": scores(column(batch, "text"), shared.value, words)})
 
-    made = texts_of(docs).mapInArrow(run, "doc_id long, score double")
+    made = texts_of(docs).mapInArrow(freed(run), "doc_id long, score double")
     return made.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def scores(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
+def scores(texts: pa.Array, weights: np.ndarray, words: Words) -> np.ndarray:
     """The probability of label 1 of each text (null: empty)."""
-    words, intercept, out = _words(), float(weights[BUCKETS]), np.empty(len(texts))
+    intercept, out = float(weights[BUCKETS]), np.empty(len(texts))
     for i, text in enumerate(utf8_values(texts.fill_null(""))):
         at, x = features(text, words)
         out[i] = float(weights[at] @ x) + intercept
@@ -161,10 +153,11 @@ def keep(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in batches:
-            yield batch.filter(pa.array(scores(column(batch, "text"), shared.value) >= threshold))
+            yield batch.filter(pa.array(scores(column(batch, "text"), shared.value, words) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> np.ndarray:

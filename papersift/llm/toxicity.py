@@ -1,9 +1,11 @@
 """Toxicity: a lexicon trie met by Levenshtein automata, and context windows that tell quotation from abuse.
 
 The lexicon is learned: words whose share of toxic training documents is far above their share of the others, with
-their log odds.  A word of a text matches the entries within one edit (none below five letters); the automaton and
-the trie move together, so all entries are tried at once.  Exact and misspelled matches are summed apart, and a word seen in
-clean training documents is no misspelling.  A match weighs less where its window of words shows quotation or report (quotation marks,
+their log odds.  A word of a text, and its runs of letters, match the entries within one edit, two for entries of nine
+letters or more and none below five; a digit or symbol inside a word is a letter like others, and a swap of neighbours
+is one edit.  The automaton and the trie move together, so all entries are tried at once.  Exact and misspelled matches
+are summed apart, and a word seen in clean training documents is no misspelling.  Bounds of what is learned, not of what
+is read: MOST_ENTRIES entries, CLEAN_WORDS clean words, words of MOST_LETTERS letters.  A match weighs less where its window of words shows quotation or report (quotation marks,
 words of saying).  The sums, by document and per word of text, go through a logistic model of a few coefficients.
 
 Defined results: null or empty text has no match; null ids are held out; repeated rows are scored row by row; without
@@ -21,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papersift.llm.common import bounded_batches, column, held_out, texts_of, utf8_values
+from papersift.llm.common import bounded_batches, column, held_out, texts_of, utf8_values, word_parts
 from papersift.llm.labelled import MOST_ROWS, training_rows
 
 THRESHOLD = 0.3
-LEAST_DOCS, LEAST_ODDS, MOST_ENTRIES = 4, 2.5, 5_000
+LEAST_DOCS, LEAST_ODDS, MOST_ENTRIES, CLEAN_WORDS, MOST_LETTERS = 4, 2.5, 5_000, 100_000, 64
 WINDOW = 8
-EXACT_BELOW = 5
+#: Entries of fewer letters match exactly only; those of as many or more may miss two edits.
+EXACT_BELOW, TWO_FROM = 5, 9
 QUOTED_WEIGHT = 0.3
 
 #: Words that report what someone else said.
@@ -37,26 +40,37 @@ _TOKENS = re.compile(r"[^\W\d_]+|[\"“”«»„‘’]")
 _QUOTES = frozenset("\"“”«»„‘’")
 
 
+def edits_allowed(entry: str) -> int:
+    """Edits by which a word may miss an entry."""
+    return 0 if len(entry) < EXACT_BELOW else 1 if len(entry) < TWO_FROM else 2
+
+
 class Lexicon:
-    """A trie of entries and the Levenshtein automaton of one edit, intersected.
+    """A trie of entries and the Levenshtein automaton of their allowed edits, intersected.
 
-    A state is a set of (trie node, edits used): every entry's start that the letters read so far can be.  States and
-    their moves are made when first met and kept, so a word costs one look-up for each letter; a word whose state
-    becomes empty ends at once.  The table of states is emptied when it holds ``most``.
+    An edit is a letter too many, too few or replaced, or two neighbours swapped.  A state is a set of (trie node, first
+    letter of a swap that is not yet complete, edits used): every entry's start that the letters read so far can be.  A
+    node is left where no entry below it allows that many edits.  States and their moves are made when first met and
+    kept, so a word costs one look-up for each letter; a word whose state becomes empty ends at once.  The table of
+    states is emptied when it holds ``most``.
     """
 
     def __init__(self, weights: dict[str, float], clean: frozenset, most: int = 100_000):
         self.weights, self.clean, self.most = weights, clean, most
         self.children: list[dict[str, int]] = [{}]
         self.entry: list[str] = [""]
+        self.allowed: list[int] = [0]  # by any entry at the node or below
         for word in weights:
-            node = 0
+            node, edits = 0, edits_allowed(word)
+            self.allowed[0] = max(self.allowed[0], edits)
             for c in word:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.entry.append("")
+                    self.allowed.append(0)
                 node = self.children[node][c]
+                self.allowed[node] = max(self.allowed[node], edits)
             self.entry[node] = word
         self._empty()
 
@@ -66,35 +80,52 @@ class Lexicon:
         self.moves: list[dict[str, int]] = []
         self.values: list[float] = []
         self.dead = self._state({})
-        self.start = self._state({0: 0})
-
-    def _state(self, nodes: dict[int, int]) -> int:
-        for node in [n for n, e in nodes.items() if e == 0]:  # a letter that the word leaves out
+        self.start = self._state({(0, ""): 0})
+
+    def _state(self, places: dict[tuple[int, str], int]) -> int:
+        waiting = list(places)
+        while waiting:  # letters that the word leaves out
+            node, swapped = waiting.pop()
+            e = places[node, swapped] + 1
+            if swapped:
+                continue
             for child in self.children[node].values():
-                nodes.setdefault(child, 1)
-        key = frozenset(nodes.items())
+                if e <= self.allowed[child] and e < places.get((child, ""), 9):
+                    places[child, ""] = e
+                    waiting.append((child, ""))
+        key = frozenset(places.items())
         if key not in self.numbers:
             self.numbers[key] = len(self.states)
             self.states.append(key)
             self.moves.append({})
-            near = [-self.weights[self.entry[n]] for n, e in key if self.entry[n] and len(self.entry[n]) >= EXACT_BELOW]
+            near = [-self.weights[self.entry[n]] for (n, swapped), e in key if not swapped and self.entry[n] and e <= edits_allowed(self.entry[n])]
             self.values.append(min(near, default=0.0))
         return self.numbers[key]
 
     def _move(self, state: int, c: str) -> int:
-        after: dict[int, int] = {}
-        for node, e in self.states[state]:
-            if c in self.children[node]:
-                child = self.children[node][c]
-                after[child] = min(e, after.get(child, 1))
-            if e == 0:  # a letter too many in the word, or another letter
-                after.setdefault(node, 1)
-                for child in self.children[node].values():
-                    after.setdefault(child, 1)
+        after: dict[tuple[int, str], int] = {}
+
+        def put(node: int | None, swapped: str, e: int) -> None:
+            if node is not None and e <= self.allowed[node] and e < after.get((node, swapped), 9):
+                after[node, swapped] = e
+
+        for (node, swapped), e in self.states[state]:
+            child = self.children[node].get(c)
+            if swapped:
+                if child is not None:
+                    put(self.children[child].get(swapped), "", e)
+                continue
+            put(child, "", e)
+            if e < self.allowed[node]:
+                put(node, "", e + 1)  # a letter too many in the word
+                for other in self.children[node].values():
+                    put(other, "", e + 1)  # another letter
+                    if c in self.children[other]:
+                        put(node, c, e + 1)
         return self._state(after)
 
     def weight(self, word: str) -> float:
-        """The weight of an entry, minus that of the heaviest entry one edit away, or 0."""
+        """The weight of an entry, minus that of the heaviest entry within its allowed edits, or 0."""
         if word in self.weights:
             return self.weights[word]
         if len(word) < EXACT_BELOW - 1 or word in self.clean:
@@ -121,11 +152,11 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], frozenset]:
         return {}, frozenset()
     counts = rows.select("y", F.explode(words).alias("word")).groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
-    counts = counts.where(F.length("word") <= 64).withColumn("odds", odds)
+    counts = counts.where(F.length("word") <= MOST_LETTERS).withColumn("odds", odds)
     entries = counts.where((F.col("t") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("odds"), "word").limit(MOST_ENTRIES)
     lexicon = {r.word: float(r.odds) for r in entries.select("word", "odds").collect()}
     # words of the sample that are common among clean documents, so no misspellings; bounded by the sample
-    usual = counts.where((F.col("c") >= LEAST_DOCS) & (F.col("odds") < 0.5)).orderBy(F.desc("c"), "word").limit(20 * MOST_ENTRIES)
+    usual = counts.where((F.col("c") >= LEAST_DOCS) & (F.col("odds") < 0.5)).orderBy(F.desc("c"), "word").limit(CLEAN_WORDS)
     return lexicon, frozenset(r.word for r in usual.select("word").collect())
 
 
@@ -137,8 +168,10 @@ class Scorer:
         self.known: dict[bytes, float] = {}
 
     def _weight(self, run: bytes) -> float:
-        found = [self.lexicon.weight(w) for w in _LETTERS.findall(run.decode("utf-8", "replace").lower())]
-        return max(found, key=abs, default=0.0)
+        text = run.decode("utf-8", "replace").lower()
+        core = word_parts(text)[1]  # digits and symbols inside it may stand for letters
+        found = [self.lexicon.weight(w) for w in {core, *_LETTERS.findall(text)}]
+        return max(found, key=lambda w: (abs(w), w), default=0.0)
 
     def measures(self, text: bytes) -> list[float]:
         """Logarithms of the summed weights of exact matches and of misspelled ones, and of both per 100 words."""
