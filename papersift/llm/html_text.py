@@ -35,25 +35,31 @@ RUN = 20  # phrases of a few words recur on any large host
 PAGES_SHARE = 0.05
 SHARD_TOKENS = 400_000
 
-# Element names and words of class or id attributes, by what they hold.
+# Element names and parts of class or id names, by what they hold.
 RAW = frozenset("script style template noscript iframe svg math object textarea title".split())
-CHROME = frozenset("nav footer aside form button select menu dialog head header".split())
+CHROME = frozenset("nav footer aside button select menu dialog head".split())
+FRAMES = frozenset("form header".split())
 BLOCK = frozenset(
     "address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT = frozenset(["article", "main"])
-_CHROME_NAMES = re.compile(
-    r"(^|[\s_-])(ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notice|pagination|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)($|[\s_-])"
-)
+_CHROME_NAMES = re.compile(r"ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|newsletter|notice|pagination|popup|promo\w*|related|replies|share|sharing|social|sponsor\w*|subscribe|toolbar")
+# Names of page frames, which may also enclose the article.
+_FRAME_NAMES = re.compile(r"header|masthead|menu|modal|nav\w*|sidebar|widget")
+# First parts of a class name that says how the page looks, not what the element is.
+_STATES = frozenset("with has no without is show hide content page layout".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+# possessive, so an unclosed tag is read once
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 # Elements that an opening tag closes.
 _CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"])}
 
 ARTICLE, OPEN = 1, 2
+#: Chrome, whatever it holds; a frame, whose article or main element is none.
+DROPPED, FRAME = 0, -1
 
 
 def host_of(url: str | None) -> str:
@@ -61,37 +67,50 @@ def host_of(url: str | None) -> str:
     return found.group(1).lower() if found else ""
 
 
-def _is_chrome(name: str, attributes: str, in_content: bool) -> bool:
-    if name in CHROME and not (name == "header" and in_content):
-        return True
+def _chrome(name: str, attributes: str, in_content: bool) -> int | None:
+    """DROPPED or FRAME for an element that is chrome, else None."""
+    if name in CHROME:
+        return DROPPED
+    if name == "header" and in_content:
+        return None
+    frame = FRAME if name in FRAMES else None
     if not attributes or name in ("body", "html", "article", "main"):
-        return False
+        return frame
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key == "role" and value in _ROLES or key in ("class", "id") and _CHROME_NAMES.search(value):
-            return True
-    return False
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in _ROLES:
+            return DROPPED
+        if key not in ("class", "id"):
+            continue
+        for token in value.split():
+            parts = re.split("[_-]+", token)
+            if len(parts) > 1 and parts[0] in _STATES:
+                continue
+            # the first or the last part says what the element is: ad-slot, site-footer
+            if _CHROME_NAMES.fullmatch(parts[0]) or _CHROME_NAMES.fullmatch(parts[-1]):
+                return DROPPED
+            if not in_content and (_FRAME_NAMES.fullmatch(parts[0]) or _FRAME_NAMES.fullmatch(parts[-1])):
+                frame = FRAME
+    return frame
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
     """(ARTICLE or OPEN, text) of the blocks that are not chrome, in page order."""
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []  # element, place of its content: 0 is chrome
+    stack: list[tuple[str, int]] = []  # element, place of its content
     parts: list[str] = []
     place, at = OPEN, 0
 
     def end_block() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text and place:
+            if text and place > 0:
                 out.append((place, text))
             parts.clear()
 
-    size = len(page)
+    size, last = len(page), max(page.rfind(">"), page.rfind("<!--"))
     while at < size:
-        tag = _TAG.search(page, at)
+        tag = _TAG.search(page, at) if at <= last else None
         if tag is None:
             parts.append(page[at:])
             break
@@ -125,9 +144,12 @@ def blocks(page: str) -> list[tuple[int, str]]:
         place = stack[-1][1] if stack else OPEN
         if not is_block and not tag.group(3).strip():
             continue  # plain inline markup
-        inside = ARTICLE if name in CONTENT or 'role="main"' in tag.group(3) else place
-        if place == 0 or _is_chrome(name, tag.group(3), place == ARTICLE):
-            inside = 0
+        content = name in CONTENT or 'role="main"' in tag.group(3)
+        if place == DROPPED or place == FRAME and not content:
+            inside = place
+        else:
+            chrome = _chrome(name, tag.group(3), place == ARTICLE)
+            inside = chrome if chrome is not None else ARTICLE if content else place
         if inside != place and not is_block:
             end_block()
         stack.append((name, inside))

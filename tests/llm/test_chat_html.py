@@ -141,3 +141,22 @@ def test_prose_on_a_large_host_stays_whole(spark, monkeypatch):
         monkeypatch.setattr(html_text, "SHARD_TOKENS", shard)
         got = run(spark, rows)
         assert {k: got[k, f"http://big.example/{k}"][0] for k in bodies} == {k: "\n\n".join(body) for k, body in bodies.items()}
+
+
+def test_long_tags_are_read_once():
+    import time
+
+    began = time.time()
+    for page, text in [("<p>x</p><" + "a" * 1_000_000, "x"), ("<p>x</p>" + "<a " * 500_000, "x"), ("<p>x</p>" + "<!" * 500_000, "x")]:
+        assert html_text.blocks(page)[0][1] == text
+    assert time.time() - began < 20
+
+
+def test_article_inside_frames():
+    texts = lambda page: [t for _, t in html_text.blocks(page)]
+    assert texts('<div class="with-sidebar"><article><p>a</p></article></div>') == ["a"]
+    assert texts("<form><p>name</p><article>b</article></form>") == ["b"]
+    assert texts('<div class="page-header-fixed nav-open"><main>m</main></div>') == ["m"]
+    assert texts('<article><header class="entry-header"><h1>T</h1></header><p>c</p><div class="post-comments">no</div></article>') == ["T", "c"]
+    assert texts('<nav><article>no</article></nav><div class="related"><article>no</article></div><div hidden><main>no</main></div><div class="ad">no</div>') == []
+    assert texts('<div class="site-footer">no</div><div class="main-nav">no</div><div class="cookie-banner">no</div>') == []
