@@ -5,8 +5,8 @@ half its length on: two words that differ by one edit share the first half of th
 edge table is distributed and path-compressed: a node with one way on is no node, so its label is the text between two
 branching nodes or a word's end.  The frontier holds (word, position, node, edits) states and starts at each word's
 first branching node.  Each level joins it with the edges on the node: an edge goes on where its label matches, or, for
-states without an edit, after one replaced or one left out code point.  States that end at a word's end with one edit
-are neighbours (an inserted code point is the other word's left out one).  Pairs are checked on the words themselves,
+states without an edit, after one replaced or one left out code point; an edge also says what may follow it, and a state
+whose next code point is not among that ends at once.  States that end at a word's end with one edit are neighbours (an inserted code point is the other word's left out one).  Pairs are checked on the words themselves,
 so equal hashes of two prefixes cost time only.
 
 Rounds: the largest number of branching nodes after half of a word.  No row is dropped and no partner capped.  A word
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papersift.llm.common import bounded_batches, column, stored, texts_of, utf8_values
@@ -102,22 +102,38 @@ def prefixes(words: DataFrame) -> DataFrame:
     return words.select("id", "word").mapInArrow(run, "id long, side int, depth int, node long, next int")
 
 
-def ways(words: DataFrame, places: DataFrame) -> DataFrame:
+# Bits of a set of code points: a-z and, for -1, the end of a word in one long, the rest of the alphabet in another.
+_END = 26
+_LOW = f"CASE WHEN {{0}} < 0 THEN {_END} ELSE {{0}} - {ord('a')} END"
+_HIGH = f"{{0}} - {ord('À')}"
+_IN_LOW = "{0} <= " + str(ord("z"))
+
+
+def branches(places: DataFrame) -> DataFrame:
+    """``node, low, high``: the nodes with more than one way on, and these ways' first code points (-1: a word ends)."""
+    low = F.expr(f"CASE WHEN {_IN_LOW.format('next')} THEN shiftleft(1L, {_LOW.format('next')}) ELSE 0L END")
+    high = F.expr(f"CASE WHEN {_IN_LOW.format('next')} THEN 0L ELSE shiftleft(1L, {_HIGH.format('next')}) END")
+    nodes = places.groupBy("node").agg(F.bit_or(low).alias("low"), F.bit_or(high).alias("high"))
+    return nodes.where(F.bit_count("low") + F.bit_count("high") > 1)
+
+
+def ways(words: DataFrame, places: DataFrame, branching: DataFrame) -> DataFrame:
     """``text, side, size, stops``: the branching nodes (depth, node) on each text's way, then its end.  Texts that meet
     no branching node have no neighbour on this side and are left out."""
-    branching = places.groupBy("node").agg(F.min("next").alias("a"), F.max("next").alias("b")).where("a < b").select("node")
-    met = places.where("next >= 0").join(branching, "node").select("id", "side", "depth", "node")
+    met = places.where("next >= 0").join(branching.select("node"), "node").select("id", "side", "depth", "node")
     stops = met.union(places.where("next < 0").select("id", "side", "depth", "node")).groupBy("id", "side").agg(F.array_sort(F.collect_list(F.struct("depth", "node"))).alias("stops"))
     text = F.when(F.col("side") == 1, F.reverse("word")).otherwise(F.col("word"))
     return stops.where(F.size("stops") > 1).join(words.select("id", "word"), "id").select(text.alias("text"), "side", F.length("word").alias("size"), "stops")
 
 
-def edges(found: DataFrame) -> DataFrame:
-    """``parent, label, child``: each way from one branching node to the next or to a word's end, once."""
+def edges(found: DataFrame, branching: DataFrame) -> DataFrame:
+    """``parent, label, child, low, high``: each way from one branching node to the next or to a word's end, once, and
+    the code points that may follow it (null: none does, a word ends)."""
     n = F.size("stops") - 1
     steps = found.select("text", F.explode(F.arrays_zip(F.slice("stops", 1, n).alias("a"), F.slice("stops", 2, n).alias("b"))).alias("s"))
     label = F.substr("text", F.col("s.a.depth") + 1, F.col("s.b.depth") - F.col("s.a.depth"))
-    return steps.select(F.col("s.a.node").alias("parent"), label.alias("label"), F.col("s.b.node").alias("child")).distinct()
+    table = steps.select(F.col("s.a.node").alias("parent"), label.alias("label"), F.col("s.b.node").alias("child")).distinct()
+    return table.join(branching.withColumnRenamed("node", "child"), "child", "left").select("parent", "label", "child", "low", "high")
 
 
 STATE = ["text", "side", "size", "pos", "node", "edits"]
@@ -131,10 +147,17 @@ def next_level(frontier: DataFrame, table: DataFrame) -> DataFrame:
     matches = F.substr("text", at, long) == F.col("label")
     replaced = clean & (first > F.substr("text", at, one)) & (F.substr("text", at + 1, long - 1) == F.substr("label", F.lit(2))) & (F.col("pos") + long <= F.col("size"))
     left_out = clean & (F.substr("text", at + 1, long) == F.col("label"))
-    to = lambda moved, edits: F.struct((F.col("pos") + moved).cast("int").alias("pos"), F.col("child").alias("node"), edits.cast("int").alias("edits"))
-    states = F.array(F.when(matches, to(long, F.col("edits"))), F.when(replaced, to(long, one)), F.when(left_out, to(long + 1, one)))
+
+    def to(fits: Column, moved: Column, edits: Column) -> Column:
+        pos = (F.col("pos") + moved).cast("int")
+        follows = F.when(pos >= F.col("size"), F.lit(-1)).otherwise(F.ascii(F.substr("text", pos + 1, one)))
+        return F.when(fits, F.struct(pos.alias("pos"), F.col("child").alias("node"), edits.cast("int").alias("edits"), follows.alias("follows"), "low", "high"))
+
+    states = F.array(to(matches, long, F.col("edits")), to(replaced, long, one), to(left_out, long + 1, one))
+    bit = f"CASE WHEN {_IN_LOW.format('follows')} THEN shiftright(low, {_LOW.format('follows')}) ELSE shiftright(high, {_HIGH.format('follows')}) END"
+    alive = F.expr(f"CASE WHEN low IS NULL THEN follows < 0 ELSE ({bit}) & 1L = 1L END")
     met = frontier.where("pos < size").join(table, F.col("node") == F.col("parent"))
-    moved = met.where(matches | replaced | left_out).select("text", "side", "size", F.inline(F.array_compact(states)))
+    moved = met.where(matches | replaced | left_out).select("text", "side", "size", F.inline(F.array_compact(states))).where(alive).drop("follows", "low", "high")
     last = frontier.where("edits = 0 AND pos = size - 1").select("text", "side", "size", F.col("size").alias("pos"), "node", F.lit(1).alias("edits"))
     return moved.where("edits = 1 OR pos < size").union(last)
 
@@ -142,8 +165,9 @@ def next_level(frontier: DataFrame, table: DataFrame) -> DataFrame:
 def neighbours(words: DataFrame) -> DataFrame:
     """``word, near``: every pair, both ways round, of ``words`` (id, word) that differ by exactly one edit."""
     places = stored(prefixes(words), "prefixes")
-    found = stored(ways(words, places), "ways")
-    table = stored(edges(found), "edges")
+    branching = stored(branches(places), "branches")
+    found = stored(ways(words, places, branching), "ways")
+    table = stored(edges(found, branching), "edges")
     first = F.col("stops")[0]
     frontier = stored(found.select("text", "side", "size", first["depth"].alias("pos"), first["node"].alias("node"), F.lit(0).alias("edits")), "frontier")
     ends = frontier.where("false").select("text", "side", "node")
