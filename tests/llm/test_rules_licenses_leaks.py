@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +170,131 @@ def test_short_items_in_text_dense_in_benchmark_words(spark):
         assert wide
     assert len([1 for i, k in got if 80 <= i < 120 and k == i - 20 and len(items[k][1].split()) >= 5]) >= 30  # the edited copies
     assert {x.doc_id for x in decontaminate.without_leaks(docs, benchmark).collect()} >= set(range(1000, 1020))
+
+
+def test_items_of_ordinary_words(spark):
+    """Items of a few words, or of few different ones, are no leak in a text that merely holds them."""
+    rows = [(k, prose(k, 80) + " in the zebra of the the the house and a cat " + prose(50 + k, 40)) for k in range(20)]
+    rows += [(100, "In"), (101, "the ZEBRA, the!"), (102, "in the zebra"), (103, "the the the the the the the the the the"), (104, None), (105, "")]
+    items = [(1, "in", None), (2, "the the", None), (3, "the the zebra", None), (4, "the zebra the", None), (5, "the the the the the the the the the the", None)]
+    docs, benchmark = documents(spark, rows), spark.createDataFrame(items, ITEMS)
+    assert {(x.doc_id, x.item_id) for x in decontaminate.matches(docs, benchmark).collect()} == {(100, 1), (101, 4), (103, 5)}
+    assert {x.doc_id for x in decontaminate.without_leaks(docs, benchmark).collect()} == {i for i, _ in rows} - {100, 101, 103}
+
+
+@pytest.fixture(scope="module")
+def latent(spark):
+    """40 items, 300 clean documents and the model fitted on them, with its vocabulary."""
+    items = {k: prose(700 + k, 15 + k) for k in range(40)}
+    docs = documents(spark, [(k, prose(k, 200)) for k in range(300)])
+    group, _, vocabulary = next(decontaminate.models(docs, spark.createDataFrame([(k, t, None) for k, t in items.items()], ITEMS)))
+    assert len(group) == 1
+    return group[0], vocabulary, items
+
+
+def found(latent, texts):
+    model, vocabulary, _ = latent
+    return [{model.items[s] for s, *_ in hits} for hits in model.search([vocabulary.of(t.encode()) for t in texts])]
+
+
+def test_long_texts_in_slices(latent, monkeypatch):
+    """A passage is found wherever a slice of a long text ends."""
+    texts, want = [], []
+    for k in range(40):
+        words = prose(k, 1500).split()
+        inside = [(k + n) % 40 for n in range(3)]
+        for item, at in zip(inside, (200 + 11 * k, 505, 760 + k)):
+            words[at:at] = latent[2][item].split()
+        texts.append(" ".join(words))
+        want.append(set(inside))
+    whole = found(latent, texts)
+    monkeypatch.setattr(decontaminate, "TOGETHER", 256)
+    assert found(latent, texts) == whole == want
+
+
+def test_the_latent_space_holds_the_segments(latent):
+    model = latent[0]
+    for s, w in enumerate(model.words):
+        c, x = model.row(w)
+        assert abs(np.linalg.norm(model.latent[s]) - 1) < 1e-3 and model.length[s] > 0.9 * np.sqrt(model.mass[s]), s
+
+
+def reworded(kind, words, r):
+    if kind == "moved":
+        a = len(words) // 3
+        return words[a : 2 * a] + words[2 * a :] + words[:a]
+    if kind == "shuffled":
+        parts = [words[k : k + 5] for k in range(0, len(words), 5)]
+        r.shuffle(parts)
+        return sum(parts, [])
+    if kind == "reversed":
+        return [w for k in range(0, len(words), 3) for w in words[k : k + 3][::-1]]
+    return [w if r.random() > 0.25 else "otherwise" for w in reworded("moved", words, r)]
+
+
+@pytest.mark.parametrize("kind", ["moved", "shuffled", "reversed", "replaced"])
+def test_paraphrases(latent, kind):
+    """Items with their parts in another order, or words replaced, are found; documents of other words are not."""
+    r = random.Random(kind)
+    texts = [" ".join(prose(5000 + k, 60).split() + reworded(kind, t.split(), r) + prose(6000 + k, 60).split()) for k, t in latent[2].items()]
+    got = found(latent, texts)
+    assert sum(k in hits for k, hits in enumerate(got)) >= 0.9 * len(texts)
+    assert all(hits <= {k} for k, hits in enumerate(got))
+    # words of many items, mixed, are no paraphrase of any
+    pool = " ".join(latent[2].values()).split()
+    assert not any(found(latent, [" ".join(r.choice(pool) for _ in range(300)) for _ in range(40)]))
+
+
+def test_the_cosine_decides(latent, monkeypatch):
+    texts = [prose(k, 50) + " " + t + " " + prose(k + 1, 50) for k, t in latent[2].items()]
+    assert found(latent, texts) == [{k} for k in latent[2]]
+    monkeypatch.setattr(decontaminate, "COSINE", 2.0)
+    assert not any(found(latent, texts))
+
+
+def test_candidates_against_every_window(latent):
+    """Copies and edited copies in text dense in benchmark words: all that plain LCS over all windows confirms."""
+    model, vocabulary, items = latent
+    r = random.Random(31)
+    pool = " ".join(items.values()).split()
+    for k in range(40):
+        own = items[k].split()
+        for _ in range(r.randint(0, len(own) // 5)):
+            own[r.randrange(len(own))] = r.choice(pool)
+        words = [r.choice(pool) for _ in range(60)] + own + [r.choice(pool) for _ in range(60)]
+        hits = found(latent, [" ".join(words)])[0]
+        for item, t in items.items():
+            best = max(lcs(t.split(), words[a : a + len(t.split()) + 4]) for a in range(0, len(words), 2)) / len(t.split())
+            assert best < 0.75 or item in hits, (k, item, best)
+
+
+def test_scan_against_alignment_of_every_window():
+    """The scanner, which skips windows, against aligning each template with all its windows."""
+    r = random.Random(21)
+    names = ["MIT-notice", "ISC", "CC-BY-4.0", "Unlicense"]
+    templates = {n: licenses.TEMPLATES[n] for n in names}
+    scanner = licenses.Scanner(templates, 0.8)
+    for _ in range(60):
+        words = prose(r.randrange(10**6), r.randint(0, 60)).split()
+        for n in r.sample(names, r.randint(0, 3)):
+            own = templates[n].split()
+            for _ in range(r.randint(0, max(1, len(own) // 6))):
+                own[r.randrange(len(own))] = r.choice(["the", "software", "xyz"])
+            at = r.randint(0, len(words))
+            words[at:at] = own
+        text = " ".join(words)
+        plain = licenses.words_of(text)
+        want = {}
+        for n in names:
+            own = licenses.words_of(templates[n])
+            best = max((len(licenses.patience(own, plain[k : k + 2 * len(own)])) for k in range(0, max(1, len(plain)), len(own))), default=0)
+            if best >= 0.8 * len(own):
+                want[n] = best / len(own)
+        assert {n: c for n, c, _, _ in scanner.scan(text)} == want
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_every_template_is_found(name):
+    text = prose(1, 50) + " " + licenses.TEMPLATES[name].upper().replace(" ", "\n * ") + " " + prose(2, 50)
+    found = {n: c for n, c, _, _ in licenses.Scanner(licenses.TEMPLATES, 0.8).scan(text)}
+    assert found[name] == 1.0
