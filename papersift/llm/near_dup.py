@@ -4,7 +4,7 @@
    shingle.  Equal sets are one class, by a pre-aggregated group; only the smallest id of a class goes on.
 2. Forest: TREES signature orders of DEPTH minhash values.  All (tree, signature) rows are sorted by range, so a region
    of any size is spread evenly, and each row is compared with the NEIGHBOURS rows before it whose common prefix has at
-   least LEAST_DEPTH values.  The prefix that counts so grows with the density of its region.  256 one-bit minhash values
+   least LEAST_DEPTH values.  It keeps NEAREST of them, so a dense region gives no more pairs a row than a thin one.  The prefix that counts so grows with the density of its region.  256 one-bit minhash values
    travel along, drop pairs far below the threshold (4.5 standard errors) and rank the others.
 3. Full sets are made anew for the documents of some candidate pair only.  They are sorted in a few tree orders and
    adjacent sets are compared exactly; the candidate pairs that are not yet connected are then compared one by one.
@@ -13,14 +13,15 @@
    NEAREST + 1 rows.  Every such region that still holds two components is compared whole and exactly, in blocks of
    bounded size; block pairs inside one component are left out.
 
-Defined results: null or empty text has an empty set and is linked with nothing; a repeated row with the same id is
-the same document; rows with a null id take no part, have a null component and are kept; an empty table gives no rows.
+Defined results: null or empty text has an empty set and is linked with nothing; rows with the same id are the same
+document, with every set that its texts have (``one_of_each`` drops only rows equal in id and text); rows with a null id take no part, have a null component and are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papersift.llm.common import WordHashes, bounded_batches, column, mixed, ngram_hashes, stored, texts_of, utf8_values
+from papersift.llm.common import WordHashes, bounded_batches, column, freed, mixed, ngram_hashes, stored, texts_of, utf8_values
 from papersift.llm.components import Union, components
 
 SHINGLE, PERCENT = 5, 85
-TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS, NEAREST = 16, 10, 3, 64, 4
+TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS, NEAREST = 16, 10, 3, 64, 2
 CONFIRM_TREES, CONFIRM_NEIGHBOURS = 3, 12
 SKETCH_BITS = 256
 BLOCK = 500_000  # shingles, and ROW for each row, of one block of a region that is compared whole
@@ -88,7 +89,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 sketches.append(b)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(counts, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, labels, sketches))], names=["doc_id", "n_shingles", "digest", "labels", "sketch"])
 
-    return texts_of(docs).mapInArrow(run, SIGNED)
+    return texts_of(docs).mapInArrow(freed(run), SIGNED)
 
 
 def _prefix(a: bytes, b: bytes) -> int:
@@ -105,7 +106,7 @@ def _neighbours(rows: list[tuple], least: int, new: int = 0) -> Iterator[tuple[i
     """Pairs among rows (tree, label, doc_id, sketch as int) in forest order whose later row is at place ``new`` or after.
 
     Of the NEIGHBOURS rows before a row that share LEAST_DEPTH values with it and agree enough, the NEAREST that
-    agree most are taken, and those 1, 2, 4, ... rows away, so that dense regions are also linked across.
+    agree most are taken, of those that agree alike the closest.
     """
     common = [0]  # equal values of each row and the one before
     for x, y in zip(rows, rows[1:]):
@@ -117,10 +118,9 @@ def _neighbours(rows: list[tuple], least: int, new: int = 0) -> Iterator[tuple[i
             j -= 1
             agree = SKETCH_BITS - (rows[j][3] ^ sketch).bit_count()
             if agree >= least and rows[j][2] != own[2]:
-                found.append((agree, k - j, rows[j][2]))
+                found.append((-agree, k - j, rows[j][2]))
         if len(found) > NEAREST:
-            found.sort(reverse=True)
-            found = found[:NEAREST] + [x for x in found[NEAREST:] if x[1] & (x[1] - 1) == 0]
+            found = nsmallest(NEAREST, found)
         for _, _, other in found:
             yield min(other, own[2]), max(other, own[2])
 
@@ -204,7 +204,7 @@ def sets_of(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
     The filter drops most other documents before their sets are made; a join on the ids drops the rest.
     """
     bits = docs.sparkSession.sparkContext.broadcast(_filter(ids))
-    hashed = texts_of(docs).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("x"))
+    hashed = texts_of(docs).where("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -213,11 +213,18 @@ def sets_of(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
             wanted = (bits.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1
             batch = batch.filter(pa.array(wanted))
             made = [shingles(t, words).astype("<u8").tobytes() for t in utf8_values(column(batch, "text"))]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(made, pa.binary())], names=["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([xxhash.xxh3_128_digest(x) for x in made], pa.binary()), pa.array(made, pa.binary())], names=["doc_id", "digest", "hashes"])
 
-    made = hashed.where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, hashes binary")
-    wanted = reps.select("doc_id", "labels").join(ids, "doc_id")
-    return made.join(wanted, "doc_id").dropDuplicates(["doc_id"])
+    made = hashed.mapInArrow(freed(run), "doc_id long, digest binary, hashes binary")
+    wanted = reps.select("doc_id", "digest", "labels").join(ids, "doc_id")
+    return made.join(wanted, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).drop("digest")
+
+
+def _same_id(own: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (u, v) of the ids that have several sets to the smallest id of each such set."""
+    several = own.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id")
+    classes = reps.select("n_shingles", "digest", F.col("doc_id").alias("v"))
+    return own.join(several, "doc_id").join(classes, ["n_shingles", "digest"]).select(F.col("doc_id").alias("u"), "v")
 
 
 def _confirm_near(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -383,10 +390,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = stored(candidates(reps, percent), "candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = stored(sets_of(docs, reps, ids), "sets")
-    near = stored(_confirm_near(sets, percent), "near-links")
+    near = stored(_confirm_near(sets, percent).union(_same_id(own, reps)), "near-links")
     rest = _confirm_pairs(_apart(pairs, components(near)), sets, percent)
     classes = _with_left_out(docs, reps, components(near.union(rest)), percent)
-    # an id may have several rows with different texts; its classes are then one
+    # an id may have several rows; all their classes are one component by now
     same = own.select("doc_id", "n_shingles", "digest").join(reps.select("n_shingles", "digest", F.col("doc_id").alias("rep")), ["n_shingles", "digest"])
     found = same.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     found = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
@@ -396,7 +403,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows, with all their columns, of one document of each group: the smallest id.  Rows without id stay."""
-    gone = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))
+    """The rows, with all their columns, of one document of each group: the smallest id.  Rows without id stay, and
+    different texts of that id."""
+    gone = near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct().alias("gone")
+    left = docs.alias("own").join(gone, F.col("own.doc_id").cast("long") == F.col("gone.doc_id"), "left_anti")
+    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).union(docs.where("doc_id IS NULL"))

@@ -18,7 +18,7 @@ def test_stages_and_run(spark):
             base = {i for i, t in before.items() if (m := brute_measures(t))[0] < 20 or 100 * m[4] > 30 * m[0]}
             assert not base & set(after)
         if name == "near_duplicates":
-            assert set(after) == {i for i, c in brute(list(before.items())).items() if i == c}
+            assert set(after) == {i for i, c in brute(list(before.items()), corpus_pipeline.NEAR_PERCENT).items() if i == c}
         left = after
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF_SMALL).collect()
     assert {p.doc_id for p in pieces} == set(left)
