@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papersift.llm.common import bounded_batches, column, stored, texts_of, utf8_values
-from papersift.llm.tokens import END_ID, default_tokenizer, text_encoder
+from papersift.llm.tokens import END_ID, REMEMBERED, default_tokenizer, text_encoder
 
 CAPACITY, SHARD_TOKENS = 4096, 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
@@ -101,13 +101,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:7]] + [pa.array(columns[7], pa.binary())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (null unless ``with_ids``)."""
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (null unless ``with_ids``).
+
+    ``remembered`` trades a worker's memory for encoding the same runs again, see ``TextEncoder``."""
     bounded_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = text_encoder(path, end_id), _Shard(capacity, TaskContext.get().partitionId() << 32, with_ids)
+        encoder, shard = text_encoder(path, end_id, remembered), _Shard(capacity, TaskContext.get().partitionId() << 32, with_ids)
         for batch in batches:
             for doc_id, text in zip(column(batch, "doc_id").to_pylist(), utf8_values(column(batch, "text"))):
                 ids = encoder.encode(text)

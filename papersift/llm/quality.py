@@ -43,7 +43,7 @@ def _shape(core: str) -> str:
 class Words(dict):
     """A run between white space -> 16 bytes: the hash of its lower-cased letters, the hash of its shape and punctuation."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

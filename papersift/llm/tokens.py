@@ -17,6 +17,8 @@ from papersift.llm.common import kept
 
 #: End-of-document id that the token queries append.
 END_ID = 2
+#: Runs of a generation that an encoder remembers; a run takes about 0.4 kB in all.
+REMEMBERED = 250_000
 
 
 def default_tokenizer() -> str:
@@ -45,7 +47,7 @@ class TextEncoder:
     What is remembered has two generations of bounded size: a full one becomes the old one, and what is met again moves
     to the new one, so frequent runs are never encoded twice."""
 
-    def __init__(self, path: str, end_id: int | None = END_ID, most_runs: int = 250_000, most_pieces: int = 175_000):
+    def __init__(self, path: str, end_id: int | None = END_ID, most_runs: int = REMEMBERED, most_pieces: int = REMEMBERED * 7 // 10):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -92,6 +94,6 @@ class TextEncoder:
         return b"".join(map(self.runs.__getitem__, words)) + self.end
 
 
-def text_encoder(path: str, end_id: int | None = END_ID) -> TextEncoder:
+def text_encoder(path: str, end_id: int | None = END_ID, remembered: int = REMEMBERED) -> TextEncoder:
     """One encoder for each Python worker, so that the ids it remembers serve all tasks of the worker."""
-    return kept(("encoder", path, end_id), lambda: TextEncoder(path, end_id))
+    return kept(("encoder", path, end_id, remembered), lambda: TextEncoder(path, end_id, remembered, remembered * 7 // 10))
