@@ -17,6 +17,9 @@ from papersift.llm.common import stored
 #: Pairs that share this part (percent) of their 5-word shingles, or more, are duplicates.
 NEAR_PERCENT = 80
 
+#: Token runs that a worker remembers: fewer than in a job of its own, as all stages run in the same executors.
+REMEMBERED = 80_000
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,7 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs).drop("ids")
+    return packing.pack(docs, remembered=REMEMBERED).drop("ids")
 
 
 STAGES = [
