@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papersift.llm.common import column, stored
+from papersift.llm.common import column, freed, stored
 
 #: Links that one contraction holds in memory at a time.
 CONTRACT = 500_000
@@ -89,7 +89,7 @@ def components(links: DataFrame) -> DataFrame:
     ``links`` has long columns u and v.  Ends when a round changes nothing.
     """
     ordered = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    now = stored(ordered.mapInArrow(_contract, "u long, v long"), "links")
+    now = stored(ordered.mapInArrow(freed(_contract), "u long, v long"), "links")
     before = _mark(now)
     while before[0]:
         now = stored(_small_star(_large_star(now)), "links")

@@ -144,7 +144,7 @@ def candidates(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
         region = lambda r: (r[0], r[1][: 2 * LEAST_DEPTH])
         yield _ends(part, [r for r in first if region(r) == region(first[0])], [r for r in carried if region(r) == region(carried[-1])])
 
-    made = trees.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long, border int, tree int, label binary, doc_id long, sketch binary")
+    made = trees.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(freed(run), "a long, b long, border int, tree int, label binary, doc_id long, sketch binary")
     made = stored(made, "forest")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def candidates(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     ends = made.where("border IS NOT NULL").drop("a", "b")
     ends = ends.repartition(F.col("border")).sortWithinPartitions("border", *order)
-    crossing = ends.mapInArrow(across, "a long, b long, border int, tree int, label binary, doc_id long, sketch binary")
+    crossing = ends.mapInArrow(freed(across), "a long, b long, border int, tree int, label binary, doc_id long, sketch binary")
     return made.where("a IS NOT NULL").select("a", "b").union(crossing.select("a", "b")).distinct()
 
 
@@ -249,7 +249,7 @@ def _confirm_near(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
                 union = Union()
             yield pa.RecordBatch.from_pydict({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
 
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "u long, v long")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(freed(run), "u long, v long")
 
 
 def _confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -262,7 +262,7 @@ def _confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
             batch = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([column(batch, "b"), column(batch, "a")], names=["u", "v"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
+    return both.select("a", "b", "x", "y").mapInArrow(freed(run), "u long, v long")
 
 
 def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -370,7 +370,7 @@ def _with_left_out(docs: DataFrame, reps: DataFrame, classes: DataFrame, percent
         yield _links(_compare_all(held, percent) if held else [])
 
     rows = wanted.join(sets, "doc_id").select("key", "doc_id", "component", "hashes")
-    more = stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long"), "left-out")
+    more = stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(freed(run), "u long, v long"), "left-out")
     if more.isEmpty():
         return classes
     return components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
