@@ -2,11 +2,11 @@
 
 1. Benchmark items become segments of at most SEGMENT words (lower-cased runs of letters and digits).  Texts are coded
    once, over the words of all segments.  Segments are dealt into blocks of about RANK, each with a latent space.
-2. A block's space comes from a randomised SVD of the TF-IDF rows of its segments and of a bounded, hashed sample of
-   documents' passages; document frequencies are counted over every passage block of every document.  Each power
-   iteration is one Spark job that returns a matrix of fixed size from each partition.  The segments weigh as much as
-   the whole sample, and the space has more dimensions than the block has segments, so it holds every segment, and the
-   passages' own structure besides.
+2. A block's space comes from the TF-IDF rows of its segments and of all passages of all documents: one pass adds up the
+   rows' products for each pair of the block's words (a block has COLUMNS words at most, so the matrix is of fixed size),
+   and a randomised SVD takes the leading directions from the sums.  Document frequencies are counted over every passage
+   block of every document.  The segments weigh as much as all passages, and the space has more dimensions than the
+   block has segments, so it holds every segment, and the passages' own structure besides.
 3. A segment of n words is looked for in passages of its own scale: two neighbouring blocks of the least width of WIDTHS
    that n words fit in, one block on at a time, so a copy always lies whole in some passage and is a good part of it.
    Candidates are the passages whose cosine to a segment in the latent space is COSINE at least and that reach SHARE of
@@ -28,7 +28,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,10 @@ from papersift.llm.common import bounded_batches, column, freed, stored, texts_o
 
 SEGMENT, HALF = 64, 32
 WIDTHS = (8, 16, 32, 64)
-RANK, MORE, OVERSAMPLE, ITERATIONS = 256, 64, 16, 3
-SAMPLE_DOCS = 4_000
+RANK, MORE, OVERSAMPLE, ITERATIONS = 256, 64, 16, 6
+COLUMNS = 4096
+#: Blocks of a fitted passage, passages whose word pairs are made together, and tasks that each send a matrix.
+FITTED, FITTED_TOGETHER, MATRICES = 3, 512, 64
 SHARE, COSINE, FREQUENT = 0.3, 0.25, 0.02
 TOGETHER = 50_000
 COMMON, ANSWER_WORDS, ANSWER = 0.6, 5, 0.5
@@ -117,34 +119,61 @@ def _normal(columns: int, width: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((columns, width)).astype(np.float32)
 
 
-def randomised_svd(rows: DataFrame, own: list[tuple[np.ndarray, np.ndarray]], size: int, rank: int) -> np.ndarray:
-    """The leading right singular vectors (size x rank) of the sparse rows ``columns``, ``weights`` and of ``own``."""
-    spark = rows.sparkSession
-    width = min(size, rank + OVERSAMPLE)
-    basis = np.linalg.qr(_normal(size, width))[0]
+def word_products(rows: DataFrame, model: Model, kind: str) -> np.ndarray:
+    """The sums, over all passages of all texts, of the products of their weights at each pair of the model's columns.
 
-    def add(out: np.ndarray, q: np.ndarray, c: np.ndarray, w: np.ndarray) -> None:
-        out[c] += w[:, None] * (w @ q[c])  # columns of a row are distinct
+    Each task adds up one matrix; its rows are added up again by row, so what is shuffled doesn't grow with the texts."""
+    spark, size = rows.sparkSession, len(model.columns)
+    shared = spark.sparkContext.broadcast(model)
+    step = FITTED * HALF * FITTED_TOGETHER
 
-    for _ in range(ITERATIONS):
-        shared = spark.sparkContext.broadcast(basis.astype(np.float32))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, out = shared.value, np.zeros(size * size, dtype=np.float32)
+        keys, at = [], 0
+        for batch in batches:
+            for own in column(batch, "words"):
+                words = np.frombuffer(own.as_buffer(), dtype=kind)
+                for k in range(0, len(words), step):
+                    block, word, n = passage_blocks(model.local(words[k : k + step]))
+                    keys.append((at + block // FITTED) * size + word)
+                    at += -(-n // FITTED)
+                    if at >= FITTED_TOGETHER:
+                        model.add_products(out, np.concatenate(keys))
+                        keys, at = [], 0
+        if keys:
+            model.add_products(out, np.concatenate(keys))
+        out = out.reshape(size, size)
+        yield from _matrix_rows((k, out[k, k:]) for k in range(size) if out[k, k] > 0)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, m in zip(column(batch, "k").to_pylist(), column(batch, "m")):
+                own = np.frombuffer(m.as_buffer(), dtype=np.float32)
+                sums[k] = sums[k] + own if k in sums else own.astype(np.float64)
+        yield from _matrix_rows(sums.items())
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out, seen = np.zeros(shared.value.shape, dtype=np.float32), False
-            for batch in batches:
-                for c, w in zip(column(batch, "columns"), column(batch, "weights")):
-                    add(out, shared.value, c.values.to_numpy(), w.values.to_numpy())
-                    seen = True
-            if seen:
-                yield pa.RecordBatch.from_pydict({"m": [out.tobytes()]})
-
-        product = np.zeros(basis.shape, dtype=np.float64)
-        for r in rows.mapInArrow(freed(run), "m binary").toLocalIterator():  # one matrix of fixed size at a time
-            product += np.frombuffer(r.m, dtype=np.float32).reshape(product.shape)
-        for c, w in own:
-            add(product, basis, c, w)
+    tasks = min(MATRICES, spark.sparkContext.defaultParallelism)
+    made = rows.select("words").coalesce(tasks).mapInArrow(freed(run), "k long, m binary").repartition(tasks, "k")
+    products = np.zeros((size, size), dtype=np.float32)
+    for r in made.mapInArrow(freed(added), "k long, m binary").toLocalIterator():
+        products[r.k, r.k :] = products[r.k :, r.k] = np.frombuffer(r.m, dtype=np.float32)
+    shared.unpersist()
+    return products
+
+
+def _matrix_rows(rows: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for some in itertools.batched(rows, 256):
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int64()), pa.array([m.astype(np.float32).tobytes() for _, m in some], pa.binary())], names=["k", "m"])
+
+
+def randomised_svd(products: np.ndarray, rank: int) -> np.ndarray:
+    """The leading right singular vectors (columns x rank) of the rows with these products."""
+    size = len(products)
+    basis = np.linalg.qr(_normal(size, min(size, rank + OVERSAMPLE)))[0]
+    for _ in range(ITERATIONS):
+        product = (products @ basis.astype(np.float32)).astype(np.float64)
         last, basis = basis, np.linalg.qr(product)[0]
-        shared.unpersist()
     _, turn = np.linalg.eigh(last.T @ product)
     return (last @ turn[:, ::-1][:, :rank]).astype(np.float32)
 
@@ -199,6 +228,30 @@ class Model:
         x = self.idf[c]
         return c, x / max(np.sqrt((x * x).sum()), 1e-12)
 
+    def add_products(self, out: np.ndarray, keys: np.ndarray) -> None:
+        """Adds the products of each passage's weights to the flat matrix; ``keys`` are passage * columns + column."""
+        size = len(self.columns)
+        keys = np.unique(keys)
+        keys = keys[self.idf[keys % size] > 0]
+        if not len(keys):
+            return
+        passage, c = np.divmod(keys, size)
+        x, at = self.idf[c], np.arange(len(c))
+        first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+        sizes = np.diff(np.r_[first, len(c)])
+        w = (x / np.repeat(np.sqrt(np.add.reduceat(x * x, first)), sizes)).astype(np.float32)
+        n = np.repeat(first + sizes, sizes) - at  # each column with itself and those after it in the passage
+        left = np.repeat(at, n)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n - at, n)
+        np.add.at(out, c[left] * size + c[right], w[left] * w[right])
+
+    def fit(self, products: np.ndarray) -> None:
+        """The latent space of the passages with these products and of the segments."""
+        heavier = max(1.0, float(np.trace(products, dtype=np.float64)) / len(self.words))  # a passage adds 1 to the trace
+        for c, w in map(self.row, self.words):
+            products[np.ix_(c, c)] += heavier * np.outer(w, w)
+        self.project(randomised_svd(products, min(len(products), len(self.words) + MORE)))
+
     def project(self, vectors: np.ndarray) -> None:
         self.table = (vectors * self.idf[:, None]).astype(np.float32)
         z = np.array([self.table[w].sum(axis=0) for w in self.different])
@@ -315,41 +368,23 @@ def models(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[list[Model],
     vocabulary = Vocabulary(sorted({w for _, words in segments for w in words}))
     rows = coded(texts, vocabulary)
     df, total = document_frequencies(rows, vocabulary)
-    blocks = max(1, math.ceil(len(segments) / RANK))
-    sample = stored(_sample(rows), "sample")
+    blocks = _blocks([words for _, words in segments])
     group: list[Model] = []
     for block in range(blocks):
         model = Model(segments[block::blocks], df, total, vocabulary)
-        shared = spark.sparkContext.broadcast(model)
-
-        def weighed(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                made = []
-                for own in column(batch, "words").to_pylist():
-                    block, word, n = passage_blocks(shared.value.local(np.frombuffer(own, dtype=vocabulary.kind)))
-                    for k in range(0, n, 3):
-                        c, w = shared.value.row(word[np.searchsorted(block, k) : np.searchsorted(block, k + 3)])
-                        if len(c):
-                            made.append((c, w))
-                yield pa.RecordBatch.from_pydict({"columns": pa.array([x[0] for x in made], pa.list_(pa.int64())), "weights": pa.array([x[1] for x in made], pa.list_(pa.float64()))})
-
-        passages = stored(sample.mapInArrow(freed(weighed), "columns array<long>, weights array<double>"), "passages")
-        size = len(model.columns)
-        heavier = math.sqrt(max(1.0, passages.count() / len(model.words)))  # the segments weigh as much as the sample
-        fitted = [(c, heavier * w) for c, w in map(model.row, model.words)]
-        model.project(randomised_svd(passages, fitted, size, min(size, len(model.words) + MORE)))
+        model.fit(word_products(rows, model, vocabulary.kind))
         group.append(model)
         if len(group) == BLOCKS_AT_ONCE or block == blocks - 1:
             yield group, rows, vocabulary
             group = []
 
 
-def _sample(texts: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
-    """About ``most`` documents by a hash of their id, so the same ones whatever the partitions."""
-    grid = 1 << 30
-    count = max(1, texts.count())
-    chosen = texts.where(F.pmod(F.xxhash64(F.lit("passages"), F.coalesce("doc_id", F.lit(0))), F.lit(grid)) < min(grid, int(grid * most / count) + 1))
-    return chosen.repartition(8, "doc_id")
+def _blocks(segments: list[list[str]]) -> int:
+    """The number of blocks, so that each has about RANK segments and COLUMNS words at most."""
+    blocks = max(1, math.ceil(len(segments) / RANK))
+    while blocks < len(segments) and any(len(set().union(*segments[k::blocks])) > COLUMNS for k in range(blocks)):
+        blocks = min(2 * blocks, len(segments))
+    return blocks
 
 
 MATCHES = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"

@@ -298,3 +298,31 @@ def test_every_template_is_found(name):
     text = prose(1, 50) + " " + licenses.TEMPLATES[name].upper().replace(" ", "\n * ") + " " + prose(2, 50)
     found = {n: c for n, c, _, _ in licenses.Scanner(licenses.TEMPLATES, 0.8).scan(text)}
     assert found[name] == 1.0
+
+
+def test_the_latent_space_is_fitted_on_all_passages(spark, monkeypatch):
+    """The sums of products are those of every passage of every text, long texts in slices, whatever the partitions."""
+    monkeypatch.setattr(decontaminate, "FITTED_TOGETHER", 2)
+    items = [(k, prose(700 + k, 20)) for k in range(10)]
+    texts = [prose(k, 30 + 40 * (k % 12)) + " " + items[k % 10][1] for k in range(60)] + [None, "", "unknown"]
+    segments = [(k, t.split()) for k, t in items]
+    vocabulary = decontaminate.Vocabulary(sorted({w for _, words in segments for w in words}))
+    rows = decontaminate.coded(decontaminate.texts_of(documents(spark, list(enumerate(texts))).repartition(5)), vocabulary)
+    model = decontaminate.Model(segments, *decontaminate.document_frequencies(rows, vocabulary), vocabulary)
+    got = decontaminate.word_products(rows, model, vocabulary.kind)
+    want, n = np.zeros(got.shape), 0
+    for text in texts:
+        words = model.local(vocabulary.of((text or "").encode()))
+        for k in range(0, len(words), 96):
+            c, w = model.row(words[k : k + 96][words[k : k + 96] >= 0])
+            want[np.ix_(c, c)] += np.outer(w, w)
+            n += len(c) > 0
+    assert n > 80 and np.allclose(got, want, atol=1e-4) and abs(np.trace(got) - n) < 0.01
+
+
+def test_blocks_have_few_words(monkeypatch):
+    monkeypatch.setattr(decontaminate, "COLUMNS", 50)
+    segments = [[f"w{k}-{n}" for n in range(20)] for k in range(9)]
+    blocks = decontaminate._blocks(segments)
+    assert all(len(set().union(*segments[k::blocks])) <= 50 for k in range(blocks)) and blocks < 9
+    assert decontaminate._blocks([[f"w{n}" for n in range(64)]]) == 1
