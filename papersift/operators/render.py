@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from papersift.functions.text import clean_equation
 from papersift.session import spread
 
+#: ``content`` and ``title`` are a string or a list, whose JSON is read here as it is.
 NODE_SCHEMA = (
-    "struct<type:string,content:array<string>,title:array<string>,level:int,numbering:string,"
+    "struct<type:string,content:string,title:string,level:int,numbering:string,"
     "name:string,depth:int,display:string,styles:array<string>,cite_key:string>"
 )
-TEXT_SCHEMA = "struct<content:string,title:string>"
 
 #: Digits of a position in a path: no array has more elements than ten digits count, so none is ever cut.
 DIGITS = 10
@@ -90,11 +90,15 @@ POSITION = ["doc_id", "path", "parent_path", "ptype", "depth", "slot", "pkind",
 BLOCK_COLUMNS = POSITION + [n for n, _ in ATTRS]
 
 
-def _attr_columns(kind: Column, a: Column, b: Column, node: Column) -> dict:
-    """Attributes of an expanded node (``a``/``b``: the node parsed as a token and
-    as text).  The subtree JSON is not kept, except where a rule prints it:
-    tables shown as JSON, and plain-text table cells."""
-    content = a["content"]
+def _list_of(node: Column, a: Column, name: str) -> Column:
+    """The elements' JSON if the field is a list, else null.  Only a value that begins like a list is parsed as one (a
+    string may begin so, too)."""
+    return F.when(a[name].startswith("["), F.from_json(node, f"struct<{name}:array<string>>")[name])
+
+
+def _attr_columns(kind: Column, a: Column, content: Column, title: Column, node: Column) -> dict:
+    """Attributes of an expanded node (``a``: the node parsed as a token, ``content`` and ``title``: its lists).
+    The subtree JSON is not kept, except where a rule prints it: tables shown as JSON, and plain-text table cells."""
     first = F.get(content, F.lit(0))
     tabular = F.from_json(first, "struct<tabular:array<string>>")["tabular"]
     table_mode = F.when(kind != "table", F.lit(None)).when(
@@ -105,8 +109,8 @@ def _attr_columns(kind: Column, a: Column, b: Column, node: Column) -> dict:
     return {
         "kind": kind, "typ": a["type"], "lvl": a["level"], "numbering": a["numbering"], "lname": a["name"],
         "ldepth": a["depth"], "display": a["display"], "styles": a["styles"], "cite_key": a["cite_key"],
-        "has_clist": content.isNotNull(), "has_tlist": a["title"].isNotNull(),
-        "text": F.when(content.isNull(), b["content"]), "title_str": F.when(a["title"].isNull(), b["title"]),
+        "has_clist": content.isNotNull(), "has_tlist": title.isNotNull(),
+        "text": F.when(content.isNull(), a["content"]), "title_str": F.when(title.isNull(), a["title"]),
         "keys": F.when(kind.isin("citation", "ref"), content),
         "table_mode": table_mode,
         "cap_pos": F.when(kind.isin("figure", "table"), _first_caption(node)),
@@ -115,7 +119,7 @@ def _attr_columns(kind: Column, a: Column, b: Column, node: Column) -> dict:
     }
 
 
-def _child_lists(kind: Column, a: Column, node: Column, live: Column, ir: Column, ce: Column,
+def _child_lists(kind: Column, content: Column, title: Column, node: Column, live: Column, ir: Column, ce: Column,
                  cap_pos: Column, table_mode: Column, typ: Column) -> Column:
     """Which child lists a node's renderer visits, with the options it passes on:
     an array of (slot, list, kind given by the parent, live, ir, ce, only_pos)."""
@@ -126,7 +130,6 @@ def _child_lists(kind: Column, a: Column, node: Column, live: Column, ir: Column
             (only_pos if only_pos is not None else F.lit(-1)).alias("only_pos"))
 
     k = kind
-    content, title = a["content"], a["title"]
     as_list = F.from_json(node, "array<string>")
     tabular = F.from_json(F.get(content, F.lit(0)), "struct<tabular:array<string>>")["tabular"]
     off = F.lit(False)
@@ -153,8 +156,8 @@ def _child_lists(kind: Column, a: Column, node: Column, live: Column, ir: Column
 
 
 def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+    """``body`` of a value that is computed once.  (A fold over nothing: unlike ``transform`` it copies no value.)"""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, body)
 
 
 OPEN = ("struct<path:string,parent_path:string,ptype:string,depth:int,slot:string,pkind:string,ir:boolean,ce:boolean,"
@@ -166,19 +169,21 @@ LEVELS = f"struct<levels:array<array<{BLOCK}>>,open:array<{OPEN}>>"
 def _closed(open_nodes: Column, unvisited: bool) -> Column:
     """Each open node as its block and its children, which are open."""
     def parsed(o):
-        a, b = F.from_json(o["node"], NODE_SCHEMA), F.from_json(o["node"], TEXT_SCHEMA)
-        return F.struct(o.alias("o"), a.alias("a"), b.alias("b"), F.coalesce(o["pkind"], a["type"], F.lit("None")).alias("k"))
+        a = F.from_json(o["node"], NODE_SCHEMA)
+        return _let(a, lambda a: _let(F.struct(
+            o.alias("o"), a.alias("a"), F.coalesce(o["pkind"], a["type"], F.lit("None")).alias("k"),
+            _list_of(o["node"], a, "content").alias("content"), _list_of(o["node"], a, "title").alias("title")), described))
 
     def described(x):
         o, k = x["o"], x["k"]
         # A top-level text token is skipped; a command token is never rendered.
         live = o["live"] & (k != "command") & ~(o["top"] & (k == "text"))
-        attrs = _attr_columns(k, x["a"], x["b"], o["node"])
-        return F.struct(o.alias("o"), x["a"].alias("a"), live.alias("live"), F.struct(*[attrs[n].cast(t).alias(n) for n, t in ATTRS]).alias("attrs"))
+        attrs = _attr_columns(k, x["a"], x["content"], x["title"], o["node"])
+        return _let(F.struct(x.alias("x"), live.alias("live"), F.struct(*[attrs[n].cast(t).alias(n) for n, t in ATTRS]).alias("attrs")), with_children)
 
     def with_children(y):
-        o, at, live = y["o"], y["attrs"], y["live"]
-        specs = _child_lists(at["kind"], y["a"], o["node"], live, o["ir"], o["ce"], at["cap_pos"], at["table_mode"], at["typ"])
+        o, at, live = y["x"]["o"], y["attrs"], y["live"]
+        specs = _child_lists(at["kind"], y["x"]["content"], y["x"]["title"], o["node"], live, o["ir"], o["ce"], at["cap_pos"], at["table_mode"], at["typ"])
         in_title = o["in_title"] | F.coalesce(at["kind"] == "title", F.lit(False))
 
         def children_of(s):
@@ -194,15 +199,14 @@ def _closed(open_nodes: Column, unvisited: bool) -> Column:
         kids = F.flatten(F.transform(F.filter(specs, lambda s: s.isNotNull() & s["arr"].isNotNull()), children_of))
         if not unvisited:
             kids = F.when(live, kids).otherwise(F.array().cast(f"array<{OPEN}>"))
-        return F.struct(o.alias("o"), live.alias("live"), at.alias("attrs"), kids.alias("kids"))
+        return _let(kids, lambda kids: block(y, kids))
 
-    def block(z):
-        own = [(z["live"] if c == "live" else z["o"][c]).alias(c) for c in POSITION if c != "doc_id"]
-        own += [z["attrs"][n].alias(n) for n, _ in ATTRS] + [F.size(z["kids"]).alias("n_kids")]
-        return F.struct(F.struct(*own).cast(BLOCK).alias("block"), z["kids"].cast(f"array<{OPEN}>").alias("kids"))
+    def block(y, kids):
+        own = [(y["live"] if c == "live" else y["x"]["o"][c]).alias(c) for c in POSITION if c != "doc_id"]
+        own += [y["attrs"][n].alias(n) for n, _ in ATTRS] + [F.size(kids).alias("n_kids")]
+        return F.struct(F.struct(*own).alias("block"), kids.alias("kids"))
 
-    steps = F.transform(F.transform(open_nodes, parsed), described)
-    return F.transform(F.transform(steps, with_children), block)
+    return F.transform(open_nodes, parsed)
 
 
 def _levels(json: Column, ignore_reference: bool, clean_equations: bool, unvisited: bool) -> Column:
@@ -223,7 +227,7 @@ def _levels(json: Column, ignore_reference: bool, clean_equations: bool, unvisit
             return F.struct(
                 F.concat(state["levels"], F.array(F.transform(closed, lambda z: z["block"]))).alias("levels"),
                 F.flatten(F.transform(closed, lambda z: z["kids"])).alias("open"))
-        return F.when(F.size(state["open"]) == 0, state).otherwise(_let(_closed(state["open"], unvisited), added).cast(LEVELS))
+        return F.when(F.size(state["open"]) == 0, state).otherwise(_let(_closed(state["open"], unvisited), added))
 
     # every level but those of author items has a list of its own in the text, so a document has no more levels than this
     lists = F.coalesce(F.length(json) - F.length(F.replace(json, F.lit("["), F.lit(""))), F.lit(0))
@@ -314,7 +318,7 @@ def _author_md(items: Column) -> Column:
 
 def _rendered(b: Column, kids: Column, again: Column, drop_bibliography: bool) -> Column:
     """A block's RENDERED from its live rendered children; ``again``: a title whose text came before."""
-    return _let(_of_children(kids), lambda c: _by_rule(b, c, again, drop_bibliography))
+    return _let(kids, lambda kids: _let(_of_children(kids), lambda c: _by_rule(b, c, again, drop_bibliography)))
 
 
 def _by_rule(b: Column, c: Column, again: Column, drop_bibliography: bool) -> Column:

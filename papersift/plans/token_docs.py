@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papersift.plans import testdata as td
+from papersift.session import spread
 
 
 def _text_token(content: Column, styles: list[str] | None = None) -> Column:
@@ -147,7 +148,7 @@ def part_tables(spark: SparkSession, sf: str) -> DataFrame:
     """One table per part, captioned with its brand: a header row and a data row.
     Parts of size 5 or less get only the header row (a one-row table vanishes);
     parts of size 46 or more get a row-spanning header cell (kept as JSON)."""
-    p = td.table(spark, sf, "part")
+    p = spread(td.table(spark, sf, "part"), "p_partkey")
     name_cell = F.when(F.col("p_size") >= 46,
                        F.lit('{"content":[{"type":"text","content":"name"}],"rowspan":2}')).otherwise(F.lit('"name"'))
     header = F.concat(F.lit("["), name_cell, F.lit(',"type","size"]'))
@@ -208,7 +209,7 @@ FROM customer
 def part_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Per part: an abstract in italics, a math environment in three forms, a citation with and without a title, a
     reference, a command, a numbered list at three depths, a bibliography and a token of no known type."""
-    p = td.table(spark, sf, "part")
+    p = spread(td.table(spark, sf, "part"), "p_partkey")  # a small file of many parts: its JSON is built on all cores
     third = F.col("p_size") % 3
     math = F.when(third == 0, F.concat(F.lit("\\begin{x} "), F.col("p_type"))).when(third == 1, F.concat(F.lit(" "), F.col("p_type"), F.lit(" "))).otherwise(F.lit("  "))
     keys = F.array("p_brand", F.concat(F.lit("size "), F.col("p_size").cast("string")))

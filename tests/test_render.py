@@ -174,3 +174,21 @@ def test_titles_in_titles(spark):
 
 def test_empty_table_content(spark):
     assert _md(spark, [{"type": "table", "numbering": "1", "content": []}, {"type": "ref", "content": []}]).endswith("[]")
+
+
+def test_strings_that_begin_like_lists_are_text(spark):
+    from papersift.operators.render import render
+
+    tokens = '{"type":"paragraph","content":[{"type":"text","content":"[\\"a\\"]"},{"type":"text","content":"[b"},{"type":"text","content":5}]}'
+    section = '{"type":"section","level":1,"title":"[1]","content":[{"type":"paragraph","content":"[c]"}]}'
+    docs = spark.createDataFrame([("d", f'{{"tokens":[{tokens},{section}]}}')], "doc_id string, json string")
+    assert render(docs).collect()[0].markdown == '["a"][b5\n\n## [1]\n\n'
+
+
+def test_part_documents_are_built_on_all_cores(spark, tmp_path):
+    from papersift.plans import token_docs
+
+    row = (1, "n", "Brand#1", "t", 3)
+    spark.createDataFrame([row, (2, *row[1:])], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for made in (token_docs.part_rules, token_docs.part_tables):
+        assert made(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
