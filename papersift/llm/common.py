@@ -13,20 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papersift.session import ensure_checkpoint_dir
-
-#: Rows and bytes of one Arrow batch between the JVM and Python; whole texts travel in them.
-BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small enough for a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
+from papersift.session import bounded_batches, ensure_checkpoint_dir  # noqa: F401 - the operators take the first from here
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which all executors share."""

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papersift.operators import cache as cache_ops
-from papersift.session import materialize
+from papersift.session import bounded_batches, materialize
 
 
 def _result_schema(fields: T.StructType, id_col: str) -> T.StructType:
@@ -54,8 +54,15 @@ def shares(workers: int, tasks: int) -> tuple[int, int]:
     return tasks, max(1, workers // tasks)
 
 
-#: Results that are sent on together.
-RESULT_ROWS = 256
+#: Results that are sent on together, and rows of a batch that are Python objects at a time.
+RESULT_ROWS, RECORD_ROWS = 256, 64
+
+
+def records(batches: Iterable[pd.DataFrame]) -> Iterator[dict]:
+    """The rows as dicts, a few at a time: besides a batch, no second copy of all its texts is held."""
+    for pdf in batches:
+        for k in range(0, len(pdf), RECORD_ROWS):
+            yield from pdf.iloc[k : k + RECORD_ROWS].to_dict("records")
 
 
 def apply_per_row(
@@ -69,7 +76,9 @@ def apply_per_row(
     """Run ``fn(row_dict) -> dict`` on each row; failures give ``error``.
 
     Each task has at most ``in_flight`` calls of ``fn``, in threads, at a time; with ``num_partitions``, all tasks
-    together have at most ``num_partitions * in_flight``."""
+    together have at most ``num_partitions * in_flight``.  Batches of rows are bounded in rows and bytes, so a worker's
+    memory doesn't grow with the table."""
+    bounded_batches(df.sparkSession)
     schema = _result_schema(fields, id_col)
     names = schema.fieldNames()
 
@@ -84,7 +93,7 @@ def apply_per_row(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for res in in_window((rec for pdf in batches for rec in pdf.to_dict("records")), safe, in_flight):
+        for res in in_window(records(batches), safe, in_flight):
             out.append(res)
             if len(out) == RESULT_ROWS:
                 yield pd.DataFrame(out, columns=names)

@@ -182,3 +182,18 @@ def test_route_digests(spark):
         "9": (enrich.NOT_JSON, None, "null")}
     some, _ = enrich.route_digests(df, "raw", schema=fields, required=["slug"])
     assert sorted(r.id for r in some.collect()) == ["1", "2", "3"]
+
+
+def test_rows_reach_the_function_in_bounded_batches(spark):
+    """A worker holds few rows as Python objects, and no batch is larger than the bound, however many rows a task has."""
+    import pandas as pd
+
+    from papersift.session import BATCH_ROWS
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    fields = T.StructType([T.StructField("n", T.LongType())])
+    out = enrich.apply_per_row(spark.range(3000).selectExpr("CAST(id AS STRING) AS id", "id AS n"), lambda row: {"n": row["n"] + 1}, fields, num_partitions=1)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS
+    assert sorted((int(r.id), r.n, r.error) for r in out.collect()) == [(k, k + 1, None) for k in range(3000)]
+    batch = pd.DataFrame({"id": ["a", None, "c"] * 100, "n": range(300)})
+    assert list(enrich.records([batch, batch[:0]])) == batch.to_dict("records")
