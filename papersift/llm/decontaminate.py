@@ -42,7 +42,7 @@ WIDTHS = (8, 16, 32, 64)
 RANK, MORE, OVERSAMPLE, ITERATIONS = 256, 64, 16, 6
 COLUMNS = 4096
 #: Blocks of a fitted passage, passages whose word pairs are made together, and tasks that each send a matrix.
-FITTED, FITTED_TOGETHER, MATRICES = 3, 512, 64
+FITTED, FITTED_TOGETHER, MATRICES = 3, 64, 64
 SHARE, COSINE, FREQUENT = 0.3, 0.25, 0.02
 TOGETHER = 50_000
 COMMON, ANSWER_WORDS, ANSWER = 0.6, 5, 0.5
@@ -122,13 +122,14 @@ def _normal(columns: int, width: int, seed: int = 7) -> np.ndarray:
 def word_products(rows: DataFrame, model: Model, kind: str) -> np.ndarray:
     """The sums, over all passages of all texts, of the products of their weights at each pair of the model's columns.
 
-    Each task adds up one matrix; its rows are added up again by row, so what is shuffled doesn't grow with the texts."""
+    Each task adds up one matrix, of which it holds the upper half; its rows are added up again by row, so what is
+    shuffled doesn't grow with the texts."""
     spark, size = rows.sparkSession, len(model.columns)
     shared = spark.sparkContext.broadcast(model)
     step = FITTED * HALF * FITTED_TOGETHER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, out = shared.value, np.zeros(size * size, dtype=np.float32)
+        model, out = shared.value, np.zeros(size * (size + 1) // 2, dtype=np.float32)
         keys, at = [], 0
         for batch in batches:
             for own in column(batch, "words"):
@@ -142,8 +143,8 @@ def word_products(rows: DataFrame, model: Model, kind: str) -> np.ndarray:
                         keys, at = [], 0
         if keys:
             model.add_products(out, np.concatenate(keys))
-        out = out.reshape(size, size)
-        yield from _matrix_rows((k, out[k, k:]) for k in range(size) if out[k, k] > 0)
+        ends = _upper(np.arange(size), size) + size  # of the matrix's rows
+        yield from _matrix_rows((k, out[end + k - size : end]) for k, end in enumerate(ends.tolist()) if out[end + k - size] > 0)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -162,6 +163,11 @@ def word_products(rows: DataFrame, model: Model, kind: str) -> np.ndarray:
     return products
 
 
+def _upper(row: np.ndarray, size: int) -> np.ndarray:
+    """What is added to a column to get the place of (row, column), row <= column, in the upper half of a matrix, row by row."""
+    return row * (2 * size - row - 1) // 2
+
+
 def _matrix_rows(rows: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     for some in itertools.batched(rows, 256):
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int64()), pa.array([m.astype(np.float32).tobytes() for _, m in some], pa.binary())], names=["k", "m"])
@@ -229,7 +235,7 @@ class Model:
         return c, x / max(np.sqrt((x * x).sum()), 1e-12)
 
     def add_products(self, out: np.ndarray, keys: np.ndarray) -> None:
-        """Adds the products of each passage's weights to the flat matrix; ``keys`` are passage * columns + column."""
+        """Adds the products of each passage's weights to the matrix's upper half; ``keys`` are passage * columns + column."""
         size = len(self.columns)
         keys = np.unique(keys)
         keys = keys[self.idf[keys % size] > 0]
@@ -243,7 +249,7 @@ class Model:
         n = np.repeat(first + sizes, sizes) - at  # each column with itself and those after it in the passage
         left = np.repeat(at, n)
         right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n - at, n)
-        np.add.at(out, c[left] * size + c[right], w[left] * w[right])
+        np.add.at(out, _upper(c, size)[left] + c[right], w[left] * w[right])
 
     def fit(self, products: np.ndarray) -> None:
         """The latent space of the passages with these products and of the segments."""

@@ -391,7 +391,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = stored(sets_of(docs, reps, ids), "sets")
     near = stored(_confirm_near(sets, percent).union(_same_id(own, reps)), "near-links")
-    rest = _confirm_pairs(_apart(pairs, components(near)), sets, percent)
+    # stored, so that no task runs two Python workers at a time: an executor keeps them all through later stages
+    rest = stored(_confirm_pairs(_apart(pairs, components(near)), sets, percent), "far-links")
     classes = _with_left_out(docs, reps, components(near.union(rest)), percent)
     # an id may have several rows; all their classes are one component by now
     same = own.select("doc_id", "n_shingles", "digest").join(reps.select("n_shingles", "digest", F.col("doc_id").alias("rep")), ["n_shingles", "digest"])

@@ -205,3 +205,17 @@ def test_given_table_against_brute_force_at_80_percent(spark):
                 union.join(i, j)
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, 80).collect()}
     assert got == {i: union.root(i) for i in ids}
+
+
+def test_links_are_stored_before_their_components(spark, monkeypatch):
+    """A task that confirms pairs and joins them into components would run two Python workers at a time."""
+    plans, made = [], near_dup.components
+
+    def watched(links):
+        plans.append(links._jdf.queryExecution().executedPlan().toString())
+        return made(links)
+
+    monkeypatch.setattr(near_dup, "components", watched)
+    rows = [(k, prose(k % 5, 60) + f" end{k}") for k in range(20)]
+    assert near_dup.near_duplicates(documents(spark, rows)).where("kept").count() == 5
+    assert len(plans) >= 2 and not any("MapInArrow" in p for p in plans)

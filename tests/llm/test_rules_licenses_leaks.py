@@ -320,6 +320,20 @@ def test_the_latent_space_is_fitted_on_all_passages(spark, monkeypatch):
     assert n > 80 and np.allclose(got, want, atol=1e-4) and abs(np.trace(got) - n) < 0.01
 
 
+def test_a_task_holds_the_upper_half_of_the_products():
+    words = [f"w{k}" for k in range(40)]
+    vocabulary = decontaminate.Vocabulary(sorted(words))
+    model = decontaminate.Model([(1, words)], np.arange(1, 41), 10_000, vocabulary)
+    out, want, keys = np.zeros(40 * 41 // 2, dtype=np.float32), np.zeros((40, 40)), []
+    for k in range(12):
+        c = np.arange(k, 40, k + 1)
+        x = model.row(c)[1]
+        want[np.ix_(c, c)] += np.outer(x, x)
+        keys.append(k * 40 + c)
+    model.add_products(out, np.concatenate(keys))
+    assert np.allclose(out, want[np.triu_indices(40)], atol=1e-5)
+
+
 def test_blocks_have_few_words(monkeypatch):
     monkeypatch.setattr(decontaminate, "COLUMNS", 50)
     segments = [[f"w{k}-{n}" for n in range(20)] for k in range(9)]
