@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papersift.llm.common import bounded_batches, column, stored, texts_of, utf8_values
+from papersift.llm.common import bounded_batches, column, stored, texts_of
 from papersift.llm.tokens import END_ID, REMEMBERED, default_tokenizer, text_encoder
 
 CAPACITY, SHARD_TOKENS = 4096, 1 << 20
@@ -111,8 +111,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = text_encoder(path, end_id, remembered), _Shard(capacity, TaskContext.get().partitionId() << 32, with_ids)
         for batch in batches:
-            for doc_id, text in zip(column(batch, "doc_id").to_pylist(), utf8_values(column(batch, "text"))):
-                ids = encoder.encode(text)
+            for doc_id, ids in zip(column(batch, "doc_id").to_pylist(), encoder.encode_all(column(batch, "text"))):
                 step = 4 * shard_tokens
                 for at in range(0, len(ids), step):  # a document longer than a shard goes through several
                     shard.add(doc_id, at // 4, len(ids) // 4, ids[at : at + step])

@@ -1,15 +1,17 @@
+import sys
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from papersift.llm import packing, token_files
+from papersift.llm import packing, token_files, tokens
 from papersift.llm.tokens import END_ID, TextEncoder, default_tokenizer
-from tests.llm.helpers import awkward, documents
+from tests.llm.helpers import awkward, documents, prose
 
 PLAIN = Tokenizer.from_file(default_tokenizer())
 FAST = TextEncoder(default_tokenizer(), None, most_runs=200, most_pieces=100)
@@ -30,6 +32,37 @@ def test_encoder_on_awkward_rows():
         assert np.frombuffer(FAST.encode((text or "").encode()), "<u4").tolist() == plain_ids(text)
 
 
+def test_encoder_takes_new_words_together():
+    """Python's own calls don't grow with the words that are new."""
+    text, calls = " ".join(f"{w}{k}." for k, w in enumerate(prose(11, 5000).split())), [0]
+    encoder = TextEncoder(default_tokenizer(), None)
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        ids = encoder.encode(text.encode())
+    finally:
+        sys.setprofile(None)
+    assert np.frombuffer(ids, "<u4").tolist() == plain_ids(text) and calls[0] < 1000
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_encoder_cuts_batches(monkeypatch, kind):
+    """Texts, runs, pieces and words in parts of a few; some parts have runs for the whole tokenizer, some have none or only those."""
+    monkeypatch.setattr(tokens, "TEXT_BYTES", 60)
+    monkeypatch.setattr(tokens, "PIECE_BYTES", 10)
+    monkeypatch.setattr(tokens, "ITEMS", 3)
+    texts = [t for _, t in awkward()[:-1]] + ["中 文 Ω", "Ünï ünï the The, the.", "", "a <|endoftext|>b", "  two  gaps\n"] * 3
+    encoder = TextEncoder(default_tokenizer(), END_ID, most_runs=4, most_pieces=5)
+    column = pa.array(["left out", *texts], kind).slice(1)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(column)] == [plain_ids(t) + [END_ID] for t in texts]
+        assert len(encoder.pieces.new) <= 5 and len(encoder.pieces.old) <= 5
+    assert list(encoder.encode_all(pa.array([], kind))) == []
+
+
 def expected(rows):
     return {(i, zlib.crc32(np.array(plain_ids(t) + [END_ID], "<u4").tobytes())) for i, t in rows}
 
