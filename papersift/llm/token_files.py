@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papersift.llm.common import bounded_batches, column, scratch, texts_of, utf8_values
+from papersift.llm.common import bounded_batches, column, scratch, texts_of
 from papersift.llm.tokens import END_ID, default_tokenizer, text_encoder
 
 SEQUENCE, BATCH_SEQUENCES = 2048, 256
@@ -127,8 +127,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, length: in
                 encoder = text_encoder(path, end_id)
                 small = encoder.tokenizer.get_vocab_size() <= 1 << 16
                 out = _Writer(folder, context.partitionId(), context.taskAttemptId(), length, pa.uint16() if small else pa.uint32())
-            for doc_id, text in zip(column(batch, "doc_id").to_pylist(), utf8_values(column(batch, "text"))):
-                out.add(doc_id, np.frombuffer(encoder.encode(text), dtype="<u4"))
+            for doc_id, ids in zip(column(batch, "doc_id").to_pylist(), encoder.encode_all(column(batch, "text"))):
+                out.add(doc_id, np.frombuffer(ids, dtype="<u4"))
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [context.partitionId()], "n_tokens": [out.total], "n_docs": [out.docs]})
