@@ -17,7 +17,7 @@ from papersift.llm.common import stored
 #: Pairs that share this part (percent) of their 5-word shingles, or more, are duplicates.
 NEAR_PERCENT = 80
 
-#: Token runs that a worker remembers: fewer than in a job of its own, as all stages run in the same executors.
+#: Token pieces that a worker remembers: fewer than in a job of its own, as all stages run in the same executors.
 REMEMBERED = 80_000
 
 

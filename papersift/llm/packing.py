@@ -104,7 +104,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (null unless ``with_ids``).
 
-    ``remembered`` trades a worker's memory for encoding the same runs again, see ``TextEncoder``."""
+    ``remembered`` trades a worker's memory for encoding the same pieces again, see ``TextEncoder``."""
     bounded_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
 
