@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papersift.llm.common import bounded_batches, column, stored, texts_of
+from papersift.llm.common import bounded_batches, column, give_back, stored, texts_of
 from papersift.llm.tokens import END_ID, REMEMBERED, default_tokenizer, text_encoder
 
 CAPACITY, SHARD_TOKENS = 4096, 1 << 20
@@ -119,6 +119,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
                         yield shard.pack(keep_rest=True)
         yield shard.pack(keep_rest=True)
         yield shard.leftovers()
+        give_back()  # the encoder stays
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard(capacity, _SECOND | TaskContext.get().partitionId() << 32, with_ids)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papersift.llm.common import bounded_batches, column, scratch, texts_of
+from papersift.llm.common import bounded_batches, column, give_back, scratch, texts_of
 from papersift.llm.tokens import END_ID, default_tokenizer, text_encoder
 
 SEQUENCE, BATCH_SEQUENCES = 2048, 256
@@ -131,6 +131,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, length: in
                 out.add(doc_id, np.frombuffer(ids, dtype="<u4"))
         if out is not None:
             out.close()
+            give_back()  # the encoder stays
             yield pa.RecordBatch.from_pydict({"file": [context.partitionId()], "n_tokens": [out.total], "n_docs": [out.docs]})
 
     made = sorted((r.file, r.n_tokens, r.n_docs) for r in rows.mapInArrow(run, "file long, n_tokens long, n_docs long").collect())
