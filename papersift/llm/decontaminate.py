@@ -41,6 +41,8 @@ SEGMENT, HALF = 64, 32
 WIDTHS = (8, 16, 32, 64)
 RANK, MORE, OVERSAMPLE, ITERATIONS = 256, 64, 16, 6
 COLUMNS = 4096
+#: Rows of a strip of the matrix in the driver.
+STRIP = 256
 #: Blocks of a fitted passage, passages whose word pairs are made together, and tasks that each send a matrix.
 FITTED, FITTED_TOGETHER, MATRICES = 3, 64, 64
 SHARE, COSINE, FREQUENT = 0.3, 0.25, 0.02
@@ -119,7 +121,45 @@ def _normal(columns: int, width: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((columns, width)).astype(np.float32)
 
 
-def word_products(rows: DataFrame, model: Model, kind: str) -> np.ndarray:
+class Symmetric:
+    """A symmetric matrix, held as strips of STRIP rows from the diagonal on: half the memory of the whole."""
+
+    def __init__(self, size: int):
+        self.size, self.shape = size, (size, size)
+        self.strips = [np.zeros((min(STRIP, size - k), size - k), dtype=np.float32) for k in range(0, size, STRIP)]
+
+    def put(self, row: int, values: np.ndarray) -> None:
+        """Sets what stands in a row from the diagonal on."""
+        strip, k = self.strips[row // STRIP], row % STRIP
+        strip[k, k:] = values
+        strip[k:, k] = values[: len(strip) - k]
+
+    def add_outer(self, c: np.ndarray, w: np.ndarray, factor: float) -> None:
+        """Adds ``factor`` times the products of ``w`` at the rows and columns ``c``, in ascending order."""
+        for strip in np.unique(c // STRIP).tolist():
+            own, after = c // STRIP == strip, c // STRIP >= strip
+            self.strips[strip][np.ix_(c[own] - strip * STRIP, c[after] - strip * STRIP)] += factor * np.outer(w[own], w[after])
+
+    def trace(self) -> float:
+        return float(np.concatenate([x.diagonal() for x in self.strips]).sum(dtype=np.float64))
+
+    def rows(self, strip: int) -> np.ndarray:
+        """The whole rows of a strip."""
+        k, n = strip * STRIP, len(self.strips[strip])
+        return np.hstack([*(x[:, k - a * STRIP : k - a * STRIP + n].T for a, x in enumerate(self.strips[:strip])), self.strips[strip]])
+
+    def times(self, other: np.ndarray) -> np.ndarray:
+        """The product with a matrix, a strip at a time."""
+        other, out = other.astype(np.float32), np.empty((self.size, other.shape[1]))
+        for strip in range(len(self.strips)):
+            out[strip * STRIP :][: len(self.strips[strip])] = self.rows(strip) @ other
+        return out
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        return np.vstack([self.rows(strip) for strip in range(len(self.strips))]).astype(dtype or np.float32)
+
+
+def word_products(rows: DataFrame, model: Model, kind: str) -> Symmetric:
     """The sums, over all passages of all texts, of the products of their weights at each pair of the model's columns.
 
     Each task adds up one matrix, of which it holds the upper half; its rows are added up again by row, so what is
@@ -156,9 +196,9 @@ def word_products(rows: DataFrame, model: Model, kind: str) -> np.ndarray:
 
     tasks = min(MATRICES, spark.sparkContext.defaultParallelism)
     made = rows.select("words").coalesce(tasks).mapInArrow(freed(run), "k long, m binary").repartition(tasks, "k")
-    products = np.zeros((size, size), dtype=np.float32)
+    products = Symmetric(size)
     for r in made.mapInArrow(freed(added), "k long, m binary").toLocalIterator():
-        products[r.k, r.k :] = products[r.k :, r.k] = np.frombuffer(r.m, dtype=np.float32)
+        products.put(r.k, np.frombuffer(r.m, dtype=np.float32))
     shared.unpersist()
     return products
 
@@ -173,15 +213,17 @@ def _matrix_rows(rows: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int64()), pa.array([m.astype(np.float32).tobytes() for _, m in some], pa.binary())], names=["k", "m"])
 
 
-def randomised_svd(products: np.ndarray, rank: int) -> np.ndarray:
+def randomised_svd(products: Symmetric, rank: int) -> np.ndarray:
     """The leading right singular vectors (columns x rank) of the rows with these products."""
-    size = len(products)
-    basis = np.linalg.qr(_normal(size, min(size, rank + OVERSAMPLE)))[0]
-    for _ in range(ITERATIONS):
-        product = (products @ basis.astype(np.float32)).astype(np.float64)
-        last, basis = basis, np.linalg.qr(product)[0]
-    _, turn = np.linalg.eigh(last.T @ product)
-    return (last @ turn[:, ::-1][:, :rank]).astype(np.float32)
+    basis = np.linalg.qr(_normal(products.size, min(products.size, rank + OVERSAMPLE)))[0]
+    product = products.times(basis)
+    for _ in range(ITERATIONS - 1):
+        del basis  # the driver holds as few of these as it can
+        basis = np.linalg.qr(product)[0]
+        del product
+        product = products.times(basis)
+    _, turn = np.linalg.eigh(basis.T @ product)
+    return (basis @ turn[:, ::-1][:, :rank]).astype(np.float32)
 
 
 class Model:
@@ -251,12 +293,12 @@ class Model:
         right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n - at, n)
         np.add.at(out, _upper(c, size)[left] + c[right], w[left] * w[right])
 
-    def fit(self, products: np.ndarray) -> None:
+    def fit(self, products: Symmetric) -> None:
         """The latent space of the passages with these products and of the segments."""
-        heavier = max(1.0, float(np.trace(products, dtype=np.float64)) / len(self.words))  # a passage adds 1 to the trace
+        heavier = max(1.0, products.trace() / len(self.words))  # a passage adds 1 to the trace
         for c, w in map(self.row, self.words):
-            products[np.ix_(c, c)] += heavier * np.outer(w, w)
-        self.project(randomised_svd(products, min(len(products), len(self.words) + MORE)))
+            products.add_outer(c, w, heavier)
+        self.project(randomised_svd(products, min(products.size, len(self.words) + MORE)))
 
     def project(self, vectors: np.ndarray) -> None:
         self.table = (vectors * self.idf[:, None]).astype(np.float32)

@@ -373,7 +373,11 @@ def _with_left_out(docs: DataFrame, reps: DataFrame, classes: DataFrame, percent
     more = stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(freed(run), "u long, v long"), "left-out")
     if more.isEmpty():
         return classes
-    return components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+    return components(_star_links(classes).union(more))
+
+
+def _star_links(classes: DataFrame) -> DataFrame:
+    return classes.select(F.col("node").alias("u"), F.col("component").alias("v"))
 
 
 def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -392,8 +396,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = stored(sets_of(docs, reps, ids), "sets")
     near = stored(_confirm_near(sets, percent).union(_same_id(own, reps)), "near-links")
     # stored, so that no task runs two Python workers at a time: an executor keeps them all through later stages
-    rest = stored(_confirm_pairs(_apart(pairs, components(near)), sets, percent), "far-links")
-    classes = _with_left_out(docs, reps, components(near.union(rest)), percent)
+    first = components(near)
+    rest = stored(_confirm_pairs(_apart(pairs, first), sets, percent), "far-links")
+    classes = _with_left_out(docs, reps, components(_star_links(first).union(rest)), percent)
     # an id may have several rows; all their classes are one component by now
     same = own.select("doc_id", "n_shingles", "digest").join(reps.select("n_shingles", "digest", F.col("doc_id").alias("rep")), ["n_shingles", "digest"])
     found = same.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))

@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from papersift.llm import components as components_of
 from papersift.llm import near_dup
 from papersift.llm.common import WordHashes
 from papersift.llm.components import components
@@ -219,3 +220,36 @@ def test_links_are_stored_before_their_components(spark, monkeypatch):
     rows = [(k, prose(k % 5, 60) + f" end{k}") for k in range(20)]
     assert near_dup.near_duplicates(documents(spark, rows)).where("kept").count() == 5
     assert len(plans) >= 2 and not any("MapInArrow" in p for p in plans)
+
+
+def test_components_end_without_a_round_that_changes_nothing(spark, monkeypatch):
+    """Every round is many tasks that the driver plans and keeps: links that are stars need none, others no last one."""
+    made = []
+    monkeypatch.setattr(components_of, "stored", lambda df, name, f=components_of.stored: made.append(name) or f(df, name))
+
+    def run(links, parts):
+        made.clear()
+        rows = spark.createDataFrame(links, "u long, v long").repartition(parts, "u")
+        return sorted(map(tuple, components(rows).collect()))
+
+    assert run([(5, 1), (6, 1), (9, 2)], 1) == [(5, 1), (6, 1), (9, 2)] and len(made) == 1
+    chain = [(k, k + 1) for k in range(40)]
+    assert run(chain, 1) == [(k, 0) for k in range(1, 41)] and len(made) == 1
+    assert run(chain, 8) == [(k, 0) for k in range(1, 41)] and len(made) > 1
+    assert run([], 2) == [] and len(made) == 1
+
+
+def test_links_that_are_not_stars_go_on(spark):
+    for links in ([(3, 1), (3, 2)], [(3, 2), (2, 1)], [(2, 1), (2, 1)]):
+        assert not components_of._stars(spark.createDataFrame(links, "u long, v long"))
+    for links in ([], [(3, 1), (2, 1), (9, 8)]):
+        assert components_of._stars(spark.createDataFrame(links, "u long, v long"))
+
+
+def test_known_components_go_through_no_more_rounds(spark, monkeypatch):
+    """Without new links the components that are known are stored again and that is all."""
+    made = []
+    monkeypatch.setattr(components_of, "stored", lambda df, name, f=components_of.stored: made.append(name) or f(df, name))
+    rows = [(k, prose(k % 6, 60)) for k in range(12)] + [(20, edited(prose(1, 60), 1, 1))]
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(documents(spark, rows)).collect()}
+    assert got == brute(rows) and made == ["links"] * 2

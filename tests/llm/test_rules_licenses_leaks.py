@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -340,3 +341,35 @@ def test_blocks_have_few_words(monkeypatch):
     blocks = decontaminate._blocks(segments)
     assert all(len(set().union(*segments[k::blocks])) <= 50 for k in range(blocks)) and blocks < 9
     assert decontaminate._blocks([[f"w{n}" for n in range(64)]]) == 1
+
+
+def test_the_driver_holds_half_of_the_products(spark):
+    """Sums, space and all, it holds less than the whole matrix of the words' products."""
+    words = [f"w{k}" for k in range(2400)]
+    items = [(k, words[60 * k : 60 * k + 60]) for k in range(40)]
+    vocabulary = decontaminate.Vocabulary(sorted(words))
+    rows = decontaminate.coded(decontaminate.texts_of(documents(spark, [(k, " ".join(own + words[k::40])) for k, own in items])), vocabulary)
+    model = decontaminate.Model(items, *decontaminate.document_frequencies(rows, vocabulary), vocabulary)
+    tracemalloc.start()
+    model.fit(decontaminate.word_products(rows, model, vocabulary.kind))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 * 2400**2
+
+
+def test_products_in_strips(monkeypatch):
+    monkeypatch.setattr(decontaminate, "STRIP", 7)
+    r = np.random.default_rng(1)
+    for size in (1, 7, 30):
+        want = r.random((size, size)).astype(np.float32)
+        want = np.triu(want) + np.triu(want, 1).T
+        got = decontaminate.Symmetric(size)
+        for k in range(size):
+            got.put(k, want[k, k:])
+        c = np.arange(0, size, 3)
+        w = r.random(len(c))
+        got.add_outer(c, w, 2.5)
+        want[np.ix_(c, c)] += 2.5 * np.outer(w, w)
+        other = r.random((size, 4))
+        assert np.array_equal(np.asarray(got), want) and np.isclose(got.trace(), np.trace(want))
+        assert np.allclose(got.times(other), want @ other, atol=1e-4)
